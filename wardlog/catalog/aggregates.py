@@ -64,7 +64,8 @@ def rounded(df, digits=6):
 
 
 def attack_out(df):
-    out = rounded(df).withColumnRenamed("lgtime", "hour")
+    spread = [c for c in df.columns if c.endswith(("_ent", "_uni"))]
+    out = df.withColumns({c: F.round(c, 6) for c in spread}).withColumnRenamed("lgtime", "hour")
     names = [f"{n}_keywords" for n in ("path", "query", "agent")]
     return pf.joined_texts(out, names)
 

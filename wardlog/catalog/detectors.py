@@ -200,10 +200,10 @@ def d10_low(d):
         FROM (SELECT *, date_trunc('hour', logtime) AS hour FROM http_log
               WHERE contains(http_cookie, 'SESSION') AND logtime >= TIMESTAMP '2024-01-03'
                 AND {NOT_ASSET})
-        GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT http_path) = 1""",
+        GROUP BY 1, 2 HAVING count(*) > 0 AND count(DISTINCT http_path) = 1""",
 )
 def d11(d):
-    out = hijack_detector(d.http_log, d.ip_ast, "2024-01-03 00:00:00", hits=1)
+    out = hijack_detector(d.http_log, d.ip_ast, "2024-01-03 00:00:00", hits=0)
     out = _round_moments(out).withColumnRenamed("lgtime", "hour")
     return joined_texts(out, ["http_path", "http_query", "http_cookie"])
 

@@ -28,7 +28,7 @@ STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 def tokens_sql(c: str) -> str:
     found = f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
-    return f"list_filter({found}, w -> w NOT IN ({STOPS}))"
+    return f"list_filter({found}, lambda w: w NOT IN ({STOPS}))"
 
 
 @query(
@@ -44,8 +44,8 @@ def m01(d):
 
 
 GRAMS = f"""(SELECT conv_id, turn, list_concat(list_concat(w,
-    list_transform(w[2:], (x, i) -> concat(w[i], ' ', x))),
-    list_transform(w[3:], (x, i) -> concat(w[i], ' ', w[i + 1], ' ', x))) AS g
+    list_transform(w[2:], lambda x, i: concat(w[i], ' ', x))),
+    list_transform(w[3:], lambda x, i: concat(w[i], ' ', w[i + 1], ' ', x))) AS g
     FROM (SELECT conv_id, turn, {tokens_sql('text')} AS w FROM conversations))"""
 
 
@@ -116,7 +116,7 @@ def m06(d):
 @query(
     "m07_padded_slots",
     """SELECT vec_id, len(embedding) + 16 AS size, round(list_sum(list_transform(embedding,
-              v -> CAST(v AS DOUBLE))), 6) AS total FROM embeddings""",
+              lambda v: CAST(v AS DOUBLE))), 6) AS total FROM embeddings""",
 )
 def m07(d):
     padded = pad(F.col("embedding").cast("array<double>"), 80)
@@ -193,7 +193,7 @@ def m20(d):
 
 TOKENS = r"""(SELECT doc_id, source, unnest(list_filter(string_split_regex(text,
     '[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'),
-    w -> w <> '')) AS token FROM {t})"""
+    lambda w: w <> '')) AS token FROM {t})"""
 TRAIN = "(SELECT * FROM documents WHERE lang <> 'de')"
 
 
@@ -302,7 +302,7 @@ DRAWN = "CAST('0x' || substr(md5(concat_ws(':', CAST(event_id AS VARCHAR), {x}))
 @query(
     "m30_payload_texts",
     f"""SELECT event_id, array_to_string(list_transform(list_sort(list_transform(range(1, s + 1),
-          i -> {DRAWN.format(x="CAST(i AS VARCHAR)")} % 16)), i -> ({POOL})[i + 1]), '') AS payload
+          lambda i: {DRAWN.format(x="CAST(i AS VARCHAR)")} % 16)), lambda i: ({POOL})[i + 1]), '') AS payload
         FROM (SELECT event_id, {DRAWN.format(x="'size'")} % 12 + 4 AS s FROM events)""",
 )
 def m30(d):
@@ -312,7 +312,7 @@ def m30(d):
 @query(
     "m30_keyword_subsets",
     f"""SELECT event_id, array_to_string(list_transform(list_sort(list_transform({POOL},
-          w -> {{'r': {DRAWN.format(x="w")}, 'w': w}}))[1:s], x -> x.w), ' ') AS subset
+          lambda w: {{'r': {DRAWN.format(x="w")}, 'w': w}}))[1:s], lambda x: x.w), ' ') AS subset
         FROM (SELECT event_id, {DRAWN.format(x="'subset'")} % 8 + 1 AS s FROM events)""",
 )
 def m30_subsets(d):

@@ -87,9 +87,9 @@ def l03(d):
 
 @query(
     "l04_by_score",
-    """SELECT vec_id, list_transform(s, x -> x[2]) AS place, list_transform(s, x -> x[1]) AS score
+    """SELECT vec_id, list_transform(s, lambda x: x[2]) AS place, list_transform(s, lambda x: x[1]) AS score
        FROM (SELECT vec_id, list_reverse_sort(list_transform(embedding,
-             (v, i) -> [CAST(v AS DOUBLE), CAST(i AS DOUBLE)])) AS s FROM embeddings)""",
+             lambda v, i: [CAST(v AS DOUBLE), CAST(i AS DOUBLE)])) AS s FROM embeddings)""",
 )
 def l04(d):
     size = F.size("embedding")

@@ -106,13 +106,13 @@ _on("f17_arithmetic", "events", "event_id",
     lambda: {"square": F.round(F.pow("value", F.lit(2)), 4), "root": F.round(F.sqrt("value"), 6),
              "share": F.round(F.col("value") / 7, 6)})
 _on("f18_arrays", "embeddings", "vec_id",
-    {"diffs": "round(list_sum(list_transform(embedding[2:], (v, i) -> CAST(v AS DOUBLE) - embedding[i])), 5)",
+    {"diffs": "round(list_sum(list_transform(embedding[2:], lambda v, i: CAST(v AS DOUBLE) - embedding[i])), 5)",
      "places": "len(embedding)", "tail": "len(embedding[2:])",
-     "total": "round(list_sum(list_transform(embedding, v -> CAST(v AS DOUBLE))), 6)",
-     "empty": "len(list_filter(embedding, v -> v > 1e9)) = 0",
-     "same": "len(list_filter(embedding, v -> v = embedding[1]))",
-     "kinds": "len(list_distinct(list_transform(embedding, v -> floor(v * 4))))",
-     "text": "array_to_string(list_transform(embedding, v -> CAST(CAST(floor(v * 4) AS BIGINT) AS VARCHAR)), ',')"},
+     "total": "round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6)",
+     "empty": "len(list_filter(embedding, lambda v: v > 1e9)) = 0",
+     "same": "len(list_filter(embedding, lambda v: v = embedding[1]))",
+     "kinds": "len(list_distinct(list_transform(embedding, lambda v: floor(v * 4))))",
+     "text": "array_to_string(list_transform(embedding, lambda v: CAST(CAST(floor(v * 4) AS BIGINT) AS VARCHAR)), ',')"},
     lambda: _array_columns())
 
 
@@ -194,7 +194,7 @@ _on("f23_label_names", "scores", "event_id",
              "code": vectors.result_code(vectors.display_name(F.col("route")), 334)})
 _on("f24_row_rmse", "embeddings", "vec_id",
     {"rmse": """round(sqrt(list_avg(list_transform(embedding,
-        (v, i) -> pow(CAST(v AS DOUBLE) - embedding[len(embedding) + 1 - i], 2)))), 6)"""},
+        lambda v, i: pow(CAST(v AS DOUBLE) - embedding[len(embedding) + 1 - i], 2)))), 6)"""},
     lambda: {"rmse": F.round(vectors.rmse(F.col("embedding"), F.reverse("embedding")), 6)})
 _on("f25_run_stamps", "events", "event_id",
     {"weekday": "CAST(isodow(ts) - 1 AS VARCHAR)", "dayhour": "strftime(ts, '%H')"},

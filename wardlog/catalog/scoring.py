@@ -143,13 +143,13 @@ def m16(d):
 
 
 # Any weights do for the check: attribution is weight times value.
-SHARE = "list_transform(embedding, (v, i) -> CAST(v AS DOUBLE) * (i % 5 - 2))"
+SHARE = "list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * (i % 5 - 2))"
 
 
 @query(
     "m25_explained",
-    f"""SELECT vec_id, list_transform(s, x -> x[2]) AS place, list_transform(s, x -> round(x[1], 6)) AS score
-        FROM (SELECT vec_id, list_reverse_sort(list_transform(a, (v, i) -> [v - m, CAST(i AS DOUBLE)])) AS s
+    f"""SELECT vec_id, list_transform(s, lambda x: x[2]) AS place, list_transform(s, lambda x: round(x[1], 6)) AS score
+        FROM (SELECT vec_id, list_reverse_sort(list_transform(a, lambda v, i: [v - m, CAST(i AS DOUBLE)])) AS s
               FROM (SELECT vec_id, a, list_median(a) AS m
                     FROM (SELECT vec_id, {SHARE} AS a FROM embeddings)))""",
 )

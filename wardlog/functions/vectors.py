@@ -22,6 +22,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm), F.lit(0.0))
 
 
+def unit_length(a: Column) -> Column:
+    """The array divided by its length; NULL where it has none."""
+    length = F.sqrt(dot(a, a))
+    return F.when(length > 0, F.transform(a, lambda x: x / length))
+
+
 def mean_square_error(a: Column, b: Column) -> Column:
     gap = F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
     return F.try_divide(total(gap), F.size(a))

@@ -27,16 +27,12 @@ def token_counts(
     groups: Sequence[str] = (),
 ) -> DataFrame:
     """Counts per (group, column, token): words of texts, whole values of numbers."""
-    parts = [
-        F.transform(
-            split_words(c), lambda w, c=c: F.struct(F.lit(c).alias("column"), w.alias("token"))
-        )
-        for c in texts
-    ]
-    parts += [
-        F.array(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("token")))
-        for c in numbers
-    ]
+
+    def tagged(c: str, tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: F.struct(F.lit(c).alias("column"), t.alias("token")))
+
+    parts = [tagged(c, split_words(c)) for c in texts]
+    parts += [tagged(c, F.array(F.col(c).cast("string"))) for c in numbers]
     return (
         df.select(*groups, F.explode(F.concat(*parts)).alias("t"))
         .groupBy(*groups, F.col("t.column").alias("column"), F.col("t.token").alias("token"))

@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.functions.times import start_of
-from wardlog.functions.vectors import cosine
+from wardlog.functions.vectors import dot, unit_length
 from wardlog.operators.joins import any_match, members_of_windows
 from wardlog.operators.predicates import reviewed
 from wardlog.operators.profiles import profile
 from wardlog.plans.detectors import traffic_profile
 from wardlog.plans.dns import CLOCK, clock_ratios, dns_measures, dns_texts, with_intel
+from wardlog.session import checkpointed
 
 WINDOW = ["src_ip", "window_start", "window_end"]
 # Feedback vectors compared in one pass over the samples.
 VECTORS_PER_PASS = 2048
+PASSES_PER_CHECKPOINT = 16
 
 
 def _label(profiles: DataFrame, feedback: DataFrame, columns: list[str]) -> DataFrame:
@@ -70,15 +72,28 @@ def unlike_feedback(
 ) -> DataFrame:
     """Samples whose cosine to every feedback vector is below the threshold.
 
-    Feedback is cut into slices of about ``per_pass`` vectors. Each pass carries
-    one slice, as a single array, to the samples left so far; no pairs are made.
+    The different feedback vectors are cut into slices of about ``per_pass``. Each
+    pass takes one slice, a single row of that bounded size and so broadcast, to
+    the samples left so far; no pairs are made. Long runs of passes are cut by
+    checkpoints.
     """
-    vectors = verdicts.select(F.col(vector).cast("array<double>").alias("v"))
-    size = vectors.count()
-    slices = -(-size // per_pass)
-    slot = F.pmod(F.xxhash64("v"), F.lit(max(slices, 1)))
+    unit = unit_length(F.col(vector).cast("array<double>"))
+    vectors = verdicts.select(unit.alias("v")).where(F.col("v").isNotNull()).distinct()
+    slices = -(-vectors.count() // per_pass)
+    if not slices:
+        return samples
+    by_slice = (
+        vectors.withColumn("_slice", F.pmod(F.xxhash64("v"), F.lit(slices)).cast("int"))
+        .groupBy("_slice")
+        .agg(F.collect_list("v").alias("_vs"))
+    )
+    columns = samples.columns
+    left = samples.withColumn("_unit", unit)
     for i in range(slices):
-        one = vectors.where(slot == i).agg(F.collect_list("v").alias("vs")).scalar()
-        like = F.exists(one, lambda v: cosine(F.col(vector), v) >= threshold)
-        samples = samples.where(~F.coalesce(like, F.lit(False)))
-    return samples
+        one = F.broadcast(by_slice.where(F.col("_slice") == i))
+        like = F.exists("_vs", lambda v: dot(F.col("_unit"), v) >= threshold)
+        met = left.withColumn("_slice", F.lit(i)).join(one, "_slice", "left")
+        left = met.where(~F.coalesce(like, F.lit(False))).drop("_slice", "_vs")
+        if (i + 1) % PASSES_PER_CHECKPOINT == 0:
+            left = checkpointed(left)
+    return left.select(*columns)

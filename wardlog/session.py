@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "wardlog", master: str | None = None, **conf) -> SparkSession:
@@ -43,6 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as written to the shared folder, without the plan that made them."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path nothing has written to yet, under the shared folder."""
     return f"{shared_dir(spark)}/wardlog/{name}-{uuid.uuid4().hex}"

@@ -100,7 +100,7 @@ VIEWS = {
         SELECT event_id, src_ip, ts,
                CASE k % 20 WHEN 1 THEN 'injection' WHEN 2 THEN 'xss' WHEN 3 THEN 'file_download'
                     WHEN 4 THEN 'credential' ELSE 'normal' END AS route,
-               CAST(k % 10 AS DOUBLE) / 10 AS attack_score, value / 500 AS recon_error
+               CAST(k % 7 AS DOUBLE) / 7 AS attack_score, value / 500 AS recon_error
         FROM ev""",
     "class_scores": """
         SELECT event_id, src_ip, ts,

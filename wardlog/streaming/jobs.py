@@ -18,11 +18,15 @@ from wardlog.operators.profiles import distinct_ports, method_ratios, status_rat
 
 
 def read_files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
-    """A parquet table as a stream, its schema taken from the files there now."""
+    """A parquet table as a stream, its schema taken from the files there now.
+
+    The path is given as a pattern that matches only itself, since a stream
+    accepts a single file in that form only.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _per_batch(path: str, make: Callable[[DataFrame], DataFrame]):
@@ -61,11 +65,11 @@ def hourly_profile(stream: DataFrame, late: str = "1 hour") -> DataFrame:
         **method_ratios(),
         **status_ratios(),
     }
-    windowed = stream.withWatermark("end_time", late).groupBy(
-        F.window("end_time", "1 hour").alias("w"), "src_ip", "dst_ip"
-    )
+    timed = stream.withColumn("at", F.col("end_time").cast("timestamp")).withWatermark("at", late)
+    windowed = timed.groupBy(F.window("at", "1 hour").alias("w"), "src_ip", "dst_ip")
     out = windowed.agg(*[c.alias(n) for n, c in measures.items()])
-    return out.select(F.col("w.start").alias("lgtime"), *[c for c in out.columns if c != "w"])
+    start = F.col("w.start").cast("timestamp_ntz").alias("lgtime")
+    return out.select(start, *[c for c in out.columns if c != "w"])
 
 
 def run_hourly_profile(stream: DataFrame, path: str, late: str = "1 hour") -> DataFrame:
