@@ -148,7 +148,7 @@ def s07(d):
 def s08(d):
     path = scratch(d.spark, "days")
     rows = sinks.with_derived(results(d), "result")
-    sinks.write_by_day(rows, path, files_per_day=4)
+    sinks.write_by_day(rows, path)
     return (
         d.spark.read.parquet(path)
         .groupBy("logdate")

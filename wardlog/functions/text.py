@@ -77,14 +77,21 @@ def words(c: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
 def n_grams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     """All n-grams of the token array for n in low..high, shorter ones first."""
 
-    def grams(n: int) -> Column:
+    if low == high == 1:
+        return tokens
+
+    def grams(t: Column, n: int) -> Column:
         if n == 1:
-            return tokens
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
+            return t
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1)))
         return F.transform(
             F.coalesce(starts, F.array().cast("array<int>")),
-            lambda i: F.array_join(F.slice(tokens, i, n), " "),
+            lambda i: F.array_join(F.slice(t, i, n), " "),
         )
 
-    parts = [grams(n) for n in range(low, high + 1)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    # The tokens are bound to one variable, so the text is split once per row.
+    return F.flatten(
+        F.transform(
+            F.array(tokens), lambda t: F.concat(*[grams(t, n) for n in range(low, high + 1)])
+        )
+    )

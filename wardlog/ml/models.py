@@ -19,6 +19,7 @@ from wardlog.ml.textvec import FeatureModel, fit_features
 from wardlog.ml.tree import class_names, fit_tree, route
 from wardlog.operators.ordering import hash_slot
 from wardlog.session import scratch
+from wardlog.sources.sinks import write_snapshot
 
 
 def binary_set(df: DataFrame, attack: str, keys: Sequence[str], label: str = "label") -> DataFrame:
@@ -107,12 +108,12 @@ class ModelBundle:
     anomaly: PCAModel | None
     threshold: float
 
-    def prepare(self, df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-        return self.scaler.transform(self.features.transform(df, keys))
+    def prepare(self, df: DataFrame) -> DataFrame:
+        return self.scaler.transform(self.features.transform(df))
 
-    def score(self, df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    def score(self, df: DataFrame) -> DataFrame:
         """Adds ``values``, ``route`` and one score column per class, 0 off the route."""
-        out = route(self.prepare(df, keys), self.tree, self.labels)
+        out = route(self.prepare(df), self.tree, self.labels)
         if self.anomaly is not None:
             out = reconstruction_error(out, self.anomaly)
         else:
@@ -179,21 +180,21 @@ def fit_bundle(
     low: int = 1,
     high: int = 1,
     components: int = 5,
-    keys: Sequence[str] | None = None,
 ) -> ModelBundle:
     """Fits text features, scaler, tree, specialists, anomaly model and threshold.
 
-    The prepared training set is written once to the shared folder and read back
-    for every fit, so a lost executor costs a re-read and not the extraction.
+    The extracted rows and the prepared vectors are each written once to the
+    shared folder and read back for every fit, so a lost executor costs a
+    re-read and not the extraction.
     """
     spark = train.sparkSession
+    train = write_snapshot(train, scratch(spark, "extracted"), version)
     features = fit_features(train, numbers, texts, max_features, low, high)
-    assembled = features.transform(train, keys).select("label", "features")
-    path = scratch(spark, "train")
-    assembled.write.parquet(path)
-    ready = spark.read.parquet(path)
+    ready = write_snapshot(
+        features.transform(train).select("label", "features"), scratch(spark, "vectors"), version
+    )
     scaler = fit_scaler(ready)
-    ready = scaler.transform(ready)
+    ready = write_snapshot(scaler.transform(ready), scratch(spark, "scaled"), version)
     labels = class_names(ready)
     tree = fit_tree(ready, labels, depth)
     normal = ready.where(F.col("label") == "normal")

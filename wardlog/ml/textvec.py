@@ -36,10 +36,14 @@ def vocabulary(
     """
     text = F.col(text) if isinstance(text, str) else text
     tokens = n_grams(words(F.col("text")), low, high)
-    per_text = df.select(text.alias("text")).distinct().select(
-        F.explode(tokens).alias("term"), F.xxhash64("text").alias("d1"), F.md5("text").alias("d2")
+    texts = df.select(text.alias("text")).distinct().select(
+        tokens.alias("terms"), F.xxhash64("text").alias("d1"), F.md5("text").alias("d2")
+    )
+    per_text = (
+        texts.select("d1", "d2", F.explode("terms").alias("term"))
+        .groupBy("d1", "d2", "term")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_text = per_text.groupBy("d1", "d2", "term").agg(F.count(F.lit(1)).alias("n"))
     counts = per_text.groupBy("term").agg(
         F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("docs")
     )
@@ -146,15 +150,16 @@ def fit_text(
     return TextModel(column, terms, counter, PipelineModel([scale, unit]))
 
 
-def merge_parts(df: DataFrame, keys: Sequence[str], models: Sequence[TextModel]) -> DataFrame:
-    """Counts of a key's text parts added up, one row per key again."""
-    kept = [c for c in df.columns if c not in keys and c != "part"]
+def merge_parts(df: DataFrame, models: Sequence[TextModel]) -> DataFrame:
+    """Counts of a key's text parts added up, one row per key again.
+
+    Profiles come hashed by their key, which the other columns contain, so this
+    fold needs no further shuffle.
+    """
     counts = [f"{m.column}__cnt" for m in models]
-    texts = [m.column for m in models]
-    first = [F.first(c).alias(c) for c in kept if c not in counts and c not in texts]
-    return df.groupBy(*keys).agg(
-        *first, *[Summarizer.sum(F.col(c)).alias(c) for c in counts]
-    )
+    folded = {"part", *counts, *[m.column for m in models]}
+    keys = [c for c in df.columns if c not in folded]
+    return df.groupBy(*keys).agg(*[Summarizer.sum(F.col(c)).alias(c) for c in counts])
 
 
 @dataclass
@@ -172,12 +177,12 @@ class FeatureModel:
     def slots(self) -> dict[str, list[str]]:
         return {t.column: t.names for t in self.texts}
 
-    def transform(self, df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-        """Adds ``features``. With ``keys``, rows are text parts and are merged per key."""
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``features``. Rows with a ``part`` column are merged to one per key."""
         for t in self.texts:
             df = t.count(df)
-        if keys:
-            df = merge_parts(df, keys, self.texts)
+        if "part" in df.columns:
+            df = merge_parts(df, self.texts) if self.texts else df.where("part = 0").drop("part")
         for t in self.texts:
             df = t.weigh(df)
         vectors = [f"{t.column}_vec" for t in self.texts]

@@ -138,11 +138,17 @@ class TextSet:
 
     column: Column
     distinct: bool = True
+    # What to measure the group by; the uncleaned column spares cleaning it twice.
+    raw: Column | None = None
+
+    @property
+    def size(self) -> Column:
+        return F.octet_length(self.column if self.raw is None else self.raw)
 
 
 def _overfull(rows: DataFrame, keys: Sequence[str], texts: Mapping[str, TextSet], limit: int):
     """Parts needed by groups holding more raw text than the limit; None if there are none."""
-    size = sum((F.coalesce(F.octet_length(t.column), F.lit(0)) for t in texts.values()), F.lit(0))
+    size = sum((F.coalesce(t.size, F.lit(0)) for t in texts.values()), F.lit(0))
     sizes = rows.groupBy(*keys).agg(F.sum(size.cast("bigint")).alias("_bytes"))
     large = sizes.where(F.col("_bytes") > limit)
     if large.isEmpty():
@@ -194,7 +200,7 @@ def profile(
     keys: Sequence[str],
     measures: Mapping[str, Column],
     texts: Mapping[str, TextSet] | None = None,
-    part_bytes: int = PART_BYTES,
+    part_bytes: int | None = PART_BYTES,
 ) -> DataFrame:
     """One row per key: the measures and, as sorted arrays, the gathered texts.
 
@@ -203,11 +209,12 @@ def profile(
     larger group has one row per part with the same measures, so that no array
     outgrows a task and nothing is left out. Whether such groups exist is
     checked by one narrow aggregate; without them everything is one shuffle.
+    Where the caller knows its groups are small, ``part_bytes=None`` skips the check.
     """
     numbers = [c.alias(n) for n, c in measures.items()]
     if not texts:
         return rows.groupBy(*keys).agg(*numbers)
-    parts = _overfull(rows, keys, texts, part_bytes)
+    parts = None if part_bytes is None else _overfull(rows, keys, texts, part_bytes)
     if parts is None:
         sets = [
             F.sort_array((F.collect_set if t.distinct else F.collect_list)(t.column)).alias(n)
@@ -223,7 +230,8 @@ def joined_texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: F.array_join(n, " ") for n in names})
 
 
-def any_texts(texts: Mapping[str, Column], distinct: bool) -> dict[str, TextSet]:
-    return {n: TextSet(c, distinct) for n, c in texts.items()}
+def cleaned_sets(columns: Mapping[str, str], clean, distinct: bool) -> dict[str, TextSet]:
+    """Output name -> set of the cleaned texts of a column."""
+    return {n: TextSet(clean(F.col(c)), distinct, F.col(c)) for n, c in columns.items()}
 
 

@@ -14,7 +14,7 @@ from wardlog.operators import predicates as P
 from wardlog.operators.joins import drop_listed, in_either, keep_listed
 from wardlog.operators.profiles import (
     TextSet,
-    any_texts,
+    cleaned_sets,
     method_ratios,
     port_digits,
     profile,
@@ -74,7 +74,7 @@ def traffic_measures(bytes_too: bool = True, missing: str = "") -> dict[str, Col
 
 
 def traffic_texts(columns: Sequence[str] = ("http_host", "http_path", "http_query")):
-    return any_texts({c: text.url_chars(F.col(c)) for c in columns}, distinct=False)
+    return cleaned_sets({c: c for c in columns}, text.url_chars, distinct=False)
 
 
 def traffic_profile(

@@ -12,7 +12,7 @@ from wardlog.functions.times import start_of
 from wardlog.functions.vectors import class_c
 from wardlog.operators.joins import flag_listed
 from wardlog.operators.profiles import (
-    any_texts,
+    cleaned_sets,
     hour_ratios,
     profile,
     value_spread,
@@ -44,8 +44,7 @@ def dns_measures() -> dict:
 
 
 def dns_texts() -> dict:
-    columns = ("dns_query", "dns_answer")
-    return any_texts({c: url_chars(F.col(c)) for c in columns}, distinct=False)
+    return cleaned_sets({c: c for c in ("dns_query", "dns_answer")}, url_chars, distinct=False)
 
 
 def dns_profile(

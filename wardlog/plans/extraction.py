@@ -13,7 +13,7 @@ from wardlog.operators.joins import drop_listed
 from wardlog.operators.ordering import cap_per_class, first_rows, union_all
 from wardlog.operators.predicates import has_text, in_range, is_ipv4
 from wardlog.operators.profiles import (
-    TextSet,
+    cleaned_sets,
     distinct_ports,
     joined_texts,
     profile,
@@ -35,17 +35,28 @@ def http_measures(missing: str = "") -> dict:
 
 def http_profile(rows: DataFrame, keys=KEYS, missing: str = "", **size) -> DataFrame:
     """Ports, status shares and the cleaned agent and query texts per key."""
-    texts = {n: TextSet(payload_words(F.col(c))) for n, c in TEXTS.items()}
+    texts = cleaned_sets(TEXTS, payload_words, distinct=True)
     return joined_texts(profile(rows, keys, http_measures(missing), texts, **size), list(TEXTS))
 
 
+def window_rows(log: DataFrame, start: str, end: str) -> DataFrame:
+    return log.where(in_range("logtime", start, end) & has_text())
+
+
 def prediction_rows(log: DataFrame, start: str, end: str, missing: str = "", **size):
-    return http_profile(log.where(in_range("logtime", start, end) & has_text()), KEYS, missing, **size)
+    return http_profile(window_rows(log, start, end), KEYS, missing, **size)
 
 
 def normal_rows(log: DataFrame, start: str, end: str, limit: int | None = None, **size):
-    out = prediction_rows(log, start, end, **size).withColumn("label", F.lit("normal"))
-    return out if limit is None else first_rows(out, KEYS, limit)
+    """Profiles of a time range; with a limit, of its first keys only.
+
+    The wanted keys are picked before anything is profiled.
+    """
+    rows = window_rows(log, start, end)
+    if limit is not None:
+        wanted = first_rows(rows.select(*KEYS).distinct(), KEYS, limit)
+        rows = rows.join(wanted, KEYS, "left_semi")
+    return http_profile(rows, KEYS, **size).withColumn("label", F.lit("normal"))
 
 
 def attack_rows(
@@ -58,7 +69,11 @@ def attack_rows(
     """Profiles of the labelled attack classes, from one scan, capped per class."""
     rows = labelled(log.where(has_text() & is_ipv4()), "hash", labels)
     rows = drop_listed(rows, assets, "src_ip", "ip")
-    return cap_per_class(http_profile(rows, ["label", *KEYS], **size), "label", KEYS, limit)
+    keys = ["label", *KEYS]
+    if limit is not None:
+        wanted = cap_per_class(rows.select(*keys).distinct(), "label", KEYS, limit)
+        rows = rows.join(wanted, keys, "left_semi")
+    return http_profile(rows, keys, **size)
 
 
 def training_rows(log, assets, start: str, end: str, limit: int | None = None, **size):

@@ -85,15 +85,14 @@ def write_by_day(
     mode: str = "append",
     day: str = "logdate",
     order: str = "logtime",
-    files_per_day: int = 1,
     max_records: int | None = None,
 ) -> None:
     """Day folders, rows in time order inside each file.
 
-    ``files_per_day`` spreads a busy day over that many tasks, by time.
+    Rows are rebalanced by day: small days share a task and end up in one file
+    each, and a day larger than the advisory size is split over several tasks.
     """
-    slot = F.pmod(F.xxhash64(order), F.lit(files_per_day))
-    shaped = df.repartition(day, slot) if files_per_day > 1 else df.repartition(day)
+    shaped = df.hint("rebalance", day)
     writer = shaped.sortWithinPartitions(day, order).write.mode(mode).partitionBy(day)
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
