@@ -86,30 +86,28 @@ def value_rarity(df: DataFrame, key: str, column: str, counts: DataFrame) -> Dat
     )
 
 
-def _dictionaries(counts: DataFrame, column: str, group: str) -> DataFrame:
-    """Counts per book: one book per group and the common book `*`.
+def _resolved(pairs: DataFrame, counts: DataFrame, column: str, group: str) -> DataFrame:
+    """(group, token) pairs with the token's count and the total of the group's dictionary.
 
-    A group without a dictionary is pointed at the common book, so the common
-    counts are stored once and not copied for each such group.
+    A group that has no dictionary takes the common one, the sum of all groups'.
+    Only the different pairs come here, so a group or token that many rows share
+    is looked up once.
     """
-    mine = counts.where(F.col("column") == column)
-    own = mine.select(F.col(group).cast("string").alias("book"), "token", "cnt")
-    common = mine.groupBy("token").agg(F.sum("cnt").alias("cnt"))
-    common = common.select(F.lit("*").alias("book"), "token", "cnt")
-    own = own.withColumn("book", F.concat(F.lit("="), "book"))
-    return own.unionByName(common)
-
-
-def _with_book(df: DataFrame, group: str, books: DataFrame) -> DataFrame:
-    known = books.where(F.col("book") != "*").groupBy("book").agg(F.sum("cnt").alias("total"))
-    everyone = books.where(F.col("book") == "*").agg(F.sum("cnt")).scalar()
-    df = df.withColumn("book", F.concat(F.lit("="), F.col(group).cast("string")))
-    df = df.join(known, "book", "left")
-    return df.withColumns(
-        {
-            "book": F.when(F.col("total").isNull(), "*").otherwise(F.col("book")),
-            "total": F.coalesce("total", everyone),
-        }
+    own = counts.where(F.col("column") == column).select(group, "token", "cnt")
+    known = own.groupBy(group).agg(F.sum("cnt").alias("total"))
+    common = own.groupBy("token").agg(F.sum("cnt").alias("common"))
+    everyone = own.agg(F.sum("cnt")).scalar()
+    met = (
+        pairs.join(own, [group, "token"], "left")
+        .join(known, group, "left")
+        .join(common, "token", "left")
+    )
+    missing = F.col("total").isNull()
+    return met.select(
+        group,
+        "token",
+        F.when(missing, F.col("common")).otherwise(F.col("cnt")).alias("cnt"),
+        F.coalesce("total", everyone).cast("double").alias("total"),
     )
 
 
@@ -117,23 +115,17 @@ def grouped_value_share(
     df: DataFrame, key: str, column: str, group: str, counts: DataFrame
 ) -> DataFrame:
     """Share of the value in its group's dictionary, or in the common one."""
-    books = _dictionaries(counts, column, group)
     rows = df.select(key, group, F.col(column).cast("string").alias("token"))
-    met = _with_book(rows, group, books).join(books, ["book", "token"], "left")
-    score = F.col("cnt") / F.col("total")
-    return met.select(key, F.coalesce(score.cast("double"), F.lit(0.0)).alias("score"))
+    found = _resolved(rows.select(group, "token").distinct(), counts, column, group)
+    score = F.coalesce(F.col("cnt") / F.col("total"), F.lit(0.0))
+    return rows.join(found, [group, "token"], "left").select(key, score.alias("score"))
 
 
 def grouped_text_rarity(
     df: DataFrame, key: str, text: str, group: str, counts: DataFrame
 ) -> DataFrame:
     """Text rarity within the group's dictionary, or the common one."""
-    books = _dictionaries(counts, text, group)
     tokens = _text_tokens(df, key, text, [group])
-    met = _with_book(tokens, group, books).join(books, ["book", "token"], "left")
-    met = met.withColumn("total", F.col("total").cast("double"))
-    known = F.count("cnt") == F.count(F.lit(1))
-    mean = F.sum(F.col("cnt") * F.col("n")) / F.sum("n")
-    score = F.when(known, 1 - F.sqrt(mean / F.max("total")))
-    scores = met.groupBy(key).agg(F.coalesce(score, F.lit(0.0)).alias("score"))
-    return _all_rows(df, key, scores)
+    found = _resolved(tokens.select(group, "token").distinct(), counts, text, group)
+    met = tokens.join(found, [group, "token"], "left")
+    return _all_rows(df, key, _fold(met, key, F.max("total")))

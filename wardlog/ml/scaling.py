@@ -22,14 +22,11 @@ def constant_array(values: Sequence[float]) -> Column:
 
 def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns scaled to [0, 1]; a constant column becomes its distance from the minimum."""
-    low = df.agg(*[F.min(c).cast("double").alias(c) for c in columns])
-    high = df.agg(*[F.max(c).cast("double").alias(c) for c in columns])
-    bounds = low.select(F.struct(*columns).alias("s")).scalar(), high.select(
-        F.struct(*columns).alias("s")
-    ).scalar()
+    ends = [(F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}")) for c in columns]
+    bounds = df.agg(F.struct(*[e for pair in ends for e in pair]).alias("bounds")).scalar()
     out = {}
     for c in columns:
-        lowest, highest = bounds[0][c], bounds[1][c]
+        lowest, highest = (bounds[f"{end}_{c}"].cast("double") for end in ("low", "high"))
         width = F.when(highest > lowest, highest - lowest).otherwise(1.0)
         out[c] = (F.col(c).cast("double") - lowest) / width
     return df.withColumns(out)

@@ -13,41 +13,46 @@ BUCKETS = 1024
 SMALL = 10_000
 
 
-def _value_at(counts: DataFrame, rank: int) -> float:
-    """The value at a 0-based rank of a (value, n) table.
+def _histogram(counts: DataFrame, low: float, high: float) -> list:
+    """Rows, ends and distinct values of at most BUCKETS equal slices of [low, high]."""
+    place = F.floor((F.col("value") - low) / ((high - low) / BUCKETS))
+    return (
+        counts.where(F.col("value").between(low, high))
+        .groupBy(F.least(F.lit(BUCKETS - 1), place).alias("bucket"))
+        .agg(
+            F.sum("n").alias("n"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            F.count(F.lit(1)).alias("kinds"),
+        )
+        .orderBy("bucket")
+        .collect()
+    )
+
+
+def _values_at(counts: DataFrame, ranks: Sequence[int], low: float, high: float, kinds: int):
+    """The values at 0-based ranks of a (value, n) table.
 
-    Narrows a value range by bucket counts until few distinct values are left;
-    the driver only ever sees the counts of at most BUCKETS buckets.
+    A range of values is narrowed by bucket counts until at most SMALL distinct
+    values are left; the driver never sees more than that or BUCKETS rows.
     """
-    low, high, kinds = counts.agg(F.min("value"), F.max("value"), F.count(F.lit(1))).first()
-    while kinds > SMALL and high > low:
-        width = (high - low) / BUCKETS
-        place = F.floor((F.col("value") - low) / width)
-        bucket = F.least(F.lit(BUCKETS - 1), place).alias("bucket")
-        band = counts.where(F.col("value").between(low, high))
-        stats = (
-            band.groupBy(bucket)
-            .agg(
-                F.sum("n").alias("n"),
-                F.min("value").alias("low"),
-                F.max("value").alias("high"),
-                F.count(F.lit(1)).alias("kinds"),
-            )
-            .orderBy("bucket")
-            .collect()
-        )
-        for s in stats:
-            if rank < s.n:
-                break
-            rank -= s.n
-        low, high, kinds = s.low, s.high, s.kinds
-    for value, n in (
-        counts.where(F.col("value").between(low, high)).orderBy("value").toLocalIterator()
-    ):
-        if rank < n:
-            return value
-        rank -= n
-    raise ValueError("rank outside the table")
+    if kinds <= SMALL:
+        rows = iter(sorted(counts.where(F.col("value").between(low, high)).collect()))
+        out, passed, value = {}, 0, low
+        for rank in sorted(ranks):
+            while passed <= rank:
+                value, n = next(rows)
+                passed += n
+            out[rank] = value
+        return out
+    out, before = {}, 0
+    for b in _histogram(counts, low, high):
+        inside = [r - before for r in ranks if before <= r < before + b.n]
+        if inside:
+            found = _values_at(counts, inside, b.low, b.high, b.kinds)
+            out.update({r + before: v for r, v in found.items()})
+        before += b.n
+    return out
 
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
@@ -60,16 +65,18 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        size = counts.agg(F.sum("n")).first()[0]
+        size, low, high, kinds = counts.agg(
+            F.sum("n"), F.min("value"), F.max("value"), F.count(F.lit(1))
+        ).first()
         if not size:
             raise ValueError("no values")
-        out = []
-        for share in shares:
-            place = share * (size - 1)
-            low = _value_at(counts, math.floor(place))
-            high = _value_at(counts, math.ceil(place)) if place % 1 else low
-            out.append(low + (place - math.floor(place)) * (high - low))
-        return out
+        places = [share * (size - 1) for share in shares]
+        ranks = {r for p in places for r in (math.floor(p), math.ceil(p))}
+        at = _values_at(counts, sorted(ranks), low, high, kinds)
+        return [
+            at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)])
+            for p in places
+        ]
     finally:
         counts.unpersist()
 
