@@ -380,7 +380,7 @@ ROUND_GROUP = """round(dns_query_ent, 6) AS dns_query_ent, round(rareness, 9) AS
 )
 def a30(d):
     wanted = d.dns_log.where(F.col("src_ip").like("10.%"))
-    out = group_profile(d.dns_log, wanted, d.osint, d.range_intel)
+    out = group_profile(d.dns_log, wanted, d.osint, d.range_intel).withColumn("idx", F.lit(1))
     return _round_group(out)
 
 

@@ -15,6 +15,7 @@ from wardlog.operators.joins import (
     keep_listed,
     members_of_windows,
     share_of_total,
+    with_one_row,
 )
 from wardlog.operators.predicates import attempt_or_vulnerability, reviewed
 from wardlog.plans.detectors import alerted
@@ -103,11 +104,10 @@ def j04(d):
 def j05(d):
     log = d.dns_log
     clock = log.agg(
-        F.lit(1).alias("idx"), F.count(F.lit(1)).alias("cnt"),
-        *[c.alias(n) for n, c in clock_ratios().items()],
+        F.count(F.lit(1)).alias("cnt"), *[c.alias(n) for n, c in clock_ratios().items()]
     )
-    hits = flag_listed(log, d.osint, "dns_query", "target", "hit")
-    return clock.join(hits.agg(F.lit(1).alias("idx"), F.avg("hit").alias("hits")), "idx", "left")
+    hits = flag_listed(log, d.osint, "dns_query", "target", "hit").agg(F.avg("hit").alias("hits"))
+    return with_one_row(clock, hits).withColumn("idx", F.lit(1))
 
 
 ENRICHED = f"""

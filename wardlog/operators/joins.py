@@ -87,6 +87,15 @@ def members_of_windows(
     )
 
 
+def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row frame to every row; NULLs where it has no row.
+
+    The row is a scalar subquery, so it is computed once and nothing is joined.
+    """
+    row = one.select(F.struct(*one.columns).alias("row")).scalar()
+    return df.withColumns({c: row[c] for c in one.columns})
+
+
 def share_of_total(df: DataFrame, count: str | Column, name: str = "share") -> DataFrame:
     """Each row's count over the sum of all, the sum taken once as a scalar subquery."""
     count = F.col(count) if isinstance(count, str) else count

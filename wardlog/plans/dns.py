@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardlog.functions.text import url_chars
 from wardlog.functions.times import start_of
 from wardlog.functions.vectors import class_c
-from wardlog.operators.joins import flag_listed
+from wardlog.operators.joins import flag_listed, with_one_row
 from wardlog.operators.profiles import (
     cleaned_sets,
     hour_ratios,
@@ -91,21 +91,21 @@ def group_profile(
 ) -> DataFrame:
     """One profile per address set: count, clock shares, query spread, rareness, hit rates.
 
-    With ``groups`` there is a row per batch of addresses; the pieces are joined
-    on a constant where there is only one set.
+    With ``groups`` there is a row per batch of addresses, otherwise one row.
     """
-    keys = list(groups) or ["idx"]
-    if not groups:
-        wanted = wanted.withColumn("idx", F.lit(1))
-    clock = wanted.groupBy(*keys).agg(
+    groups = list(groups)
+    clock = wanted.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("cnt"), *[c.alias(n) for n, c in clock_ratios().items()]
     )
-    spread = value_spread(wanted, keys, {"dns_query": F.col("dns_query")}).drop("dns_query_kinds")
-    return (
-        clock.join(spread, keys, "left")
-        .join(rareness(log, wanted, keys), keys, "left")
-        .join(hit_rates(wanted, domains, ranges, keys), keys, "left")
-    )
+    spread = value_spread(wanted, groups, {"dns_query": F.col("dns_query")})
+    others = [
+        spread.drop("dns_query_kinds"),
+        rareness(log, wanted, groups),
+        hit_rates(wanted, domains, ranges, groups),
+    ]
+    for part in others:
+        clock = clock.join(part, groups, "left") if groups else with_one_row(clock, part)
+    return clock
 
 
 def mean_group_profile(profiles: DataFrame, groups: Sequence[str]) -> DataFrame:

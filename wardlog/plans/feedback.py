@@ -73,9 +73,9 @@ def unlike_feedback(
     """Samples whose cosine to every feedback vector is below the threshold.
 
     The different feedback vectors are cut into slices of about ``per_pass``. Each
-    pass takes one slice, a single row of that bounded size and so broadcast, to
-    the samples left so far; no pairs are made. Long runs of passes are cut by
-    checkpoints.
+    pass hands one slice, an array of that bounded size from a scalar subquery, to
+    the samples left so far; nothing is joined and no pairs are made. Long runs of
+    passes are cut by checkpoints.
     """
     unit = unit_length(F.col(vector).cast("array<double>"))
     vectors = verdicts.select(unit.alias("v")).where(F.col("v").isNotNull()).distinct()
@@ -87,13 +87,14 @@ def unlike_feedback(
         .groupBy("_slice")
         .agg(F.collect_list("v").alias("_vs"))
     )
-    columns = samples.columns
-    left = samples.withColumn("_unit", unit)
+    x = F.col(vector).cast("array<double>")
+    length = F.sqrt(dot(x, x))
+    left = samples
     for i in range(slices):
-        one = F.broadcast(by_slice.where(F.col("_slice") == i))
-        like = F.exists("_vs", lambda v: dot(F.col("_unit"), v) >= threshold)
-        met = left.withColumn("_slice", F.lit(i)).join(one, "_slice", "left")
-        left = met.where(~F.coalesce(like, F.lit(False))).drop("_slice", "_vs")
+        one = by_slice.where(F.col("_slice") == i).select("_vs").scalar()
+        nearest = F.array_max(F.transform("_vs", lambda v: dot(x, v)))
+        like = (length > 0) & (nearest >= threshold * length)
+        left = left.withColumn("_vs", one).where(~F.coalesce(like, F.lit(False))).drop("_vs")
         if (i + 1) % PASSES_PER_CHECKPOINT == 0:
             left = checkpointed(left)
-    return left.select(*columns)
+    return left
