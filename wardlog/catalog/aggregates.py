@@ -34,7 +34,7 @@ from wardlog.plans.dns import (
     mean_group_profile,
     rareness,
 )
-from wardlog.plans.extraction import prediction_rows
+from wardlog.plans.extraction import TEXTS, prediction_rows
 from wardlog.plans.logins import RATIOS, login_profile, outcome_counts, service_shares
 
 WIDE_TIMES = ("2024-01-01 00:00:00", "2024-02-01 00:00:00")
@@ -167,10 +167,7 @@ def a11(d):
         FROM http_log GROUP BY 1, 2""",
 )
 def a12(d):
-    texts = {
-        "agent_": pf.TextSet(payload_words(F.col("http_agent"))),
-        "query_": pf.TextSet(payload_words(F.col("http_query"))),
-    }
+    texts = pf.cleaned_sets(TEXTS, payload_words, distinct=True)
     return pf.joined_texts(pf.profile(d.http_log, ["logtime", "src_ip"], {}, texts), list(texts))
 
 
@@ -193,8 +190,8 @@ def a13(d):
 )
 def a14(d):
     texts = {
-        "path": pf.TextSet(path_keywords(F.col("http_path"))),
-        "query": pf.TextSet(query_keywords(F.col("http_query"))),
+        **pf.cleaned_sets({"path": "http_path"}, path_keywords, distinct=True),
+        **pf.cleaned_sets({"query": "http_query"}, query_keywords, distinct=True),
     }
     return pf.joined_texts(pf.profile(d.http_log, ["logtime", "src_ip"], {}, texts), list(texts))
 

@@ -76,7 +76,7 @@ def j03(d):
           SELECT src_ip FROM alert_waf WHERE {ATTEMPT} GROUP BY 1 HAVING count(*) >= 120)""",
 )
 def j03_alerted(d):
-    return alerted(d.alert_block, d.alert_waf, 1, 120)
+    return alerted(d.alert_block, d.alert_waf, {1: 120}).select("src_ip")
 
 
 @query(

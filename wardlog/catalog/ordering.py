@@ -99,7 +99,11 @@ def l04(d):
     return rows.select("vec_id", F.col("p.feature").alias("place"), F.col("p.score").alias("score"))
 
 
-@query("l05_alerts_first")
+@query(
+    "l05_alerts_first",
+    """SELECT event_id, CASE WHEN hash = 'normal' THEN 'NORMAL' ELSE hash END AS att_name
+       FROM http_log""",
+)
 def l05(d):
     name = F.when(F.col("hash") == "normal", "NORMAL").otherwise(F.col("hash"))
     return alerts_first(d.http_log.select("event_id", name.alias("att_name")))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from wardlog.functions import text
 from wardlog.functions.times import start_of
 from wardlog.operators import predicates as P
-from wardlog.operators.joins import drop_listed, in_either, keep_listed
+from wardlog.operators.joins import drop_listed, keep_listed
 from wardlog.operators.profiles import (
     TextSet,
     cleaned_sets,
@@ -23,6 +22,7 @@ from wardlog.operators.profiles import (
     traffic_moments,
     value_spread,
 )
+from wardlog.session import stored
 
 HOUR_KEYS = ["lgtime", "src_ip", "dst_ip"]
 KEYWORDS = {
@@ -36,6 +36,13 @@ DAY_WINDOWS = {1: (0, 31), 2: (-31, 31), 3: (0, 3), 4: (-31, 31), 5: (0, 2), 6:
 ALERT_OFFSETS = {1: 150, 2: 50, 4: 500, 5: 5, 6: 40}
 SPOOF_OFFSET = 10
 HIJACK_HITS = 200
+# What the profiles read; nothing else of the picked rows is stored.
+PICKED = ["lgtime", "end_time", "src_ip", "dst_ip", "http_method"]
+ATTACK_COLUMNS = [*PICKED, "dst_port", "http_path", "http_query", "http_agent"]
+TRAFFIC_COLUMNS = [
+    *PICKED, "http_retcode", "bytes_forward", "bytes_backward", "packets_forward",
+    "packets_backward",
+]
 
 
 def by_hour(log: DataFrame) -> DataFrame:
@@ -53,7 +60,9 @@ def attack_profile(rows: DataFrame, keys: Sequence[str] = HOUR_KEYS, **size) ->
         **port_digits(),
         **{f"{n}_uni": F.avg(F.octet_length(n)) for n in KEYWORDS},
     }
-    texts = {f"{n}_keywords": TextSet(F.col(n)) for n in KEYWORDS}
+    texts = {
+        f"{n}_keywords": TextSet(F.col(n), True, F.col(c)) for n, (c, _) in KEYWORDS.items()
+    }
     spread = value_spread(
         rows, keys, {"port": F.col("dst_port"), **{n: F.col(n) for n in KEYWORDS}}
     )
@@ -134,35 +143,51 @@ def signature_detector(
     least: int = 10,
     **size,
 ) -> DataFrame:
-    """Hourly attack profiles of the rows each detector picks."""
+    """Hourly attack profiles of the rows each detector picks.
+
+    The picked rows are stored, as the profile reads them more than once and
+    the log should be scanned only once.
+    """
     rows = signature_rows(log, assets, day, codes, exclusions)
+    rows = stored(rows.select("code", *ATTACK_COLUMNS), "signatures")
     out = attack_profile(rows, ["code", *HOUR_KEYS], **size)
     return out.where((F.col("code") != 3) | (F.col("requests") >= least + SPOOF_OFFSET))
 
 
-def _loud(alerts: DataFrame, named: Column, least: int) -> DataFrame:
-    return (
-        alerts.where(named)
-        .groupBy("src_ip")
-        .agg(F.count("src_ip").alias("n"))
-        .where(F.col("n") >= least)
-        .select("src_ip")
-    )
-
-
-def alerted(block: DataFrame, waf: DataFrame, code: int, least: int) -> DataFrame:
-    """Addresses with enough block or firewall alerts of a detector's kind."""
+def alert_kinds() -> dict[int, tuple[Column, Column | None]]:
+    """Detector code -> which block and which firewall alerts count for it."""
     name = F.col("attack_name")
-    kinds = {
+    return {
         1: (P.attempt_or_vulnerability(), P.attempt_or_vulnerability()),
         2: (name.like("%SQL%"), name.like("%Inject%")),
         4: (name.like("%Scan%"), name.like("%Scan%")),
         5: (name.like("%HTTP%Brute Force%"), None),
         6: (name.like("%XSS%"), name.like("%XSS%")),
     }
-    blocked, walled = kinds[code]
-    loud = _loud(block, blocked, least)
-    return loud if walled is None else in_either(loud, _loud(waf, walled, least), "src_ip")
+
+
+def _loud(alerts: DataFrame, kinds: Mapping[int, Column], least: Mapping[int, int]) -> DataFrame:
+    """Per address the codes with enough alerts, all counted in one pass."""
+    counts = alerts.groupBy("src_ip").agg(
+        *[F.count_if(named).alias(f"n{code}") for code, named in kinds.items()]
+    )
+    met = [F.when(F.col(f"n{code}") >= least[code], F.lit(code)) for code in kinds]
+    codes = counts.select("src_ip", F.array_compact(F.array(*met)).alias("codes"))
+    return codes.where(F.size("codes") > 0)
+
+
+def alerted(block: DataFrame, waf: DataFrame, least: Mapping[int, int]) -> DataFrame:
+    """Addresses with enough block or firewall alerts, and the codes they have them for."""
+    kinds = {code: pair for code, pair in alert_kinds().items() if code in least}
+    blocked = _loud(block, {c: b for c, (b, _) in kinds.items()}, least)
+    walls = {c: w for c, (_, w) in kinds.items() if w is not None}
+    if not walls:
+        return blocked
+    walled = _loud(waf, walls, least).withColumnRenamed("codes", "wall_codes")
+    none = F.array().cast("array<int>")
+    codes = F.concat(F.coalesce("codes", none), F.coalesce("wall_codes", none))
+    both = blocked.join(walled, "src_ip", "full_outer")
+    return both.select("src_ip", F.sort_array(F.array_distinct(codes)).alias("codes"))
 
 
 def alert_rows(
@@ -182,26 +207,16 @@ def alert_rows(
     """
     rows = log.where(P.in_days("logtime", day, 0, 31))
     rows = by_hour(drop_listed(rows, assets, "src_ip", "ip"))
-    by_alert = [c for c in codes if c != 3]
-    out = None
+    by_alert = {c: least + offsets[c] for c in codes if c != 3}
     if by_alert:
-        named = reduce(
-            lambda a, b: a.unionByName(b),
-            [
-                alerted(block, waf, c, least + offsets[c]).withColumn("code", F.lit(c))
-                for c in by_alert
-            ],
-        )
-        named = named.groupBy("src_ip").agg(F.sort_array(F.collect_set("code")).alias("codes"))
-        rows = rows.join(named, "src_ip", "left")
+        rows = rows.join(alerted(block, waf, by_alert), "src_ip", "left")
     else:
         rows = rows.withColumn("codes", F.lit(None).cast("array<int>"))
     codes_here = F.coalesce("codes", F.array().cast("array<int>"))
     if 3 in codes:
         own = F.when(P.spoofed(), F.array(F.lit(3))).otherwise(F.array().cast("array<int>"))
         codes_here = F.concat(codes_here, own)
-    out = rows.withColumn("code", F.explode(codes_here)).drop("codes")
-    return out
+    return rows.withColumn("code", F.explode(codes_here)).drop("codes")
 
 
 def alert_detector(
@@ -209,6 +224,7 @@ def alert_detector(
     offsets=ALERT_OFFSETS, texts=("http_host", "http_path", "http_query"), **size,
 ) -> DataFrame:
     rows = alert_rows(log, block, waf, assets, day, codes, least, offsets)
+    rows = stored(rows.select("code", *TRAFFIC_COLUMNS, *texts), "alerts")
     out = traffic_profile(rows, ["code", *HOUR_KEYS], texts=texts, **size)
     return out.where((F.col("code") != 3) | (F.col("cnt") >= least + SPOOF_OFFSET))
 
@@ -234,7 +250,8 @@ def hijack_candidates(
         F.count(F.lit(1)).alias("_hits"),
         (F.min("http_path") == F.max("http_path")).alias("_one_path"),
     ).where((F.col("_hits") > hits) & F.col("_one_path")).select(*keys)
-    return traffic_profile(rows.join(found, keys, "left_semi"), keys, texts=texts, **size)
+    rows = rows.join(found, keys, "left_semi").select(*TRAFFIC_COLUMNS, *texts)
+    return traffic_profile(stored(rows, "hijack"), keys, texts=texts, **size)
 
 
 def hijack_detector(log: DataFrame, assets: DataFrame, start: str | None = None, **options):

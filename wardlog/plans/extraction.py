@@ -19,9 +19,11 @@ from wardlog.operators.profiles import (
     profile,
     status_ratios,
 )
+from wardlog.session import stored
 from wardlog.sources.tables import labelled
 
 KEYS = ["logtime", "src_ip", "dst_ip"]
+PROFILE_COLUMNS = ["end_time", "dst_port", "http_retcode", "http_agent", "http_query"]
 TEXTS = {"agent_": "http_agent", "query_": "http_query"}
 
 
@@ -73,6 +75,7 @@ def attack_rows(
     if limit is not None:
         wanted = cap_per_class(rows.select(*keys).distinct(), "label", KEYS, limit)
         rows = rows.join(wanted, keys, "left_semi")
+    rows = stored(rows.select(*keys, *PROFILE_COLUMNS), "attacks")
     return http_profile(rows, keys, **size)
 
 

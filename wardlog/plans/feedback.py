@@ -10,9 +10,9 @@ from wardlog.functions.vectors import dot, unit_length
 from wardlog.operators.joins import any_match, members_of_windows
 from wardlog.operators.predicates import reviewed
 from wardlog.operators.profiles import profile
-from wardlog.plans.detectors import traffic_profile
+from wardlog.plans.detectors import TRAFFIC_COLUMNS, traffic_profile
 from wardlog.plans.dns import CLOCK, clock_ratios, dns_measures, dns_texts, with_intel
-from wardlog.session import checkpointed
+from wardlog.session import checkpointed, stored
 
 WINDOW = ["src_ip", "window_start", "window_end"]
 # Feedback vectors compared in one pass over the samples.
@@ -32,6 +32,9 @@ def http_feedback(log, feedback, model_id: int, bytes_too: bool = True, texts=Tr
     verdicts = feedback.where(reviewed(model_id))
     rows = members_of_windows(log, verdicts).withColumn("lgtime", start_of("hour", F.col("logtime")))
     names = ("http_host", "http_path", "http_query") if texts else ()
+    rows = rows.select(*WINDOW[1:], *TRAFFIC_COLUMNS, *names)
+    if texts:
+        rows = stored(rows, "feedback")
     out = traffic_profile(rows, [*WINDOW, "lgtime"], bytes_too, texts=names, **size)
     columns = ["lgtime", "src_ip", *[c for c in out.columns if c not in (*WINDOW, "lgtime")]]
     return _label(out, verdicts, columns)
@@ -47,6 +50,9 @@ def dns_feedback(log, feedback, domains, ranges, model_id: int, texts=True, **si
     rows = with_intel(members_of_windows(log, verdicts), domains, ranges)
     rows = rows.withColumn("lgtime", start_of("hour", F.col("logtime")))
     keys = [*WINDOW, "lgtime"]
+    if texts:
+        flags = ("global_osint", "global_range")
+        rows = stored(rows.select(*keys, "end_time", *flags, "dns_query", "dns_answer"), "feedback")
     out = profile(rows, keys, dns_measures(), dns_texts() if texts else None, **size)
     out = out.where(
         (F.col("lgtime") == F.col("window_start")) & (F.col("end_time") == F.col("window_end"))

@@ -25,9 +25,21 @@ def build_session(app: str = "wardlog", master: str | None = None, **conf) -> Sp
     return configure(builder.getOrCreate())
 
 
+PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the session zone; all log times are wall-clock UTC."""
+    """Pin the session zone and let shuffles start as wide as the cluster is.
+
+    All log times are wall-clock UTC. Shuffles begin with three partitions per
+    core unless the session says otherwise, and are merged at run time where
+    the data is small.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(PARTITIONS, None) is None:
+        configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set(PARTITIONS, str(max(configured, 3 * cores)))
     return spark
 
 
@@ -51,6 +63,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    For rows that are dear to find and read more than once.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path nothing has written to yet, under the shared folder."""
     return f"{shared_dir(spark)}/wardlog/{name}-{uuid.uuid4().hex}"
