@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from wardlog.catalog.registry import query
@@ -20,7 +20,8 @@ from wardlog.ml.rarity import (
     value_rarity,
 )
 from wardlog.ml.scaling import box_threshold, mad_threshold, min_max
-from wardlog.ml.textvec import fit_features, term_weights, vocabulary
+from wardlog.ml.textvec import array_text, fit_features, term_weights, vocabulary
+from wardlog.operators.profiles import TextSet, profile
 from wardlog.plans.feedback import unlike_feedback
 
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -93,24 +94,61 @@ def m04(d):
     return out.withColumn("weight", F.round("weight", 9))
 
 
-@query("m05_text_vectors")
+def weights_sql(rows: str, keys: str, column: str, cap: int) -> str:
+    """Rows (keys, feature, weight) of one text column, weighted as the vectors are."""
+    return f"""(WITH r AS (SELECT {keys}, {column} AS t FROM {rows}),
+        d AS (SELECT DISTINCT t FROM r),
+        v AS (SELECT term, count(DISTINCT t) AS docs, count(*) AS cnt FROM (
+              SELECT t, unnest({tokens_sql('t')}) AS term FROM d)
+              GROUP BY 1 ORDER BY cnt DESC, term LIMIT {cap}),
+        tf AS (SELECT {keys}, term, count(*) AS tf FROM (
+               SELECT {keys}, unnest({tokens_sql('t')}) AS term FROM r) GROUP BY ALL),
+        w AS (SELECT {keys}, tf.term, tf.tf * (ln((1 + (SELECT count(*) FROM d)) / (1 + v.docs)) + 1) AS w
+              FROM tf JOIN v ON v.term = tf.term)
+        SELECT {keys}, concat('{column}_', term) AS feature,
+               round(w / sqrt(sum(w * w) OVER (PARTITION BY {keys})), 9) AS weight FROM w)"""
+
+
+def named_weights(df, model, keys):
+    """The vectors' entries other than 0, as rows with the feature's name."""
+    names = F.split(F.lit("\n".join(model.names)), "\n")
+    pairs = F.arrays_zip(names.alias("feature"), vector_to_array("features").alias("weight"))
+    rows = df.select(*keys, F.explode(pairs).alias("p"))
+    rows = rows.select(*keys, "p.feature", F.round("p.weight", 9).alias("weight"))
+    return rows.where(F.col("weight") != 0)
+
+
+@query(
+    "m05_text_vectors",
+    f"""SELECT event_id, 'dst_port' AS feature, CAST(dst_port AS DOUBLE) AS weight FROM http_log
+        UNION ALL SELECT * FROM {weights_sql('http_log', 'event_id', 'http_agent', 64)}
+        UNION ALL SELECT * FROM {weights_sql('http_log', 'event_id', 'http_query', 64)}""",
+)
 def m05(d):
     rows = d.http_log.select("event_id", "dst_port", "http_agent", "http_query")
     model = fit_features(rows, ["dst_port"], ["http_agent", "http_query"], 64)
-    out = model.transform(rows)
-    return out.select("event_id", "features")
+    return named_weights(model.transform(rows), model, ["event_id"])
 
 
-@query("m06_array_slots")
+SLOT_ROWS = """(SELECT logtime, src_ip, count(*) AS cnt,
+    lower(array_to_string(list_sort(list(DISTINCT http_query)), ' ')) AS queries,
+    lower(array_to_string(list_sort(list(DISTINCT http_host)), ' ')) AS hosts
+    FROM http_log GROUP BY 1, 2)"""
+
+
+@query(
+    "m06_array_slots",
+    f"""SELECT logtime, src_ip, 'cnt' AS feature, CAST(cnt AS DOUBLE) AS weight FROM {SLOT_ROWS}
+        UNION ALL SELECT * FROM {weights_sql(SLOT_ROWS, 'logtime, src_ip', 'queries', 32)}
+        UNION ALL SELECT * FROM {weights_sql(SLOT_ROWS, 'logtime, src_ip', 'hosts', 32)}""",
+)
 def m06(d):
-    rows = d.http_log.groupBy("logtime", "src_ip").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.array_join(F.sort_array(F.collect_set("http_query")), " ").alias("queries"),
-        F.array_join(F.sort_array(F.collect_set("http_host")), " ").alias("hosts"),
-    )
-    return fit_features(rows, ["cnt"], ["queries", "hosts"], 32).transform(rows).select(
-        "logtime", "src_ip", "features"
-    )
+    sets = {"queries": TextSet(F.col("http_query")), "hosts": TextSet(F.col("http_host"))}
+    keys = ["logtime", "src_ip"]
+    rows = profile(d.http_log, keys, {"cnt": F.count(F.lit(1))}, sets)
+    rows = rows.withColumns({c: array_text(c) for c in sets})
+    model = fit_features(rows, ["cnt"], list(sets), 32)
+    return named_weights(model.transform(rows), model, keys)
 
 
 @query(

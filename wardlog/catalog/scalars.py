@@ -188,8 +188,8 @@ _on("f23_label_names", "scores", "event_id",
     {"name": """CASE route WHEN 'injection' THEN 'SQL_INJECTION' WHEN 'xss' THEN 'XSS'
         WHEN 'file_download' THEN 'FILE_DOWNLOAD' WHEN 'credential' THEN 'CREDENTIAL'
         ELSE 'NORMAL' END""",
-     "code": """CASE route WHEN 'injection' THEN 33402 WHEN 'xss' THEN 33403
-        WHEN 'file_download' THEN 33404 WHEN 'credential' THEN 33401 ELSE 33400 END"""},
+     "code": """CAST(CASE route WHEN 'injection' THEN 33402 WHEN 'xss' THEN 33403
+        WHEN 'file_download' THEN 33404 WHEN 'credential' THEN 33401 ELSE 33400 END AS BIGINT)"""},
     lambda: {"name": vectors.display_name(F.col("route")),
              "code": vectors.result_code(vectors.display_name(F.col("route")), 334)})
 _on("f24_row_rmse", "embeddings", "vec_id",
