@@ -118,10 +118,15 @@ def l06(d):
     return with_split(d.events.select("event_id"), ["event_id"])
 
 
-@query("l07_class_sample")
+@query(
+    "l07_class_sample",
+    """SELECT event_id, hash FROM http_log
+       WHERE CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000
+             < CASE hash WHEN 'normal' THEN 1000 ELSE 10000 END""",
+)
 def l07(d):
     shares = {"normal": 0.1, "XSS": 1.0, "BEACONING": 1.0, "SQL_INJECTION": 1.0, "CREDENTIAL": 1.0}
-    return sample_per_class(d.http_log.select("event_id", "hash"), "hash", shares, 7)
+    return sample_per_class(d.http_log.select("event_id", "hash"), "hash", ["event_id"], shares)
 
 
 @query(

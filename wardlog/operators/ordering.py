@@ -111,16 +111,21 @@ def cap_per_class(df: DataFrame, label: str, keys: Sequence[str], n: int | None)
     )
 
 
-def sample_per_class(df: DataFrame, label: str, shares: dict[str, float], seed: int) -> DataFrame:
-    return df.sampleBy(label, fractions=shares, seed=seed)
-
-
 def hash_slot(keys: Sequence[str], slots: int = 100) -> Column:
     """A number in 0..slots-1 that depends only on the keys."""
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(slots))
 
 
+def sample_per_class(
+    df: DataFrame, label: str, keys: Sequence[str], shares: dict[str, float]
+) -> DataFrame:
+    """About the wanted share of each class, chosen by key hash; other classes are left out."""
+    pairs = [F.lit(v) for name, share in shares.items() for v in (name, round(share * 10_000))]
+    wanted = F.element_at(F.create_map(*pairs), F.col(label))
+    return df.where(hash_slot(keys, 10_000) < wanted)
+
+
 def with_split(df: DataFrame, keys: Sequence[str], train_percent: int = 70) -> DataFrame:
     """Adds ``split``: train or test, the same on every run."""
     chosen = hash_slot(keys) < train_percent

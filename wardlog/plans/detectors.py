@@ -11,6 +11,7 @@ from wardlog.functions import text
 from wardlog.functions.times import start_of
 from wardlog.operators import predicates as P
 from wardlog.operators.joins import drop_listed, keep_listed
+from wardlog.operators.ordering import union_all
 from wardlog.operators.profiles import (
     TextSet,
     cleaned_sets,
@@ -190,7 +191,7 @@ def alerted(block: DataFrame, waf: DataFrame, least: Mapping[int, int]) -> DataF
     return both.select("src_ip", F.sort_array(F.array_distinct(codes)).alias("codes"))
 
 
-def alert_rows(
+def alert_detector(
     log: DataFrame,
     block: DataFrame,
     waf: DataFrame,
@@ -198,35 +199,31 @@ def alert_rows(
     day: str,
     codes: Sequence[int] = (1, 2, 3, 4, 5, 6),
     least: int = 10,
-    offsets: dict[int, int] = ALERT_OFFSETS,
+    offsets: Mapping[int, int] = ALERT_OFFSETS,
+    texts: Sequence[str] = ("http_host", "http_path", "http_query"),
+    **size,
 ) -> DataFrame:
-    """Log rows of alerted addresses, one per detector code that names the address.
+    """Hourly traffic profiles of alerted addresses, one row per code that names the address.
 
-    The addresses of all codes are one lookup table, so the log is scanned and
-    joined once; spoofing needs no alert and is decided on the row itself.
+    An address's traffic is profiled once and only then repeated for its codes.
+    Spoofing needs no alert: its rows are picked and profiled on their own.
     """
     rows = log.where(P.in_days("logtime", day, 0, 31))
     rows = by_hour(drop_listed(rows, assets, "src_ip", "ip"))
+    wanted = [*TRAFFIC_COLUMNS, *texts]
+    found = []
     by_alert = {c: least + offsets[c] for c in codes if c != 3}
     if by_alert:
-        rows = rows.join(alerted(block, waf, by_alert), "src_ip", "left")
-    else:
-        rows = rows.withColumn("codes", F.lit(None).cast("array<int>"))
-    codes_here = F.coalesce("codes", F.array().cast("array<int>"))
+        named = stored(alerted(block, waf, by_alert), "alerted")
+        loud = stored(keep_listed(rows, named, "src_ip").select(*wanted), "alerts")
+        profiles = traffic_profile(loud, texts=texts, **size).join(named, "src_ip")
+        found.append(profiles.withColumn("code", F.explode("codes")).drop("codes"))
     if 3 in codes:
-        own = F.when(P.spoofed(), F.array(F.lit(3))).otherwise(F.array().cast("array<int>"))
-        codes_here = F.concat(codes_here, own)
-    return rows.withColumn("code", F.explode(codes_here)).drop("codes")
-
-
-def alert_detector(
-    log, block, waf, assets, day, codes=(1, 2, 3, 4, 5, 6), least: int = 10,
-    offsets=ALERT_OFFSETS, texts=("http_host", "http_path", "http_query"), **size,
-) -> DataFrame:
-    rows = alert_rows(log, block, waf, assets, day, codes, least, offsets)
-    rows = stored(rows.select("code", *TRAFFIC_COLUMNS, *texts), "alerts")
-    out = traffic_profile(rows, ["code", *HOUR_KEYS], texts=texts, **size)
-    return out.where((F.col("code") != 3) | (F.col("cnt") >= least + SPOOF_OFFSET))
+        spoofed = stored(rows.where(P.spoofed()).select(*wanted), "spoofed")
+        profiles = traffic_profile(spoofed, texts=texts, **size)
+        often = profiles.where(F.col("cnt") >= least + SPOOF_OFFSET)
+        found.append(often.withColumn("code", F.lit(3)))
+    return union_all(found)
 
 
 def hijack_candidates(
