@@ -340,6 +340,23 @@ def a28(d):
     return login_profile(d.login_log).withColumn("diff_avg", F.round("diff_avg", 6))
 
 
+DAY_LOGINS = """(SELECT * FROM login_log WHERE logdate = DATE '2024-01-15'
+    AND client_ip IN (SELECT ip FROM ip_ast))"""
+
+
+@query(
+    "a28_login_profile_of_day",
+    f"""SELECT g.client_ip, r.* EXCLUDE (client_ip), round(g.diff_avg, 6) AS diff_avg, g.diff_std
+        FROM ({GAPS_SQL.replace('FROM login_log', f'FROM {DAY_LOGINS}')}) g
+        LEFT JOIN (SELECT client_ip, {RATIO_SQL} FROM {DAY_LOGINS} GROUP BY 1) r
+        ON r.client_ip = g.client_ip""",
+)
+def a28_day(d):
+    wanted = d.ip_ast.withColumnRenamed("ip", "client_ip")
+    out = login_profile(d.login_log, "2024-01-15", wanted)
+    return out.withColumn("diff_avg", F.round("diff_avg", 6))
+
+
 @query(
     "a29_dns_profile",
     f"""SELECT date_trunc('hour', logtime) AS hour, src_ip, CAST(0 AS BIGINT) AS part,

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from wardlog.catalog.registry import query
-from wardlog.constants import SQL_KEYWORDS, STOP_WORDS
+from wardlog.constants import SQL_KEYWORDS, STOP_WORDS, VOCABULARY_CAPS
 from wardlog.functions.text import n_grams, words
 from wardlog.functions.vectors import pad
 from wardlog.ml.corpus import keyword_subsets, payload_texts
@@ -21,6 +21,7 @@ from wardlog.ml.rarity import (
 )
 from wardlog.ml.scaling import box_threshold, mad_threshold, min_max
 from wardlog.ml.textvec import array_text, fit_features, term_weights, vocabulary
+from wardlog.operators.ordering import union_all
 from wardlog.operators.profiles import TextSet, profile
 from wardlog.plans.feedback import unlike_feedback
 
@@ -78,6 +79,27 @@ def m03(d):
     return vocabulary(d.documents, "text", 250)
 
 
+def capped_vocabulary_sql(column: str, cap: int) -> str:
+    return f"""SELECT '{column}' AS "column", term, count(*) AS cnt, count(DISTINCT t) AS docs FROM (
+        SELECT t, unnest({tokens_sql('t')}) AS term FROM (SELECT DISTINCT {column} AS t FROM http_log))
+        GROUP BY term ORDER BY cnt DESC, term LIMIT {cap}"""
+
+
+@query(
+    "m03_capped_vocabularies",
+    " UNION ALL ".join(f"(SELECT * FROM ({capped_vocabulary_sql(c, n)}))"
+                       for c, n in VOCABULARY_CAPS.items()),
+)
+def m03_capped(d):
+    log = d.http_log
+    return union_all(
+        [
+            vocabulary(log, c, n).select(F.lit(c).alias("column"), "term", "cnt", "docs")
+            for c, n in VOCABULARY_CAPS.items()
+        ]
+    )
+
+
 @query(
     "m04_term_weights",
     f"""WITH v AS {VOCAB}, n AS (SELECT count(DISTINCT text) AS n FROM documents),

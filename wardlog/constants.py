@@ -97,16 +97,6 @@ RESULT_CODES = {
     "ANOMALY": 5,
 }
 
-# Detector code -> name.
-DETECTORS = {
-    1: "beaconing",
-    2: "injection",
-    3: "spoofing",
-    4: "scanning",
-    5: "credential",
-    6: "xss",
-}
-
 # Result table columns, in order.
 RESULT_COLUMNS = [
     "model_id", "logtime", "end", "rule", "src_ip", "dst_ip", "src_ip_country_code",

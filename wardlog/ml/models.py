@@ -58,10 +58,6 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def specialist_score(values: Column, model: Linear) -> Column:
-    return sigmoid(dot(values, constant_array(model.weights)) + model.intercept)
-
-
 def routed_scores(specialists: dict[str, Linear], values: str = "values", by: str = "route"):
     """The score of the one specialist the row is routed to: a single product per row."""
     weights = F.lit(None).cast("array<double>")

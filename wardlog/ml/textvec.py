@@ -214,6 +214,7 @@ def fit_features(
     low: int = 1,
     high: int = 1,
 ) -> FeatureModel:
+    # A number for all columns, or one per column as in constants.VOCABULARY_CAPS.
     size = max_features if isinstance(max_features, dict) else {c: max_features for c in texts}
     fitted = [fit_text(df, c, size[c], low, high) for c in texts]
     return FeatureModel(list(numbers), [t for t in fitted if t is not None])

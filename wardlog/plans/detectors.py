@@ -18,7 +18,6 @@ from wardlog.operators.profiles import (
     method_ratios,
     port_digits,
     profile,
-    share,
     status_ratios,
     traffic_moments,
     value_spread,

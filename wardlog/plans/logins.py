@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlog.constants import LOGIN_CODES
 from wardlog.operators.joins import any_match, flag_listed, keep_listed
 from wardlog.operators.ordering import gap_statistics
-from wardlog.operators.predicates import in_days
+from wardlog.operators.predicates import in_days, on_day
 from wardlog.operators.profiles import (
     login_outcomes,
     service_counts,
@@ -20,7 +20,7 @@ OUTCOMES = [f"{c}_{r}" for c in LOGIN_CODES for r in (0, 1)]
 
 
 def day_rows(log: DataFrame, day: str, addresses: DataFrame | None = None) -> DataFrame:
-    rows = log.where(F.col("logdate") == F.lit(day).cast("date"))
+    rows = log.where(on_day("logdate", day))
     return rows if addresses is None else keep_listed(rows, addresses, "client_ip")
 
 
@@ -30,8 +30,12 @@ def service_shares(log: DataFrame) -> DataFrame:
     ))
 
 
-def login_profile(log: DataFrame) -> DataFrame:
-    """Service shares and the rhythm of log-ins per client."""
+def login_profile(
+    log: DataFrame, day: str | None = None, addresses: DataFrame | None = None
+) -> DataFrame:
+    """Service shares and the rhythm of log-ins per client, of one day and some clients if given."""
+    if day is not None:
+        log = day_rows(log, day, addresses)
     rhythm = gap_statistics(log, "client_ip", "logtime")
     shares = service_shares(log).select("client_ip", *RATIOS)
     out = any_match(rhythm, shares, "client_ip", {n: 0.0 for n in RATIOS})

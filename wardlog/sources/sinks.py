@@ -60,6 +60,9 @@ def row_id(columns: Sequence[str], times: Sequence[str] = ("logtime",)) -> Colum
 def with_derived(df: DataFrame, table: str) -> DataFrame:
     """Adds logtime, logdate and, where the table has one, the row id."""
     filed, id_columns = FILED_BY[table]
+    needed = {filed, *id_columns} - {"logtime"}
+    if needed - set(df.columns):
+        raise ValueError(f"{table} needs columns {sorted(needed - set(df.columns))}")
     df = df.withColumn("logtime", F.col(filed)).withColumn("logdate", day_number(F.col("logtime")))
     return df.withColumn("hash", row_id(id_columns)) if id_columns else df
 
