@@ -43,6 +43,17 @@ def test_large_groups_come_in_parts_and_whole(rows, monkeypatch, distinct):
         assert max(len(r.ts) for r in parts["hot"]) < 700
 
 
+def test_parts_without_measures_and_with_missing_texts(rows):
+    df = rows([("a", f"t{i}") for i in range(50)] + [("b", None)], "k string, t string")
+    texts = {"ts": TextSet(F.col("t"))}
+    out = profile(df, ["k"], {}, texts, part_bytes=20)
+    assert out.columns == ["k", "part", "ts"]
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.k, []).extend(r.ts)
+    assert sorted(got["a"]) == sorted(f"t{i}" for i in range(50)) and got["b"] == []
+
+
 def test_parts_and_whole_agree_where_all_is_small(rows):
     _, df = hot_rows(rows)
     texts = {"ts": TextSet(F.col("t"), False)}

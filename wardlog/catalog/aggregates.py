@@ -272,11 +272,11 @@ def a22(d):
        HAVING count(*) >= 10 AND count(DISTINCT http_method) > 1 AND max(dst_port) > 100""",
 )
 def a23(d):
-    kinds = F.size(F.collect_set("http_method"))
+    mixed = F.min("http_method") < F.max("http_method")
     out = d.http_log.groupBy("src_ip", "http_path").agg(
-        F.count(F.lit(1)).alias("n"), kinds.alias("kinds"), F.max("dst_port").alias("port")
+        F.count(F.lit(1)).alias("n"), mixed.alias("mixed"), F.max("dst_port").alias("port")
     )
-    return out.where("n >= 10 AND kinds > 1 AND port > 100").select("src_ip", "http_path", "n")
+    return out.where("n >= 10 AND mixed AND port > 100").select("src_ip", "http_path", "n")
 
 
 RARE_SQL = """SELECT {keys} avg(r.rareness) AS rareness FROM

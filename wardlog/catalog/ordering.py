@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlog.catalog.registry import query
+from wardlog.catalog.registry import listed, query
 from wardlog.functions.vectors import by_score
 from wardlog.ml.tree import parents
 from wardlog.operators.ordering import (
@@ -87,7 +87,10 @@ def l03(d):
 
 @query(
     "l04_by_score",
-    """SELECT vec_id, list_transform(s, lambda x: x[2]) AS place, list_transform(s, lambda x: x[1]) AS score
+    """SELECT vec_id,
+              array_to_string(list_transform(s, lambda x: CAST(x[2] AS BIGINT)), ',') AS place,
+              array_to_string(list_transform(s, lambda x: CAST(round(x[1] * 1000000) AS BIGINT)), ',')
+              AS score
        FROM (SELECT vec_id, list_reverse_sort(list_transform(embedding,
              lambda v, i: [CAST(v AS DOUBLE), CAST(i AS DOUBLE)])) AS s FROM embeddings)""",
 )
@@ -96,7 +99,7 @@ def l04(d):
     places = F.sequence(F.lit(1), size).cast("array<double>")
     pairs = by_score(places, F.col("embedding").cast("array<double>"))
     rows = d.embeddings.withColumn("p", pairs)
-    return rows.select("vec_id", F.col("p.feature").alias("place"), F.col("p.score").alias("score"))
+    return listed(rows, "vec_id", F.col("p.feature"), F.col("p.score"))
 
 
 @query(

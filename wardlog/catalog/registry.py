@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from wardlog.constants import METHODS, STATUS_MARKS
 from wardlog.session import configure
 from wardlog.sources.views import Data, with_views
@@ -26,6 +28,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def listed(df, key: str, places, scores):
+    """Number arrays as texts of whole numbers, scores in millionths."""
+    whole = F.transform(scores, lambda s: F.round(s * 1_000_000).cast("bigint"))
+    return df.select(
+        key,
+        F.array_join(places.cast("array<bigint>"), ",").alias("place"),
+        F.array_join(whole, ",").alias("score"),
+    )
+
+
 def ratio(condition: str) -> str:
     return f"avg(CASE WHEN {condition} THEN 1 ELSE 0 END)"
 

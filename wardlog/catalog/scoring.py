@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlog.catalog.registry import query
+from wardlog.catalog.registry import listed, query
 from wardlog.functions.vectors import display_name
 from wardlog.ml.metrics import one_vs_rest
 from wardlog.ml.models import spread_scores
@@ -148,7 +148,10 @@ SHARE = "list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * (i % 5 - 2))
 
 @query(
     "m25_explained",
-    f"""SELECT vec_id, list_transform(s, lambda x: x[2]) AS place, list_transform(s, lambda x: round(x[1], 6)) AS score
+    f"""SELECT vec_id,
+               array_to_string(list_transform(s, lambda x: CAST(x[2] AS BIGINT)), ',') AS place,
+               array_to_string(list_transform(s, lambda x: CAST(round(x[1] * 1000000) AS BIGINT)), ',')
+               AS score
         FROM (SELECT vec_id, list_reverse_sort(list_transform(a, lambda v, i: [v - m, CAST(i AS DOUBLE)])) AS s
               FROM (SELECT vec_id, a, list_median(a) AS m
                     FROM (SELECT vec_id, {SHARE} AS a FROM embeddings)))""",
@@ -158,5 +161,4 @@ def m25(d):
     places = F.sequence(F.lit(1), F.size("v"))
     weights = F.transform(places, lambda i: (i % 5 - 2).cast("double"))
     out = explained(rows, "v", weights, places.cast("array<double>"))
-    score = F.transform("score", lambda s: F.round(s, 6) + 0.0)
-    return out.select("vec_id", F.col("feature").alias("place"), score.alias("score"))
+    return listed(out, "vec_id", F.col("feature"), F.col("score"))

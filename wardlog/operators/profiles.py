@@ -171,6 +171,7 @@ def gather_parts(
     copies = F.when(F.col("c").isin(*once), F.lit(1)) if once else F.lit(None)
     counted = (
         rows.select(*keys, F.explode(pairs).alias("p"))
+        .where(F.col("p.v").isNotNull())
         .groupBy(*keys, F.col("p.c").alias("c"), F.col("p.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("n", F.coalesce(copies, F.col("n")))
@@ -222,7 +223,15 @@ def profile(
         ]
         return rows.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("part"), *numbers, *sets)
     gathered = gather_parts(rows, keys, texts, parts)
-    return rows.groupBy(*keys).agg(*numbers).join(gathered, list(keys))
+    written = F.coalesce(*[t.column for t in texts.values()]).isNotNull()
+    groups = rows.groupBy(*keys).agg(*numbers, F.max(written).alias("_written"))
+    # An inner join, as its skewed side can be split whichever it is.
+    texted = groups.where("_written").join(gathered, list(keys))
+    empty = F.array().cast("array<string>")
+    silent = groups.where("NOT _written").withColumns(
+        {"part": F.lit(0).cast("bigint"), **{n: empty for n in texts}}
+    )
+    return texted.unionByName(silent).select(*keys, "part", *measures, *texts)
 
 
 def joined_texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
