@@ -97,10 +97,10 @@ def a02(d):
 )
 def a03(d):
     out = traffic_profile(by_hour(d.http_log), texts=())
-    return _round_moments(out).withColumnRenamed("lgtime", "hour")
+    return round_moments(out).withColumnRenamed("lgtime", "hour")
 
 
-def _round_moments(df, digits=4):
+def round_moments(df, digits=4):
     names = [c for c in df.columns if c.startswith(("req_", "resp_"))]
     return df.withColumns({c: F.round(c, digits) for c in names})
 
@@ -113,7 +113,7 @@ def _round_moments(df, digits=4):
 )
 def a03_source(d):
     out = traffic_profile(by_hour(d.http_log), ["lgtime", "src_ip"], texts=())
-    return _round_moments(out).withColumnRenamed("lgtime", "hour")
+    return round_moments(out).withColumnRenamed("lgtime", "hour")
 
 
 def _per_source(name: str, sql: str, measures):
@@ -157,7 +157,7 @@ def a11(d):
     out = d.http_log.groupBy("src_ip", "dst_ip").agg(
         *[c.alias(n) for n, c in pf.traffic_moments().items()]
     )
-    return _round_moments(out, 3)
+    return round_moments(out, 3)
 
 
 @query(
@@ -434,7 +434,7 @@ def a32(d):
 )
 def a33(d):
     out = hijack_candidates(d.http_log, hits=1, texts=["http_query"])
-    out = _round_moments(out).withColumnRenamed("lgtime", "hour")
+    out = round_moments(out).withColumnRenamed("lgtime", "hour")
     return pf.joined_texts(out, ["http_query"])
 
 

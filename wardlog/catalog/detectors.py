@@ -9,7 +9,7 @@ from wardlog.catalog.aggregates import (
     KEYWORD_LOG,
     PROFILE_SQL,
     WIDE_TIMES,
-    _round_moments,
+    round_moments,
     attack_out,
 )
 from wardlog.catalog.filters import (
@@ -169,7 +169,7 @@ def alert_sql(least: int, offsets: dict) -> str:
 
 
 def alert_out(df):
-    out = _round_moments(df).withColumnRenamed("lgtime", "hour")
+    out = round_moments(df).withColumnRenamed("lgtime", "hour")
     return joined_texts(out, ["http_host", "http_path", "http_query"])
 
 
@@ -204,7 +204,7 @@ def d10_low(d):
 )
 def d11(d):
     out = hijack_detector(d.http_log, d.ip_ast, "2024-01-03 00:00:00", hits=0)
-    out = _round_moments(out).withColumnRenamed("lgtime", "hour")
+    out = round_moments(out).withColumnRenamed("lgtime", "hour")
     return joined_texts(out, ["http_path", "http_query", "http_cookie"])
 
 
