@@ -10,6 +10,7 @@ from wardlog.catalog.models import KEYS, MODEL_ID, NAMES, VERSION, bundle, label
 from wardlog.catalog.registry import method_sql, query, status_sql
 from wardlog.functions.times import run_window
 from wardlog.ml.scoring import result_rows
+from wardlog.operators.predicates import in_range
 from wardlog.operators.profiles import status_ratios
 from wardlog.plans.extraction import http_profile
 from wardlog.session import scratch
@@ -33,8 +34,9 @@ def t01(d):
     now = d.events.agg(F.max("ts").alias("now")).withColumns(
         {"back": F.lit("hours=10"), "span": F.lit("days=7")}
     )
-    run = run_window(now, "now", "back", "span").first()
-    rows = d.http_log.where(F.col("end_time").between(run.logtime_s, run.logtime_e))
+    window = run_window(now, "now", "back", "span")
+    start, end = window.select(*[F.col(c).cast("string") for c in ("logtime_s", "logtime_e")]).first()
+    rows = d.http_log.where(in_range("end_time", start, end))
     return rows.groupBy("src_ip").agg(
         F.count(F.lit(1)).alias("cnt"), *[c.alias(n) for n, c in status_ratios().items()]
     )
