@@ -32,7 +32,9 @@ def vocabulary(
 ) -> DataFrame:
     """The most frequent terms over the different texts, as (term, cnt, docs).
 
-    Terms are counted per text before the shuffle by term; ties go by term.
+    Terms are counted per text before the shuffle by term; ties go by term. The
+    outer explode keeps the optimiser from testing each text for words first,
+    which would split it twice.
     """
     text = F.col(text) if isinstance(text, str) else text
     tokens = n_grams(words(F.col("text")), low, high)
@@ -40,7 +42,8 @@ def vocabulary(
         tokens.alias("terms"), F.xxhash64("text").alias("d1"), F.md5("text").alias("d2")
     )
     per_text = (
-        texts.select("d1", "d2", F.explode("terms").alias("term"))
+        texts.select("d1", "d2", F.explode_outer("terms").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("d1", "d2", "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -59,13 +62,15 @@ def term_weights(
     """
     texts = df.select(text).distinct().agg(F.count(F.lit(1))).scalar()
     tokens = n_grams(words(F.col(text)), low, high)
+    # Words outside the vocabulary are dropped before anything is counted or shuffled.
     tf = (
-        df.select(key, F.explode(tokens).alias("term"))
-        .groupBy(key, "term")
+        df.select(key, F.explode_outer(tokens).alias("term"))
+        .join(vocab.select("term", "docs"), "term")
+        .groupBy(key, "term", "docs")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     idf = F.log((1.0 + texts) / (1.0 + F.col("docs"))) + 1.0
-    raw = tf.join(vocab.select("term", "docs"), "term").withColumn("raw", F.col("tf") * idf)
+    raw = tf.withColumn("raw", F.col("tf") * idf)
     # A key has at most one row per vocabulary term, so this window stays small.
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "tf", (F.col("raw") / length).alias("weight"))
