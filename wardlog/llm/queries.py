@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlog.llm import minhash
+from wardlog.llm import boosting, minhash, repetition
 from wardlog.session import configure
 
 QUERIES: dict = {}
@@ -29,3 +29,15 @@ def query(name: str, sql: str | None = None):
 def op1(table):
     """Near-duplicate groups of all documents on three-word shingles at 85 percent."""
     return minhash.near_duplicates(table("documents"), shingle=3, percent=85)
+
+
+@query("op9_boosted_quality")
+def op9(table):
+    """Quality score of every document, learned from the labelled rows outside the held-out fold."""
+    return boosting.quality_scores(table("documents"), table("labels"))
+
+
+@query("op3_suffix_repetition")
+def op3(table):
+    """Repetition measures and verdict of every document."""
+    return repetition.with_verdict(repetition.repetition(table("documents")).drop("repeats"))
