@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardlog.llm import boosting, minhash, repetition
+from wardlog.llm import boosting, minhash, packing, pii, repetition, sharding
 from wardlog.session import configure
 
 QUERIES: dict = {}
@@ -41,3 +42,29 @@ def op9(table):
 def op3(table):
     """Repetition measures and verdict of every document."""
     return repetition.with_verdict(repetition.repetition(table("documents")).drop("repeats"))
+
+
+@query("op4_shuffled_shards")
+def op4(table):
+    """All documents in 24 shards of equal row counts, in random order."""
+    rows = table("documents").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("bigint").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    placed = sharding.shuffled_shards(rows, shards=24, seed=1)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op6_length_buckets")
+def op6(table):
+    """Bucket, batch and padding of every document."""
+    return packing.packed(table("documents"))
+
+
+@query("op8_weak_supervision_pii")
+def op8(table):
+    """Personal data of every document."""
+    return pii.personal_data(table("documents"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wardlog.llm.words import GOLDEN, as_bytes, mix, text_slices, word_hashes
 
-MIN_WORDS, MAX_SHARE, MAX_REPEAT = 8, 0.2, 60
+MIN_WORDS, MAX_SHARE, MAX_REPEAT = 12, 0.2, 50
 SYMBOLS = b"#*$%&|<>"  # fixed values: characters counted as symbols
 WINDOW = 8
 
