@@ -118,20 +118,17 @@ def candidates(text: Column) -> Column:
     }
     none = F.array().cast("array<struct<start: int, end: int, value: string>>")
 
-    def tagged(patterns, when, base):
-        return [
-            F.transform(
-                F.when(when[kind], found_spans(text, pattern)).otherwise(none),
-                lambda s, kind=kind: F.struct(
-                    F.lit(kind).alias("kind"), F.lit(base).alias("base"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-                    F.substring(text, F.greatest(s["start"] - AROUND + 1, F.lit(1)), F.least(s["start"], F.lit(AROUND))).alias("left"),
-                    F.substring(text, s["end"] + 1, F.lit(AROUND)).alias("right"),
-                ),
-            )
-            for kind, pattern in patterns.items()
-        ]
-
-    spans = F.concat(*tagged(BASE, has, True), *tagged(WIDER, wide, False))
+    def tagged(kind, pattern, when, base):
+        def around(s):
+            return F.struct(
+                F.lit(kind).alias("kind"), F.lit(base).alias("base"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
+                F.substring(text, F.greatest(s["start"] - AROUND + 1, F.lit(1)), F.least(s["start"], F.lit(AROUND))).alias("left"),
+                F.substring(text, s["end"] + 1, F.lit(AROUND)).alias("right"),
+            )
+
+        return F.transform(F.when(when[kind], found_spans(text, pattern)).otherwise(none), around)
+
+    spans = F.concat(*(tagged(k, p, has, True) for k, p in BASE.items()), *(tagged(k, p, wide, False) for k, p in WIDER.items()))
     spans = F.filter(spans, lambda s: ~s["base"] | passes(s["kind"], s["value"]))
     spans = F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "base", "start", "end")), *votes(s)))
     return F.when(text.rlike("[0-9@]|[\\[(]at[\\])]"), spans)
@@ -225,8 +222,8 @@ def fit(found: DataFrame) -> list[float]:
 def chosen(found: Column, weights: list[float]) -> Column:
     """The spans that stay: (place, start, end, kind, base), sorted by kind as in ``KINDS``, then start.
 
-    All base spans, and each further candidate the classifier finds likely that
-    overlaps none taken before it. Null where ``found`` is null.
+    All base spans, and each further candidate the classifier finds likely that passes
+    its kind's check and overlaps none taken before it. Null where ``found`` is null.
     """
 
     def likely(s):
@@ -245,7 +242,7 @@ def chosen(found: Column, weights: list[float]) -> Column:
 
     by_kind, by_start = ("place", "start", "end", "kind", "base"), ("start", "end", "place", "kind", "base")
     base = F.transform(F.filter(found, lambda s: s["base"]), lambda s: span(s, by_kind))
-    wider = F.sort_array(F.transform(F.filter(found, lambda s: ~s["base"] & likely(s)), lambda s: span(s, by_start)))
+    wider = F.sort_array(F.transform(F.filter(found, lambda s: ~s["base"] & (s["checked"] >= 0) & likely(s)), lambda s: span(s, by_start)))
 
     def add(out, s):
         hit = F.exists(out, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
