@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlog.llm import boosting, minhash, packing, pii, repetition, sharding
+from wardlog.llm import boosting, minhash, packing, pii, quantised, repetition, sharding
 from wardlog.session import configure
 
 QUERIES: dict = {}
@@ -68,3 +68,9 @@ def op6(table):
 def op8(table):
     """Personal data of every document."""
     return pii.personal_data(table("documents"))
+
+
+@query("op10_product_quantised_near_dedup")
+def op10(table):
+    """Links and groups of all vectors of a label at cosine 0.93."""
+    return quantised.near_vectors(table("embeddings"))
