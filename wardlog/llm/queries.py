@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlog.llm import boosting, minhash, packing, pii, quantised, repetition, sharding
-from wardlog.session import configure
+from wardlog.llm import boosting, katz, minhash, mixing, packing, pii, quantised, repetition, rollups, sharding
+from wardlog.session import configure, scratch, stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +74,53 @@ def op8(table):
 def op10(table):
     """Links and groups of all vectors of a label at cosine 0.93."""
     return quantised.near_vectors(table("embeddings"))
+
+
+@query("op2_soft_membership_mixing")
+def op2(table):
+    """Domain likelihoods, rate and copies of every document, for a mostly clean mix."""
+    weights = {"clean": 0.9, "low": 0.06, "toxic": 0.04}
+    return mixing.mixed(table("documents"), mixing.quality_domains(table("labels")), weights)
+
+
+@query(
+    "op7_token_rollups",
+    """
+    WITH counted AS (
+      SELECT d.source, d.lang, l.gone, len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')) AS words,
+             len(regexp_extract_all(d.text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\x20\\x09-\\x0D]')) AS pieces
+      FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, true AS gone FROM labels WHERE toxic = 1) l USING (doc_id)),
+    versions AS (
+      SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM counted WHERE gone IS NULL
+      UNION ALL SELECT source, lang, 'pieces-1', pieces FROM counted WHERE gone IS NULL)
+    SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens
+    FROM versions GROUP BY ALL
+    """,
+)
+def op7(table):
+    """Token totals after inserts under two tokenizers, a takedown, a revision and a repeated batch."""
+    docs = table("documents")
+    ledger = rollups.TokenRollup(docs.sparkSession, scratch(docs.sparkSession, "rollup"))
+    counts = stored(
+        docs.select("doc_id", "source", "lang", "n_chars", rollups.word_tokens().alias("words"), rollups.piece_tokens().alias("pieces")),
+        "counts",
+    )
+    change = lambda kind, tokenizer, n: counts.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(kind).alias("change"), n.alias("n_tokens"))
+    # the first count of pieces is by characters and is revised by the third batch
+    ledger.commit("1-inserts", change("insert", "words-1", F.col("words")).unionAll(change("insert", "pieces-1", F.col("n_chars"))))
+    toxic = table("labels").where("toxic = 1").select("doc_id").distinct()
+    takedown = toxic.select(
+        "doc_id", *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "tokenizer")), F.lit("delete").alias("change"), F.lit(None).cast("bigint").alias("n_tokens")
+    )
+    ledger.commit("2-takedown", takedown)
+    live = counts.join(toxic, "doc_id", "left_anti")
+    revised = live.select("doc_id", "source", "lang", F.lit("pieces-1").alias("tokenizer"), F.lit("revise").alias("change"), F.col("pieces").alias("n_tokens"))
+    ledger.commit("3-revision", revised)
+    ledger.commit("3-revision", revised)
+    return ledger.totals()
+
+
+@query("op5_katz_backoff")
+def op5(table):
+    """Scores of all documents by a back-off model of those outside the held-out fold."""
+    return katz.katz_scores(table("documents"))
