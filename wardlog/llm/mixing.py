@@ -17,16 +17,21 @@ from pyspark.sql import functions as F
 
 from wardlog.session import stored
 
-MAX_ROWS, TERMS, LEAST_DOCS, STEPS, CLOSE = 8_000, 64, 5, 60, 1e-6
+MAX_ROWS, TERMS, LEAST_DOCS, LIFT, STEPS, CLOSE = 8_000, 96, 3, 4.0, 60, 1e-5
 BREAKS = r"[\x20\x09-\x0D]+"
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case words of a text, and one term for its share of distinct words."""
-    found = F.split(F.lower(F.coalesce(text, F.lit(""))), BREAKS)
+    """Distinct lower-case words, runs of punctuation, and a term for the share of distinct words.
+
+    The latter two start with a line break, which no word holds.
+    """
+    text = F.coalesce(text, F.lit(""))
+    found = F.split(F.lower(text), BREAKS)
     single = F.array_distinct(found)
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[!-/:-@\[-`{-~]{2,}"), F.lit(0)))
     share = F.floor(10 * F.size(single) / F.size(found)).cast("string")
-    return F.concat(single, F.array(F.concat(F.lit("\n"), share)))
+    return F.concat(single, F.transform(runs, lambda r: F.concat(F.lit("\n"), F.substring(r, 1, 2))), F.array(F.concat(F.lit("\n"), share)))
 
 
 def token_count(text: Column) -> Column:
@@ -40,11 +45,13 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: int, id_col: str, text_col: str):
-    """Log prior with no term present, and the weights each present term adds, per domain.
+    """Log prior, and the log likelihood of each marker term, per domain.
 
     Learned from at most ``max_rows`` labelled rows, those with the smallest id hash (a
-    documented bound). Terms are those that tell most about the domain. Labels of
-    other domains, null labels and null ids are not used.
+    documented bound). Markers are terms at least ``LIFT`` times as frequent in one
+    domain as in the others; of these the ones that tell most. A missing term says
+    nothing, so short texts are not taken for another domain. Labels of other domains,
+    null labels and null ids are not used.
     """
     rows = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(max_rows)
@@ -61,24 +68,16 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: in
     )
     n = [F.col(f"n{j}") for j in range(len(domains))]
     have = sum(n[1:], n[0])
-
-    def part(both: Column, one: Column, other: float) -> Column:
-        return F.when(both > 0, both / total * F.log(both * total / (one * F.lit(other)))).otherwise(0.0)
-
     told = F.lit(0.0)
     for j, d in enumerate(domains):
-        if size.get(d):
-            told = told + part(n[j], have, size[d]) + part(size[d] - n[j], total - have, size[d])
-    best = seen.where(have >= LEAST_DOCS).withColumn("told", told).orderBy(F.desc("told"), "term").limit(TERMS).collect()
-    start, weights = [], {r["term"]: [] for r in best}
-    for j, d in enumerate(domains):
-        m = size.get(d, 0)
-        base = math.log((m + 1) / (total + len(domains)))
-        for r in best:
-            p = (r[f"n{j}"] + 0.5) / (m + 1)
-            base += math.log(1 - p)
-            weights[r["term"]].append(math.log(p) - math.log(1 - p))
-        start.append(base)
+        mine, others = size.get(d, 0), total - size.get(d, 0)
+        lift = ((n[j] + 0.5) / (mine + 1)) / ((have - n[j] + 0.5) / (others + 1))
+        told = F.greatest(told, F.when((lift >= LIFT) & (n[j] >= LEAST_DOCS), n[j] * F.log(lift)).otherwise(0.0))
+    best = seen.withColumn("told", told).where("told > 0").orderBy(F.desc("told"), "term").limit(TERMS).collect()
+    start = [math.log((size.get(d, 0) + 1) / (total + len(domains))) for d in domains]
+    weights = {
+        r["term"]: [math.log((r[f"n{j}"] + 0.5) / (size.get(d, 0) + 1)) for j, d in enumerate(domains)] for r in best
+    }
     return start, weights
 
 
@@ -105,7 +104,8 @@ def fitted_rates(
     Each step takes the domains' expected tokens (one aggregate over all rows) and
     moves every rate against the gradient, divided by the domains' current tokens;
     in these units the steepest curvature is 1, so a step of 1 is safe. Rates stay
-    between ``lower`` and ``upper``.
+    between ``lower`` and ``upper``, and at 1 at least for documents whose likeliest
+    domain is ``anchor``.
     """
     domains = list(weights)
     share = [F.col("n_tokens") * F.col(f"p_{d}") for d in domains]
@@ -116,17 +116,24 @@ def fitted_rates(
     if anchor is not None:
         total = have[domains.index(anchor)] * scale / weights[anchor]
     goal = [total * weights[d] / scale for d in domains]
+    least = F.lit(lower)
+    if anchor is not None:
+        likeliest = F.col(f"p_{anchor}") >= F.greatest(*(F.col(f"p_{d}") for d in domains), F.lit(0.0))
+        least = F.when(likeliest, max(lower, 1.0)).otherwise(lower)
     rate = F.lit(1.0)
+    last = None
     for _ in range(STEPS):
         got = rows.agg(*(F.sum(rate * s).alias(d) for s, d in zip(share, domains))).first()
         off = [float(got[d] or 0) - g for d, g in zip(domains, goal)]
-        if all(abs(o) <= CLOSE * max(total, 1) for o in off):
-            break
+        still = last is not None and all(abs(o - b) <= CLOSE * max(total, 1) for o, b in zip(off, last))
+        if still or all(abs(o) <= CLOSE * max(total, 1) for o in off):
+            break  # at the targets, or as near as the limits allow
+        last = off
         move = F.lit(0.0)
         for d, o, h in zip(domains, off, have):
             if h > 0:  # a domain without tokens cannot be reached by any rate
                 move = move + F.col(f"p_{d}") * F.lit(o / h)
-        rate = F.greatest(F.lit(lower), rate - move)
+        rate = F.greatest(least, rate - move)
         rate = rate if upper is None else F.least(F.lit(upper), rate)
     return rows.withColumn("rate", rate)
 
@@ -146,7 +153,8 @@ def mixed(
     """(doc_id, n_tokens, p_<domain> ..., rate, copies): one row for each row of ``docs``.
 
     ``weights`` are the domains' target shares of all tokens, which are as many as now, or
-    with ``anchor`` so many that this domain keeps its tokens. ``copies`` is the rate
+    with ``anchor`` so many that this domain keeps its tokens; documents that most likely
+    belong to it are then all kept. ``copies`` is the rate
     rounded up or down by a hash of the row, so that its mean is the rate: the sampling
     this operator is for. An empty or null text has no tokens and the likelihoods of
     its (missing) terms. Rows with a null id and repeated rows are treated like others;
