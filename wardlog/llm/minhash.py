@@ -8,12 +8,15 @@ sets agree in a register about as often as their similarity (locality-sensitive)
 1. Equal sets are folded into one representative, the smallest id.
 2. Each of ``BANDS`` keys hashes ``ROWS`` registers; representatives with a common
    key are candidates.
-3. Inside a key every candidate is first compared with the key's smallest id.
-   Candidates already connected need no comparison among themselves; what is
-   left in different components is compared pair by pair.
-4. A pair is dropped where the joint likelihood of its registers, given both set
-   sizes, puts the similarity far (5 standard errors) below the threshold. All others
-   are decided on the full sets.
+3. Inside a key every candidate is first compared with the key's smallest id: a pair
+   is dropped where the joint likelihood of its registers, given both set sizes, puts
+   the similarity far (5 standard errors) below the threshold; all others are decided
+   on the full sets.
+4. Candidates already connected need no comparison among themselves. In keys that
+   still hold several components, the candidates outside the largest one are
+   compared with all others: in keys of up to ``FEW`` candidates pair by pair as
+   above, in larger ones on the full sets in blocks of ``BLOCK`` rows a side; a block
+   returns its groups, not its pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, LongType
 
 from wardlog.llm.components import components
 from wardlog.llm.words import as_bytes, mix, shingle_set, text_slices, words
@@ -30,7 +34,7 @@ from wardlog.session import stored
 
 REGISTERS, BANDS, ROWS = 256, 60, 10
 BASE, RATE, TOP = 1.2, 20.0, 255
-MARGIN = 0.12
+MARGIN, BLOCK, FEW = 0.12, 128, 16
 
 
 def seeds(n: int, start: int) -> np.ndarray:
@@ -153,7 +157,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text_c
     return texts.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, set binary")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def estimate(ra, rb, na, nb):
     import pandas as pd
 
@@ -163,7 +167,7 @@ def estimate(ra, rb, na, nb):
     return pd.Series(likely_similarity(a, b, na.to_numpy(float), nb.to_numpy(float)))
 
 
-@pandas_udf("bigint")
+@pandas_udf(LongType())
 def shared(a, b):
     import pandas as pd
 
@@ -186,6 +190,84 @@ def linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     return pairs.where("100 * both >= {0} * (na + nb - both)".format(percent)).select("a", "b")
 
 
+def block_links(ids: np.ndarray, sets: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id of its group) of all ids that have a link among these sets."""
+    sizes = np.array([len(s) // 8 for s in sets])
+    values = np.frombuffer(b"".join(sets), np.uint64)
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    common = times[column] > 1  # values of one set alone meet nothing
+    row, column = row[common], (np.cumsum(times > 1) - 1)[column[common]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        i, j = np.searchsorted(column, [first, first + 8192])
+        part = np.zeros((len(sets), 8192), np.float32)
+        part[row[i:j], column[i:j] - first] = 1
+        both += part @ part.T
+    both = np.rint(both).astype(np.int64)
+    near = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(near)
+    label = ids.copy()
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        if (new == label).all():
+            break
+        label = new
+    linked_rows = near.any(1)
+    return ids[linked_rows], label[linked_rows]
+
+
+def remaining(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect candidates of a key which are in different components.
+
+    ``members`` has (key, id, c) with c the component so far. Only ids outside a key's
+    largest component meet all others; members of the largest one are not compared
+    with each other.
+    """
+    counts = members.groupBy("key", "c").count()
+    shape = counts.groupBy("key").agg(
+        F.max_by("c", F.struct("count", "c")).alias("main"), F.max("count").alias("nm"), F.sum("count").alias("n")
+    )
+    members = stored(members.join(shape, "key"), "open")
+    few = members.where(F.col("n") <= FEW)
+    left = few.select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
+    right = few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
+    pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    return linked(pairs, reps, sets, percent).unionAll(in_blocks(members.where(F.col("n") > FEW), sets, percent))
+
+
+def in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The same for (key, id, c, main, nm, n) rows of large keys, block by block on the full sets."""
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    rows = members.select(
+        "key", "id", (F.col("c") == F.col("main")).alias("large"), blocks(F.col("nm")).alias("nm"), blocks(F.col("n") - F.col("nm")).alias("no")
+    )
+    own = F.pmod(F.xxhash64("id", "key"), F.when(F.col("large"), F.col("nm")).otherwise(F.col("no"))).cast("int")
+    rows = rows.withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    of_large = F.transform(upto("no"), lambda j: cell("large", j, F.col("own")))
+    of_other = F.concat(
+        F.transform(upto("nm"), lambda j: cell("large", F.col("own"), j)),
+        F.transform(upto("no"), lambda j: cell("other", F.least(F.col("own"), j), F.greatest(F.col("own"), j))),
+    )
+    dealt = rows.select("key", "id", F.explode(F.when(F.col("large"), of_large).otherwise(of_other)).alias("cell"))
+    dealt = dealt.select("key", "id", "cell.*").join(sets, "id")
+
+    def compare(part):
+        import pandas as pd
+
+        part = part.drop_duplicates("id")
+        a, b = block_links(part["id"].to_numpy(), part["set"].tolist(), percent)
+        return pd.DataFrame({"a": b, "b": a})
+
+    return dealt.groupBy("key", "kind", "x", "y").applyInPandas(compare, "a bigint, b bigint").where("a <> b")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -217,13 +299,9 @@ def near_duplicates(
     links = stored(linked(first, large, sets, percent), "links")
     groups = components(links)
     placed = hits.join(groups.withColumnRenamed("node", "id"), "id", "left")
-    placed = stored(placed.select("key", "id", "lead", F.coalesce("component", "id").alias("c")), "placed")
+    placed = stored(placed.select("key", "id", F.coalesce("component", "id").alias("c")), "placed")
     split = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-    rest = stored(placed.join(split, "key"), "open")
-    left = rest.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "lead")
-    right = rest.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    more = left.where("a <> lead").join(right.where("b <> lead"), "key").where("ca <> cb and a < b")
-    links = links.unionAll(linked(more.select("a", "b").distinct(), large, sets, percent))
+    links = links.unionAll(remaining(placed.join(split, "key").select("key", "id", "c"), large, sets, percent))
     groups = components(links).withColumnRenamed("node", "id")
 
     rows = sketched.select("id", "n", "digest").join(
