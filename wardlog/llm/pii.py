@@ -293,14 +293,14 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     changed = F.aggregate(
         by_start, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
     )
-    touched = F.size("_spans") > 0
+    found = found.withColumn("_text", F.when(F.size("_spans") > 0, changed))
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(F.when(touched, changed).otherwise(text).alias(c))
+            out.append(F.coalesce("_text", c).alias(c))
         elif c == size_col:
             kind = docs.schema[c].dataType
-            out.append(F.when(touched, F.length(changed)).otherwise(F.col(c)).cast(kind).alias(c))
+            out.append(F.coalesce(F.length("_text").cast(kind), F.col(c)).alias(c))
         else:
             out.append(F.col(c))
     return found.select(*out)
