@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wardlog.session import stored
 
-MAX_ROWS, TERMS, LEAST_DOCS, LIFT, STEPS, CLOSE = 8_000, 96, 3, 4.0, 60, 1e-5
+MAX_ROWS, TERMS, LEAST_DOCS, LIFT, STEPS, CLOSE = 8_000, 96, 3, 4.0, 40, 1e-5
 BREAKS = r"[\x20\x09-\x0D]+"
 
 
@@ -102,10 +102,11 @@ def fitted_rates(
     """Adds ``rate`` to rows with n_tokens and one p_<domain> column for each weight.
 
     Each step takes the domains' expected tokens (one aggregate over all rows) and
-    moves every rate against the gradient, divided by the domains' current tokens;
-    in these units the steepest curvature is 1, so a step of 1 is safe. Rates stay
-    between ``lower`` and ``upper``, and at 1 at least for documents whose likeliest
-    domain is ``anchor``.
+    moves every rate against the gradient of their squared distance to the targets.
+    Steps add up before the projection, so a rate is always 1 less one product of its
+    likelihoods with the summed steps, put between ``lower`` and ``upper``, and at 1 at
+    least for documents whose likeliest domain is ``anchor``. Divided by the domains'
+    present tokens the steepest curvature is 1, so a step of 1 is safe.
     """
     domains = list(weights)
     share = [F.col("n_tokens") * F.col(f"p_{d}") for d in domains]
@@ -120,22 +121,25 @@ def fitted_rates(
     if anchor is not None:
         likeliest = F.col(f"p_{anchor}") >= F.greatest(*(F.col(f"p_{d}") for d in domains), F.lit(0.0))
         least = F.when(likeliest, max(lower, 1.0)).otherwise(lower)
-    rate = F.lit(1.0)
-    last = None
+    def rate_for(summed: list[float]) -> Column:
+        moved = F.lit(1.0)
+        for d, x in zip(domains, summed):
+            moved = moved - F.col(f"p_{d}") * F.lit(x)
+        moved = F.greatest(least, moved)
+        return moved if upper is None else F.least(F.lit(upper), moved)
+
+    summed, last = [0.0] * len(domains), None
     for _ in range(STEPS):
+        rate = rate_for(summed)
         got = rows.agg(*(F.sum(rate * s).alias(d) for s, d in zip(share, domains))).first()
         off = [float(got[d] or 0) - g for d, g in zip(domains, goal)]
         still = last is not None and all(abs(o - b) <= CLOSE * max(total, 1) for o, b in zip(off, last))
         if still or all(abs(o) <= CLOSE * max(total, 1) for o in off):
             break  # at the targets, or as near as the limits allow
         last = off
-        move = F.lit(0.0)
-        for d, o, h in zip(domains, off, have):
-            if h > 0:  # a domain without tokens cannot be reached by any rate
-                move = move + F.col(f"p_{d}") * F.lit(o / h)
-        rate = F.greatest(least, rate - move)
-        rate = rate if upper is None else F.least(F.lit(upper), rate)
-    return rows.withColumn("rate", rate)
+        # a domain without tokens cannot be reached by any rate
+        summed = [x + (o / h if h > 0 else 0.0) for x, o, h in zip(summed, off, have)]
+    return rows.withColumn("rate", rate_for(summed))
 
 
 def mixed(
