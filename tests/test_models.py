@@ -2,12 +2,12 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from wardlog.catalog import models as M
 from wardlog.ml.metrics import one_vs_rest
-from wardlog.ml.models import ModelBundle, fit_bundle, routed_scores
+from wardlog.ml.models import ModelBundle, fit_anomaly, fit_bundle, reconstruction_error, routed_scores
 from wardlog.ml.scoring import STATUS_COLUMNS, explanation_rows
 from wardlog.ml.textvec import fit_features
 from wardlog.ml.tree import importance_table, node_table
@@ -82,14 +82,21 @@ def test_scaled_training_rows_lie_in_unit_range(data, bundle):
 
 
 def test_reconstruction_error(data, bundle):
-    out = M.reconstruction_error(bundle.prepare(M.window_rows(data)), bundle.anomaly)
+    out = reconstruction_error(bundle.prepare(M.window_rows(data)), bundle.anomaly)
     got = out.select("values", "recon_error").collect()
-    p = bundle.anomaly.pc.toArray()
+    p, mean = bundle.anomaly.pca.pc.toArray(), np.array(bundle.anomaly.mean)
     for r in got[:50]:
-        x = np.array(r.values)
+        x = np.array(r.values) - mean
         assert r.recon_error == pytest.approx(np.mean((x - p @ (p.T @ x)) ** 2), abs=1e-9)
 
 
+def test_points_on_a_line_off_the_origin_have_no_error(spark):
+    rows = spark.range(50).select(F.array(F.lit(5.0) + F.col("id"), F.lit(40.0) - 2 * F.col("id")).alias("values"))
+    rows = rows.withColumn("features", array_to_vector("values"))
+    out = reconstruction_error(rows, fit_anomaly(rows, 1)).agg(F.max("recon_error").alias("m"))
+    assert out.first().m < 1e-9
+
+
 def test_only_the_routed_specialist_scores(data, bundle):
     scored = bundle.score(M.window_rows(data)).select("values", "route", *bundle.labels).collect()
     for r in scored:

@@ -19,8 +19,8 @@ def test_profile_over_restarts_equals_batch(data, spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     out = None
     for _ in in_files(log, source, 3):
-        # Pieces overlap in time, so every row must be within the allowed lateness.
-        out = jobs.run_hourly_profile(jobs.read_files(spark, source, 1), target, "60 days")
+        # The pieces overlap in time over the whole log: most rows come late.
+        out = jobs.run_hourly_profile(jobs.read_files(spark, source, 1), target)
     batch = log.groupBy(
         F.date_trunc("hour", "end_time").cast("timestamp_ntz").alias("lgtime"), "src_ip", "dst_ip"
     ).agg(F.count(F.lit(1)).alias("cnt"), distinct_ports().alias("ports"), F.max("end_time").alias("end_time"))
@@ -48,3 +48,19 @@ def test_merge_of_halves_is_whole(data):
     halves = merged_counts(token_counts(docs.where(odd), ["text"]), token_counts(docs.where(~odd), ["text"]))
     whole = token_counts(docs, ["text"])
     assert sorted(map(str, halves.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_key_is_scored_on_all_its_rows(data, spark, tmp_path):
+    source, target = str(tmp_path / "in[1]"), str(tmp_path / "out")
+    keys = ["src_ip", "dst_ip"]
+
+    def score(rows):
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), F.max("end_time").alias("end_time"))
+
+    sizes = []
+    for _ in in_files(data.http_log, source, 3):
+        out = jobs.run_scoring(jobs.read_files(spark, source, 1), target, keys, score)
+        sizes.append(out.count())
+    batch = score(data.http_log)
+    assert sorted(map(str, out.select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
+    assert sizes[-1] == batch.count()

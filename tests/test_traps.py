@@ -232,3 +232,18 @@ def test_split_parts_the_rows(rows):
     df = with_split(rows([(i,) for i in range(2000)], "id long"), ["id"])
     n = {r.split: r["count"] for r in df.groupBy("split").count().collect()}
     assert n["train"] + n["test"] == 2000 and 1300 < n["train"] < 1500
+
+
+def test_quantiles_end_on_infinity_and_nan(spark, monkeypatch):
+    from wardlog.operators import quantiles as q
+
+    monkeypatch.setattr(q, "SMALL", 50)
+    inf, nan = float("inf"), float("nan")
+    finite = [float(i * i % 1013) for i in range(400)] + [-1.7e308, 1.7e308]
+    values = [-inf, *sorted(finite), inf, inf, nan]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    n = len(values)
+    places = [0, 1, 150, n - 4, n - 3]
+    assert q.quantiles(df, "x", [p / (n - 1) for p in places]) == [values[p] for p in places]
+    assert str(q.quantiles(df, "x", [1.0])[0]) == "nan"
+    assert q.quantiles(df.where("x = cast('Infinity' as double)"), "x", [0.5]) == [inf]

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.catalog.registry import query
 from wardlog.functions.vectors import display_name
 from wardlog.ml.metrics import one_vs_rest
-from wardlog.ml.models import ModelBundle, epoch_metrics, fit_bundle, reconstruction_error
+from wardlog.ml.models import (
+    ModelBundle,
+    epoch_metrics,
+    fit_anomaly,
+    fit_bundle,
+    reconstruction_error,
+)
 from wardlog.ml.scoring import (
     STATUS_COLUMNS,
     as_text_copy,
@@ -119,6 +125,24 @@ def m17(d):
     return out.select(*KEYS, "recon_error")
 
 
+@query(
+    "m17_two_columns",
+    """WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 50 AS a,
+                  CAST(l_extendedprice AS DOUBLE) / 100000 AS b FROM lineitem),
+       s AS (SELECT avg(a) AS ma, avg(b) AS mb, 0.5 * atan2(2 * covar_pop(a, b), var_pop(a) - var_pop(b)) AS turn FROM x)
+       SELECT l_orderkey, l_linenumber,
+              round(power(cos(turn) * (b - mb) - sin(turn) * (a - ma), 2) / 2, 6) AS recon_error
+       FROM x CROSS JOIN s""",
+)
+def m17_two(d):
+    """Two columns: what is left of a row beside the longer axis, whose angle has a closed form."""
+    a, b = F.col("l_quantity").cast("double") / 50, F.col("l_extendedprice").cast("double") / 100000
+    rows = d.lineitem.select("l_orderkey", "l_linenumber", F.array(a, b).alias("values"))
+    rows = rows.withColumn("features", array_to_vector("values"))
+    out = reconstruction_error(rows, fit_anomaly(rows, 1))
+    return out.select("l_orderkey", "l_linenumber", F.round("recon_error", 6).alias("recon_error"))
+
+
 @query("m24_scored_results")
 def m24_scored(d):
     scored = bundle(d).score(window_rows(d))

@@ -61,7 +61,7 @@ def t03(d):
         rows = http_profile(batch, KEYS).withColumnsRenamed(NAMES)
         return result_rows(labelled_results(d, models.score(rows)), MODEL_ID, VERSION)
 
-    return jobs.run_scoring(http_stream(d), scratch(d.spark, "scores"), score)
+    return jobs.run_scoring(http_stream(d), scratch(d.spark, "scores"), KEYS, score)
 
 
 @query(

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import DecisionTreeClassificationModel, LogisticRegression
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,27 +69,45 @@ def routed_scores(specialists: dict[str, Linear], values: str = "values", by: st
     return F.when(F.col(by).isin(*specialists), sigmoid(dot(F.col(values), weights) + shift))
 
 
-def fit_anomaly(normal: DataFrame, k: int) -> PCAModel:
-    return PCA(k=k, inputCol="features", outputCol="components").fit(normal)
+@dataclass
+class Anomaly:
+    """Principal components of normal rows, and the mean those are measured from."""
+
+    pca: PCAModel
+    mean: list[float]
+
+    def centred(self, df: DataFrame) -> tuple[DataFrame, Column]:
+        """``df`` with its ``components``, and these less the components of the mean.
+
+        The model's transform does not subtract the mean it was fitted around.
+        """
+        middle = [float(x) for x in self.pca.pc.toArray().T @ self.mean]
+        z = F.zip_with(vector_to_array(F.col("components")), constant_array(middle), lambda a, m: a - m)
+        return self.pca.transform(df), z
+
+
+def fit_anomaly(normal: DataFrame, k: int) -> Anomaly:
+    pca = PCA(k=k, inputCol="features", outputCol="components").fit(normal)
+    mean = normal.select(Summarizer.mean(F.col("features")).alias("m")).first().m
+    return Anomaly(pca, [float(x) for x in mean])
 
 
-def reconstruction_error(df: DataFrame, model: PCAModel, values: str = "values") -> DataFrame:
+def reconstruction_error(df: DataFrame, model: Anomaly, values: str = "values") -> DataFrame:
     """Adds ``recon_error``, the mean squared error of projecting onto the components.
 
-    The components are orthonormal, so the squared error is what the row's
-    squared length loses by the projection; no row is rebuilt.
+    The components are orthonormal, so the squared error is what the row's squared
+    distance from the mean loses by the projection; no row is rebuilt.
     """
-    z = vector_to_array(F.col("components"))
-    x = F.col(values)
+    df, z = model.centred(df)
+    x = F.zip_with(F.col(values), constant_array(model.mean), lambda a, m: a - m)
     lost = F.greatest(dot(x, x) - dot(z, z), F.lit(0.0))
-    return model.transform(df).withColumn("recon_error", lost / F.size(x)).drop("components")
+    return df.withColumn("recon_error", lost / F.size(x)).drop("components")
 
 
-def projection(df: DataFrame, model: PCAModel) -> DataFrame:
-    """Adds x, y, z from a three-component model."""
-    p = vector_to_array(F.col("components"))
-    out = model.transform(df)
-    return out.withColumns({n: F.get(p, F.lit(i)) for i, n in enumerate("xyz")}).drop("components")
+def projection(df: DataFrame, model: Anomaly) -> DataFrame:
+    """Adds x, y, z from a three-component model; the mean is at the origin."""
+    df, p = model.centred(df)
+    return df.withColumns({n: F.get(p, F.lit(i)) for i, n in enumerate("xyz")}).drop("components")
 
 
 @dataclass
@@ -101,7 +120,7 @@ class ModelBundle:
     scaler: Scaler
     tree: DecisionTreeClassificationModel
     specialists: dict[str, Linear]
-    anomaly: PCAModel | None
+    anomaly: Anomaly | None
     threshold: float
 
     def prepare(self, df: DataFrame) -> DataFrame:
@@ -126,11 +145,11 @@ class ModelBundle:
         self.scaler.save(spark, f"{path}/scaler")
         self.tree.write().overwrite().save(f"{path}/tree")
         if self.anomaly is not None:
-            self.anomaly.write().overwrite().save(f"{path}/anomaly")
+            self.anomaly.pca.write().overwrite().save(f"{path}/anomaly")
         meta = {
             "labels": self.labels,
             "threshold": self.threshold,
-            "anomaly": self.anomaly is not None,
+            "mean": None if self.anomaly is None else self.anomaly.mean,
             "specialists": {n: vars(m) for n, m in self.specialists.items()},
         }
         spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode(
@@ -149,7 +168,7 @@ class ModelBundle:
             Scaler.load(spark, f"{path}/scaler"),
             DecisionTreeClassificationModel.load(f"{path}/tree"),
             {n: Linear(**m) for n, m in meta["specialists"].items()},
-            PCAModel.load(f"{path}/anomaly") if meta["anomaly"] else None,
+            None if meta["mean"] is None else Anomaly(PCAModel.load(f"{path}/anomaly"), meta["mean"]),
             meta["threshold"],
         )
 

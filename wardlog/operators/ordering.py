@@ -142,9 +142,10 @@ def alerts_first(df: DataFrame, name: str = "att_name", seed: int = 1) -> DataFr
 
 
 def last_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Per key the row with the largest ``order``."""
+    """Per key the row with the largest ``order``; of equals the one with the largest values."""
     rest = [c for c in df.columns if c not in keys]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    others = [c for c in rest if c != order]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *others)).alias("_last"))
     return last.select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 

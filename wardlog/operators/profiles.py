@@ -28,20 +28,29 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
-def status_ratios(c: str = "http_retcode", missing: str = "") -> dict[str, Column]:
-    """Share of rows whose code holds each mark anywhere: 410 counts as ``10``."""
+def status_marks(c: str = "http_retcode", missing: str = "") -> dict[str, Column]:
+    """Whether a row's code holds each mark anywhere: 410 counts as ``10``."""
     code = F.col(c).cast("string")
-    out = {name: share(has_literal(code, mark)) for name, mark in STATUS_MARKS.items()}
-    out["oth_st"] = share(code == missing)
+    out = {name: has_literal(code, mark) for name, mark in STATUS_MARKS.items()}
+    out["oth_st"] = code == missing
     return out
 
 
-def method_ratios(c: str = "http_method") -> dict[str, Column]:
-    out = {name: share(has_literal(F.col(c), name)) for name in METHODS}
-    out["OTH"] = share(F.col(c) == "-")
+def method_marks(c: str = "http_method") -> dict[str, Column]:
+    out = {name: has_literal(F.col(c), name) for name in METHODS}
+    out["OTH"] = F.col(c) == "-"
     return out
 
 
+def status_ratios(c: str = "http_retcode", missing: str = "") -> dict[str, Column]:
+    """Share of rows with each status mark."""
+    return {name: share(mark) for name, mark in status_marks(c, missing).items()}
+
+
+def method_ratios(c: str = "http_method") -> dict[str, Column]:
+    return {name: share(mark) for name, mark in method_marks(c).items()}
+
+
 def port_digits(c: str = "dst_port") -> dict[str, Column]:
     digits = F.length(F.col(c).cast("string"))
     return {f"port_{n}": share(digits == n) for n in range(1, 6)}

@@ -15,7 +15,8 @@ SMALL = 10_000
 
 def _histogram(counts: DataFrame, low: float, high: float) -> list:
     """Rows, ends and distinct values of at most BUCKETS equal slices of [low, high]."""
-    place = F.floor((F.col("value") - low) / ((high - low) / BUCKETS))
+    # halves, as the distance of two numbers can be too large for one
+    place = F.floor((F.col("value") / 2 - low / 2) / ((high / 2 - low / 2) / BUCKETS))
     return (
         counts.where(F.col("value").between(low, high))
         .groupBy(F.least(F.lit(BUCKETS - 1), place).alias("bucket"))
@@ -56,30 +57,48 @@ def _values_at(counts: DataFrame, ranks: Sequence[int], low: float, high: float,
 
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
-    """Linearly interpolated quantiles, exact."""
+    """Linearly interpolated quantiles, exact.
+
+    Infinite values and NaN (above all numbers) are only counted; ranges are narrowed
+    over the finite values.
+    """
+    value = F.col("value")
     counts = (
         df.select(F.col(column).cast("double").alias("value"))
-        .where(F.col("value").isNotNull())
+        .where(value.isNotNull())
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        size, low, high, kinds = counts.agg(
-            F.sum("n"), F.min("value"), F.max("value"), F.count(F.lit(1))
+        odd = F.isnan(value) | (F.abs(value) == math.inf)
+        first, last, nan, size, low, high, kinds = counts.agg(
+            F.sum(F.when(value == -math.inf, F.col("n")).otherwise(0)),
+            F.sum(F.when(value == math.inf, F.col("n")).otherwise(0)),
+            F.sum(F.when(F.isnan(value), F.col("n")).otherwise(0)),
+            F.sum(F.when(~odd, F.col("n")).otherwise(0)),
+            F.min(F.when(~odd, value)),
+            F.max(F.when(~odd, value)),
+            F.count_if(~odd),
         ).first()
-        if not size:
+        total = sum(n or 0 for n in (first, last, nan, size))
+        if not total:
             raise ValueError("no values")
-        places = [share * (size - 1) for share in shares]
+        places = [share * (total - 1) for share in shares]
         ranks = {r for p in places for r in (math.floor(p), math.ceil(p))}
-        at = _values_at(counts, sorted(ranks), low, high, kinds)
-        return [
-            at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)])
-            for p in places
-        ]
+        inside = sorted(r - first for r in ranks if first <= r < first + size)
+        found = _values_at(counts.where(~odd), inside, low, high, kinds) if inside else {}
+        at = {r + first: v for r, v in found.items()}
+        for r in ranks - set(at):
+            at[r] = -math.inf if r < first else math.inf if r < first + size + last else math.nan
+        return [_between(at[math.floor(p)], at[math.ceil(p)], p - math.floor(p)) for p in places]
     finally:
         counts.unpersist()
 
 
+def _between(low: float, high: float, share: float) -> float:
+    return low if low == high or not share else low + share * (high - low)
+
+
 def median(df: DataFrame, column: str) -> float:
     return quantiles(df, column, [0.5])[0]

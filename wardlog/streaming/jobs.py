@@ -9,24 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.ml.rarity import token_counts
-from wardlog.operators.ordering import last_by
-from wardlog.operators.profiles import distinct_ports, method_ratios, status_ratios
+from wardlog.operators.profiles import method_marks, status_marks
 
 
-def read_files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
-    """A parquet table as a stream, its schema taken from the files there now.
+def only(path: str) -> str:
+    """A pattern for this path: a stream takes a single file in that form only.
 
-    The path is given as a pattern that matches only itself, since a stream
-    accepts a single file in that form only.
+    It matches nothing else, but for a path that ends in neither letter nor digit.
     """
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    path = path.rstrip("/")
+    escaped = "".join(f"\\{c}" if c in "*?{}[]\\" else c for c in path[:-1])
+    return f"{escaped}[{path[-1]}]" if path[-1].isalnum() else f"{escaped}?"
+
+
+def read_files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
+    """A parquet table (a file or a folder) as a stream, its schema taken from the files there now."""
+    reader = spark.readStream.schema(spark.read.parquet(only(path)).schema)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    return reader.parquet(only(path))
 
 
 def _per_batch(path: str, make: Callable[[DataFrame], DataFrame]):
@@ -51,44 +57,76 @@ def run_batches(
     job.awaitTermination()
 
 
-def hourly_profile(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Tumbling one-hour profile per address pair.
+HOUR_KEYS = ["lgtime", "src_ip", "dst_ip"]
+
+
+def hourly_parts(rows: DataFrame) -> DataFrame:
+    """What one batch adds to the one-hour profile of each address pair: values that can be merged.
+
+    Ports are kept as sets, of 65,536 at most.
+    """
+    marks = {**method_marks(), **status_marks()}
+    start = F.date_trunc("hour", "end_time").cast("timestamp_ntz").alias("lgtime")
+    return rows.groupBy(start, "src_ip", "dst_ip").agg(
+        F.max("end_time").alias("end_time"),
+        F.count(F.lit(1)).alias("cnt"),
+        F.collect_set("dst_port").alias("ports"),
+        F.sum("bytes_forward").alias("bytes"),
+        *[F.count_if(mark).alias(name) for name, mark in marks.items()],
+    )
+
 
-    Ports are counted exactly: at most 65,536 are kept per open window. Rows
-    later than the watermark are dropped.
+def run_hourly_profile(stream: DataFrame, path: str) -> DataFrame:
+    """Adds the stream's batches to the stored parts and returns the profile over all of them.
+
+    Parts are merged when read, so a row may come as late as it likes.
     """
-    measures = {
-        "end_time": F.max("end_time"),
-        "cnt": F.count(F.lit(1)),
-        "ports": distinct_ports(),
-        "bytes": F.sum("bytes_forward"),
-        **method_ratios(),
-        **status_ratios(),
-    }
-    timed = stream.withColumn("at", F.col("end_time").cast("timestamp")).withWatermark("at", late)
-    windowed = timed.groupBy(F.window("at", "1 hour").alias("w"), "src_ip", "dst_ip")
-    out = windowed.agg(*[c.alias(n) for n, c in measures.items()])
-    start = F.col("w.start").cast("timestamp_ntz").alias("lgtime")
-    return out.select(start, *[c for c in out.columns if c != "w"])
-
-
-def run_hourly_profile(stream: DataFrame, path: str, late: str = "1 hour") -> DataFrame:
-    """Runs the profile; each window's row is the one of the last batch that changed it."""
-    run_batches(hourly_profile(stream, late), path, "update")
+    run_batches(stream, path, make=hourly_parts)
     return current_profile(stream.sparkSession, path)
 
 
 def current_profile(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(f"{path}/data")
-    return last_by(rows, ["lgtime", "src_ip", "dst_ip"], "batch_id").drop("batch_id")
+    parts = spark.read.parquet(f"{path}/data")
+    marks = [*method_marks(), *status_marks()]
+    return parts.groupBy(*HOUR_KEYS).agg(
+        F.max("end_time").alias("end_time"),
+        F.sum("cnt").alias("cnt"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("ports")))).cast("bigint").alias("ports"),
+        F.sum("bytes").alias("bytes"),
+        *[(F.sum(n) / F.sum("cnt")).alias(n) for n in marks],
+    )
 
 
 def run_scoring(
-    stream: DataFrame, path: str, score: Callable[[DataFrame], DataFrame]
+    stream: DataFrame, path: str, keys: Sequence[str], score: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Scores each batch with the batch scorer and appends the result rows."""
-    run_batches(stream, path, make=score)
-    return stream.sparkSession.read.parquet(f"{path}/data").drop("batch_id")
+    """Stores the stream's rows and scores each key they touch on all its rows so far.
+
+    ``score`` takes log rows and gives one row per key. A key scored before gets a new
+    row, which replaces the earlier one in what is returned. Rows are filed by batch
+    and scores by the last batch they cover, so a start that is repeated after a loss
+    writes the same files again.
+    """
+    spark = stream.sparkSession
+    run_batches(stream, path)
+    rows = spark.read.parquet(f"{path}/data")
+    newest = rows.agg(F.max("batch_id")).first()[0]
+    done = _scored(spark, path)
+    before = -1 if done is None else done.where(F.col("upto") < newest).agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+    fresh = rows.where(F.col("batch_id") > before).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    touched = rows.join(fresh, same, "left_semi").drop("batch_id")
+    score(touched).write.mode("overwrite").parquet(f"{path}/scores/upto={newest}")
+    scored = _scored(spark, path)
+    last = scored.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("upto").alias("_upto"))
+    return scored.join(last, [*same, F.col("upto") == F.col("_upto")], "left_semi").drop("upto")
+
+
+def _scored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{path}/scores")
+    except AnalysisException:  # nothing scored so far
+        return None
 
 
 def run_token_counts(
