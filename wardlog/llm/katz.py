@@ -20,6 +20,8 @@ pair count of 1 to ``K``; these numbers are sent along, so one pass is enough.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -31,8 +33,9 @@ from wardlog.session import scratch, stored
 
 K, DELTA, HOT = 5, 0.01, 1000
 START, END = np.uint64(0), np.uint64(1)
-SLICE = 12 << 20
-PAIR_ROWS = 3_000_000
+SLICE = 5 << 20
+# A partition holds the pairs of about so many bytes of text and is worked on in SUB pieces.
+PART_BYTES, LEAST_PARTS, SUB = 48 << 20, 8, 16
 
 
 def pack(a: np.ndarray, differences: bool = False) -> bytes:
@@ -61,8 +64,20 @@ def token_ids(text: bytes | None) -> np.ndarray:
     return np.append(h, END)
 
 
+def piece_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    return ((ids >> np.uint64(32)) % np.uint64(parts * SUB)).astype(np.int64)
+
+
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    return ((ids >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    return piece_of(ids, parts) // SUB
+
+
+def by_part(ids: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """The partitions of some ids and the places of their ids, in order."""
+    home = part_of(ids, parts)
+    order = np.argsort(home, kind="stable")
+    cuts = np.searchsorted(home[order], np.arange(parts + 1))
+    return [(q, order[a:b]) for q, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
 
 def place(found: np.ndarray, sorted_ids: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -110,14 +125,7 @@ def count_words(texts: DataFrame, parts: int) -> DataFrame:
             ids = [token_ids(t) for t, train in zip(part["text"].to_pylist(), part["train"].to_pylist(), strict=True) if train]
             if ids:
                 found, n = np.unique(np.concatenate(ids), return_counts=True)
-                home = part_of(found, parts)
-                order = np.argsort(home, kind="stable")
-                cuts = np.searchsorted(home[order], np.arange(parts + 1))
-                rows = [
-                    (p, pack(found[order[a:b]], True), pack(n[order[a:b]].astype(np.int64)))
-                    for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
-                    if b > a
-                ]
+                rows = [(p, pack(found[o], True), pack(n[o].astype(np.int64))) for p, o in by_part(found, parts)]
                 yield batch_of(rows, ["p", "words", "counts"], kinds)
 
     def merge(part):
@@ -173,15 +181,21 @@ def share(c: np.ndarray, facts: dict) -> np.ndarray:
 
 # --- pairs
 
-POSTINGS = "p int, words binary, runs binary, before binary, doc binary, docs binary, train binary"
+POSTINGS = """p int, words array<binary>, runs array<binary>, before array<binary>, doc array<binary>,
+    names binary, docs binary, train binary"""
 OUT = "kind string, p int, a binary, b binary, c binary, d binary, e binary"
 OUT_NAMES = ["kind", "p", "a", "b", "c", "d", "e"]
+OUT_KINDS = [pa.string(), pa.int32(), *[pa.binary()] * 5]
 
 
 def postings(texts: DataFrame, facts: dict, parts: int) -> DataFrame:
-    """Each token with the token before it and its document, by partition of the token."""
+    """Each token with the token before it and its document, by partition of the token.
+
+    A row is a partition of a slice of texts; its lists have an entry a piece. names
+    lists the tokens before, docs and train the documents; before and doc point there.
+    """
     hot = facts["hot"]
-    names = ["p", "words", "runs", "before", "doc", "docs", "train"]
+    names = ["p", "words", "runs", "before", "doc", "names", "docs", "train"]
 
     def run(batches):
         for part in text_slices(batches, SLICE):
@@ -190,115 +204,130 @@ def postings(texts: DataFrame, facts: dict, parts: int) -> DataFrame:
             train = part["train"].to_numpy(zero_copy_only=False)
             sizes = np.array([len(x) for x in ids])
             known, w = np.unique(np.concatenate([[START], *ids]), return_inverse=True)
+            del ids
             w = w[1:]
-            doc = np.repeat(np.arange(len(ids)), sizes)
             v = np.concatenate([[0], w[:-1]])  # START is the smallest id
             v[np.cumsum(sizes)[:-1]] = 0
-            home = part_of(known, parts)[w]
+            home = piece_of(known, parts)[w]
             spread = np.isin(known, hot)[w]
-            home[spread] = part_of(mix(known[w[spread]] * GOLDEN + known[v[spread]]), parts)
-            code = np.sort(((home * len(known) + w) * len(known) + v) * len(ids) + doc)
-            code, doc = np.divmod(code, len(ids))
+            home[spread] = piece_of(mix(known[w[spread]] * GOLDEN + known[v[spread]]), parts)
+            code = ((home * len(known) + w) * len(known) + v) * len(sizes) + np.repeat(np.arange(len(sizes)), sizes)
+            del home, spread, w, v
+            code.sort()
+            code, doc = np.divmod(code, len(sizes))
             code, v = np.divmod(code, len(known))
             home, w = np.divmod(code, len(known))
-            cuts = np.searchsorted(home, np.arange(parts + 1))
+            cuts = np.searchsorted(home, np.arange(parts * SUB + 1))
+            del code, home
             rows = []
-            for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if b > a:
+            for p in range(parts):
+                low, high = cuts[p * SUB], cuts[p * SUB + SUB]
+                if high == low:
+                    continue
+                ahead, before = np.unique(v[low:high], return_inverse=True)
+                here, local = np.unique(doc[low:high], return_inverse=True)
+                before, local = before.astype(np.int32), local.astype(np.int32)
+                lists: list = [[], [], [], []]
+                for piece in range(p * SUB, p * SUB + SUB):
+                    a, b = cuts[piece], cuts[piece + 1]
                     starts = np.flatnonzero(np.diff(w[a:b], prepend=-1))
-                    runs = np.diff(starts, append=b - a).astype(np.int32)
-                    here, local = np.unique(doc[a:b], return_inverse=True)
-                    rows.append((
-                        p, pack(known[w[a + starts]], True), pack(runs), pack(known[v[a:b]], True),
-                        pack(local.astype(np.int32)), pack(keys[here]), pack(train[here].astype(np.uint8)),
-                    ))
-            yield batch_of(rows, names, [pa.int32(), *[pa.binary()] * 6])
+                    found = (
+                        pack(known[w[a + starts]], True), pack(np.diff(starts, append=b - a).astype(np.int32)),
+                        pack(before[a - low : b - low]), pack(local[a - low : b - low]),
+                    )
+                    for whole, one in zip(lists, found, strict=True):
+                        whole.append(one)
+                rows.append((p, *lists, pack(known[ahead], True), pack(keys[here]), pack(train[here].astype(np.uint8))))
+            yield batch_of(rows, names, [pa.int32(), *[pa.list_(pa.binary())] * 4, *[pa.binary()] * 3])
 
     return texts.select("text", "train", "key").mapInArrow(run, POSTINGS)
 
 
 def doc_rows(keys: np.ndarray, floats: list[np.ndarray], whole: np.ndarray, parts: int) -> list[tuple]:
     """Sums for documents, dealt by document: a = keys, b and c = two sums, d = counts (a row a count)."""
-    home = part_of(mix(keys), parts)
-    order = np.argsort(home, kind="stable")
-    cuts = np.searchsorted(home[order], np.arange(parts + 1))
     out = []
-    for q, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if b > a:
-            at = order[a:b]
-            at = at[np.argsort(keys[at])]
-            out.append(("doc", q, pack(keys[at], True), pack(floats[0][at]), pack(floats[1][at]), pack(whole[:, at].reshape(-1)), b""))
+    for q, at in by_part(mix(keys), parts):
+        at = at[np.argsort(keys[at])]
+        out.append(("doc", q, pack(keys[at], True), pack(floats[0][at]), pack(floats[1][at]), pack(whole[:, at].reshape(-1)), b""))
     return out
 
 
 def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, keep_pairs: bool = True) -> DataFrame:
     """What each partition of pairs gives: rows of kind doc, context, unseen, pair and seen."""
 
-    def merge(left, right):
-        import pandas as pd
+    total = facts["tokens"] + 0.1 * (facts["size"] + 1)
 
-        w, v, doc, docs, train, ahead = [], [], [], [], [], 0
-        for r in left.itertuples():
-            w.append(np.repeat(unpack(r.words, np.uint64, True), unpack(r.runs, np.int32)))
-            v.append(unpack(r.before, np.uint64, True))
-            doc.append(unpack(r.doc, np.int32).astype(np.int64) + ahead)
-            docs.append(unpack(r.docs, np.uint64))
-            train.append(unpack(r.train, np.uint8))
-            ahead += len(docs[-1])
-        if not ahead:
-            return pd.DataFrame({c: [] for c in OUT_NAMES})
-        p = int(left["p"].iloc[0])
-        w, v, doc, docs, train = map(np.concatenate, (w, v, doc, docs, train))
+    def piece(lists, names, ahead, docs, train, j, known):
+        """Sums by document of one piece, and its pairs."""
+        get = lambda c, i, *kind: unpack(lists[c][i * SUB + j].as_py(), *kind)
+        each_row = range(len(names))
+        w = np.concatenate([np.repeat(get("words", i, np.uint64, True), get("runs", i, np.int32)) for i in each_row])
+        v = np.concatenate([names[i][get("before", i, np.int32)] for i in each_row])
+        doc = np.concatenate([get("doc", i, np.int32).astype(np.int64) + ahead[i] for i in each_row])
         key = mix(w * GOLDEN + v)
         order = np.argsort(key)
         key, w, v, doc = key[order], w[order], v[order], doc[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        c = np.add.reduceat(train[doc].astype(np.int64), starts)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        c = np.add.reduceat(train[doc].astype(np.int64), starts) if len(key) else np.empty(0, np.int64)
         each = np.repeat(c, np.diff(starts, append=len(key)))
-        ids, counts = (unpack(right["words"].iloc[0], np.uint64, True), unpack(right["counts"].iloc[0], np.int64)) if len(right) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        n = np.maximum(place(w, ids, counts), place(w, facts["hot"], facts["hot_n"]))
-        total = facts["tokens"] + 0.1 * (facts["size"] + 1)
+        n = np.maximum(place(w, *known), place(w, facts["hot"], facts["hot_n"]))
         seen = each > 0
-        score = np.zeros(len(w))
-        score[seen] = np.log10(np.where(each[seen] > K, each[seen] - DELTA, each[seen]))
+        score = np.log10(np.where(each > K, each - DELTA, np.maximum(each, 1)))
         context = (w != END) & (n > 0)
         score[context] -= np.log10(n[context])
         sums = lambda x: np.bincount(doc, x, len(docs))
         whole = np.stack([sums(None), sums(n > 0), *(sums(each == r) for r in range(1, K + 1))]).astype(np.int32)
-        rows = doc_rows(docs, [sums(score), sums(np.log10((n + 0.1) / total))], whole, parts)
-
-        pair_w, pair_v, pair_n = w[starts], v[starts], n[starts]
-        real = c > 0
-        before, at = np.unique(pair_v[real], return_inverse=True)
-        per = lambda x: np.bincount(at, x, len(before))
-        mass = per(share(pair_n[real], facts)) if len(before) else np.empty(0)
-        many = np.stack([*(per(c[real] == r) for r in range(1, K + 1)), per(c[real] > K)]).astype(np.int32) if len(before) else np.empty((K + 1, 0), np.int32)
-        home = part_of(before, parts)
-        order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(parts + 1))
-        for q, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if b > a:
-                o = order[a:b]
-                rows.append(("context", q, pack(before[o], True), pack(mass[o]), pack(many[:, o].reshape(-1)), b"", b""))
-        miss = np.flatnonzero(~seen)
-        home = part_of(v[miss], parts)
-        order = miss[np.argsort(home, kind="stable")]
-        cuts = np.searchsorted(np.sort(home), np.arange(parts + 1))
-        for q, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if b > a:
-                o = order[a:b]
-                o = o[np.argsort(v[o], kind="stable")]
-                here, local = np.unique(doc[o], return_inverse=True)
-                rows.append(("unseen", q, pack(v[o], True), pack(local.astype(np.int32)), pack(docs[here]), pack(np.log10(share(n[o], facts))), b""))
-        if keep_pairs:
-            o = np.flatnonzero(real)
-            o = o[np.lexsort((pair_v[o], pair_w[o]))]
-            heads = np.flatnonzero(np.concatenate([[True], pair_w[o][1:] != pair_w[o][:-1]])) if len(o) else np.empty(0, np.int64)
-            rows.append(("pair", p, pack(pair_w[o][heads], True), pack(np.diff(heads, append=len(o)).astype(np.int32)), pack(pair_v[o], True), pack(c[o].astype(np.int32)), b""))
-        rows.append(("seen", p, pack(np.array([(c == r).sum() for r in range(1, K + 2)], np.int64)), b"", b"", b"", b""))
-        return pd.DataFrame(rows, columns=OUT_NAMES)
+        miss = ~seen
+        real = starts[c > 0]
+        return sums(score), sums(np.log10((n + 0.1) / total)), whole, (w[real], v[real], c[c > 0], n[real]), (v[miss], doc[miss], n[miss])
 
-    return found.groupBy("p").cogroup(table.groupBy("p")).applyInPandas(merge, OUT)
+    def merge(left, right):
+        if not left.num_rows:
+            return pa.Table.from_batches([batch_of([], OUT_NAMES, OUT_KINDS)])
+        p = left["p"][0].as_py()
+        # the lists stay in Arrow's memory; each piece is unpacked when its turn comes
+        lists = {c: left[c].combine_chunks().flatten() for c in ("words", "runs", "before", "doc")}
+        names = [unpack(b.as_py(), np.uint64, True) for b in left["names"]]
+        docs = [unpack(b.as_py(), np.uint64) for b in left["docs"]]
+        ahead = np.cumsum([0, *map(len, docs)])[:-1]
+        docs, train = np.concatenate(docs), np.concatenate([unpack(b.as_py(), np.uint8) for b in left["train"]])
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        known = (unpack(right["words"][0].as_py(), np.uint64, True), unpack(right["counts"][0].as_py(), np.int64)) if right.num_rows else none
+        score, base, whole = np.zeros(len(docs)), np.zeros(len(docs)), np.zeros((K + 2, len(docs)), np.int32)
+        seen = np.zeros(K + 1, np.int64)
+        rows, contexts, missed = [], [], []
+        for j in range(SUB):
+            one, two, three, (w, v, c, n), miss = piece(lists, names, ahead, docs, train, j, known)
+            score += one
+            base += two
+            whole += three
+            missed.append(miss)
+            seen += [int((c == r).sum()) for r in range(1, K + 2)]
+            before, at = np.unique(v, return_inverse=True)
+            per = lambda x, at=at, m=len(before): np.bincount(at, x, m)
+            many = np.stack([*(per(c == r) for r in range(1, K + 1)), per(c > K)]).astype(np.int32)
+            contexts.append((before, per(share(n, facts)), many))
+            if keep_pairs:
+                o = np.lexsort((at, w))
+                heads = np.flatnonzero(np.concatenate([[True], w[o][1:] != w[o][:-1]])) if len(o) else np.empty(0, np.int64)
+                runs = np.diff(heads, append=len(o)).astype(np.int32)
+                rows.append(("pair", p, pack(w[o][heads], True), pack(runs), pack(before, True), pack(at[o].astype(np.int32)), pack(c[o].astype(np.int32))))
+        rows += doc_rows(docs, [score, base], whole, parts)
+
+        before, at = np.unique(np.concatenate([x[0] for x in contexts]), return_inverse=True)
+        mass = np.bincount(at, np.concatenate([x[1] for x in contexts]), len(before))
+        many = np.stack([np.bincount(at, np.concatenate([x[2][r] for x in contexts]), len(before)) for r in range(K + 1)]).astype(np.int32)
+        for q, o in by_part(before, parts):
+            rows.append(("context", q, pack(before[o], True), pack(mass[o]), pack(many[:, o].reshape(-1)), b"", b""))
+        v, doc, n = (np.concatenate(x) for x in zip(*missed, strict=True))
+        for q, o in by_part(v, parts):
+            o = o[np.argsort(v[o], kind="stable")]
+            here, local = np.unique(doc[o], return_inverse=True)
+            rows.append(("unseen", q, pack(v[o], True), pack(local.astype(np.int32)), pack(docs[here]), pack(np.log10(share(n[o], facts))), b""))
+        rows.append(("seen", p, pack(seen), b"", b"", b"", b""))
+        return pa.Table.from_batches([batch_of(rows, OUT_NAMES, OUT_KINDS)])
+
+    return found.groupBy("p").cogroup(table.groupBy("p")).applyInArrow(merge, OUT)
 
 
 def weigh_contexts(found: DataFrame, table: DataFrame, facts: dict, d: np.ndarray, parts: int) -> DataFrame:
@@ -356,11 +385,18 @@ def document_sums(found: DataFrame, d: np.ndarray, texts: int) -> DataFrame:
     return found.groupBy("p").applyInPandas(merge, "key bigint, score double, base_score double, n_tokens bigint, n_known bigint")
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files that no live plan refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class KatzModel:
     """The tables of a fitted model below one folder, and the scores of the texts it was counted with.
 
-    words: (p, words, counts); pairs: rows of kind pair (a = words, b = how many pairs
-    each has, c = words before, d = counts) and weight (a = contexts, b = alpha).
+    words: (p, words, counts). pairs: rows of kind pair, a piece of a partition each (a =
+    words, b = how many pairs each ends, c = names of the words before, d = places
+    there, e = counts). weights: rows of kind weight (a = contexts, b = alpha).
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10):
@@ -369,16 +405,16 @@ class KatzModel:
         key = F.xxhash64(id_col, text_col)
         texts = docs.select(as_bytes(text_col), train.alias("train"), key.alias("key"))
         self.rows = stored(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (~train).alias("held_out"), key.alias("key")), "texts")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        parts = max(LEAST_PARTS, -(-size // PART_BYTES))
         self.words = stored(count_words(texts, parts), "words")
+        drop_shuffles(spark)
         facts = word_facts(self.words)
         facts["texts"] = self.rows.where("not held_out").count()
-        if facts["tokens"] > PAIR_ROWS * parts:  # more tokens, more partitions: a task's share stays bounded
-            parts = -(-facts["tokens"] // PAIR_ROWS)
-            self.words = stored(count_words(texts, parts), "words")
         self.facts, self.parts = facts, parts
         path = scratch(spark, "pairs")
         count_pairs(postings(texts, facts, parts), self.words, facts, parts).write.partitionBy("kind").parquet(path)
+        drop_shuffles(spark)
         read = lambda: spark.read.schema(OUT).parquet(path)
         seen = {r: 0 for r in range(1, K + 2)}
         for row in read().where("kind = 'seen'").select("a").collect():  # a row a partition
@@ -388,6 +424,7 @@ class KatzModel:
         waiting = read().where("kind in ('context', 'unseen')")
         weights = scratch(spark, "weights")
         weigh_contexts(waiting, self.words, facts, self.d, parts).write.partitionBy("kind").parquet(weights)
+        drop_shuffles(spark)
         self.pairs = read().where("kind = 'pair'")
         self.weights = spark.read.schema(OUT).parquet(weights).where("kind = 'weight'")
         late = spark.read.schema(OUT).parquet(weights)
