@@ -15,9 +15,9 @@ BLANKS = (
 )
 
 
-def split_words(c: str) -> Column:
-    """Words between blanks; none for an empty text."""
-    return F.filter(F.split(c, BLANKS), lambda w: w != "")
+def pieces(c: str) -> Column:
+    """The text cut at blanks; a blank at either end leaves an empty piece."""
+    return F.split(c, BLANKS)
 
 
 def token_counts(
@@ -27,17 +27,12 @@ def token_counts(
     groups: Sequence[str] = (),
 ) -> DataFrame:
     """Counts per (group, column, token): words of texts, whole values of numbers."""
-
-    def tagged(c: str, tokens: Column) -> Column:
-        return F.transform(tokens, lambda t: F.struct(F.lit(c).alias("column"), t.alias("token")))
-
-    parts = [tagged(c, split_words(c)) for c in texts]
-    parts += [tagged(c, F.array(F.col(c).cast("string"))) for c in numbers]
-    return (
-        df.select(*groups, F.explode(F.concat(*parts)).alias("t"))
-        .groupBy(*groups, F.col("t.column").alias("column"), F.col("t.token").alias("token"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    parts = [(c, pieces(c)) for c in texts] + [(c, F.array(F.col(c).cast("string"))) for c in numbers]
+    lists = F.array(*[F.struct(F.lit(c).alias("column"), p.alias("tokens")) for c, p in parts])
+    rows = df.select(*groups, F.explode(lists).alias("p"))
+    rows = rows.select(*groups, F.col("p.column").alias("column"), F.explode("p.tokens").alias("token"))
+    rows = rows.where(F.col("token").isNull() | (F.col("token") != ""))
+    return rows.groupBy(*groups, "column", "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def merged_counts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -46,33 +41,25 @@ def merged_counts(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _text_tokens(df: DataFrame, key: str, text: str, groups: Sequence[str]) -> DataFrame:
-    return (
-        df.select(key, *groups, F.explode(split_words(text)).alias("token"))
-        .groupBy(key, *groups, "token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """A row a word; a text without words has one row with a null token."""
+    token = F.explode_outer(pieces(text)).alias("token")
+    return df.select(key, *groups, token).withColumn("token", F.nullif("token", F.lit("")))
 
 
 def _fold(met: DataFrame, key: str, total) -> DataFrame:
-    """Score per key from its tokens' counts; 0 where a token is unknown."""
-    known = F.count("cnt") == F.count(F.lit(1))
-    mean = F.sum(F.col("cnt") * F.col("n")) / F.sum("n")
-    score = F.when(known, 1 - F.sqrt(mean / total))
+    """Score per key from its words' counts; 0 where a word is unknown or there is none."""
+    words = F.count("token")
+    known = (words > 0) & (F.count("cnt") == words)
+    score = F.when(known, 1 - F.sqrt(F.sum("cnt") / words / total))
     return met.groupBy(key).agg(F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
-def _all_rows(df: DataFrame, key: str, scores: DataFrame) -> DataFrame:
-    return df.select(key).join(scores, key, "left").withColumn(
-        "score", F.coalesce("score", F.lit(0.0))
-    )
-
-
 def text_rarity(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame:
     """1 - sqrt(mean token count / all tokens); 0 for unknown tokens and empty texts."""
     mine = counts.where(F.col("column") == text).select("token", "cnt")
     total = mine.agg(F.sum("cnt")).scalar()
     met = _text_tokens(df, key, text, ()).join(mine, "token", "left")
-    return _all_rows(df, key, _fold(met, key, total))
+    return _fold(met, key, total)
 
 
 def value_rarity(df: DataFrame, key: str, column: str, counts: DataFrame) -> DataFrame:
@@ -126,6 +113,6 @@ def grouped_text_rarity(
 ) -> DataFrame:
     """Text rarity within the group's dictionary, or the common one."""
     tokens = _text_tokens(df, key, text, [group])
-    found = _resolved(tokens.select(group, "token").distinct(), counts, text, group)
-    met = tokens.join(found, [group, "token"], "left")
-    return _all_rows(df, key, _fold(met, key, F.max("total")))
+    pairs = tokens.where("token is not null").select(group, "token").distinct()
+    met = tokens.join(_resolved(pairs, counts, text, group), [group, "token"], "left")
+    return _fold(met, key, F.max("total"))
