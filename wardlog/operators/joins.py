@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlog.functions.times import start_of
+
 
 def _keys(listed: DataFrame, list_key: str, key: str) -> DataFrame:
     return listed.select(F.col(list_key).alias(key)).where(F.col(key).isNotNull()).distinct()
@@ -66,24 +68,28 @@ def members_of_windows(
 ) -> DataFrame:
     """Log rows inside each (key, start_time, end_time) window.
 
-    Equal windows are joined once. Windows are cut into days and the join is on
-    (key, day), so one busy key is spread over the days it was active.
+    Equal windows are joined once. Windows are cut into hours and the join is on
+    (key, hour), so one busy key is spread over the hours it was active and a row
+    meets only windows of its hour. The log is first bounded by the first start and
+    the last end, which are taken once as scalar subqueries.
     """
+    asked = windows.select(key, "start_time", "end_time").where(F.col("start_time") <= F.col("end_time"))
+    hour = lambda c: start_of("hour", F.col(c))
     cut = (
-        windows.select(key, "start_time", "end_time")
-        .distinct()
-        .where(F.col("start_time") <= F.col("end_time"))
+        asked.distinct()
         .withColumnsRenamed({"end_time": "window_end", "start_time": "window_start"})
         .withColumn(
-            "_day", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end")))
+            "_hour", F.explode(F.sequence(hour("window_start"), hour("window_end"), F.expr("interval 1 hour")))
         )
     )
+    first, last = asked.agg(F.min("start_time")).scalar(), asked.agg(F.max("end_time")).scalar()
     inside = (F.col(log_start) >= F.col("window_start")) & (F.col(log_end) <= F.col("window_end"))
     return (
-        log.withColumn("_day", F.to_date(log_start))
-        .join(cut, [key, "_day"])
+        log.where((F.col(log_start) >= first) & (F.col(log_end) <= last))
+        .withColumn("_hour", hour(log_start))
+        .join(cut, [key, "_hour"])
         .where(inside)
-        .drop("_day")
+        .drop("_hour")
     )
 
 

@@ -69,6 +69,22 @@ def dns_feedback(log, feedback, domains, ranges, model_id: int, texts=True, **si
     return _label(out, verdicts, columns)
 
 
+# Which profile the models of the feedback table are trained on.
+HTTP_MODELS, LIGHT_MODELS, DNS_MODELS = (30,), (1,), (40, 41, 42)
+
+
+def model_feedback(model_id: int, feedback, http_log, dns_log, domains, ranges, **size) -> DataFrame | None:
+    """Training rows from the verdicts on one model, by the profile it uses; None for other models."""
+    if model_id in HTTP_MODELS:
+        return http_feedback(http_log, feedback, model_id, **size)
+    if model_id in LIGHT_MODELS:
+        return http_feedback(http_log, feedback, model_id, bytes_too=False, texts=False, **size)
+    if model_id in DNS_MODELS:
+        return dns_feedback(dns_log, feedback, domains, ranges, model_id, **size)
+    return None
+
+
+
 def unlike_feedback(
     samples: DataFrame,
     verdicts: DataFrame,
