@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from wardlog.session import stored
 
 MAX_ROWS, TERMS, LEAST_DOCS, LIFT, STEPS, CLOSE = 8_000, 96, 3, 4.0, 40, 1e-5
+NONE = "\n"  # stands for texts without any marker
 BREAKS = r"[\x20\x09-\x0D]+"
 
 
@@ -50,8 +51,8 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: in
     Learned from at most ``max_rows`` labelled rows, those with the smallest id hash (a
     documented bound). Markers are terms at least ``LIFT`` times as frequent in one
     domain as in the others; of these the ones that tell most. A missing term says
-    nothing, so short texts are not taken for another domain. Labels of other domains,
-    null labels and null ids are not used.
+    nothing, so short texts are not taken for another domain, but having none at all
+    counts like a term. Labels of other domains, null labels and null ids are not used.
     """
     rows = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(max_rows)
@@ -78,22 +79,38 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: in
     weights = {
         r["term"]: [math.log((r[f"n{j}"] + 0.5) / (size.get(d, 0) + 1)) for j, d in enumerate(domains)] for r in best
     }
+    if weights:
+        found = F.array_intersect("terms", F.array(*map(F.lit, weights)))
+        bare = {r["domain"]: r["count"] for r in texts.where(F.size(found) == 0).groupBy("domain").count().collect()}
+        weights[NONE] = [math.log((bare.get(d, 0) + 0.5) / (size.get(d, 0) + 1)) for d in domains]
     return start, weights
 
 
-def memberships(text: Column, domains: list[str], start: list[float], weights: Mapping[str, list[float]]) -> list[Column]:
-    """Likelihood of each domain given the text; they add up to 1."""
-    zero = F.array(*(F.lit(b) for b in start))
-    if weights:
-        table = F.create_map(*(c for t, w in weights.items() for c in (F.lit(t), F.array(*map(F.lit, w)))))
-        here = F.array_intersect(terms(text), F.array(*map(F.lit, weights)))
-        score = F.aggregate(here, zero, lambda acc, t: F.zip_with(acc, F.element_at(table, t), lambda a, b: a + b))
-    else:
-        score = zero
-    top = F.array_max(score)
-    scaled = F.transform(score, lambda s: F.exp(s - top))
-    share = F.transform(scaled, lambda s: s / F.aggregate(scaled, F.lit(0.0), lambda a, b: a + b))
-    return [share[j].alias(f"p_{d}") for j, d in enumerate(domains)]
+def _adding(table: Column):
+    return lambda total, term: total + F.element_at(table, term)
+
+
+def with_memberships(
+    rows: DataFrame, text_col: str, domains: list[str], start: list[float], weights: Mapping[str, list[float]]
+) -> DataFrame:
+    """Adds the likelihood of each domain given the text, as p_<domain>; they add up to 1.
+
+    Done in steps, so that a text is cut into terms once however many domains there are.
+    """
+    markers = F.array(*map(F.lit, weights)) if weights else F.array().cast("array<string>")
+    rows = rows.withColumn("_here", F.array_intersect(terms(F.col(text_col)), markers))
+    rows = rows.withColumn("_here", F.when(F.size("_here") == 0, F.array(F.lit(NONE))).otherwise(F.col("_here")))
+    for j, d in enumerate(domains):
+        score = F.lit(start[j])
+        if weights:
+            table = F.create_map(*(c for t, w in weights.items() for c in (F.lit(t), F.lit(w[j]))))
+            score = F.aggregate("_here", score, _adding(table))
+        rows = rows.withColumn(f"_s_{d}", score)
+    scores = [F.col(f"_s_{d}") for d in domains]
+    top = F.greatest(*scores, F.lit(float("-inf")))
+    rows = rows.withColumns({f"_e_{d}": F.exp(s - top) for d, s in zip(domains, scores)})
+    total = sum((F.col(f"_e_{d}") for d in domains), F.lit(0.0))
+    return rows.withColumns({f"p_{d}": F.col(f"_e_{d}") / total for d in domains})
 
 
 def fitted_rates(
@@ -169,9 +186,8 @@ def mixed(
     domains = list(weights)
     start, learned = learn(docs, labelled, domains, max_rows, id_col, text_col)
     text = F.col(text_col)
-    rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), token_count(text).alias("n_tokens"), *memberships(text, domains, start, learned)
-    )
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), token_count(text).alias("n_tokens"), text.alias("_text"))
+    rows = with_memberships(rows, "_text", domains, start, learned).select("doc_id", "n_tokens", *(f"p_{d}" for d in domains))
     rows = fitted_rates(stored(rows, "memberships"), weights, anchor, lower, upper)
     chance = F.xxhash64(F.lit(seed), "doc_id", "n_tokens") / F.lit(2.0**64) + 0.5
     return rows.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
