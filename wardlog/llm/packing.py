@@ -21,9 +21,9 @@ FINE = 12  # lengths below 2**FINE are exact grid points, longer ones keep 7 lea
 
 def word_count(text: str | Column = "text") -> Column:
     """Words of the text and one end token; 1 for an empty or null text."""
-    bare = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
-    counted = F.size(F.split(bare, " +"))
-    return F.when(F.length(bare) > 0, counted).otherwise(0).cast("bigint") + 1
+    text = F.col(text) if isinstance(text, str) else text
+    found = F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    return F.coalesce(found, F.lit(0)).cast("bigint") + 1
 
 
 def grid_length(length: Column) -> Column:
