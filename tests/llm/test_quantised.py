@@ -51,6 +51,21 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert all(got[i][0] <= want[i][0] for i in want)  # none below the threshold
 
 
+def test_many_lists_lose_no_pair(spark, monkeypatch):
+    """Data of few dimensions in 64, many lists: neighbours lie in directions that random ones hardly show."""
+    monkeypatch.setattr(quantised, "LIST_ROWS", 16)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 5)) @ rng.normal(size=(5, 64)) + 0.05 * rng.normal(size=(1200, 64))
+    rows = [(i, [float(np.float32(v)) for v in row], 1) for i, row in enumerate(x)]
+    u = quantised.unit(np.array([r[1] for r in rows]))
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    groups = quantised.local_groups(len(u), *np.nonzero(near))
+    got = found(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(4))
+    assert near.sum() > 2_000
+    assert got == {i: (int(near[i].sum()), int(groups[i])) for i in range(len(u))}
+
+
 def test_one_hot_vector_and_given_table(spark, table):
     rows = [(i, [1.0, 2.0, 3.0], 1) for i in range(500)] + [(900, [2.0, 4.0, 6.0], 1), (901, [1.0, 2.0, 3.0], 2)]
     got = found(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"))

@@ -5,13 +5,14 @@ the list of its nearest centroid; what is left is coded by one of ``CODES`` cent
 in each of ``PARTS`` subspaces. Both are trained on ``SAMPLE`` vectors (a bounded,
 documented sample); every vector is indexed.
 
-A query probes its nearest lists. How many suffice is measured: neighbours at exactly
-the threshold are made for sampled vectors in random directions, and the probes
-reach the list of all but one in a thousand of them, and a quarter more lists; nearer
-neighbours are reached more often still. In a list, distances come from a table of
-the query's subspace distances (asymmetric); a candidate stays if this distance, less
-the stored coding error, reaches the radius, which loses none. What stays is decided
-on the exact cosine. Lists are cut into blocks of bounded size.
+A vector lies on its list's side of each plane half way between the list's centroid and
+another one. A query probes a list unless all vectors within the threshold's angle lie
+beyond one of these planes (its own list's, or those of the ``PLANES`` nearest centroids),
+so no neighbour is missed, whatever the data. Of two lists one only asks the other, and a
+pair found counts for both sides. In a list, distances come from a table of the query's
+subspace distances (asymmetric); a candidate stays if this distance, less the stored
+coding error, reaches the radius, which loses none either. What stays is decided on the
+exact cosine. Lists are cut into blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from wardlog.llm.components import components
 from wardlog.session import stored
 
-SAMPLE, LISTS, LIST_ROWS, PARTS, CODES, BLOCK = 20_000, 1_024, 512, 8, 64, 2_000
+SAMPLE, LISTS, LIST_ROWS, PARTS, CODES, BLOCK, PLANES = 20_000, 1_024, 512, 8, 64, 2_000, 8
 SLACK = 1e-6
 
 
@@ -80,20 +81,22 @@ class Codec:
         decoded = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
         return at, codes, np.sqrt(((rest - decoded) ** 2).sum(1))
 
-    def ranks(self, x: np.ndarray) -> np.ndarray:
-        """Lists of each row of ``x``, nearest first."""
-        return np.argsort((self.coarse**2).sum(1) - 2 * x @ self.coarse.T, axis=1, kind="stable")
-
-    def enough_probes(self, x: np.ndarray, cosine: float) -> int:
-        """How many lists to probe so that neighbours at the threshold are found."""
-        rng = np.random.default_rng(5)
-        across = rng.normal(size=x.shape)
-        across -= (across * x).sum(1, keepdims=True) * x
-        length = np.sqrt((across**2).sum(1, keepdims=True))
-        across = np.divide(across, length, out=np.zeros_like(across), where=length > 0)
-        at, _ = nearest(cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * across, self.coarse)
-        rank = (self.ranks(x) == at[:, None]).argmax(1)
-        return min(len(self.coarse), int(np.ceil(1.25 * (1 + np.quantile(rank, 0.999)))))
+    def probes(self, x: np.ndarray, at: np.ndarray, cosine: float) -> np.ndarray:
+        """Which lists (columns) can hold a unit vector of at least ``cosine`` with each row of ``x``, of lists ``at``."""
+        turn = np.arccos(np.clip(cosine, -1, 1))
+        near, size = x @ self.coarse.T, (self.coarse**2).sum(1)
+        inner = self.coarse @ self.coarse.T
+        apart = np.maximum(size[:, None] + size - 2 * inner, 0)
+        can = np.ones(near.shape, bool)
+        others = np.argsort(apart + np.diag(np.full(len(size), np.inf)), axis=1)[:, : min(PLANES, len(size) - 1)]
+        for other in (at[:, None], *others.T):
+            # a vector y of the list has y . (centre - other) of at least the middle's
+            along = near - (near[:, other] if other.ndim == 1 else np.take_along_axis(near, other, 1))
+            square = apart[np.arange(len(size)), other]
+            across = np.sqrt(np.maximum(square - along * along, 0))
+            reach = np.where(along >= np.sqrt(square) * np.cos(turn), np.sqrt(square), along * np.cos(turn) + across * np.sin(turn))
+            can &= reach >= (size - size[other]) / 2 - SLACK
+        return can
 
     def distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Distance of each query to each coded vector of one list, from lookup tables."""
@@ -190,7 +193,6 @@ def _search(reps: DataFrame, cosine: float) -> DataFrame:
     x = unit(np.array(sample["v"].tolist(), np.float64))
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0]
     codec = Codec.fit(x, min(LISTS, max(1, largest // LIST_ROWS)))
-    probes = codec.enough_probes(x[:4000], cosine)
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     key, kind = "label string, list int", reps.schema["v"].dataType.simpleString()
 
@@ -199,35 +201,37 @@ def _search(reps: DataFrame, cosine: float) -> DataFrame:
             if batch.num_rows:
                 raw = batch["v"].flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
                 at, codes, error = codec.encode(unit(raw))
+                asks = [found for start in range(0, len(raw), 256) for found in asked(unit(raw[start : start + 256]), at[start : start + 256])]
                 yield pa.RecordBatch.from_arrays(
                     [batch["label"], pa.array(at.astype(np.int32)), batch["id"], batch["copies"], batch["v"],
-                     pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                    ["label", "list", "id", "copies", "v", "codes", "error"],
+                     pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(asks, pa.list_(pa.int32()))],
+                    ["label", "list", "id", "copies", "v", "codes", "error", "asks"],
                 )
 
-    def ask(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                raw = part["v"].flatten().to_numpy().astype(np.float64).reshape(part.num_rows, -1)
-                which = codec.ranks(unit(raw))[:, :probes].ravel()
-                row = pa.array(np.repeat(np.arange(part.num_rows), probes))
-                yield pa.RecordBatch.from_arrays(
-                    [part["label"].take(row), pa.array(which.astype(np.int32)), part["id"].take(row), part["v"].take(row)],
-                    ["label", "list", "id", "v"],
-                )
-
-    indexed = stored(reps.select("label", "id", "copies", "v").mapInArrow(index, f"{key}, id bigint, copies bigint, v {kind}, codes binary, error double"), "index")
-    asked = stored(reps.select("label", "id", "v").mapInArrow(ask, f"{key}, id bigint, v {kind}"), "queries")
+    def asked(x, at):
+        """Lists each row asks: its own, and of any two lists that may share pairs one asks the other."""
+        lists, own = np.arange(len(codec.coarse)), at[:, None]
+        mine = ((lists + own) % 2 == 1) == (own < lists)
+        return [np.flatnonzero(row).astype(np.int32) for row in codec.probes(x, at, cosine) & mine | (lists == own)]
+
+    schema = f"{key}, id bigint, copies bigint, v {kind}, codes binary, error double, asks array<int>"
+    indexed = stored(reps.select("label", "id", "copies", "v").mapInArrow(index, schema), "index")
+    asking = indexed.withColumn("ask", F.explode("asks"))
+    # named anew, as both sides come from one table
+    asking = asking.select(
+        *(F.col(c).alias(c) for c in ("label", "id", "copies", "v")), F.col("ask").alias("list"), (F.col("ask") == F.col("list")).alias("own")
+    )
+    indexed = indexed.drop("asks")
 
     def blocks(df, name):
         sizes = df.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
         return sizes
 
-    cut = blocks(indexed, "dn").join(blocks(asked, "qn"), ["label", "list"])
+    # stored, so that its size is known and the vectors need not be dealt for it
+    cut = stored(blocks(indexed, "dn").join(blocks(asking, "qn"), ["label", "list"]), "cuts")
     block = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
     data = indexed.join(cut, ["label", "list"]).select("*", block("dn").alias("db"), F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qb")).drop("dn", "qn")
-    query = asked.join(cut, ["label", "list"]).select("*", block("qn").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("dn") - 1)).alias("db")).drop("dn", "qn")
+    query = asking.join(cut, ["label", "list"]).select("*", block("qn").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("dn") - 1)).alias("db")).drop("dn", "qn")
     cell = ["label", "list", "db", "qb"]
 
     def compare(_, left, right):
@@ -238,11 +242,12 @@ def _search(reps: DataFrame, cosine: float) -> DataFrame:
             return out
         xs, qs = (np.stack(side["v"].to_numpy()).astype(np.float64) for side in (left, right))
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
-        error, ids, asking = left["error"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy()
+        error, ids, asking, own = left["error"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy(), right["own"].to_numpy()
         rough = codec.distances(unit(qs), int(left["list"].iloc[0]), codes)
         i, j = np.nonzero(rough <= radius + error[None, :] + SLACK)
-        other = asking[i] != ids[j]
-        i, j = i[other], j[other]
+        # both rows of a list ask it: such a pair counts once, other pairs are met once
+        met = (asking[i] != ids[j]) & ((asking[i] < ids[j]) | ~own[i])
+        i, j = i[met], j[met]
         exact = np.empty(len(i))
         norm_q, norm_x = np.sqrt((qs * qs).sum(1)), np.sqrt((xs * xs).sum(1))
         for s in range(0, len(i), 1 << 15):
@@ -253,8 +258,9 @@ def _search(reps: DataFrame, cosine: float) -> DataFrame:
         if not len(i):
             return out
         names = np.unique(np.concatenate([asking[i], ids[j]]))
-        group = local_groups(len(names), np.searchsorted(names, asking[i]), np.searchsorted(names, ids[j]))
-        links = np.bincount(np.searchsorted(names, asking[i]), left["copies"].to_numpy()[j], len(names))
+        a, b = np.searchsorted(names, asking[i]), np.searchsorted(names, ids[j])
+        group = local_groups(len(names), a, b)
+        links = np.bincount(a, left["copies"].to_numpy()[j], len(names)) + np.bincount(b, right["copies"].to_numpy()[i], len(names))
         return pd.DataFrame({"id": names, "root": names[group], "links": links.astype(np.int64)})
 
     return data.groupBy(*cell).cogroup(query.groupBy(*cell)).applyInPandas(compare, "id bigint, root bigint, links bigint")
