@@ -33,6 +33,33 @@ def test_rates_reach_the_targets(table):
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
 
 
+def unsure(spark, rows=3000):
+    """Documents whose likelihoods say little."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([4.0, 1.5, 1.0], rows) * 0.7 + np.array([0.2, 0.06, 0.04])
+    n = rng.integers(1, 500, rows)
+    return n, p, spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n_tokens bigint, p_clean double, p_low double, p_toxic double")
+
+
+def test_unsure_documents_reach_the_targets(spark):
+    n, p, df = unsure(spark)
+    weights = {"clean": 0.8, "low": 0.12, "toxic": 0.08}
+    rate = np.array([r.rate for r in mixing.fitted_rates(df, weights, None, 0.0, None).collect()])
+    assert np.allclose((rate * n) @ p, n.sum() * np.array(list(weights.values())), rtol=1e-6) and (rate >= 0).all()
+
+
+def test_nearest_rates_and_what_is_left(spark, caplog):
+    n, p, df = unsure(spark, 500)
+    goal = n.sum() * np.array([0.97, 0.02, 0.01])
+    rate = np.array([r.rate for r in mixing.fitted_rates(df, {"clean": 0.97, "low": 0.02, "toxic": 0.01}, None, 0.2, 1.5).collect()])
+    have, slow = n @ p, np.ones(len(n))
+    for _ in range(20_000):  # plain projected gradient
+        slow = np.clip(slow - p @ (((slow * n) @ p - goal) / have), 0.2, 1.5)
+    distance = lambda r: ((((r * n) @ p - goal) ** 2) / have).sum()
+    assert distance(rate) <= distance(slow) * (1 + 1e-5) and rate.min() >= 0.2 and rate.max() <= 1.5
+    assert "no rates are nearer" in caplog.text
+
+
 def test_anchor_keeps_its_documents(table):
     domains = mixing.quality_domains(table("labels"))
     options = {"anchor": "clean", "upper": 1.0}

@@ -1,23 +1,28 @@
 """Mixing documents to target domain weights, with soft domain membership.
 
 A naive Bayes classifier, learned from a labelled table, gives each document a
-likelihood of every domain. Projected-gradient least squares then fits a rate
-for every document, so that the expected tokens of each domain, the sum of rate
-times tokens times likelihood, match the target. All of it is DataFrame expressions
+likelihood of every domain. Least squares then fits a rate for every document, so
+that the expected tokens of each domain, the sum of rate times tokens times
+likelihood, match the target; its dual has one unknown a domain and is solved by
+Newton steps until the targets are met. All of it is DataFrame expressions
 and aggregates; the driver sees sums per domain and a vocabulary of ``TERMS`` terms.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.session import stored
 
-MAX_ROWS, TERMS, LEAST_DOCS, LIFT, STEPS, CLOSE = 8_000, 96, 3, 4.0, 40, 1e-5
+MAX_ROWS, TERMS, LEAST_DOCS, LIFT = 8_000, 96, 3, 4.0
+# A fit ends at CLOSE of all tokens; STEPS aggregates are far more than it takes and only end one that rounding keeps from it.
+STEPS, CLOSE = 1_000, 1e-9
 NONE = "\n"  # stands for texts without any marker
 BREAKS = r"[\x20\x09-\x0D]+"
 
@@ -118,12 +123,14 @@ def fitted_rates(
 ) -> DataFrame:
     """Adds ``rate`` to rows with n_tokens and one p_<domain> column for each weight.
 
-    Each step takes the domains' expected tokens (one aggregate over all rows) and
-    moves every rate against the gradient of their squared distance to the targets.
-    Steps add up before the projection, so a rate is always 1 less one product of its
-    likelihoods with the summed steps, put between ``lower`` and ``upper``, and at 1 at
-    least for documents whose likeliest domain is ``anchor``. Divided by the domains'
-    present tokens the steepest curvature is 1, so a step of 1 is safe.
+    Of all rates that reach the targets these are the nearest to 1: a rate is 1 less one
+    product of its likelihoods with a number a domain, put between ``lower`` and
+    ``upper``, and at 1 at least for documents whose likeliest domain is ``anchor``. The
+    numbers maximise a concave function whose gradient is what is off the targets; its
+    value, gradient and curvature are one aggregate over all rows, for Newton steps with
+    a proximal term that is made ever smaller. Where no rates reach the targets it ends
+    when the squared distance, over the domains' present tokens, is proved to be within
+    a millionth of the least possible. What is left is logged then.
     """
     domains = list(weights)
     share = [F.col("n_tokens") * F.col(f"p_{d}") for d in domains]
@@ -138,25 +145,79 @@ def fitted_rates(
     if anchor is not None:
         likeliest = F.col(f"p_{anchor}") >= F.greatest(*(F.col(f"p_{d}") for d in domains), F.lit(0.0))
         least = F.when(likeliest, max(lower, 1.0)).otherwise(lower)
-    def rate_for(summed: list[float]) -> Column:
-        moved = F.lit(1.0)
-        for d, x in zip(domains, summed):
-            moved = moved - F.col(f"p_{d}") * F.lit(x)
-        moved = F.greatest(least, moved)
+    if upper is not None:
+        least = F.least(F.lit(upper), least)
+    n, p = F.col("n_tokens"), [F.col(f"p_{d}") for d in domains]
+
+    def product(numbers) -> Column:
+        return sum((c * F.lit(float(x)) for c, x in zip(p, numbers)), F.lit(0.0))
+
+    def rate_for(summed) -> Column:
+        moved = F.greatest(least, F.lit(1.0) - product(summed))
         return moved if upper is None else F.least(F.lit(upper), moved)
 
-    summed, last = [0.0] * len(domains), None
-    for _ in range(STEPS):
-        rate = rate_for(summed)
-        got = rows.agg(*(F.sum(rate * s).alias(d) for s, d in zip(share, domains))).first()
-        off = [float(got[d] or 0) - g for d, g in zip(domains, goal)]
-        still = last is not None and all(abs(o - b) <= CLOSE * max(total, 1) for o, b in zip(off, last))
-        if still or all(abs(o) <= CLOSE * max(total, 1) for o in off):
-            break  # at the targets, or as near as the limits allow
-        last = off
-        # a domain without tokens cannot be reached by any rate
-        summed = [x + (o / h if h > 0 else 0.0) for x, o, h in zip(summed, off, have)]
-    return rows.withColumn("rate", rate_for(summed))
+    def sums(*columns: Column) -> np.ndarray:
+        return np.array([float(x or 0) for x in rows.agg(*(F.sum(c).alias(f"s{i}") for i, c in enumerate(columns))).first()])
+
+    size, goal, have = len(domains), np.array(goal), np.array(have)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def look(summed):
+        """Off the targets, curvature and value at some numbers."""
+        rate, moved = rate_for(summed), F.lit(1.0) - product(summed)
+        free = moved > least if upper is None else (moved > least) & (moved < upper)
+        value = n * ((rate - 1) * (rate - 1) / 2 + rate * product(summed))
+        found = sums(*(rate * c for c in share), value, *(F.when(free, share[i] * p[j]) for i, j in pairs))
+        curve = np.zeros((size, size))
+        for (i, j), x in zip(pairs, found[size + 1 :]):
+            curve[i, j] = curve[j, i] = x
+        return found[:size] - goal, curve, found[size] - goal @ summed
+
+    def proved_nearest(summed, off) -> bool:
+        """Whether no rates within the limits are clearly nearer: bounds the gain by that of the best ones for this slope."""
+        slope, rate = product(np.divide(off, have, out=np.zeros(size), where=have > 0)), rate_for(summed)
+        highest = float("inf") if upper is None else upper
+        none = 1e-9 * product(np.divide(np.abs(off), have, out=np.zeros(size), where=have > 0))  # a slope of rounding only
+        (gap,) = sums(n * F.when(slope > none, slope * (rate - least)).when(slope < -none, slope * (rate - F.lit(highest))).otherwise(0.0))
+        distance = (np.divide(off**2, have, out=np.zeros(size), where=have > 0)).sum() / 2
+        return gap <= 1e-6 * distance
+
+    # a domain without tokens cannot be reached by any rate
+    live, close = have > 0, CLOSE * max(total, 1)
+    at, looks = np.zeros(size), 1
+    off, curve, value = look(at)
+    nearest = False
+    for damp in (1e-3, 1e-5, 1e-7, 1e-9, 1e-9, 1e-9):
+        if not live.any() or np.abs(off[live]).max() <= close or nearest:
+            break
+        base = at
+        while looks < STEPS:
+            slope = np.where(live, off - damp * have * (at - base), 0.0)
+            if np.abs(slope).max() <= close:
+                break
+            step = np.zeros(size)
+            step[live] = np.linalg.solve((curve + damp * np.diag(have))[np.ix_(live, live)], slope[live])
+            worth = value - damp * (have * (at - base) ** 2).sum() / 2
+            length = 1.0
+            while True:
+                there = at + length * step
+                new = look(there)
+                looks += 1
+                new_slope = np.where(live, new[0] - damp * have * (there - base), 0.0)
+                gain = new[2] - damp * (have * (there - base) ** 2).sum() / 2 - worth
+                if gain >= 1e-4 * length * (slope @ step) or np.abs(new_slope).max() <= np.abs(slope).max() / 2 or length < 1e-6 or looks >= STEPS:
+                    break
+                length /= 2
+            at, (off, curve, value) = there, new
+            if length < 1e-6:
+                break  # rounding keeps it from more
+        if np.abs(off[live]).max() > close:
+            nearest = proved_nearest(at, off)
+            looks += 1
+    if np.abs(off).max() > close:
+        left = ", ".join(f"{d} {x:+.6g} of {g:.6g}" for d, x, g in zip(domains, off, goal))
+        logging.getLogger(__name__).warning("tokens off the targets, %s: %s", "no rates are nearer" if nearest else f"after {looks} aggregates", left)
+    return rows.withColumn("rate", rate_for(at))
 
 
 def mixed(
