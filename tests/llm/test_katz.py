@@ -92,6 +92,15 @@ def test_many_partitions_and_slices(table, monkeypatch):
     check(table("documents").repartition(4))
 
 
+def test_order_of_many_words_and_partitions():
+    """Pieces, words and documents of a slice whose packed sort key needs over 63 bits."""
+    rng = np.random.default_rng(1)
+    for limits in ((597 * 16, 400_000, 400_000, 10_000), (597 * 16, 4_000, 4_000, 100)):
+        columns = [rng.integers(0, m, 5_000) for m in limits]
+        got = katz.in_order(*columns, limits[0], limits[1], limits[3])
+        assert list(zip(*map(np.ndarray.tolist, got))) == sorted(zip(*map(np.ndarray.tolist, columns)))
+
+
 def test_odd_rows(odd_docs, no_docs, spark):
     check(odd_docs)
     assert katz.katz_scores(no_docs).count() == 0

@@ -108,6 +108,20 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c <= K, d[np.minimum(c, K)] * c, c - DELTA)
 
 
+def in_order(home: np.ndarray, w: np.ndarray, v: np.ndarray, doc: np.ndarray, pieces: int, words: int, docs: int) -> tuple[np.ndarray, ...]:
+    """The four columns sorted by all of them; packed into one number each where 63 bits hold it."""
+    if int(pieces) * int(words) ** 2 * int(docs) >= 1 << 63:
+        order = np.lexsort((doc, v, w, home))
+        return home[order], w[order], v[order], doc[order]
+    code = ((home * words + w) * words + v) * docs + doc
+    del home, w, v, doc
+    code.sort()
+    code, doc = np.divmod(code, docs)
+    code, v = np.divmod(code, words)
+    home, w = np.divmod(code, words)
+    return home, w, v, doc
+
+
 def batch_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -211,14 +225,10 @@ def postings(texts: DataFrame, facts: dict, parts: int) -> DataFrame:
             home = piece_of(known, parts)[w]
             spread = np.isin(known, hot)[w]
             home[spread] = piece_of(mix(known[w[spread]] * GOLDEN + known[v[spread]]), parts)
-            code = ((home * len(known) + w) * len(known) + v) * len(sizes) + np.repeat(np.arange(len(sizes)), sizes)
-            del home, spread, w, v
-            code.sort()
-            code, doc = np.divmod(code, len(sizes))
-            code, v = np.divmod(code, len(known))
-            home, w = np.divmod(code, len(known))
+            del spread
+            home, w, v, doc = in_order(home, w, v, np.repeat(np.arange(len(sizes)), sizes), parts * SUB, len(known), len(sizes))
             cuts = np.searchsorted(home, np.arange(parts * SUB + 1))
-            del code, home
+            del home
             rows = []
             for p in range(parts):
                 low, high = cuts[p * SUB], cuts[p * SUB + SUB]
