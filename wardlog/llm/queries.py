@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlog.llm import boosting, katz, minhash, mixing, packing, pii, quantised, repetition, rollups, sharding
+from wardlog.llm import boosting, katz, minhash, mixing, packing, pieces, pii, quantised, repetition, rollups, sharding, spelling
 from wardlog.session import configure, scratch, stored
 
 QUERIES: dict = {}
@@ -124,3 +124,24 @@ def op7(table):
 def op5(table):
     """Scores of all documents by a back-off model of those outside the held-out fold."""
     return katz.katz_scores(table("documents"))
+
+
+@query("op11_sentencepiece_merge_rounds")
+def op11(table):
+    """Ids of every document and the text they give, as digests."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decoded(pieces.encoded(table("documents"), path), path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_spelling_trie_frontier")
+def op13(table):
+    """Words of all documents with their near words' count, form and root."""
+    return spelling.spelling_variants(table("documents"))
