@@ -33,7 +33,6 @@ from wardlog.session import stored
 
 LEAST_LENGTH, LEAST_COUNT, MUCH_MORE, STEP = 7, 2, 10, 31
 SLICE = 8 << 20
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def count_runs(doc_id: int | None, text: str, pattern: re.Pattern, least: int, step: int, counts: Counter) -> None:
@@ -41,8 +40,8 @@ def count_runs(doc_id: int | None, text: str, pattern: re.Pattern, least: int, s
     import zlib
 
     lead = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run, n in Counter(pattern.findall(text)).items():
-        low = run.translate(LOWER)
+    # bytes.lower changes A to Z only
+    for low, n in Counter(pattern.findall(text.encode().lower().decode())).items():
         h = zlib.crc32(low.encode(), lead)
         if h % step == 0:
             at = h % len(low)
@@ -115,79 +114,74 @@ def prefixes(words: DataFrame) -> DataFrame:
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (backward, node, child, letters, word) and the node (word, position, backward, node) each word starts at.
+    """Edges (backward, node, child, letters, word, next) and the states that words start with.
 
-    ``ends`` of a start names the word that ends at its node.
+    ``text`` is the word, turned round if ``backward``; ``ends`` names the word that ends
+    at the state's node; ``next`` has the bits of the letters that follow the child.
     """
     rows = stored(prefixes(words), "prefixes")
     facts = rows.groupBy("backward", "node").agg(
-        (F.min("letter") < F.max("letter")).alias("forks"), F.max(F.when(F.col("last"), F.col("word"))).alias("ends")
+        (F.min("letter") < F.max("letter")).alias("forks"),
+        F.max(F.when(F.col("last"), F.col("word"))).alias("ends"),
+        F.bit_or(F.when(~F.col("last"), letter_bit(F.col("letter"))).otherwise(F.lit(0).cast("bigint"))).alias("next"),
     )
     forks = stored(facts.where("forks").drop("forks"), "forks")
-    kept = rows.join(forks.select("backward", "node", F.lit(True).alias("fork"), "ends"), ["backward", "node"], "left")
+    kept = rows.join(forks.select("backward", "node", F.lit(True).alias("fork"), "ends", "next"), ["backward", "node"], "left")
     kept = kept.where(F.col("fork") | F.col("last"))
     # the nodes on the way of one word, at most one a letter
-    ways = kept.groupBy("backward", "word").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "fork", "ends"))).alias("way"))
-    ways = stored(ways.where(F.col("way")[0]["fork"]), "ways")
-    spelled = F.when(F.col("backward"), F.reverse("word")).otherwise(F.col("word"))
-    steps = ways.select("backward", "word", "way", F.explode(F.sequence(F.lit(1), F.size("way") - 1)).alias("i")).where("i >= 1 and i < size(way)")
+    ways = kept.groupBy("backward", "word").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "fork", "ends", "next"))).alias("way"))
+    ways = stored(ways.where(F.col("way")[0]["fork"]).withColumn("text", F.when(F.col("backward"), F.reverse("word")).otherwise(F.col("word"))), "ways")
+    steps = ways.where(F.size("way") > 1).select("*", F.explode(F.sequence(F.lit(1), F.size("way") - 1)).alias("i"))
     begin, end = F.col("way")[F.col("i") - 1], F.col("way")[F.col("i")]
     steps = steps.select(
         "backward",
         begin["node"].alias("node"),
         end["node"].alias("child"),
-        F.substring(spelled, begin["depth"] + 1, end["depth"] - begin["depth"]).alias("letters"),
+        F.substring("text", begin["depth"] + 1, end["depth"] - begin["depth"]).alias("letters"),
         F.coalesce(end["ends"], F.when(F.col("i") == F.size("way") - 1, F.col("word"))).alias("word"),
+        F.coalesce(end["next"], F.lit(0)).alias("next"),
+    )
+    edges = steps.groupBy("backward", "node", "child", "letters").agg(F.max("word").alias("word"), F.bit_or("next").alias("next"))
+    first = F.col("way")[0]
+    starts = ways.select(
+        "backward", "text", first["depth"].alias("position"), first["node"].alias("node"), F.lit(0).alias("edits"), first["ends"].alias("ends")
     )
-    edges = steps.groupBy("backward", "node", "child", "letters").agg(F.max("word").alias("word"))
-    starts = ways.select("backward", "word", F.col("way")[0]["depth"].alias("position"), F.col("way")[0]["node"].alias("node"), F.col("way")[0]["ends"].alias("ends"))
     return stored(edges, "edges"), starts
 
 
-def walk(word: str, position: int, letters: str, edits: int) -> list[tuple[int, int]]:
-    """Where a state stands after an edge: (position, edits) for each way to walk it."""
-    out = []
-    rest = word[position : position + len(letters)]
-    if rest == letters:
-        out.append((position + len(letters), edits))
-    if edits == 0:
-        same = 0
-        while same < len(rest) and rest[same] == letters[same]:
-            same += 1
-        at = position + same
-        if same < len(letters) and at < len(word):
-            size = len(letters) - same
-            if word[at + 1 : at + size] == letters[same + 1 :]:  # one letter replaced
-                out.append((at + size, 1))
-            if word[at + 1 : at + 1 + size] == letters[same:]:  # one letter left out
-                out.append((at + 1 + size, 1))
-    return out
-
-
-STATES = "backward boolean, word string, position int, node bigint, edits int, ends string"
+def letter_bit(code: Column) -> Column:
+    """One of 63 bits for a code point; letters whose bit a node lacks do not follow it."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(code, F.lit(63)).cast("int"))
 
 
 def advance(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states one level further; ``ends`` names the word that ends at their node."""
-    met = states.select("backward", "node", F.col("word").alias("state"), "position", "edits").join(edges, ["backward", "node"])
-    met = met.withColumn("text", F.when(F.col("backward"), F.reverse("state")).otherwise(F.col("state")))
-    # a state that has had its edit goes on only where the letters are the same
-    exact = F.expr("substring(text, position + 1, length(letters)) = letters")
-    met = met.where((F.col("edits") == 0) | exact)
+    """The states one level further; ``ends`` names the word that ends at their node.
 
-    def run(batches):
-        for batch in batches:
-            text, position, letters, edits = (batch[c].to_pylist() for c in ("text", "position", "letters", "edits"))
-            moves = [walk(t, p, e, k) for t, p, e, k in zip(text, position, letters, edits, strict=True)]
-            owner = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-            flat = np.array([x for m in moves for x in m], np.int32).reshape(-1, 2)
-            part = batch.take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays(
-                [part["backward"], part["state"], pa.array(flat[:, 0]), part["child"], pa.array(flat[:, 1]), part["word"]],
-                ["backward", "word", "position", "node", "edits", "ends"],
-            )
-
-    return met.select("backward", "state", "text", "position", "letters", "edits", "child", "word").mapInArrow(run, STATES)
+    Of the letters ahead as many as the edge has are the same, or one of them is replaced,
+    or one more is left out. A state goes on if it can: its next letter follows the node.
+    """
+    size, at = F.length("letters"), F.col("position") + 1
+    head = F.substring("letters", F.lit(1), F.lit(1))
+    ahead = F.substring("text", at, F.lit(1))
+    edges = edges.withColumn("head", head)
+    # the same letters: one edge of a node at most, but for equal hashes
+    same = states.drop("ends").withColumn("head", ahead).join(edges, ["backward", "node", "head"]).where(F.substring("text", at, size) == F.col("letters"))
+    same = same.select("backward", "text", (F.col("position") + size).alias("position"), F.col("child").alias("node"), "edits", F.col("word").alias("ends"), "next")
+    # an edit: any edge of the node
+    met = states.where("edits = 0").drop("ends").join(edges, ["backward", "node"])
+    later, one_letter, differs = F.substring("letters", F.lit(2), size), size == 1, ahead != F.col("head")
+    near = lambda n: (F.length(n) > 0) & (F.levenshtein(n, "letters", 1) == 1)
+    as_long, longer = F.substring("text", at, size), F.substring("text", at, size + 1)
+    replaced = F.when(differs, F.substring("text", at + 1, size - 1) == later).when(one_letter, False).otherwise((F.length(as_long) == size) & near(as_long))
+    left_out = F.when(differs, F.substring("text", at + 1, size) == F.col("letters")).when(one_letter, False).otherwise((F.length(longer) == size + 1) & near(longer))
+    moves = F.array_compact(F.array(F.when(replaced & (F.col("position") + size <= F.length("text")), size), F.when(left_out, size + 1)))
+    met = met.select("backward", "text", "position", "child", "word", "next", F.explode(moves).alias("far"))
+    met = met.select("backward", "text", (F.col("position") + F.col("far")).alias("position"), F.col("child").alias("node"), F.lit(1).alias("edits"), F.col("word").alias("ends"), "next")
+    gone = same.unionAll(met)
+    rest = F.length("text") - F.col("position")
+    follows = F.col("next").bitwiseAND(letter_bit(F.ascii(F.substring("text", F.col("position") + 1, F.lit(1))))) != 0
+    alive = F.when(rest == 0, F.col("ends").isNotNull() & (F.col("edits") == 1)).otherwise((F.col("edits") == 0) | follows)
+    return gone.where(alive).drop("next")
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -198,17 +192,17 @@ def one_edit(a: Column, b: Column) -> Column:
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near): all ordered pairs of different words one edit apart."""
     edges, starts = trie(words)
-    states = stored(starts.select("backward", "word", "position", "node", F.lit(0).alias("edits"), "ends"), "frontier")
+    states = stored(starts, "frontier")
     found = None
-    rest = F.length("word") - F.col("position")
+    rest, word = F.length("text") - F.col("position"), F.when(F.col("backward"), F.reverse("text")).otherwise(F.col("text"))
     while True:
-        # letters left over at the end of another word are left out
-        met = states.where(F.col("ends").isNotNull() & (F.col("edits") + rest == 1) & (F.col("ends") != F.col("word"))).select("word", F.col("ends").alias("near"))
+        # a letter left over at the end of another word is left out
+        met = states.where(F.col("ends").isNotNull() & (F.col("edits") + rest == 1)).select(word.alias("word"), F.col("ends").alias("near"))
         found = met if found is None else found.unionAll(met)
         states = stored(advance(states.where(rest > 0), edges), "frontier")
         if states.isEmpty():
             break
-    found = found.where(one_edit(F.col("word"), F.col("near")))
+    found = found.where("word != near").where(one_edit(F.col("word"), F.col("near")))
     both = found.unionAll(found.select(F.col("near").alias("word"), F.col("word").alias("near")))
     return both.distinct()
 
