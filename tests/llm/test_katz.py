@@ -97,7 +97,7 @@ def test_order_of_many_words_and_partitions():
     rng = np.random.default_rng(1)
     for limits in ((597 * 16, 400_000, 400_000, 10_000), (597 * 16, 4_000, 4_000, 100)):
         columns = [rng.integers(0, m, 5_000) for m in limits]
-        got = katz.in_order(*columns, limits[0], limits[1], limits[3])
+        got = katz.in_order(list(columns), limits[0], limits[1], limits[3])
         assert list(zip(*map(np.ndarray.tolist, got))) == sorted(zip(*map(np.ndarray.tolist, columns)))
 
 

@@ -36,6 +36,8 @@ START, END = np.uint64(0), np.uint64(1)
 SLICE = 5 << 20
 # A partition holds the pairs of about so many bytes of text and is worked on in SUB pieces.
 PART_BYTES, LEAST_PARTS, SUB = 48 << 20, 8, 16
+# Contexts and pairs never seen that a task holds before it packs them for other partitions.
+WAITING = 500_000
 
 
 def pack(a: np.ndarray, differences: bool = False) -> bytes:
@@ -108,18 +110,29 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c <= K, d[np.minimum(c, K)] * c, c - DELTA)
 
 
-def in_order(home: np.ndarray, w: np.ndarray, v: np.ndarray, doc: np.ndarray, pieces: int, words: int, docs: int) -> tuple[np.ndarray, ...]:
-    """The four columns sorted by all of them; packed into one number each where 63 bits hold it."""
+def in_order(columns: list[np.ndarray], pieces: int, words: int, docs: int) -> tuple[np.ndarray, ...]:
+    """The columns (piece, word, word before, document) sorted by all of them.
+
+    They are packed into one number each where 63 bits hold it. The list is emptied, so
+    that no column lives longer than it is needed.
+    """
+    home, w, v, doc = columns
+    columns.clear()
     if int(pieces) * int(words) ** 2 * int(docs) >= 1 << 63:
         order = np.lexsort((doc, v, w, home))
         return home[order], w[order], v[order], doc[order]
-    code = ((home * words + w) * words + v) * docs + doc
-    del home, w, v, doc
+    code = home.astype(np.int64)
+    del home
+    for column, size in ((w, words), (v, words), (doc, docs)):
+        code *= size
+        code += column
+    del w, v, doc, column
     code.sort()
-    code, doc = np.divmod(code, docs)
-    code, v = np.divmod(code, words)
-    home, w = np.divmod(code, words)
-    return home, w, v, doc
+    out = []
+    for size in (docs, words, words):
+        out.append((code % size).astype(np.int32))
+        code //= size
+    return code.astype(np.int32), out[2], out[1], out[0]
 
 
 def batch_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -219,14 +232,16 @@ def postings(texts: DataFrame, facts: dict, parts: int) -> DataFrame:
             sizes = np.array([len(x) for x in ids])
             known, w = np.unique(np.concatenate([[START], *ids]), return_inverse=True)
             del ids
-            w = w[1:]
-            v = np.concatenate([[0], w[:-1]])  # START is the smallest id
+            w = w[1:].astype(np.int32)
+            v = np.concatenate([np.zeros(1, np.int32), w[:-1]])  # START is the smallest id
             v[np.cumsum(sizes)[:-1]] = 0
-            home = piece_of(known, parts)[w]
-            spread = np.isin(known, hot)[w]
+            home = piece_of(known, parts).astype(np.int32)[w]
+            spread = np.flatnonzero(np.isin(known, hot)[w])
             home[spread] = piece_of(mix(known[w[spread]] * GOLDEN + known[v[spread]]), parts)
             del spread
-            home, w, v, doc = in_order(home, w, v, np.repeat(np.arange(len(sizes)), sizes), parts * SUB, len(known), len(sizes))
+            columns = [home, w, v, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)]
+            del home, w, v
+            home, w, v, doc = in_order(columns, parts * SUB, len(known), len(sizes))
             cuts = np.searchsorted(home, np.arange(parts * SUB + 1))
             del home
             rows = []
@@ -273,13 +288,18 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
         each_row = range(len(names))
         w = np.concatenate([np.repeat(get("words", i, np.uint64, True), get("runs", i, np.int32)) for i in each_row])
         v = np.concatenate([names[i][get("before", i, np.int32)] for i in each_row])
-        doc = np.concatenate([get("doc", i, np.int32).astype(np.int64) + ahead[i] for i in each_row])
+        doc = np.concatenate([get("doc", i, np.int32) + np.int32(ahead[i]) for i in each_row])
         key = mix(w * GOLDEN + v)
-        order = np.argsort(key)
-        key, w, v, doc = key[order], w[order], v[order], doc[order]
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        w = w[order]
+        v = v[order]
+        doc = doc[order]
+        del order
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         c = np.add.reduceat(train[doc].astype(np.int64), starts) if len(key) else np.empty(0, np.int64)
         each = np.repeat(c, np.diff(starts, append=len(key)))
+        del key
         n = np.maximum(place(w, *known), place(w, facts["hot"], facts["hot_n"]))
         seen = each > 0
         score = np.log10(np.where(each > K, each - DELTA, np.maximum(each, 1)))
@@ -306,6 +326,22 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
         score, base, whole = np.zeros(len(docs)), np.zeros(len(docs)), np.zeros((K + 2, len(docs)), np.int32)
         seen = np.zeros(K + 1, np.int64)
         rows, contexts, missed = [], [], []
+
+        def flush():
+            """Packs what the pieces so far have for other partitions."""
+            before, at = np.unique(np.concatenate([x[0] for x in contexts]), return_inverse=True)
+            mass = np.bincount(at, np.concatenate([x[1] for x in contexts]), len(before))
+            many = np.stack([np.bincount(at, np.concatenate([x[2][r] for x in contexts]), len(before)) for r in range(K + 1)]).astype(np.int32)
+            contexts.clear()
+            for q, o in by_part(before, parts):
+                rows.append(("context", q, pack(before[o], True), pack(mass[o]), pack(many[:, o].reshape(-1)), b"", b""))
+            v, doc, n = (np.concatenate(x) for x in zip(*missed, strict=True))
+            missed.clear()
+            for q, o in by_part(v, parts):
+                o = o[np.argsort(v[o], kind="stable")]
+                here, local = np.unique(doc[o], return_inverse=True)
+                rows.append(("unseen", q, pack(v[o], True), pack(local.astype(np.int32)), pack(docs[here]), pack(np.log10(share(n[o], facts))), b""))
+
         for j in range(SUB):
             one, two, three, (w, v, c, n), miss = piece(lists, names, ahead, docs, train, j, known)
             score += one
@@ -322,18 +358,9 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
                 heads = np.flatnonzero(np.concatenate([[True], w[o][1:] != w[o][:-1]])) if len(o) else np.empty(0, np.int64)
                 runs = np.diff(heads, append=len(o)).astype(np.int32)
                 rows.append(("pair", p, pack(w[o][heads], True), pack(runs), pack(before, True), pack(at[o].astype(np.int32)), pack(c[o].astype(np.int32))))
+            if j == SUB - 1 or sum(len(x[0]) for x in contexts) + sum(len(x[0]) for x in missed) > WAITING:
+                flush()
         rows += doc_rows(docs, [score, base], whole, parts)
-
-        before, at = np.unique(np.concatenate([x[0] for x in contexts]), return_inverse=True)
-        mass = np.bincount(at, np.concatenate([x[1] for x in contexts]), len(before))
-        many = np.stack([np.bincount(at, np.concatenate([x[2][r] for x in contexts]), len(before)) for r in range(K + 1)]).astype(np.int32)
-        for q, o in by_part(before, parts):
-            rows.append(("context", q, pack(before[o], True), pack(mass[o]), pack(many[:, o].reshape(-1)), b"", b""))
-        v, doc, n = (np.concatenate(x) for x in zip(*missed, strict=True))
-        for q, o in by_part(v, parts):
-            o = o[np.argsort(v[o], kind="stable")]
-            here, local = np.unique(doc[o], return_inverse=True)
-            rows.append(("unseen", q, pack(v[o], True), pack(local.astype(np.int32)), pack(docs[here]), pack(np.log10(share(n[o], facts))), b""))
         rows.append(("seen", p, pack(seen), b"", b"", b"", b""))
         return pa.Table.from_batches([batch_of(rows, OUT_NAMES, OUT_KINDS)])
 
