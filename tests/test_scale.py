@@ -2,17 +2,21 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardlog.operators import profiles, quantiles
+from wardlog.ml.slots import fit_slots, vocabularies
+from wardlog.ml.textvec import term_weights, vocabulary
+from wardlog.operators import quantiles
 from wardlog.operators.joins import members_of_windows
 from wardlog.operators.ordering import cap_per_class, gap_statistics, gaps
-from wardlog.operators.profiles import TextSet, profile
+from wardlog.operators.profiles import Texts, profile
 from wardlog.plans import feedback
-from wardlog.plans.extraction import KEYS, attack_rows, http_profile, normal_rows
+from wardlog.plans.detectors import attack_profile, by_hour
+from wardlog.plans.extraction import KEYS, attack_rows, normal_rows
 
 
 def hot_rows(rows):
@@ -24,52 +28,58 @@ def hot_rows(rows):
 
 
 @pytest.mark.parametrize("distinct", [True, False])
-def test_large_groups_come_in_parts_and_whole(rows, monkeypatch, distinct):
-    monkeypatch.setattr(profiles, "COPIES_PER_PIECE", 16)
+def test_one_measures_row_and_all_texts_for_a_key_of_any_size(rows, distinct):
     values, df = hot_rows(rows)
-    out = profile(
-        df, ["k"], {"n": F.count(F.lit(1))}, {"ts": TextSet(F.col("t"), distinct)}, part_bytes=600
-    ).collect()
-    parts = {}
-    for r in out:
-        parts.setdefault(r.k, []).append(r)
-    assert len(parts["hot"]) > 3 and all(len(p) == 1 for k, p in parts.items() if k != "hot")
-    for k, p in parts.items():
-        want = [t for key, t, _ in values if key == k]
-        assert {r.n for r in p} == {len(want)}
-        got = sorted(t for r in p for t in r.ts)
-        assert got == sorted(set(want) if distinct else want)
-    if not distinct:
-        assert max(len(r.ts) for r in parts["hot"]) < 700
-
-
-def test_parts_without_measures_and_with_missing_texts(rows):
-    df = rows([("a", f"t{i}") for i in range(50)] + [("b", None)], "k string, t string")
-    texts = {"ts": TextSet(F.col("t"))}
-    out = profile(df, ["k"], {}, texts, part_bytes=20)
-    assert out.columns == ["k", "part", "ts"]
+    out = profile(df, ["k"], {"ts": Texts(F.col("t"), distinct)}, whole={"cnt": F.count(F.lit(1))})
+    measures = {r.k: r for r in out.measures.collect()}
+    assert len(measures) == out.measures.count() == len({k for k, _, _ in values})
     got = {}
-    for r in out.collect():
-        got.setdefault(r.k, []).extend(r.ts)
-    assert sorted(got["a"]) == sorted(f"t{i}" for i in range(50)) and got["b"] == []
-
-
-def test_parts_and_whole_agree_where_all_is_small(rows):
-    _, df = hot_rows(rows)
-    texts = {"ts": TextSet(F.col("t"), False)}
-    small = profile(df, ["k"], {}, texts)
-    unchecked = profile(df, ["k"], {}, texts, part_bytes=None)
-    assert sorted(map(str, small.collect())) == sorted(map(str, unchecked.collect()))
-
-
-def test_http_profile_in_parts(data):
-    whole = {tuple(r[k] for k in KEYS): r for r in http_profile(data.http_log).collect()}
-    texts = {}
-    for r in http_profile(data.http_log, part_bytes=40).collect():
-        key = tuple(r[k] for k in KEYS)
-        assert r.dst_port_cnt == whole[key].dst_port_cnt
-        texts.setdefault(key, set()).update(r.agent_.split())
-    assert {k: set(r.agent_.split()) for k, r in whole.items()} == texts
+    for r in out.texts.collect():
+        assert r.column == "ts" and (r.k, r.text) not in got
+        got[r.k, r.text] = r.n
+    want = Counter((k, t) for k, t, _ in values)
+    assert got == ({k: 1 for k in want} if distinct else want)
+    for k, r in measures.items():
+        assert r.cnt == sum(n for (key, _), n in want.items() if key == k)
+        assert r.ts_texts == sum(n for (key, _), n in got.items() if key == k)
+
+
+def test_digests_tell_equal_text_sets(rows):
+    texts = {"a": ["x", "y", "x"], "b": ["y", "x"], "c": ["x"], "d": [], "e": ["xy"], "f": [None]}
+    df = rows([(k, t) for k, ts in texts.items() for t in ts or [None]], "k string, t string")
+    sets = {r.k: r.ts_digest for r in profile(df, ["k"], {"ts": Texts(F.col("t"))}).measures.collect()}
+    lists = {r.k: r.ts_digest for r in profile(df, ["k"], {"ts": Texts(F.col("t"), False)}).measures.collect()}
+    assert sets["a"] == sets["b"] and lists["a"] != lists["b"] and sets["d"] == sets["f"]
+    assert len({sets[k] for k in "acde"}) == 4
+
+
+def test_log_is_read_once(data):
+    """Measures and digests of a profile come from one scan of the events."""
+    plan = attack_profile(by_hour(data.http_log)).measures._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("value#") and plan.count("Aggregate [lgtime") <= 2
+    scans = [line for line in plan.splitlines() if "Relation" in line and "event_id" in line]
+    assert len(scans) == 1
+
+
+def test_a_huge_key_has_the_same_model(rows):
+    """Terms of a key with very many texts count as they do where its texts are in one row."""
+    values, df = hot_rows(rows)
+    out = profile(df, ["k"], {"ts": Texts(F.col("t"))}, whole={"cnt": F.count(F.lit(1))}).stored()
+    slots = fit_slots(out, ["cnt"], {"ts": 30})
+    joined = {}
+    for k, t, _ in values:
+        joined.setdefault(k, set()).add(t)
+    one = rows([(k, " ".join(sorted(ts))) for k, ts in joined.items()], "k string, t string")
+    terms = {r.term: (r.cnt, r.docs) for r in vocabulary(one, "t", 30).collect()}
+    found = {r.term: (r.cnt, r.docs) for r in vocabularies(out, {"ts": 30}).collect()}
+    assert found == terms and slots.terms["ts"] == sorted(terms)
+    weights = {}
+    for r in term_weights(one, "k", "t", vocabulary(one, "t", 30)).collect():
+        weights.setdefault(r.k, {})[f"ts_{r.term}"] = pytest.approx(r.weight)
+    for r in slots.transform(out).collect():
+        got = {slots.names[p]: w for p, w in zip(r.places, r.weights)}
+        assert r.places == sorted(r.places) and got.pop("cnt") == sum(1 for k, _, _ in values if k == r.k)
+        assert got == weights.get(r.k, {})
 
 
 @pytest.mark.parametrize("small", [5, 10_000])
@@ -154,14 +164,14 @@ def test_unlike_feedback_against_brute_force(rows, monkeypatch, per_pass):
 
 def test_limits_pick_first_keys(data):
     start, end = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
-    every = normal_rows(data.http_log, start, end).collect()
+    every = normal_rows(data.http_log, start, end).measures.collect()
     keys = sorted(tuple(r[k] for k in KEYS) for r in every)[:25]
-    got = normal_rows(data.http_log, start, end, 25).collect()
+    got = normal_rows(data.http_log, start, end, 25).measures.collect()
     assert sorted(tuple(r[k] for k in KEYS) for r in got) == keys
     full = {}
-    for r in attack_rows(data.http_log, data.ip_ast).collect():
+    for r in attack_rows(data.http_log, data.ip_ast).measures.collect():
         full.setdefault(r.label, []).append(tuple(r[k] for k in KEYS))
     capped = {}
-    for r in attack_rows(data.http_log, data.ip_ast, 5).collect():
+    for r in attack_rows(data.http_log, data.ip_ast, 5).measures.collect():
         capped.setdefault(r.label, []).append(tuple(r[k] for k in KEYS))
     assert {c: sorted(v)[:5] for c, v in full.items()} == {c: sorted(v) for c, v in capped.items()}

@@ -8,12 +8,12 @@ from wardlog.catalog.registry import (
     HAS_TEXT,
     clean_sql,
     clock_sql,
-    list_sql,
+    digest_sql,
     method_sql,
     query,
     ratio,
-    set_sql,
     status_sql,
+    texts_sql,
     traffic_sql,
     url_chars_sql,
 )
@@ -25,6 +25,7 @@ from wardlog.plans.detectors import (
     attack_profile,
     by_hour,
     hijack_candidates,
+    traffic_numbers,
     traffic_profile,
 )
 from wardlog.plans.dns import (
@@ -39,7 +40,7 @@ from wardlog.plans.logins import RATIOS, login_profile, outcome_counts, service_
 
 WIDE_TIMES = ("2024-01-01 00:00:00", "2024-02-01 00:00:00")
 PROFILE_SQL = f"""max(end_time) AS "end", count(DISTINCT dst_port) AS dst_port_cnt, {status_sql()},
-    {set_sql(clean_sql('http_agent'))} AS agent_, {set_sql(clean_sql('http_query'))} AS query_"""
+    {digest_sql(clean_sql('http_agent'), 'agent_')}, {digest_sql(clean_sql('http_query'), 'query_')}"""
 
 # The same normalisers as the engine's, in the checking engine's dialect.
 PATH_WORDS = "regexp_replace(lower(http_path), '[/.,/-?!@#$%^&/_]', ' ', 'g')"
@@ -50,11 +51,12 @@ KEYWORD_LOG = f"""(SELECT *, {PATH_WORDS} AS path, {QUERY_WORDS} AS query, {AGEN
 PORTS = ", ".join(f"{ratio(f'length(CAST(dst_port AS VARCHAR)) = {n}')} AS port_{n}" for n in range(1, 6))
 SPREAD = ", ".join(f"round(entropy({c}), 6) AS {c}_ent" for c in ("port", "path", "query", "agent"))
 KINDS = ", ".join(f"count(DISTINCT {c}) AS {c}_len" for c in ("path", "query", "agent"))
+WORD_COLUMNS = {"path": "path", "query": "query", "agent": "agent"}
 ATTACK_SQL = f"""max(end_time) AS end_time, CAST(length(CAST(count(*) AS VARCHAR)) AS BIGINT) AS cnt,
-    count(*) AS requests, {method_sql()}, {PORTS}, {SPREAD}, {KINDS},
+    count(*) AS requests, {method_sql()}, {PORTS}, {SPREAD},
     count(DISTINCT port) AS uniq_dst_port,
     {", ".join(f"round(avg(strlen({c})), 6) AS {c}_uni" for c in ("path", "query", "agent"))},
-    {", ".join(f"{set_sql(c)} AS {c}_keywords" for c in ("path", "query", "agent"))}"""
+    {", ".join(digest_sql(c, c) for c in WORD_COLUMNS)}"""
 
 
 def rounded(df, digits=6):
@@ -63,26 +65,25 @@ def rounded(df, digits=6):
     return df.withColumns({c: F.round(F.col(c), digits) + 0.0 for c in doubles})
 
 
-def attack_out(df):
+def attack_out(profiles):
+    df = profiles.measures
     spread = [c for c in df.columns if c.endswith(("_ent", "_uni"))]
-    out = df.withColumns({c: F.round(c, 6) for c in spread}).withColumnRenamed("lgtime", "hour")
-    names = [f"{n}_keywords" for n in ("path", "query", "agent")]
-    return pf.joined_texts(out, names)
+    return df.withColumns({c: F.round(c, 6) for c in spread}).withColumnRenamed("lgtime", "hour")
 
 
 @query(
     "a01_http_profile",
-    f"""SELECT logtime, src_ip, dst_ip, CAST(0 AS BIGINT) AS part, {PROFILE_SQL} FROM http_log
+    f"""SELECT logtime, src_ip, dst_ip, {PROFILE_SQL} FROM http_log
         WHERE logtime BETWEEN TIMESTAMP '{WIDE_TIMES[0]}' AND TIMESTAMP '{WIDE_TIMES[1]}'
           AND {HAS_TEXT} GROUP BY 1, 2, 3""",
 )
 def a01(d):
-    return prediction_rows(d.http_log, *WIDE_TIMES)
+    return prediction_rows(d.http_log, *WIDE_TIMES).measures
 
 
 @query(
     "a02_hourly_attack_profile",
-    f"""SELECT date_trunc('hour', logtime) AS hour, src_ip, dst_ip, CAST(0 AS BIGINT) AS part,
+    f"""SELECT date_trunc('hour', logtime) AS hour, src_ip, dst_ip,
         {ATTACK_SQL} FROM {KEYWORD_LOG} GROUP BY 1, 2, 3""",
 )
 def a02(d):
@@ -96,7 +97,7 @@ def a02(d):
         FROM http_log GROUP BY 1, 2, 3""",
 )
 def a03(d):
-    out = traffic_profile(by_hour(d.http_log), texts=())
+    out = traffic_numbers(by_hour(d.http_log))
     return round_moments(out).withColumnRenamed("lgtime", "hour")
 
 
@@ -112,7 +113,7 @@ def round_moments(df, digits=4):
         FROM http_log GROUP BY 1, 2""",
 )
 def a03_source(d):
-    out = traffic_profile(by_hour(d.http_log), ["lgtime", "src_ip"], texts=())
+    out = traffic_numbers(by_hour(d.http_log), ["lgtime", "src_ip"])
     return round_moments(out).withColumnRenamed("lgtime", "hour")
 
 
@@ -160,40 +161,39 @@ def a11(d):
     return round_moments(out, 3)
 
 
+URL_COLUMNS = ("http_host", "http_path", "http_query")
+
+
 @query(
     "a12_cleaned_texts",
-    f"""SELECT logtime, src_ip, CAST(0 AS BIGINT) AS part,
-        {set_sql(clean_sql('http_agent'))} AS agent_, {set_sql(clean_sql('http_query'))} AS query_
-        FROM http_log GROUP BY 1, 2""",
+    texts_sql("http_log", "logtime, src_ip", {"agent_": clean_sql("http_agent"), "query_": clean_sql("http_query")}),
 )
 def a12(d):
-    texts = pf.cleaned_sets(TEXTS, payload_words, distinct=True)
-    return pf.joined_texts(pf.profile(d.http_log, ["logtime", "src_ip"], {}, texts), list(texts))
+    texts = pf.cleaned_texts(TEXTS, payload_words, distinct=True)
+    return pf.profile(d.http_log, ["logtime", "src_ip"], texts).texts
 
 
 @query(
     "a13_all_texts",
-    f"""SELECT logtime, src_ip, CAST(0 AS BIGINT) AS part, count(*) AS cnt,
-        {", ".join(f"{list_sql(url_chars_sql(c))} AS {c}" for c in ("http_host", "http_path", "http_query"))}
-        FROM http_log GROUP BY 1, 2""",
+    texts_sql("http_log", "logtime, src_ip", {c: url_chars_sql(c) for c in URL_COLUMNS}, distinct=False),
 )
 def a13(d):
-    out = traffic_profile(d.http_log, ["logtime", "src_ip"])
-    names = ["http_host", "http_path", "http_query"]
-    return pf.joined_texts(out.select("logtime", "src_ip", "part", "cnt", *names), names)
+    return traffic_profile(d.http_log, ["logtime", "src_ip"]).texts
 
 
 @query(
-    "a14_distinct_keywords",
-    f"""SELECT logtime, src_ip, CAST(0 AS BIGINT) AS part, {set_sql('path')} AS path,
-        {set_sql('query')} AS query FROM {KEYWORD_LOG} GROUP BY 1, 2""",
+    "a13_text_digests",
+    f"""SELECT logtime, src_ip, max(end_time) AS end_time, count(*) AS cnt, {traffic_sql()}, {method_sql()},
+        {status_sql()}, {", ".join(digest_sql(url_chars_sql(c), c, False) for c in URL_COLUMNS)}
+        FROM http_log GROUP BY 1, 2""",
 )
+def a13_digests(d):
+    return round_moments(traffic_profile(d.http_log, ["logtime", "src_ip"]).measures)
+
+
+@query("a14_distinct_keywords", texts_sql(KEYWORD_LOG, "logtime, src_ip", WORD_COLUMNS))
 def a14(d):
-    texts = {
-        **pf.cleaned_sets({"path": "http_path"}, path_keywords, distinct=True),
-        **pf.cleaned_sets({"query": "http_query"}, query_keywords, distinct=True),
-    }
-    return pf.joined_texts(pf.profile(d.http_log, ["logtime", "src_ip"], {}, texts), list(texts))
+    return attack_profile(d.http_log, ["logtime", "src_ip"]).texts
 
 
 @query("a15_keyword_kinds", f"SELECT src_ip, dst_ip, {KINDS} FROM {KEYWORD_LOG} GROUP BY 1, 2")
@@ -359,18 +359,28 @@ def a28_day(d):
 
 @query(
     "a29_dns_profile",
-    f"""SELECT date_trunc('hour', logtime) AS hour, src_ip, CAST(0 AS BIGINT) AS part,
+    f"""SELECT date_trunc('hour', logtime) AS hour, src_ip,
         max(end_time) AS end_time, count(*) AS cnt, round(avg(o), 6) AS global_osint,
         round(avg(g), 6) AS global_range, {clock_sql()},
-        {list_sql(url_chars_sql('dns_query'))} AS dns_query,
-        {list_sql(url_chars_sql('dns_answer'))} AS dns_answer FROM {INTEL} GROUP BY 1, 2""",
+        {digest_sql(url_chars_sql('dns_query'), 'dns_query', False)},
+        {digest_sql(url_chars_sql('dns_answer'), 'dns_answer', False)} FROM {INTEL} GROUP BY 1, 2""",
 )
 def a29(d):
-    out = dns_profile(d.dns_log, d.osint, d.range_intel)
-    out = out.withColumnRenamed("lgtime", "hour").withColumns(
+    out = dns_profile(d.dns_log, d.osint, d.range_intel).measures
+    return out.withColumnRenamed("lgtime", "hour").withColumns(
         {c: F.round(c, 6) for c in ("global_osint", "global_range")}
     )
-    return pf.joined_texts(out, ["dns_query", "dns_answer"])
+
+
+@query(
+    "a29_dns_texts",
+    texts_sql(
+        "(SELECT *, date_trunc('hour', logtime) AS hour FROM dns_log)", "hour, src_ip",
+        {c: url_chars_sql(c) for c in ("dns_query", "dns_answer")}, distinct=False,
+    ),
+)
+def a29_texts(d):
+    return dns_profile(d.dns_log, d.osint, d.range_intel).renamed({"lgtime": "hour"}).texts
 
 
 GROUP_SQL = f"""
@@ -425,17 +435,16 @@ def a32(d):
 
 @query(
     "a33_hijack_candidates",
-    f"""SELECT hour, src_ip, CAST(0 AS BIGINT) AS part, max(end_time) AS end_time, count(*) AS cnt,
+    f"""SELECT hour, src_ip, max(end_time) AS end_time, count(*) AS cnt,
         {method_sql()}, {traffic_sql()}, {status_sql()},
-        {list_sql(url_chars_sql('http_query'))} AS http_query
+        {digest_sql(url_chars_sql('http_query'), 'http_query', False)}
         FROM (SELECT *, date_trunc('hour', logtime) AS hour FROM http_log
               WHERE contains(http_cookie, 'SESSION'))
         GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT http_path) = 1""",
 )
 def a33(d):
     out = hijack_candidates(d.http_log, hits=1, texts=["http_query"])
-    out = round_moments(out).withColumnRenamed("lgtime", "hour")
-    return pf.joined_texts(out, ["http_query"])
+    return round_moments(out.measures).withColumnRenamed("lgtime", "hour")
 
 
 @query(

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from wardlog.catalog.aggregates import (
     ATTACK_SQL,
+    INTEL,
     KEYWORD_LOG,
     PROFILE_SQL,
+    URL_COLUMNS,
     WIDE_TIMES,
+    WORD_COLUMNS,
     round_moments,
     attack_out,
 )
@@ -24,15 +27,16 @@ from wardlog.catalog.filters import (
 from wardlog.catalog.registry import (
     HAS_TEXT,
     NOT_ASSET,
+    clean_sql,
     clock_sql,
-    list_sql,
+    digest_sql,
     method_sql,
     query,
     status_sql,
+    texts_sql,
     traffic_sql,
     url_chars_sql,
 )
-from wardlog.operators.profiles import joined_texts
 from wardlog.plans.detectors import (
     ALERT_OFFSETS,
     alert_detector,
@@ -42,48 +46,58 @@ from wardlog.plans.detectors import (
 )
 from wardlog.plans.dns import CLOCK
 from wardlog.plans.extraction import attack_rows, normal_rows, prediction_rows, training_rows
-from wardlog.plans.feedback import dns_feedback, http_feedback
+from wardlog.plans.feedback import dns_feedback, http_feedback, light_feedback, model_feedback
 
 DAY = "2024-01-08"
 LABEL_CASE = """CASE hash WHEN 'BEACONING' THEN 'file_download' WHEN 'SQL_INJECTION' THEN 'injection'
     WHEN 'CREDENTIAL' THEN 'credential' WHEN 'XSS' THEN 'xss' END"""
 ATTACK_ROWS = f"""
-    SELECT {LABEL_CASE} AS label, logtime, src_ip, dst_ip, CAST(0 AS BIGINT) AS part, {PROFILE_SQL}
+    SELECT {LABEL_CASE} AS label, logtime, src_ip, dst_ip, {PROFILE_SQL}
     FROM http_log WHERE hash <> 'normal' AND {HAS_TEXT} AND src_ip LIKE '%.%.%.%' AND {NOT_ASSET}
     GROUP BY 1, 2, 3, 4"""
 NORMAL_ROWS = f"""
-    SELECT 'normal' AS label, logtime, src_ip, dst_ip, CAST(0 AS BIGINT) AS part, {PROFILE_SQL}
+    SELECT 'normal' AS label, logtime, src_ip, dst_ip, {PROFILE_SQL}
     FROM http_log WHERE logtime BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-25'
       AND {HAS_TEXT} GROUP BY 2, 3, 4"""
 
 
 @query("d01_attack_training_rows", ATTACK_ROWS)
 def d01(d):
-    return attack_rows(d.http_log, d.ip_ast)
+    return attack_rows(d.http_log, d.ip_ast).measures
 
 
 @query("d02_normal_training_rows", NORMAL_ROWS)
 def d02(d):
-    return normal_rows(d.http_log, "2024-01-02 00:00:00", "2024-01-25 00:00:00")
+    return normal_rows(d.http_log, "2024-01-02 00:00:00", "2024-01-25 00:00:00").measures
 
 
 @query(
     "d03_prediction_rows",
-    f"""SELECT logtime, src_ip, dst_ip, CAST(0 AS BIGINT) AS part, {PROFILE_SQL} FROM http_log
+    f"""SELECT logtime, src_ip, dst_ip, {PROFILE_SQL} FROM http_log
         WHERE logtime BETWEEN TIMESTAMP '{WIDE_TIMES[0]}' AND TIMESTAMP '{WIDE_TIMES[1]}'
           AND {HAS_TEXT} GROUP BY 1, 2, 3""",
 )
 def d03(d):
-    return prediction_rows(d.http_log, *WIDE_TIMES)
+    return prediction_rows(d.http_log, *WIDE_TIMES).measures
+
+
+@query(
+    "d03_prediction_texts",
+    texts_sql(
+        f"""(SELECT * FROM http_log WHERE logtime BETWEEN TIMESTAMP '{WIDE_TIMES[0]}'
+            AND TIMESTAMP '{WIDE_TIMES[1]}' AND {HAS_TEXT})""",
+        "logtime, src_ip, dst_ip", {"agent_": clean_sql("http_agent"), "query_": clean_sql("http_query")},
+    ),
+)
+def d03_texts(d):
+    return prediction_rows(d.http_log, *WIDE_TIMES).texts
 
 
 @query("d01_d02_training_set", f"{NORMAL_ROWS} UNION ALL {ATTACK_ROWS}")
 def training_set(d):
-    out = training_rows(d.http_log, d.ip_ast, "2024-01-02 00:00:00", "2024-01-25 00:00:00")
-    return out.select(
-        "label", "logtime", "src_ip", "dst_ip", "part",
-        *[c for c in out.columns if c not in ("label", "logtime", "src_ip", "dst_ip", "part")],
-    )
+    out = training_rows(d.http_log, d.ip_ast, "2024-01-02 00:00:00", "2024-01-25 00:00:00").measures
+    first = ("label", "logtime", "src_ip", "dst_ip")
+    return out.select(*first, *[c for c in out.columns if c not in first])
 
 
 # Detector code -> (name, days before and after, condition).
@@ -101,7 +115,7 @@ def signature_sql(code: int, least: int) -> str:
     _, (first, last), condition = SIGNATURES[code]
     having = f"HAVING count(*) >= {least + 10}" if code == 3 else ""
     return f"""SELECT {code} AS code, date_trunc('hour', logtime) AS hour, src_ip, dst_ip,
-        CAST(0 AS BIGINT) AS part, {ATTACK_SQL} FROM {KEYWORD_LOG}
+        {ATTACK_SQL} FROM {KEYWORD_LOG}
         WHERE logtime BETWEEN TIMESTAMP '{DAY}' + INTERVAL ({first}) DAY
           AND TIMESTAMP '{DAY}' + INTERVAL ({last}) DAY AND {condition} AND {NOT_ASSET}
           AND http_path NOT LIKE '/fr/1%'
@@ -144,6 +158,9 @@ ALERT_NAMES = {
 }
 
 
+URL_DIGESTS = ", ".join(digest_sql(url_chars_sql(c), c, False) for c in URL_COLUMNS)
+
+
 def alert_sql(least: int, offsets: dict) -> str:
     parts = []
     for code in range(1, 7):
@@ -158,19 +175,16 @@ def alert_sql(least: int, offsets: dict) -> str:
             ]
             condition = f"src_ip IN ({' UNION '.join(sources)})"
         parts.append(f"""SELECT {code} AS code, date_trunc('hour', logtime) AS hour, src_ip, dst_ip,
-            CAST(0 AS BIGINT) AS part, max(end_time) AS end_time, count(*) AS cnt, {method_sql()},
-            {traffic_sql()}, {status_sql()}, {list_sql(url_chars_sql('http_host'))} AS http_host,
-            {list_sql(url_chars_sql('http_path'))} AS http_path,
-            {list_sql(url_chars_sql('http_query'))} AS http_query
+            max(end_time) AS end_time, count(*) AS cnt, {method_sql()},
+            {traffic_sql()}, {status_sql()}, {URL_DIGESTS}
             FROM http_log WHERE logtime BETWEEN TIMESTAMP '{DAY}'
               AND TIMESTAMP '{DAY}' + INTERVAL 31 DAY AND {condition} AND {NOT_ASSET}
             GROUP BY 1, 2, 3, 4 {having}""")
     return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
 
 
-def alert_out(df):
-    out = round_moments(df).withColumnRenamed("lgtime", "hour")
-    return joined_texts(out, ["http_host", "http_path", "http_query"])
+def alert_out(profiles):
+    return round_moments(profiles.measures).withColumnRenamed("lgtime", "hour")
 
 
 @query("d10_alert_detectors", alert_sql(10, ALERT_OFFSETS))
@@ -192,20 +206,16 @@ def d10_low(d):
 
 @query(
     "d11_session_hijack",
-    f"""SELECT hour, src_ip, CAST(0 AS BIGINT) AS part, max(end_time) AS end_time, count(*) AS cnt,
+    f"""SELECT hour, src_ip, max(end_time) AS end_time, count(*) AS cnt,
         {method_sql()}, {traffic_sql()}, {status_sql()},
-        {list_sql(url_chars_sql('http_path'))} AS http_path,
-        {list_sql(url_chars_sql('http_query'))} AS http_query,
-        {list_sql(url_chars_sql('http_cookie'))} AS http_cookie
+        {", ".join(digest_sql(url_chars_sql(c), c, False) for c in ("http_path", "http_query", "http_cookie"))}
         FROM (SELECT *, date_trunc('hour', logtime) AS hour FROM http_log
               WHERE contains(http_cookie, 'SESSION') AND logtime >= TIMESTAMP '2024-01-03'
                 AND {NOT_ASSET})
         GROUP BY 1, 2 HAVING count(*) > 0 AND count(DISTINCT http_path) = 1""",
 )
 def d11(d):
-    out = hijack_detector(d.http_log, d.ip_ast, "2024-01-03 00:00:00", hits=0)
-    out = round_moments(out).withColumnRenamed("lgtime", "hour")
-    return joined_texts(out, ["http_path", "http_query", "http_cookie"])
+    return alert_out(hijack_detector(d.http_log, d.ip_ast, "2024-01-03 00:00:00", hits=0))
 
 
 @query(
@@ -218,16 +228,11 @@ def d12(d):
 
 FEEDBACK_ROWS = """feedback f JOIN http_log l ON l.src_ip = f.src_ip AND l.logtime >= f.start_time
     AND l.end_time <= f.end_time WHERE f.model_id = 30 AND f.feedback <> -1"""
-FEEDBACK_TEXTS = ", ".join(
-    f"{list_sql(url_chars_sql(c))} AS {c}" for c in ("http_host", "http_path", "http_query")
-)
-
-
 @query(
     "d13_http_feedback",
     f"""SELECT f.feedback_id, date_trunc('hour', l.logtime) AS hour, l.src_ip,
-        CAST(0 AS BIGINT) AS part, max(l.end_time) AS end_time, count(*) AS cnt, {method_sql()},
-        {traffic_sql()}, {status_sql()}, {FEEDBACK_TEXTS}, f.feedback
+        max(l.end_time) AS end_time, count(*) AS cnt, {method_sql()},
+        {traffic_sql()}, {status_sql()}, {URL_DIGESTS}, f.feedback
         FROM {FEEDBACK_ROWS} GROUP BY f.feedback_id, hour, l.src_ip, f.feedback""",
 )
 def d13(d):
@@ -241,8 +246,7 @@ def d13(d):
         FROM {FEEDBACK_ROWS} GROUP BY f.feedback_id, hour, l.src_ip, f.feedback""",
 )
 def d13_light(d):
-    out = http_feedback(d.http_log, d.feedback, 30, bytes_too=False, texts=False)
-    return out.withColumnRenamed("lgtime", "hour")
+    return light_feedback(d.http_log, d.feedback, 30).withColumnRenamed("lgtime", "hour")
 
 
 CLOCK_DEFAULTS = ", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in CLOCK)
@@ -253,9 +257,9 @@ CLOCK_DEFAULTS = ", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in CLOCK)
     f"""SELECT p.*, {CLOCK_DEFAULTS} FROM (
           SELECT f.feedback_id, date_trunc('hour', l.logtime) AS hour, l.src_ip,
                  max(l.end_time) AS end_time, count(*) AS cnt,
-                 round(avg(CAST(l.dns_query IN (SELECT target FROM osint) AS INT)), 6) AS global_osint,
-                 {list_sql(url_chars_sql('dns_query'))} AS dns_query, f.feedback
-          FROM hour_feedback f JOIN dns_log l ON l.src_ip = f.src_ip AND l.logtime >= f.start_time
+                 round(avg(o), 6) AS global_osint, round(avg(g), 6) AS global_range,
+                 {", ".join(digest_sql(url_chars_sql(c), c, False) for c in ("dns_query", "dns_answer"))}, f.feedback
+          FROM hour_feedback f JOIN {INTEL} l ON l.src_ip = f.src_ip AND l.logtime >= f.start_time
                AND l.end_time <= f.end_time
           WHERE f.model_id = 40 AND f.feedback <> -1
           GROUP BY f.feedback_id, hour, l.src_ip, f.feedback, f.start_time, f.end_time
@@ -265,6 +269,42 @@ CLOCK_DEFAULTS = ", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in CLOCK)
         ON c.src_ip = p.src_ip AND c.hour = p.hour AND c.end_time = p.end_time""",
 )
 def d13_dns(d):
-    out = dns_feedback(d.dns_log, d.hour_feedback, d.osint, d.range_intel, 40)
-    out = out.withColumn("global_osint", F.round("global_osint", 6)).drop("global_range", "part")
-    return joined_texts(out.withColumnRenamed("lgtime", "hour"), ["dns_query"]).drop("dns_answer")
+    out = dns_feedback(d.dns_log, d.hour_feedback, d.osint, d.range_intel, 40).measures
+    flags = {c: F.round(c, 6) for c in ("global_osint", "global_range")}
+    return out.withColumns(flags).withColumnRenamed("lgtime", "hour")
+
+
+@query(
+    "d04_d09_signature_texts",
+    " UNION ALL ".join(
+        texts_sql(
+            f"""(SELECT *, {code} AS code, date_trunc('hour', logtime) AS hour FROM {KEYWORD_LOG}
+                WHERE logtime BETWEEN TIMESTAMP '{DAY}' + INTERVAL ({first}) DAY
+                  AND TIMESTAMP '{DAY}' + INTERVAL ({last}) DAY AND {condition} AND {NOT_ASSET})""",
+            "code, hour, src_ip, dst_ip", WORD_COLUMNS,
+        )
+        for code, (_, (first, last), condition) in SIGNATURES.items()
+    ),
+)
+def signature_texts(d):
+    """Keyword texts behind the signature alerts; one request an hour is enough here."""
+    return signature_detector(d.http_log, d.ip_ast, DAY, least=-9).renamed({"lgtime": "hour"}).texts
+
+
+@query(
+    "d13_feedback_by_model",
+    f"""SELECT f.feedback_id, date_trunc('hour', l.logtime) AS hour, l.src_ip, f.feedback, m.model_id,
+        max(l.end_time) AS end_time, count(*) AS cnt, {method_sql()}, {status_sql()}
+        FROM (SELECT * FROM feedback WHERE feedback <> -1) f
+        JOIN http_log l ON l.src_ip = f.src_ip AND l.logtime >= f.start_time AND l.end_time <= f.end_time
+        JOIN (SELECT 1 AS model_id UNION ALL SELECT 30) m ON true
+        GROUP BY f.feedback_id, hour, l.src_ip, f.feedback, m.model_id""",
+)
+def d13_by_model(d):
+    """The measures two models share, for verdicts filed under each of them."""
+    found = []
+    for model_id in (1, 30):
+        verdicts = d.feedback.withColumn("model_id", F.lit(model_id))
+        rows = model_feedback(model_id, verdicts, d.http_log, d.dns_log, d.osint, d.range_intel)
+        found.append((rows if model_id == 1 else rows.measures).withColumn("model_id", F.lit(model_id)))
+    return found[0].unionByName(found[1].select(*found[0].columns)).withColumnRenamed("lgtime", "hour")

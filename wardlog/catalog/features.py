@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from wardlog.catalog.registry import query
+from wardlog.catalog.registry import HAS_TEXT, clean_sql, query
 from wardlog.constants import SQL_KEYWORDS, STOP_WORDS, VOCABULARY_CAPS
 from wardlog.functions.text import n_grams, words
 from wardlog.functions.vectors import pad
@@ -20,9 +20,11 @@ from wardlog.ml.rarity import (
     value_rarity,
 )
 from wardlog.ml.scaling import box_threshold, mad_threshold, min_max
-from wardlog.ml.textvec import array_text, fit_features, term_weights, vocabulary
+from wardlog.ml.slots import fit_slots, sparse
+from wardlog.ml.textvec import fit_features, term_weights, vocabulary
 from wardlog.operators.ordering import union_all
-from wardlog.operators.profiles import TextSet, profile
+from wardlog.operators.profiles import Texts, profile
+from wardlog.plans.extraction import prediction_rows
 from wardlog.plans.feedback import unlike_feedback
 
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -165,12 +167,38 @@ SLOT_ROWS = """(SELECT logtime, src_ip, count(*) AS cnt,
         UNION ALL SELECT * FROM {weights_sql(SLOT_ROWS, 'logtime, src_ip', 'hosts', 32)}""",
 )
 def m06(d):
-    sets = {"queries": TextSet(F.col("http_query")), "hosts": TextSet(F.col("http_host"))}
-    keys = ["logtime", "src_ip"]
-    rows = profile(d.http_log, keys, {"cnt": F.count(F.lit(1))}, sets)
-    rows = rows.withColumns({c: array_text(c) for c in sets})
-    model = fit_features(rows, ["cnt"], list(sets), 32)
-    return named_weights(model.transform(rows), model, keys)
+    sets = {"queries": Texts(F.col("http_query")), "hosts": Texts(F.col("http_host"))}
+    rows = profile(d.http_log, ["logtime", "src_ip"], sets, whole={"cnt": F.count(F.lit(1))}).stored()
+    return sparse_weights(rows, fit_slots(rows, ["cnt"], {c: 32 for c in sets}))
+
+
+def sparse_weights(profiles, slots):
+    """Entries of the sparse vectors as rows with the feature's name."""
+    names = F.split(F.lit("\n".join(slots.names)), "\n")
+    pairs = F.arrays_zip("places", "weights")
+    rows = slots.transform(profiles).select(*profiles.keys, F.explode(pairs).alias("p"))
+    weight = F.round("p.weights", 9).alias("weight")
+    return rows.select(*profiles.keys, F.get(names, F.col("p.places")).alias("feature"), weight)
+
+
+PROFILE_TEXTS = f"""(SELECT logtime, src_ip, dst_ip,
+    array_to_string(list_sort(list(DISTINCT {clean_sql('http_agent')})), ' ') AS agent_,
+    array_to_string(list_sort(list(DISTINCT {clean_sql('http_query')})), ' ') AS query_
+    FROM http_log WHERE {HAS_TEXT} GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "m05_profile_features",
+    f"""SELECT logtime, src_ip, dst_ip, 'dst_port_cnt' AS feature, CAST(count(DISTINCT dst_port) AS DOUBLE) AS weight
+        FROM http_log WHERE {HAS_TEXT} GROUP BY 1, 2, 3
+        UNION ALL SELECT * FROM {weights_sql(PROFILE_TEXTS, 'logtime, src_ip, dst_ip', 'agent_', 250)}
+        UNION ALL SELECT * FROM {weights_sql(PROFILE_TEXTS, 'logtime, src_ip, dst_ip', 'query_', 2500)}""",
+)
+def m05_profile(d):
+    """Sparse features of the prediction profiles under the vocabulary caps."""
+    caps = {"agent_": VOCABULARY_CAPS["http_agent"], "query_": VOCABULARY_CAPS["http_query"]}
+    rows = prediction_rows(d.http_log, "2000-01-01 00:00:00", "2100-01-01 00:00:00").stored()
+    return sparse_weights(rows, fit_slots(rows, ["dst_port_cnt"], caps))
 
 
 @query(
@@ -381,7 +409,23 @@ def m30_subsets(d):
 
 @query("m31_projection")
 def m31(d):
-    rows = d.embeddings.withColumn(
-        "features", array_to_vector(F.col("embedding").cast("array<double>"))
-    )
-    return projection(rows, fit_anomaly(rows, 3)).select("vec_id", "label", "x", "y", "z")
+    rows = d.embeddings.withColumns(sparse(F.col("embedding").cast("array<double>")))
+    return projection(rows, fit_anomaly(rows, 64, 3)).select("vec_id", "label", "x", "y", "z")
+
+
+@query(
+    "m31_two_columns",
+    """WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 50 AS a,
+                  CAST(l_extendedprice AS DOUBLE) / 100000 AS b FROM lineitem),
+       s AS (SELECT avg(a) AS ma, avg(b) AS mb, 0.5 * atan2(2 * covar_pop(a, b), var_pop(a) - var_pop(b)) AS turn FROM x)
+       SELECT l_orderkey, l_linenumber, round(abs(cos(turn) * (a - ma) + sin(turn) * (b - mb)), 6) AS x,
+              round(abs(cos(turn) * (b - mb) - sin(turn) * (a - ma)), 6) AS y
+       FROM x CROSS JOIN s""",
+)
+def m31_two(d):
+    """Two columns along their own axes, whose angle has a closed form; distances without sign."""
+    a, b = F.col("l_quantity").cast("double") / 50, F.col("l_extendedprice").cast("double") / 100000
+    rows = d.lineitem.select("l_orderkey", "l_linenumber", F.array(a, b).alias("values"))
+    rows = rows.withColumns(sparse(F.col("values")))
+    out = projection(rows, fit_anomaly(rows, 2, 2))
+    return out.select("l_orderkey", "l_linenumber", *[F.round(F.abs(c), 6).alias(c) for c in "xy"])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.catalog.registry import query
+from wardlog.constants import VOCABULARY_CAPS
 from wardlog.functions.vectors import display_name
 from wardlog.ml.metrics import one_vs_rest
 from wardlog.ml.models import (
@@ -25,8 +25,10 @@ from wardlog.ml.scoring import (
     mark_anomalies,
     result_rows,
 )
+from wardlog.ml.slots import sparse
 from wardlog.ml.tree import importance_table, node_table, route, stamped_nodes
 from wardlog.operators.ordering import with_split
+from wardlog.operators.profiles import Profiles
 from wardlog.plans.extraction import KEYS, prediction_rows, training_rows
 from wardlog.session import scratch
 
@@ -34,25 +36,29 @@ MODEL_ID = 334
 VERSION = "2024_02_01_00_00"
 START, END = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 NAMES = {"agent_": "http_agent", "query_": "http_query"}
+CAPS = {c: VOCABULARY_CAPS[c] for c in NAMES.values()}
 _fitted: dict[tuple, ModelBundle] = {}
 
 
-def extracted(d) -> DataFrame:
-    rows = training_rows(d.http_log, d.ip_ast, START, END)
-    return with_split(rows.withColumnsRenamed(NAMES), ["label", *KEYS])
+def extracted(d) -> Profiles:
+    rows = training_rows(d.http_log, d.ip_ast, START, END).renamed(NAMES)
+    return rows.with_measures(lambda m: with_split(m, ["label", *KEYS]))
+
+
+def part_of(profiles: Profiles, split: str) -> Profiles:
+    return profiles.with_measures(lambda m: m.where(F.col("split") == split))
 
 
 def bundle(d) -> ModelBundle:
     """The models of a folder, fitted once per session."""
     key = (d.spark.sparkContext.applicationId, d.folder)
     if key not in _fitted:
-        train = extracted(d).where(F.col("split") == "train")
-        _fitted[key] = fit_bundle(train, VERSION, STATUS_COLUMNS, list(NAMES.values()), 32)
+        _fitted[key] = fit_bundle(part_of(extracted(d), "train"), VERSION, STATUS_COLUMNS, CAPS)
     return _fitted[key]
 
 
-def window_rows(d) -> DataFrame:
-    return prediction_rows(d.http_log, START, END).withColumnsRenamed(NAMES)
+def window_rows(d) -> Profiles:
+    return prediction_rows(d.http_log, START, END).renamed(NAMES)
 
 
 def labelled_results(d, scored: DataFrame) -> DataFrame:
@@ -72,7 +78,7 @@ def s11(d):
 @query("m10_tree_routes")
 def m10(d):
     b = bundle(d)
-    test = extracted(d).where(F.col("split") == "test")
+    test = part_of(extracted(d), "test")
     return route(b.prepare(test), b.tree, b.labels).select("label", *KEYS, "route")
 
 
@@ -110,7 +116,7 @@ def m15_metrics(d):
 @query("m16_tree_scores")
 def m16_tree(d):
     b = bundle(d)
-    test = extracted(d).where(F.col("split") == "test")
+    test = part_of(extracted(d), "test")
     routed = route(b.prepare(test), b.tree, b.labels)
     return one_vs_rest(
         routed.select(display_name(F.col("label")).alias("y"), display_name(F.col("route")).alias("p")),
@@ -138,8 +144,8 @@ def m17_two(d):
     """Two columns: what is left of a row beside the longer axis, whose angle has a closed form."""
     a, b = F.col("l_quantity").cast("double") / 50, F.col("l_extendedprice").cast("double") / 100000
     rows = d.lineitem.select("l_orderkey", "l_linenumber", F.array(a, b).alias("values"))
-    rows = rows.withColumn("features", array_to_vector("values"))
-    out = reconstruction_error(rows, fit_anomaly(rows, 1))
+    rows = rows.withColumns(sparse(F.col("values")))
+    out = reconstruction_error(rows, fit_anomaly(rows, 2, 1))
     return out.select("l_orderkey", "l_linenumber", F.round("recon_error", 6).alias("recon_error"))
 
 
@@ -158,12 +164,4 @@ def m25_rows(d):
 @query("m26_evidence")
 def m26(d):
     b = bundle(d)
-    named = labelled_results(d, b.score(window_rows(d)).withColumn("values", F.col("values")))
-    return evidence_rows(named, b.features.names, b.features.slots, MODEL_ID, VERSION)
-
-
-@query("m05_profile_features")
-def m05_profile(d):
-    b = bundle(d)
-    rows = b.features.transform(window_rows(d))
-    return rows.select(*KEYS, F.size(vector_to_array("features")).alias("size"))
+    return evidence_rows(labelled_results(d, b.score(window_rows(d))), b.features, MODEL_ID, VERSION)

@@ -77,12 +77,21 @@ def url_chars_sql(c: str) -> str:
     return f"regexp_replace({c}, '[^a-zA-Z.:,=&?$/]', '', 'g')"
 
 
-def set_sql(c: str) -> str:
-    return f"array_to_string(list_sort(list(DISTINCT {c})), ' ')"
-
-
-def list_sql(c: str) -> str:
-    return f"array_to_string(list_sort(list({c})), ' ')"
+def digest_sql(c: str, name: str, distinct: bool = True) -> str:
+    """How many texts there are in a column and two sums of hashes of them."""
+    once = "DISTINCT " if distinct else ""
+    sums = [f"coalesce(sum({once}CAST('0x' || substr(md5({c}), {start}, 15) AS BIGINT)), 0)" for start in (1, 16)]
+    return f"count({once}{c}) AS {name}_texts, concat_ws(':', {', '.join(sums)}) AS {name}_digest"
+
+
+def texts_sql(rows: str, keys: str, columns: dict[str, str], distinct: bool = True) -> str:
+    """The long table (keys, column, text, n) of some text columns."""
+    n = "CAST(1 AS BIGINT)" if distinct else "count(*)"
+    parts = [
+        f"""SELECT {keys}, '{name}' AS "column", {c} AS text, {n} AS n FROM {rows}
+            WHERE {c} IS NOT NULL GROUP BY ALL""" for name, c in columns.items()
+    ]
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
 
 
 HAS_TEXT = "NOT (http_host = '' AND http_agent = '' AND http_query = '')"

@@ -58,7 +58,7 @@ def t03(d):
     models = bundle(d)
 
     def score(batch):
-        rows = http_profile(batch, KEYS).withColumnsRenamed(NAMES)
+        rows = http_profile(batch, KEYS).renamed(NAMES)
         return result_rows(labelled_results(d, models.score(rows)), MODEL_ID, VERSION)
 
     return jobs.run_scoring(http_stream(d), scratch(d.spark, "scores"), KEYS, score)

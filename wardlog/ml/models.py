@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassificationModel, LogisticRegression
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.constants import DISPLAY_NAMES
-from wardlog.functions.vectors import dot
-from wardlog.ml.scaling import Scaler, box_threshold, constant_array, fit_scaler
-from wardlog.ml.textvec import FeatureModel, fit_features
+from wardlog.functions.vectors import total
+from wardlog.ml.scaling import Scaler, box_threshold, fit_scaler
+from wardlog.ml.slots import Slots, as_vectors, fit_slots, product
 from wardlog.ml.tree import class_names, fit_tree, route
 from wardlog.operators.ordering import hash_slot
+from wardlog.operators.profiles import Profiles
 from wardlog.session import scratch
 from wardlog.sources.sinks import write_snapshot
 
@@ -59,55 +59,102 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def routed_scores(specialists: dict[str, Linear], values: str = "values", by: str = "route"):
-    """The score of the one specialist the row is routed to: a single product per row."""
-    weights = F.lit(None).cast("array<double>")
-    shift = F.lit(0.0)
+def routed_scores(specialists: dict[str, Linear], by: str = "route") -> Column:
+    """The score of the one specialist the row is routed to, from its sparse vector."""
+    score = F.lit(None).cast("double")
     for name, model in specialists.items():
-        weights = F.when(F.col(by) == name, constant_array(model.weights)).otherwise(weights)
-        shift = F.when(F.col(by) == name, model.intercept).otherwise(shift)
-    return F.when(F.col(by).isin(*specialists), sigmoid(dot(F.col(values), weights) + shift))
+        score = F.when(F.col(by) == name, sigmoid(product(model.weights) + model.intercept)).otherwise(score)
+    return score
 
 
 @dataclass
 class Anomaly:
-    """Principal components of normal rows, and the mean those are measured from."""
+    """Principal components (a row a component) of normal rows, and the mean those are measured from."""
 
-    pca: PCAModel
+    components: list[list[float]]
     mean: list[float]
 
-    def centred(self, df: DataFrame) -> tuple[DataFrame, Column]:
-        """``df`` with its ``components``, and these less the components of the mean.
+    def projected(self) -> list[Column]:
+        """Components of a sparse row less the mean, without making the row dense."""
+        middle = np.array(self.components) @ np.array(self.mean)
+        return [product(c) - float(m) for c, m in zip(self.components, middle, strict=True)]
 
-        The model's transform does not subtract the mean it was fitted around.
-        """
-        middle = [float(x) for x in self.pca.pc.toArray().T @ self.mean]
-        z = F.zip_with(vector_to_array(F.col("components")), constant_array(middle), lambda a, m: a - m)
-        return self.pca.transform(df), z
 
+SPARE, PASSES, STILL = 8, 30, 1e-11
 
-def fit_anomaly(normal: DataFrame, k: int) -> Anomaly:
-    pca = PCA(k=k, inputCol="features", outputCol="components").fit(normal)
-    mean = normal.select(Summarizer.mean(F.col("features")).alias("m")).first().m
-    return Anomaly(pca, [float(x) for x in mean])
 
+def fit_anomaly(normal: DataFrame, size: int, k: int) -> Anomaly:
+    """The ``k`` first principal components of sparse rows of ``size`` places.
 
-def reconstruction_error(df: DataFrame, model: Anomaly, values: str = "values") -> DataFrame:
+    Subspace iteration with ``SPARE`` more directions: each pass multiplies the covariance
+    by a thin matrix, X'(X V - 1 mean'V) with the mean taken off implicitly, in tasks that
+    add up their part of it; the driver sees a matrix of ``size`` x (k + SPARE) numbers.
+    """
+    normal = normal.select("places", "weights")
+    rows = normal.count()
+    entries = normal.select(F.explode(F.arrays_zip("places", "weights")).alias("e"))
+    mean = np.zeros(size)
+    for r in entries.groupBy("e.places").agg(F.sum("e.weights").alias("w")).collect():
+        mean[r.places] = r.w / rows
+    width = min(size, k + SPARE)
+    basis = np.linalg.qr(np.random.default_rng(1).normal(size=(size, width)))[0]
+    for _ in range(PASSES):
+        moved = _covariance_times(normal, basis, mean, width) / rows
+        inner = basis.T @ moved
+        left = moved - basis @ inner
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        turn = turn[:, ::-1]
+        found = basis @ turn[:, :k]
+        # done when the covariance keeps the wanted directions
+        if np.linalg.norm(left @ turn[:, :k]) <= STILL * max(values[-1], 1e-300):
+            break
+        basis = np.linalg.qr(moved)[0]
+    signs = np.sign(found[np.abs(found).argmax(0), np.arange(found.shape[1])])
+    found = found * np.where(signs == 0, 1, signs)
+    return Anomaly(found.T.tolist(), mean.tolist())
+
+
+def _covariance_times(rows: DataFrame, basis: np.ndarray, mean: np.ndarray, width: int) -> np.ndarray:
+    columns = [f"y{j}" for j in range(width)]
+    middle = mean @ basis
+
+    def part(batches):
+        out, ahead = np.zeros_like(basis), np.zeros(width)
+        for batch in batches:
+            size = pa.compute.list_value_length(batch["places"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            place, w = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("places", "weights"))
+            owner = np.repeat(np.arange(batch.num_rows), size)
+            for j in range(width):
+                along = np.bincount(owner, basis[place, j] * w, batch.num_rows) - middle[j]
+                out[:, j] += np.bincount(place, w * along[owner], len(out))
+                ahead[j] += along.sum()
+        out -= np.outer(mean, ahead)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), *[pa.array(x) for x in out.T.copy()]], ["place", *columns])
+
+    made = rows.mapInArrow(part, ", ".join(["place int", *[f"{c} double" for c in columns]]))
+    total = np.zeros_like(basis)
+    for r in made.groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).collect():
+        total[r.place] = r[1:]
+    return total
+
+
+def reconstruction_error(df: DataFrame, model: Anomaly) -> DataFrame:
     """Adds ``recon_error``, the mean squared error of projecting onto the components.
 
     The components are orthonormal, so the squared error is what the row's squared
-    distance from the mean loses by the projection; no row is rebuilt.
+    distance from the mean loses by the projection; no row is rebuilt or made dense.
     """
-    df, z = model.centred(df)
-    x = F.zip_with(F.col(values), constant_array(model.mean), lambda a, m: a - m)
-    lost = F.greatest(dot(x, x) - dot(z, z), F.lit(0.0))
-    return df.withColumn("recon_error", lost / F.size(x)).drop("components")
+    mean = np.array(model.mean)
+    square = total(F.transform("weights", lambda w: w * w)) - 2 * product(model.mean) + float(mean @ mean)
+    lost = square
+    for z in model.projected():
+        lost = lost - z * z
+    return df.withColumn("recon_error", F.greatest(lost, F.lit(0.0)) / float(len(mean)))
 
 
 def projection(df: DataFrame, model: Anomaly) -> DataFrame:
-    """Adds x, y, z from a three-component model; the mean is at the origin."""
-    df, p = model.centred(df)
-    return df.withColumns({n: F.get(p, F.lit(i)) for i, n in enumerate("xyz")}).drop("components")
+    """Adds x, y and z, as many as the model has components; the mean is at the origin."""
+    return df.withColumns(dict(zip("xyz", model.projected())))
 
 
 @dataclass
@@ -116,19 +163,20 @@ class ModelBundle:
 
     version: str
     labels: list[str]
-    features: FeatureModel
+    features: Slots
     scaler: Scaler
     tree: DecisionTreeClassificationModel
     specialists: dict[str, Linear]
     anomaly: Anomaly | None
     threshold: float
 
-    def prepare(self, df: DataFrame) -> DataFrame:
-        return self.scaler.transform(self.features.transform(df))
+    def prepare(self, profiles: Profiles) -> DataFrame:
+        """Measures with scaled sparse features."""
+        return as_vectors(self.scaler.transform(self.features.transform(profiles)), len(self.features.names))
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Adds ``values``, ``route`` and one score column per class, 0 off the route."""
-        out = route(self.prepare(df), self.tree, self.labels)
+    def score(self, profiles: Profiles) -> DataFrame:
+        """Adds ``route`` and one score column per class, 0 off the route."""
+        out = route(self.prepare(profiles), self.tree, self.labels)
         if self.anomaly is not None:
             out = reconstruction_error(out, self.anomaly)
         else:
@@ -144,12 +192,10 @@ class ModelBundle:
         self.features.save(spark, f"{path}/features")
         self.scaler.save(spark, f"{path}/scaler")
         self.tree.write().overwrite().save(f"{path}/tree")
-        if self.anomaly is not None:
-            self.anomaly.pca.write().overwrite().save(f"{path}/anomaly")
         meta = {
             "labels": self.labels,
             "threshold": self.threshold,
-            "mean": None if self.anomaly is None else self.anomaly.mean,
+            "anomaly": None if self.anomaly is None else vars(self.anomaly),
             "specialists": {n: vars(m) for n, m in self.specialists.items()},
         }
         spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode(
@@ -164,11 +210,11 @@ class ModelBundle:
         return cls(
             version,
             meta["labels"],
-            FeatureModel.load(spark, f"{path}/features"),
+            Slots.load(spark, f"{path}/features"),
             Scaler.load(spark, f"{path}/scaler"),
             DecisionTreeClassificationModel.load(f"{path}/tree"),
             {n: Linear(**m) for n, m in meta["specialists"].items()},
-            None if meta["mean"] is None else Anomaly(PCAModel.load(f"{path}/anomaly"), meta["mean"]),
+            None if meta["anomaly"] is None else Anomaly(**meta["anomaly"]),
             meta["threshold"],
         )
 
@@ -186,11 +232,10 @@ def spread_scores(
 
 
 def fit_bundle(
-    train: DataFrame,
+    train: Profiles,
     version: str,
     numbers: Sequence[str],
-    texts: Sequence[str],
-    max_features: int,
+    caps: Mapping[str, int],
     depth: int = 5,
     low: int = 1,
     high: int = 1,
@@ -198,26 +243,26 @@ def fit_bundle(
 ) -> ModelBundle:
     """Fits text features, scaler, tree, specialists, anomaly model and threshold.
 
-    The extracted rows and the prepared vectors are each written once to the
-    shared folder and read back for every fit, so a lost executor costs a
+    ``train`` has a measure or key ``label``; ``caps`` names its text columns and the sizes
+    of their vocabularies. The extracted profiles and the sparse vectors are each written
+    once to the shared folder and read back for every fit, so a lost executor costs a
     re-read and not the extraction.
     """
-    spark = train.sparkSession
-    train = write_snapshot(train, scratch(spark, "extracted"), version)
-    features = fit_features(train, numbers, texts, max_features, low, high)
-    ready = write_snapshot(
-        features.transform(train).select("label", "features"), scratch(spark, "vectors"), version
-    )
-    scaler = fit_scaler(ready)
-    ready = write_snapshot(scaler.transform(ready), scratch(spark, "scaled"), version)
+    spark = train.measures.sparkSession
+    train = train.stored("extracted")
+    features = fit_slots(train, numbers, caps, low, high)
+    size = len(features.names)
+    ready = features.transform(train).select("label", "places", "weights")
+    ready = write_snapshot(ready, scratch(spark, "sparse"), version)
+    scaler = fit_scaler(ready, size)
+    ready = as_vectors(scaler.transform(ready), size)
     labels = class_names(ready)
     tree = fit_tree(ready, labels, depth)
     normal = ready.where(F.col("label") == "normal")
     has_normal = "normal" in labels
     attacks = [c for c in labels if c != "normal"]
     specialists = {c: fit_specialist(ready, c) for c in attacks} if has_normal else {}
-    k = min(components, len(features.names))
-    anomaly = fit_anomaly(normal, k) if has_normal else None
+    anomaly = fit_anomaly(normal, size, min(components, size)) if has_normal else None
     bundle = ModelBundle(version, labels, features, scaler, tree, specialists, anomaly, 0.0)
     if has_normal:
         routed = route(ready, tree, labels)

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.constants import BOX_MULTIPLIER
+from wardlog.functions.vectors import constant_array
 from wardlog.operators.quantiles import median, quantiles
 
 
-def constant_array(values: Sequence[float]) -> Column:
-    """A number array as one folded constant instead of one node per entry."""
-    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
-
-
 def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns scaled to [0, 1]; a constant column becomes its distance from the minimum."""
     ends = [(F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}")) for c in columns]
@@ -34,21 +27,33 @@ def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass
 class Scaler:
-    """Min-max scaling of a feature vector."""
+    """Min-max scaling of sparse vectors.
+
+    Places whose least value is 0 keep their zeros. The others, numbers mostly, get an
+    entry in every row.
+    """
 
     low: list[float]
     width: list[float]
 
-    def array(self, features: str = "features") -> Column:
-        shifted = F.zip_with(
-            vector_to_array(F.col(features)), constant_array(self.low), lambda x, m: x - m
-        )
-        return F.zip_with(shifted, constant_array(self.width), lambda x, w: x / w)
-
-    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
-        """Replaces the vector; adds the same values as array ``values``."""
-        df = df.withColumn("values", self.array(features))
-        return df.withColumn(features, array_to_vector("values"))
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Replaces ``weights`` and, where zeros do not stay zeros, ``places``."""
+        low, width = constant_array(self.low), constant_array(self.width)
+        moved = [i for i, x in enumerate(self.low) if x != 0]
+        entry = lambda p, w: F.struct(p.alias("place"), ((w - F.get(low, p)) / F.get(width, p)).alias("w"))
+        old = F.arrays_zip("places", "weights")
+        if not moved:
+            entries = F.transform(old, lambda e: entry(e["places"], e["weights"]))
+        else:
+            where = F.array(*[F.lit(i) for i in moved])
+            found = F.map_from_arrays("places", "weights")
+            kept = F.filter(old, lambda e: ~F.array_contains(where, e["places"]))
+            entries = F.concat(
+                F.transform(where, lambda p: entry(p, F.coalesce(F.element_at(found, p), F.lit(0.0)))),
+                F.transform(kept, lambda e: entry(e["places"], e["weights"])),
+            )
+        df = df.withColumn("_entries", F.array_sort(F.filter(entries, lambda e: e["w"] != 0)))
+        return df.withColumns({"places": F.col("_entries.place"), "weights": F.col("_entries.w")}).drop("_entries")
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(self.low, self.width)], "low array<double>, width array<double>") \
@@ -60,13 +65,18 @@ class Scaler:
         return cls(list(row.low), list(row.width))
 
 
-def fit_scaler(df: DataFrame, features: str = "features") -> Scaler:
-    row = df.select(
-        Summarizer.min(F.col(features)).alias("low"), Summarizer.max(F.col(features)).alias("high")
-    ).first()
-    low = [float(x) for x in row.low]
-    width = [float(h) - m if float(h) > m else 1.0 for m, h in zip(low, row.high)]
-    return Scaler(low, width)
+def fit_scaler(df: DataFrame, size: int) -> Scaler:
+    """Least and greatest value of each of ``size`` places; one partial aggregate over the entries."""
+    entries = df.select(F.explode(F.arrays_zip("places", "weights")).alias("e"))
+    ends = entries.groupBy(F.col("e.places").alias("place")).agg(
+        F.min("e.weights").alias("low"), F.max("e.weights").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    rows, low, high = df.count(), [0.0] * size, [0.0] * size
+    for r in ends.collect():  # a row a place
+        # rows without an entry are zeros
+        low[r.place] = r.low if r.n == rows else min(r.low, 0.0)
+        high[r.place] = r.high if r.n == rows else max(r.high, 0.0)
+    return Scaler(low, [h - m if h > m else 1.0 for m, h in zip(low, high, strict=True)])
 
 
 def box_threshold(

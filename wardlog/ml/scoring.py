@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlog.constants import DISPLAY_NAMES, RESULT_COLUMNS
 from wardlog.functions.vectors import array_median, by_score, display_name, lookup, result_code
-from wardlog.ml.scaling import constant_array
+from wardlog.ml.slots import times_constant
 
 STATUS_COLUMNS = [
     "dst_port_cnt", "info_st", "succ_st", "redir_st", "cler_st", "serer_st", "oth_st",
@@ -82,28 +82,33 @@ def as_text_copy(results: DataFrame) -> DataFrame:
     return results.withColumn("probs", F.col("probs").cast("string"))
 
 
-def evidence_rows(
-    scored: DataFrame,
-    names: Sequence[str],
-    slots: dict[str, Sequence[str]],
-    model_id: int,
-    version: str,
-    values: str = "values",
-) -> DataFrame:
-    """For non-normal rows: per text column the feature names and their values."""
-    names = list(names)
+def _named_slot(slot: Sequence[str], start: int) -> tuple[Column, Column]:
+    """Names and values of the entries whose places lie in a slot that begins at ``start``."""
+    names = F.split(F.lit("\n".join(slot)), "\n")
+    entries = F.arrays_zip("places", "weights")
+    mine = F.filter(entries, lambda e: (e["places"] >= start) & (e["places"] < start + len(slot)))
+    return F.transform(mine, lambda e: F.get(names, e["places"] - start)), F.transform(mine, lambda e: e["weights"])
+
+
+def evidence_rows(scored: DataFrame, features, model_id: int, version: str) -> DataFrame:
+    """For non-normal rows: per text column the names of the features a row has, and their values.
+
+    ``features`` are the slots the sparse vectors were made with. Numbers have a column
+    each. Features a row does not have are 0 and left out.
+    """
     out = {
         "model_id": F.lit(model_id).cast("bigint"),
         "model_ver": F.lit(version),
         "http_host": F.array(F.lit("host")),
         "http_host_value": F.array(F.lit(0.0)),
     }
-    for column, slot in slots.items():
-        start = names.index(slot[0]) + 1
-        out[column] = F.split(F.lit("\n".join(slot)), "\n")
-        out[f"{column}_value"] = F.slice(values, start, len(slot))
-    for i, n in enumerate(STATUS_COLUMNS):
-        out[n] = F.get(values, F.lit(names.index(n)))
+    start = len(features.numbers)
+    for column, slot in features.slots.items():
+        out[column], out[f"{column}_value"] = _named_slot(slot, start)
+        start += len(slot)
+    found = F.map_from_arrays("places", "weights")
+    for n in STATUS_COLUMNS:
+        out[n] = F.coalesce(F.element_at(found, F.lit(features.numbers.index(n))), F.lit(0.0))
     texts = ["http_host", "http_agent", "http_query"]
     pairs = [c for t in texts if t in out for c in (t, f"{t}_value")]
     return scored.where(F.col("att_name") != "NORMAL").withColumns(out).select(
@@ -123,16 +128,37 @@ def explained(df: DataFrame, values: str, weights: Column, names: Column) -> Dat
     )
 
 
+def median_with_zeros(values: Column, size: int) -> Column:
+    """Median of the values and as many zeros as ``size`` numbers need."""
+    ordered = F.sort_array(values)
+    below = F.size(F.filter(values, lambda v: v < 0))
+    zeros = F.lit(size) - F.size(values)
+
+    def at(place: int) -> Column:
+        here = F.lit(place)
+        return F.when(here < below, F.get(ordered, here)).when(here < below + zeros, 0.0).otherwise(F.get(ordered, here - zeros))
+
+    return (at((size - 1) // 2) + at(size // 2)) / 2
+
+
 def explanation_rows(scored: DataFrame, bundle, model_id: int) -> DataFrame:
-    """Explanations of all rows a specialist scored, with its own weights."""
-    weights = F.lit(None).cast("array<double>")
-    for name, model in bundle.specialists.items():
-        weights = F.when(F.col("route") == name, constant_array(model.weights)).otherwise(weights)
+    """Explanations of all rows a specialist scored, with its own weights.
+
+    A feature's score is its weight times its value less the row's median over all
+    features. Features a row does not have share the score ``rest`` and are left out.
+    """
     names = F.split(F.lit("\n".join(bundle.features.names)), "\n")
-    rows = scored.where(F.col("route").isin(*bundle.specialists))
-    return explained(rows, "values", weights, names).select(
+    parts = F.lit(None).cast("array<double>")
+    for name, model in bundle.specialists.items():
+        parts = F.when(F.col("route") == name, times_constant(model.weights)).otherwise(parts)
+    rows = scored.where(F.col("route").isin(*bundle.specialists)).withColumn("_a", parts)
+    rows = rows.withColumn("_m", median_with_zeros(F.col("_a"), len(bundle.features.names)))
+    own = F.transform("places", lambda p: F.get(names, p))
+    rows = rows.withColumn("_p", by_score(own, F.transform("_a", lambda a: a - F.col("_m"))))
+    return rows.select(
         F.lit(model_id).cast("bigint").alias("model_id"),
         F.lit(bundle.version).alias("version"),
-        "logtime", "src_ip", "dst_ip", "feature", "score",
+        "logtime", "src_ip", "dst_ip",
+        F.col("_p.feature").alias("feature"), F.col("_p.score").alias("score"), (-F.col("_m")).alias("rest"),
         lookup(F.col("route"), DISPLAY_NAMES).alias("prediction"),
     )

@@ -19,7 +19,6 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,18 +154,6 @@ def fit_text(
     return TextModel(column, terms, counter, PipelineModel([scale, unit]))
 
 
-def merge_parts(df: DataFrame, models: Sequence[TextModel]) -> DataFrame:
-    """Counts of a key's text parts added up, one row per key again.
-
-    Profiles come hashed by their key, which the other columns contain, so this
-    fold needs no further shuffle.
-    """
-    counts = [f"{m.column}__cnt" for m in models]
-    folded = {"part", *counts, *[m.column for m in models]}
-    keys = [c for c in df.columns if c not in folded]
-    return df.groupBy(*keys).agg(*[Summarizer.sum(F.col(c)).alias(c) for c in counts])
-
-
 @dataclass
 class FeatureModel:
     """Number columns followed by one slot of weights per text column."""
@@ -183,13 +170,9 @@ class FeatureModel:
         return {t.column: t.names for t in self.texts}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``features``. Rows with a ``part`` column are merged to one per key."""
+        """Adds ``features``."""
         for t in self.texts:
-            df = t.count(df)
-        if "part" in df.columns:
-            df = merge_parts(df, self.texts) if self.texts else df.where("part = 0").drop("part")
-        for t in self.texts:
-            df = t.weigh(df)
+            df = t.weigh(t.count(df))
         vectors = [f"{t.column}_vec" for t in self.texts]
         assembler = VectorAssembler(
             inputCols=[*self.numbers, *vectors], outputCol="features", handleInvalid="keep"
@@ -223,8 +206,3 @@ def fit_features(
     size = max_features if isinstance(max_features, dict) else {c: max_features for c in texts}
     fitted = [fit_text(df, c, size[c], low, high) for c in texts]
     return FeatureModel(list(numbers), [t for t in fitted if t is not None])
-
-
-def array_text(c: str) -> Column:
-    """A text array as one lower-cased text."""
-    return F.lower(F.array_join(c, " "))

@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.ml.scaling import constant_array
+from wardlog.functions.vectors import constant_array
 from wardlog.operators.joins import any_match
 from wardlog.session import scratch
 

@@ -1,4 +1,12 @@
-"""Behaviour profiles: named aggregates over a key list."""
+"""Behaviour profiles: named aggregates over a key list, and the texts of each key.
+
+A profile with texts is read off one counted table: how often each key has each value
+of each column. Rows are read once and shuffled once, partially counted; a hot key is
+spread over its values. Measures fold the counts to one row per key, whatever the key's
+size. Texts stay a long table (key, column, text, n); nothing ever holds all texts of a
+key. A measures row has the number of its texts and a digest of them, which does not
+depend on their order: keys with equal texts are found by it.
+"""
 
 from __future__ import annotations
 
@@ -17,11 +25,11 @@ from wardlog.constants import (
 )
 from wardlog.functions.text import has_literal
 from wardlog.functions.times import monday_first
+from wardlog.operators.ordering import union_all
+from wardlog.session import stored
 
-# A group with more raw text than this gets its text in several parts.
-PART_BYTES = 32 * 1024 * 1024
-# Copies of one text put into one array piece.
-COPIES_PER_PIECE = 4096
+# What a measure of value counts is told by: the column counted, one of its values, how often.
+COLUMN, VALUE, TIMES = "column", "value", "n"
 
 
 def share(condition: Column) -> Column:
@@ -115,141 +123,173 @@ def with_service_ratios(df: DataFrame) -> DataFrame:
 
 
 def value_spread(rows: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
-    """Per key and column: Shannon entropy (base 2) and exact distinct count.
+    """Per key and column: Shannon entropy (base 2) and exact distinct count."""
+    folds = {}
+    for name in columns:
+        folds.update({f"{name}_ent": entropy(name), f"{name}_kinds": kinds(name)})
+    return counted(rows, keys, columns).groupBy(*keys).agg(*[c.alias(n) for n, c in folds.items()])
+
 
-    All columns go through one chain: rows are first counted per (key, column,
-    value), which spreads a hot key over its values, then folded per key.
-    Entropy is log2(n) - sum(c log2 c) / n, so no join to the totals is needed.
+def counted(
+    rows: DataFrame, keys: Sequence[str], columns: Mapping[str, Column], whole: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """(keys, column, value, n): how often each key has each value of each column, null included.
+
+    ``whole`` names further aggregates of a key's rows. They are found in the one row a key
+    with a null column and null elsewhere.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias("c"), c.cast("string").alias("v")) for n, c in columns.items()]
-    )
-    counts = (
-        rows.select(*keys, F.explode(pairs).alias("p"))
-        .groupBy(*keys, F.col("p.c").alias("c"), F.col("p.v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    pairs = [F.struct(F.lit(n).alias("c"), c.cast("string").alias("v")) for n, c in columns.items()]
+    if whole:
+        pairs.append(F.struct(F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("v")))
+    rows = rows.withColumn("_p", F.explode(F.array(*pairs)))
+    out = rows.groupBy(*keys, F.col("_p.c").alias(COLUMN), F.col("_p.v").alias(VALUE)).agg(
+        F.count(F.lit(1)).alias(TIMES), *[c.alias(n) for n, c in (whole or {}).items()]
     )
-    aggs = []
-    for name in columns:
-        n = F.when(F.col("c") == name, F.col("n").cast("double"))
-        kinds, size = F.count(n), F.sum(n)
-        spread = F.log2(size) - F.sum(n * F.log2(n)) / size
-        aggs.append(
-            F.when(kinds > 1, F.greatest(spread, F.lit(0.0))).otherwise(0.0).alias(f"{name}_ent")
-        )
-        aggs.append(kinds.alias(f"{name}_kinds"))
-    return counts.groupBy(*keys).agg(*aggs)
+    return out.withColumns({n: F.when(F.col(COLUMN).isNull(), F.col(n)) for n in whole or {}})
+
+
+def times(name: str, condition: Column | None = None) -> Column:
+    """How many rows of a key have a value of a column that meets a condition."""
+    of = F.col(COLUMN) == name
+    return F.coalesce(F.sum(F.when(of if condition is None else of & condition, F.col(TIMES))), F.lit(0))
+
+
+def share_of(name: str, condition: Column) -> Column:
+    return times(name, condition) / times(name)
+
+
+def kinds(name: str) -> Column:
+    """Exact number of different values."""
+    return F.count(F.when((F.col(COLUMN) == name) & F.col(VALUE).isNotNull(), 1))
+
+
+def entropy(name: str) -> Column:
+    """log2(n) - sum(c log2 c) / n over the counts of a column's values: no join to the totals is needed."""
+    n = F.when(F.col(COLUMN) == name, F.col(TIMES).cast("double"))
+    size = F.sum(n)
+    spread = F.log2(size) - F.sum(n * F.log2(n)) / size
+    return F.when(F.count(n) > 1, F.greatest(spread, F.lit(0.0))).otherwise(0.0)
+
+
+def mean_bytes(name: str) -> Column:
+    """Mean size of a column's values in bytes."""
+    return times_sum(name, F.octet_length(VALUE)) / times(name, F.col(VALUE).isNotNull())
+
+
+def times_sum(name: str, value: Column) -> Column:
+    return F.sum(F.when(F.col(COLUMN) == name, F.col(TIMES) * value))
+
+
+def status_shares(name: str = "http_retcode", missing: str = "") -> dict[str, Column]:
+    return {n: share_of(name, mark) for n, mark in status_marks(VALUE, missing).items()}
+
+
+def method_shares(name: str = "http_method") -> dict[str, Column]:
+    return {n: share_of(name, mark) for n, mark in method_marks(VALUE).items()}
+
+
+def port_shares(name: str = "dst_port") -> dict[str, Column]:
+    return {f"port_{n}": share_of(name, F.length(VALUE) == n) for n in range(1, 6)}
 
 
 @dataclass(frozen=True)
-class TextSet:
-    """A text column to gather per group: all of it, or each different text once."""
+class Texts:
+    """A text column of a profile: each different text once, or every text."""
 
     column: Column
     distinct: bool = True
-    # What to measure the group by; the uncleaned column spares cleaning it twice.
-    raw: Column | None = None
 
-    @property
-    def size(self) -> Column:
-        return F.octet_length(self.column if self.raw is None else self.raw)
 
+def digest(name: str, distinct: bool) -> dict[str, Column]:
+    """How many texts a key has in a column and two sums of hashes of them, which stand for the whole."""
+    here = (F.col(COLUMN) == name) & F.col(VALUE).isNotNull()
+    copies = F.lit(1) if distinct else F.col(TIMES)
+
+    def part(start: int) -> Column:
+        number = F.conv(F.substring(F.md5(VALUE), start, 15), 16, 10).cast("decimal(19,0)")
+        return F.coalesce(F.sum(F.when(here, number * copies.cast("decimal(18,0)"))), F.lit(0)).cast("string")
 
-def _overfull(rows: DataFrame, keys: Sequence[str], texts: Mapping[str, TextSet], limit: int):
-    """Parts needed by groups holding more raw text than the limit; None if there are none."""
-    size = sum((F.coalesce(t.size, F.lit(0)) for t in texts.values()), F.lit(0))
-    sizes = rows.groupBy(*keys).agg(F.sum(size.cast("bigint")).alias("_bytes"))
-    large = sizes.where(F.col("_bytes") > limit)
-    if large.isEmpty():
-        return None
-    return large.select(*keys, F.ceil(F.col("_bytes") / limit).cast("bigint").alias("_parts"))
+    return {
+        f"{name}_texts": F.coalesce(F.sum(F.when(here, copies)), F.lit(0)).cast("bigint"),
+        f"{name}_digest": F.concat_ws(":", part(1), part(16)),
+    }
 
 
-def gather_parts(
-    rows: DataFrame, keys: Sequence[str], texts: Mapping[str, TextSet], parts: DataFrame
-) -> DataFrame:
-    """Sorted text arrays per (key, part), for groups too large for one row.
+@dataclass(frozen=True)
+class Profiles:
+    """Measures, one row per key, and the texts behind them as a long table.
 
-    Texts are counted first, so copies travel once; a text goes to a part by its
-    hash, and many copies of one text are cut into pieces that spread as well.
+    ``texts`` has the keys, ``column``, ``text`` and ``n``: 1 where different texts count
+    once, else how often the key has the text.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias("c"), t.column.alias("v")) for n, t in texts.items()]
-    )
-    once = [n for n, t in texts.items() if t.distinct]
-    copies = F.when(F.col("c").isin(*once), F.lit(1)) if once else F.lit(None)
-    counted = (
-        rows.select(*keys, F.explode(pairs).alias("p"))
-        .where(F.col("p.v").isNotNull())
-        .groupBy(*keys, F.col("p.c").alias("c"), F.col("p.v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("n", F.coalesce(copies, F.col("n")))
-    )
-    pieces = F.ceil(F.col("n") / COPIES_PER_PIECE).cast("bigint")
-    slot = F.pmod(F.xxhash64("v", "piece"), F.coalesce("_parts", F.lit(1)))
-    here = F.least(
-        F.lit(COPIES_PER_PIECE), F.col("n") - F.col("piece") * COPIES_PER_PIECE
-    ).cast("int")
-    placed = (
-        counted.join(parts, list(keys), "left")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
-        .withColumn("part", slot)
-        .withColumn("copies", F.array_repeat("v", here))
-    )
-    aggs = [
-        F.sort_array(
-            F.flatten(F.collect_list(F.when(F.col("c") == n, F.col("copies"))))
-        ).alias(n)
-        for n in texts
-    ]
-    return placed.groupBy(*keys, "part").agg(*aggs)
 
+    keys: tuple[str, ...]
+    measures: DataFrame
+    texts: DataFrame
+    columns: tuple[str, ...]
 
-def profile(
-    rows: DataFrame,
-    keys: Sequence[str],
-    measures: Mapping[str, Column],
-    texts: Mapping[str, TextSet] | None = None,
-    part_bytes: int | None = PART_BYTES,
-) -> DataFrame:
-    """One row per key: the measures and, as sorted arrays, the gathered texts.
-
-    Numbers are partially aggregated before the shuffle. With texts there is a
-    ``part`` column: 0 for every group whose raw text fits ``part_bytes``; a
-    larger group has one row per part with the same measures, so that no array
-    outgrows a task and nothing is left out. Whether such groups exist is
-    checked by one narrow aggregate; without them everything is one shuffle.
-    Where the caller knows its groups are small, ``part_bytes=None`` skips the check.
-    """
-    numbers = [c.alias(n) for n, c in measures.items()]
-    if not texts:
-        return rows.groupBy(*keys).agg(*numbers)
-    parts = None if part_bytes is None else _overfull(rows, keys, texts, part_bytes)
-    if parts is None:
-        sets = [
-            F.sort_array((F.collect_set if t.distinct else F.collect_list)(t.column)).alias(n)
-            for n, t in texts.items()
-        ]
-        return rows.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("part"), *numbers, *sets)
-    gathered = gather_parts(rows, keys, texts, parts)
-    written = F.coalesce(*[t.column for t in texts.values()]).isNotNull()
-    groups = rows.groupBy(*keys).agg(*numbers, F.max(written).alias("_written"))
-    # An inner join, as its skewed side can be split whichever it is.
-    texted = groups.where("_written").join(gathered, list(keys))
-    empty = F.array().cast("array<string>")
-    silent = groups.where("NOT _written").withColumns(
-        {"part": F.lit(0).cast("bigint"), **{n: empty for n in texts}}
-    )
-    return texted.unionByName(silent).select(*keys, "part", *measures, *texts)
+    def stored(self, name: str = "profiles") -> Profiles:
+        """Both tables written once, for callers that read both or read one several times."""
+        return Profiles(self.keys, stored(self.measures, f"{name}-measures"), stored(self.texts, f"{name}-texts"), self.columns)
+
+    def with_measures(self, change) -> Profiles:
+        """The profiles whose measures ``change`` keeps and adds to; texts of other keys go when they are read."""
+        measures = change(self.measures)
+        texts = self.texts.join(measures.select(*self.keys).distinct(), list(self.keys), "left_semi")
+        return Profiles(self.keys, measures, texts, self.columns)
+
+    def renamed(self, names: Mapping[str, str]) -> Profiles:
+        """Keys and text columns under other names."""
+        digests = {f"{a}_{end}": f"{b}_{end}" for a, b in names.items() for end in ("texts", "digest")}
+        column = F.col(COLUMN)
+        for a, b in names.items():
+            if a in self.columns:
+                column = F.when(F.col(COLUMN) == a, b).otherwise(column)
+        texts = self.texts.withColumn(COLUMN, column).withColumnsRenamed({a: b for a, b in names.items() if a in self.keys})
+        new = lambda found: tuple(names.get(c, c) for c in found)
+        return Profiles(new(self.keys), self.measures.withColumnsRenamed({**names, **digests}), texts, new(self.columns))
 
+    def with_key(self, name: str, value: Column) -> Profiles:
+        """A further key with the same value for all rows."""
+        return Profiles((name, *self.keys), self.measures.withColumn(name, value), self.texts.withColumn(name, value), self.columns)
 
-def joined_texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Text arrays as one text each, blanks between."""
-    return df.withColumns({n: F.array_join(n, " ") for n in names})
 
+def united(profiles: Sequence[Profiles]) -> Profiles:
+    """Profiles of the same keys and columns in one."""
+    first = profiles[0]
+    tables = [union_all([getattr(p, name) for p in profiles]) for name in ("measures", "texts")]
+    return Profiles(first.keys, *tables, first.columns)
 
-def cleaned_sets(columns: Mapping[str, str], clean, distinct: bool) -> dict[str, TextSet]:
-    """Output name -> set of the cleaned texts of a column."""
-    return {n: TextSet(clean(F.col(c)), distinct, F.col(c)) for n, c in columns.items()}
+
+def profile(
+    rows: DataFrame,
+    keys: Sequence[str],
+    texts: Mapping[str, Texts],
+    folds: Mapping[str, Column] | None = None,
+    values: Mapping[str, Column] | None = None,
+    whole: Mapping[str, Column] | None = None,
+    keep: Column | None = None,
+) -> Profiles:
+    """Profiles of the keys of ``rows``.
+
+    ``values`` are counted like the texts, for ``folds`` to measure; ``whole`` are plain
+    aggregates of a key's rows. ``keep`` is a condition on measures. Measures come in the
+    order whole, folds, texts.
+    """
+    whole, folds = whole or {}, folds or {}
+    counts = counted(rows, keys, {**(values or {}), **{n: t.column for n, t in texts.items()}}, whole)
+    aggregates = {n: F.max(n) for n in whole} | dict(folds)
+    for n, t in texts.items():
+        aggregates |= digest(n, t.distinct)
+    measures = counts.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    once = [n for n, t in texts.items() if t.distinct]
+    copies = F.when(F.col(COLUMN).isin(*once), F.lit(1)).otherwise(F.col(TIMES)) if once else F.col(TIMES)
+    found = counts.where(F.col(COLUMN).isin(*texts) & F.col(VALUE).isNotNull())
+    found = found.select(*keys, COLUMN, F.col(VALUE).alias("text"), copies.cast("bigint").alias(TIMES))
+    out = Profiles(tuple(keys), measures, found, tuple(texts))
+    return out if keep is None else out.with_measures(lambda m: m.where(keep))
 
 
+def cleaned_texts(columns: Mapping[str, str], clean, distinct: bool) -> dict[str, Texts]:
+    """Output name -> the cleaned texts of a column."""
+    return {n: Texts(clean(F.col(c)), distinct) for n, c in columns.items()}

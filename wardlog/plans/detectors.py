@@ -11,16 +11,22 @@ from wardlog.functions import text
 from wardlog.functions.times import start_of
 from wardlog.operators import predicates as P
 from wardlog.operators.joins import drop_listed, keep_listed
-from wardlog.operators.ordering import union_all
 from wardlog.operators.profiles import (
-    TextSet,
-    cleaned_sets,
+    Profiles,
+    Texts,
+    cleaned_texts,
+    entropy,
+    kinds,
+    mean_bytes,
     method_ratios,
-    port_digits,
+    method_shares,
+    port_shares,
     profile,
     status_ratios,
+    status_shares,
+    times,
     traffic_moments,
-    value_spread,
+    united,
 )
 from wardlog.session import stored
 
@@ -36,12 +42,10 @@ DAY_WINDOWS = {1: (0, 31), 2: (-31, 31), 3: (0, 3), 4: (-31, 31), 5: (0, 2), 6:
 ALERT_OFFSETS = {1: 150, 2: 50, 4: 500, 5: 5, 6: 40}
 SPOOF_OFFSET = 10
 HIJACK_HITS = 200
-# What the profiles read; nothing else of the picked rows is stored.
-PICKED = ["lgtime", "end_time", "src_ip", "dst_ip", "http_method"]
-ATTACK_COLUMNS = [*PICKED, "dst_port", "http_path", "http_query", "http_agent"]
+# What the traffic profiles read; nothing else of the picked rows is stored.
 TRAFFIC_COLUMNS = [
-    *PICKED, "http_retcode", "bytes_forward", "bytes_backward", "packets_forward",
-    "packets_backward",
+    "lgtime", "end_time", "src_ip", "dst_ip", "http_method", "http_retcode", "bytes_forward",
+    "bytes_backward", "packets_forward", "packets_backward",
 ]
 
 
@@ -49,41 +53,36 @@ def by_hour(log: DataFrame) -> DataFrame:
     return log.withColumn("lgtime", start_of("hour", F.col("logtime")))
 
 
-def attack_profile(rows: DataFrame, keys: Sequence[str] = HOUR_KEYS, **size) -> DataFrame:
-    """Methods, ports, keyword spread and the different keyword texts per key."""
-    rows = rows.withColumns({n: clean(F.col(c)) for n, (c, clean) in KEYWORDS.items()})
-    measures = {
-        "end_time": F.max("end_time"),
-        "cnt": F.length(F.count(F.lit(1)).cast("string")).cast("bigint"),
-        "requests": F.count(F.lit(1)),
-        **method_ratios(),
-        **port_digits(),
-        **{f"{n}_uni": F.avg(F.octet_length(n)) for n in KEYWORDS},
+def attack_profile(rows: DataFrame, keys: Sequence[str] = HOUR_KEYS, keep: Column | None = None) -> Profiles:
+    """Methods, ports, keyword spread and the different keyword texts per key, off one count of values."""
+    texts = {n: Texts(clean(F.col(c))) for n, (c, clean) in KEYWORDS.items()}
+    spread = {"port": "dst_port", **{n: n for n in KEYWORDS}}
+    requests = times("http_method")
+    folds = {
+        "cnt": F.length(requests.cast("string")).cast("bigint"),
+        "requests": requests,
+        **method_shares(),
+        **port_shares(),
+        **{f"{n}_uni": mean_bytes(n) for n in KEYWORDS},
+        **{f"{n}_ent": entropy(c) for n, c in spread.items()},
+        "uniq_dst_port": kinds("dst_port"),
     }
-    texts = {
-        f"{n}_keywords": TextSet(F.col(n), True, F.col(c)) for n, (c, _) in KEYWORDS.items()
-    }
-    spread = value_spread(
-        rows, keys, {"port": F.col("dst_port"), **{n: F.col(n) for n in KEYWORDS}}
-    )
-    spread = spread.withColumnsRenamed(
-        {"port_kinds": "uniq_dst_port", **{f"{n}_kinds": f"{n}_len" for n in KEYWORDS}}
-    )
-    return profile(rows, keys, measures, texts, **size).join(spread, list(keys))
+    values = {c: F.col(c) for c in ("http_method", "dst_port")}
+    return profile(rows, keys, texts, folds, values, {"end_time": F.max("end_time")}, keep)
 
 
-def traffic_measures(bytes_too: bool = True, missing: str = "") -> dict[str, Column]:
-    return {
+def traffic_numbers(
+    rows: DataFrame, keys: Sequence[str] = HOUR_KEYS, bytes_too: bool = True, missing: str = ""
+) -> DataFrame:
+    """Traffic profile without texts: one partial aggregate."""
+    measures = {
         "end_time": F.max("end_time"),
         "cnt": F.count(F.lit(1)),
         **method_ratios(),
         **(traffic_moments() if bytes_too else {}),
         **status_ratios(missing=missing),
     }
-
-
-def traffic_texts(columns: Sequence[str] = ("http_host", "http_path", "http_query")):
-    return cleaned_sets({c: c for c in columns}, text.url_chars, distinct=False)
+    return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
 
 
 def traffic_profile(
@@ -92,10 +91,19 @@ def traffic_profile(
     bytes_too: bool = True,
     missing: str = "",
     texts: Sequence[str] = ("http_host", "http_path", "http_query"),
-    **size,
-) -> DataFrame:
-    gathered = traffic_texts(texts) if texts else None
-    return profile(rows, keys, traffic_measures(bytes_too, missing), gathered, **size)
+    keep: Column | None = None,
+) -> Profiles:
+    """Traffic profile with every cleaned host, path and query text."""
+    whole = {"end_time": F.max("end_time"), "cnt": F.count(F.lit(1)), **(traffic_moments() if bytes_too else {})}
+    return profile(
+        rows,
+        keys,
+        cleaned_texts({c: c for c in texts}, text.url_chars, distinct=False),
+        {**method_shares(), **status_shares(missing=missing)},
+        {c: F.col(c) for c in ("http_method", "http_retcode")},
+        whole,
+        keep,
+    )
 
 
 def signature_rules() -> dict[int, Column]:
@@ -141,17 +149,11 @@ def signature_detector(
     codes: Sequence[int] = tuple(DAY_WINDOWS),
     exclusions: Sequence[tuple[str, str]] = (),
     least: int = 10,
-    **size,
-) -> DataFrame:
-    """Hourly attack profiles of the rows each detector picks.
-
-    The picked rows are stored, as the profile reads them more than once and
-    the log should be scanned only once.
-    """
+) -> Profiles:
+    """Hourly attack profiles of the rows each detector picks."""
     rows = signature_rows(log, assets, day, codes, exclusions)
-    rows = stored(rows.select("code", *ATTACK_COLUMNS), "signatures")
-    out = attack_profile(rows, ["code", *HOUR_KEYS], **size)
-    return out.where((F.col("code") != 3) | (F.col("requests") >= least + SPOOF_OFFSET))
+    often = (F.col("code") != 3) | (F.col("requests") >= least + SPOOF_OFFSET)
+    return attack_profile(rows, ["code", *HOUR_KEYS], often if 3 in codes else None)
 
 
 def alert_kinds() -> dict[int, tuple[Column, Column | None]]:
@@ -200,8 +202,7 @@ def alert_detector(
     least: int = 10,
     offsets: Mapping[int, int] = ALERT_OFFSETS,
     texts: Sequence[str] = ("http_host", "http_path", "http_query"),
-    **size,
-) -> DataFrame:
+) -> Profiles:
     """Hourly traffic profiles of alerted addresses, one row per code that names the address.
 
     An address's traffic is profiled once and only then repeated for its codes.
@@ -209,20 +210,19 @@ def alert_detector(
     """
     rows = log.where(P.in_days("logtime", day, 0, 31))
     rows = by_hour(drop_listed(rows, assets, "src_ip", "ip"))
-    wanted = [*TRAFFIC_COLUMNS, *texts]
     found = []
     by_alert = {c: least + offsets[c] for c in codes if c != 3}
     if by_alert:
         named = stored(alerted(block, waf, by_alert), "alerted")
-        loud = stored(keep_listed(rows, named, "src_ip").select(*wanted), "alerts")
-        profiles = traffic_profile(loud, texts=texts, **size).join(named, "src_ip")
-        found.append(profiles.withColumn("code", F.explode("codes")).drop("codes"))
+        loud = traffic_profile(keep_listed(rows, named, "src_ip"), texts=texts)
+        coded = named.select("src_ip", F.explode("codes").alias("code"))
+        tables = [table.join(coded, "src_ip") for table in (loud.measures, loud.texts)]
+        found.append(Profiles(("code", *HOUR_KEYS), *tables, loud.columns))
     if 3 in codes:
-        spoofed = stored(rows.where(P.spoofed()).select(*wanted), "spoofed")
-        profiles = traffic_profile(spoofed, texts=texts, **size)
-        often = profiles.where(F.col("cnt") >= least + SPOOF_OFFSET)
-        found.append(often.withColumn("code", F.lit(3)))
-    return union_all(found)
+        often = F.col("cnt") >= least + SPOOF_OFFSET
+        spoofed = traffic_profile(rows.where(P.spoofed()), texts=texts, keep=often)
+        found.append(spoofed.with_key("code", F.lit(3)))
+    return united(found)
 
 
 def hijack_candidates(
@@ -230,8 +230,7 @@ def hijack_candidates(
     start: str | None = None,
     hits: int = HIJACK_HITS,
     texts: Sequence[str] = ("http_path", "http_query", "http_cookie"),
-    **size,
-) -> DataFrame:
+) -> Profiles:
     """Addresses that sent many session requests to a single path within an hour.
 
     One path means zero entropy; smallest = largest tells it without a count.
@@ -246,11 +245,10 @@ def hijack_candidates(
         F.count(F.lit(1)).alias("_hits"),
         (F.min("http_path") == F.max("http_path")).alias("_one_path"),
     ).where((F.col("_hits") > hits) & F.col("_one_path")).select(*keys)
-    rows = rows.join(found, keys, "left_semi").select(*TRAFFIC_COLUMNS, *texts)
-    return traffic_profile(stored(rows, "hijack"), keys, texts=texts, **size)
+    return traffic_profile(rows.join(found, keys, "left_semi"), keys, texts=texts)
 
 
-def hijack_detector(log: DataFrame, assets: DataFrame, start: str | None = None, **options):
+def hijack_detector(log: DataFrame, assets: DataFrame, start: str | None = None, **options) -> Profiles:
     return hijack_candidates(drop_listed(log, assets, "src_ip", "ip"), start, **options)
 
 

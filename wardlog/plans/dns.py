@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.functions.text import url_chars
-from wardlog.functions.times import start_of
+from wardlog.functions.times import monday_first, start_of
 from wardlog.functions.vectors import class_c
 from wardlog.operators.joins import flag_listed, with_one_row
 from wardlog.operators.profiles import (
-    cleaned_sets,
+    VALUE,
+    Profiles,
+    cleaned_texts,
     hour_ratios,
     profile,
+    share_of,
+    times,
     value_spread,
     weekday_ratios,
 )
@@ -34,27 +38,37 @@ def clock_ratios() -> dict:
     return {**hour_ratios(), **weekday_ratios()}
 
 
-def dns_measures() -> dict:
-    return {
-        "end_time": F.max("end_time"),
-        "cnt": F.count(F.lit(1)),
-        "global_osint": F.avg("global_osint"),
-        "global_range": F.avg("global_range"),
-    }
+# Hour, weekday and intel flags of an event in one short value, such as "07-3-1-0".
+CLOCK_AND_INTEL = "clock"
+
 
+def clock_and_intel() -> Column:
+    hour = F.lpad(F.hour("logtime").cast("string"), 2, "0")
+    return F.concat_ws("-", hour, monday_first(F.col("logtime")).cast("string"), *[F.col(c).cast("string") for c in ("global_osint", "global_range")])
 
-def dns_texts() -> dict:
-    return cleaned_sets({c: c for c in ("dns_query", "dns_answer")}, url_chars, distinct=False)
+
+def dns_folds(clock: bool = True) -> dict[str, Column]:
+    """Counts, intel hit rates and clock shares, measured on the counted values."""
+    place = lambda start, size: F.substring(VALUE, start, size)
+    out = {
+        "cnt": times(CLOCK_AND_INTEL),
+        "global_osint": share_of(CLOCK_AND_INTEL, place(6, 1) == "1"),
+        "global_range": share_of(CLOCK_AND_INTEL, place(8, 1) == "1"),
+    }
+    if clock:
+        out |= {f"hour_{h}": share_of(CLOCK_AND_INTEL, place(1, 2) == f"{h:02d}") for h in range(24)}
+        out |= {f"day_{d}": share_of(CLOCK_AND_INTEL, place(4, 1) == str(d)) for d in range(1, 8)}
+    return out
 
 
 def dns_profile(
-    log: DataFrame, domains: DataFrame, ranges: DataFrame,
-    keys: Sequence[str] = ("lgtime", "src_ip"), texts: bool = True, **size,
-) -> DataFrame:
+    log: DataFrame, domains: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("lgtime", "src_ip"), clock: bool = True
+) -> Profiles:
     """Per (hour, address): counts, clock shares, intel hit rates, query and answer texts."""
     rows = with_intel(log, domains, ranges).withColumn("lgtime", start_of("hour", F.col("logtime")))
-    measures = {**dns_measures(), **clock_ratios()}
-    return profile(rows, list(keys), measures, dns_texts() if texts else None, **size)
+    texts = cleaned_texts({c: c for c in ("dns_query", "dns_answer")}, url_chars, distinct=False)
+    values = {CLOCK_AND_INTEL: clock_and_intel()}
+    return profile(rows, list(keys), texts, dns_folds(clock), values, {"end_time": F.max("end_time")})
 
 
 def rareness(log: DataFrame, wanted: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

@@ -10,46 +10,36 @@ from pyspark.sql import functions as F
 from wardlog.constants import TRAIN_LABELS
 from wardlog.functions.text import payload_words
 from wardlog.operators.joins import drop_listed
-from wardlog.operators.ordering import cap_per_class, first_rows, union_all
+from wardlog.operators.ordering import cap_per_class, first_rows
 from wardlog.operators.predicates import has_text, in_range, is_ipv4
-from wardlog.operators.profiles import (
-    cleaned_sets,
-    distinct_ports,
-    joined_texts,
-    profile,
-    status_ratios,
-)
-from wardlog.session import stored
+from wardlog.operators.profiles import Profiles, cleaned_texts, kinds, profile, status_shares, united
 from wardlog.sources.tables import labelled
 
 KEYS = ["logtime", "src_ip", "dst_ip"]
-PROFILE_COLUMNS = ["end_time", "dst_port", "http_retcode", "http_agent", "http_query"]
 TEXTS = {"agent_": "http_agent", "query_": "http_query"}
 
 
-def http_measures(missing: str = "") -> dict:
-    return {
-        "end": F.max("end_time"),
-        "dst_port_cnt": distinct_ports(),
-        **status_ratios(missing=missing),
-    }
-
-
-def http_profile(rows: DataFrame, keys=KEYS, missing: str = "", **size) -> DataFrame:
-    """Ports, status shares and the cleaned agent and query texts per key."""
-    texts = cleaned_sets(TEXTS, payload_words, distinct=True)
-    return joined_texts(profile(rows, keys, http_measures(missing), texts, **size), list(TEXTS))
+def http_profile(rows: DataFrame, keys=KEYS, missing: str = "") -> Profiles:
+    """Ports, status shares and the different cleaned agent and query texts per key."""
+    return profile(
+        rows,
+        keys,
+        cleaned_texts(TEXTS, payload_words, distinct=True),
+        {"dst_port_cnt": kinds("dst_port"), **status_shares(missing=missing)},
+        {"dst_port": F.col("dst_port"), "http_retcode": F.col("http_retcode")},
+        {"end": F.max("end_time")},
+    )
 
 
 def window_rows(log: DataFrame, start: str, end: str) -> DataFrame:
     return log.where(in_range("logtime", start, end) & has_text())
 
 
-def prediction_rows(log: DataFrame, start: str, end: str, missing: str = "", **size):
-    return http_profile(window_rows(log, start, end), KEYS, missing, **size)
+def prediction_rows(log: DataFrame, start: str, end: str, missing: str = "") -> Profiles:
+    return http_profile(window_rows(log, start, end), KEYS, missing)
 
 
-def normal_rows(log: DataFrame, start: str, end: str, limit: int | None = None, **size):
+def normal_rows(log: DataFrame, start: str, end: str, limit: int | None = None) -> Profiles:
     """Profiles of a time range; with a limit, of its first keys only.
 
     The wanted keys are picked before anything is profiled.
@@ -58,16 +48,12 @@ def normal_rows(log: DataFrame, start: str, end: str, limit: int | None = None,
     if limit is not None:
         wanted = first_rows(rows.select(*KEYS).distinct(), KEYS, limit)
         rows = rows.join(wanted, KEYS, "left_semi")
-    return http_profile(rows, KEYS, **size).withColumn("label", F.lit("normal"))
+    return http_profile(rows, KEYS).with_key("label", F.lit("normal"))
 
 
 def attack_rows(
-    log: DataFrame,
-    assets: DataFrame,
-    limit: int | None = None,
-    labels: Mapping[str, str] = TRAIN_LABELS,
-    **size,
-) -> DataFrame:
+    log: DataFrame, assets: DataFrame, limit: int | None = None, labels: Mapping[str, str] = TRAIN_LABELS
+) -> Profiles:
     """Profiles of the labelled attack classes, from one scan, capped per class."""
     rows = labelled(log.where(has_text() & is_ipv4()), "hash", labels)
     rows = drop_listed(rows, assets, "src_ip", "ip")
@@ -75,11 +61,8 @@ def attack_rows(
     if limit is not None:
         wanted = cap_per_class(rows.select(*keys).distinct(), "label", KEYS, limit)
         rows = rows.join(wanted, keys, "left_semi")
-    rows = stored(rows.select(*keys, *PROFILE_COLUMNS), "attacks")
-    return http_profile(rows, keys, **size)
+    return http_profile(rows, keys)
 
 
-def training_rows(log, assets, start: str, end: str, limit: int | None = None, **size):
-    return union_all(
-        [normal_rows(log, start, end, limit, **size), attack_rows(log, assets, limit, **size)]
-    )
+def training_rows(log, assets, start: str, end: str, limit: int | None = None) -> Profiles:
+    return united([normal_rows(log, start, end, limit), attack_rows(log, assets, limit)])

@@ -9,10 +9,10 @@ from wardlog.functions.times import start_of
 from wardlog.functions.vectors import dot, unit_length
 from wardlog.operators.joins import any_match, members_of_windows
 from wardlog.operators.predicates import reviewed
-from wardlog.operators.profiles import profile
-from wardlog.plans.detectors import TRAFFIC_COLUMNS, traffic_profile
-from wardlog.plans.dns import CLOCK, clock_ratios, dns_measures, dns_texts, with_intel
-from wardlog.session import checkpointed, stored
+from wardlog.operators.profiles import Profiles
+from wardlog.plans.detectors import traffic_numbers, traffic_profile
+from wardlog.plans.dns import CLOCK, clock_ratios, dns_profile
+from wardlog.session import checkpointed
 
 WINDOW = ["src_ip", "window_start", "window_end"]
 # Feedback vectors compared in one pass over the samples.
@@ -20,43 +20,50 @@ VECTORS_PER_PASS = 2048
 PASSES_PER_CHECKPOINT = 16
 
 
-def _label(profiles: DataFrame, feedback: DataFrame, columns: list[str]) -> DataFrame:
-    named = feedback.withColumnsRenamed(
-        {"start_time": "window_start", "end_time": "window_end"}
-    ).select("feedback_id", *WINDOW, "feedback")
-    return profiles.join(named, WINDOW).select("feedback_id", *columns, "feedback")
+def _verdicts(feedback: DataFrame) -> DataFrame:
+    return feedback.withColumnsRenamed({"start_time": "window_start", "end_time": "window_end"}).select(
+        "feedback_id", *WINDOW, "feedback"
+    )
+
+
+def _label(profiles: DataFrame, feedback: DataFrame) -> DataFrame:
+    columns = [c for c in profiles.columns if c not in (*WINDOW, "lgtime")]
+    labelled = profiles.join(_verdicts(feedback), WINDOW)
+    return labelled.select("feedback_id", "lgtime", "src_ip", *columns, "feedback")
+
+
+def _labelled(profiles: Profiles, feedback: DataFrame) -> Profiles:
+    """Measures with the verdict, texts by verdict."""
+    texts = profiles.texts.join(_verdicts(feedback), WINDOW)
+    texts = texts.select("feedback_id", "lgtime", "src_ip", "column", "text", "n")
+    return Profiles(("feedback_id", "lgtime", "src_ip"), _label(profiles.measures, feedback), texts, profiles.columns)
+
+
+def _window_rows(log: DataFrame, verdicts: DataFrame) -> DataFrame:
+    return members_of_windows(log, verdicts).withColumn("lgtime", start_of("hour", F.col("logtime")))
 
 
-def http_feedback(log, feedback, model_id: int, bytes_too: bool = True, texts=True, **size):
+def http_feedback(log, feedback, model_id: int) -> Profiles:
     """Hourly traffic profile of each reviewed window, with its verdict."""
     verdicts = feedback.where(reviewed(model_id))
-    rows = members_of_windows(log, verdicts).withColumn("lgtime", start_of("hour", F.col("logtime")))
-    names = ("http_host", "http_path", "http_query") if texts else ()
-    rows = rows.select(*WINDOW[1:], *TRAFFIC_COLUMNS, *names)
-    if texts:
-        rows = stored(rows, "feedback")
-    out = traffic_profile(rows, [*WINDOW, "lgtime"], bytes_too, texts=names, **size)
-    columns = ["lgtime", "src_ip", *[c for c in out.columns if c not in (*WINDOW, "lgtime")]]
-    return _label(out, verdicts, columns)
+    return _labelled(traffic_profile(_window_rows(log, verdicts), [*WINDOW, "lgtime"]), verdicts)
 
 
-def dns_feedback(log, feedback, domains, ranges, model_id: int, texts=True, **size) -> DataFrame:
+def light_feedback(log, feedback, model_id: int) -> DataFrame:
+    """The same without bytes and texts."""
+    verdicts = feedback.where(reviewed(model_id))
+    return _label(traffic_numbers(_window_rows(log, verdicts), [*WINDOW, "lgtime"], bytes_too=False), verdicts)
+
+
+def dns_feedback(log, feedback, domains, ranges, model_id: int) -> Profiles:
     """DNS profile of each reviewed (address, hour, last event), with its verdict.
 
     Clock shares are of the whole hour and stay 0 unless the hour's last event
     is the window's end.
     """
     verdicts = feedback.where(reviewed(model_id))
-    rows = with_intel(members_of_windows(log, verdicts), domains, ranges)
-    rows = rows.withColumn("lgtime", start_of("hour", F.col("logtime")))
-    keys = [*WINDOW, "lgtime"]
-    if texts:
-        flags = ("global_osint", "global_range")
-        rows = stored(rows.select(*keys, "end_time", *flags, "dns_query", "dns_answer"), "feedback")
-    out = profile(rows, keys, dns_measures(), dns_texts() if texts else None, **size)
-    out = out.where(
-        (F.col("lgtime") == F.col("window_start")) & (F.col("end_time") == F.col("window_end"))
-    )
+    rows = members_of_windows(log, verdicts)
+    out = dns_profile(rows, domains, ranges, [*WINDOW, "lgtime"], clock=False)
     asked = verdicts.select("src_ip", F.col("start_time").alias("lgtime")).distinct()
     hours = (
         log.withColumn("lgtime", start_of("hour", F.col("logtime")))
@@ -64,27 +71,28 @@ def dns_feedback(log, feedback, domains, ranges, model_id: int, texts=True, **si
         .groupBy("src_ip", "lgtime")
         .agg(F.max("end_time").alias("end_time"), *[c.alias(n) for n, c in clock_ratios().items()])
     )
-    out = any_match(out, hours, ["src_ip", "lgtime", "end_time"], {n: 0.0 for n in CLOCK})
-    columns = ["lgtime", "src_ip", *[c for c in out.columns if c not in (*WINDOW, "lgtime")]]
-    return _label(out, verdicts, columns)
+    whole = (F.col("lgtime") == F.col("window_start")) & (F.col("end_time") == F.col("window_end"))
+    out = out.with_measures(
+        lambda m: any_match(m.where(whole), hours, ["src_ip", "lgtime", "end_time"], {n: 0.0 for n in CLOCK})
+    )
+    return _labelled(out, verdicts)
 
 
 # Which profile the models of the feedback table are trained on.
 HTTP_MODELS, LIGHT_MODELS, DNS_MODELS = (30,), (1,), (40, 41, 42)
 
 
-def model_feedback(model_id: int, feedback, http_log, dns_log, domains, ranges, **size) -> DataFrame | None:
+def model_feedback(model_id: int, feedback, http_log, dns_log, domains, ranges) -> Profiles | DataFrame | None:
     """Training rows from the verdicts on one model, by the profile it uses; None for other models."""
     if model_id in HTTP_MODELS:
-        return http_feedback(http_log, feedback, model_id, **size)
+        return http_feedback(http_log, feedback, model_id)
     if model_id in LIGHT_MODELS:
-        return http_feedback(http_log, feedback, model_id, bytes_too=False, texts=False, **size)
+        return light_feedback(http_log, feedback, model_id)
     if model_id in DNS_MODELS:
-        return dns_feedback(dns_log, feedback, domains, ranges, model_id, **size)
+        return dns_feedback(dns_log, feedback, domains, ranges, model_id)
     return None
 
 
-
 def unlike_feedback(
     samples: DataFrame,
     verdicts: DataFrame,
