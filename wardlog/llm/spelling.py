@@ -74,13 +74,13 @@ def half(size):
     return size // 2
 
 
-PREFIXES = "backward boolean, word string, node bigint, depth int, letter int, last boolean"
+PREFIXES = "backward boolean, word string, node bigint, depth int, letter int, second int, last boolean"
 
 
 def prefixes(words: DataFrame) -> DataFrame:
-    """(backward, word, node, depth, letter, last): the prefixes from half of each word on, both ways.
+    """(backward, word, node, depth, letter, second, last): the prefixes from half of each word on, both ways.
 
-    ``letter`` follows the prefix, 0 at the end of the word.
+    ``letter`` and ``second`` follow the prefix, 0 behind the end of the word.
     """
 
     def rows(found: list[str], backward: bool) -> list[pa.Array]:
@@ -98,9 +98,11 @@ def prefixes(words: DataFrame) -> DataFrame:
         begin = (ends - size)[owner]
         node = mix(total[begin + depth] - total[begin] + depth.astype(np.uint64)).view(np.int64)
         last = depth == size[owner]
-        letter = np.where(last, 0, np.append(points, np.uint32(0))[begin + depth]).astype(np.int32)
+        ahead, room = np.append(points, np.zeros(2, np.uint32)), size[owner] - depth
+        letter = np.where(last, 0, ahead[begin + depth]).astype(np.int32)
+        second = np.where(room < 2, 0, ahead[begin + depth + 1]).astype(np.int32)
         names = pa.array(found, pa.string()).take(pa.array(owner))
-        return [pa.array(np.full(len(owner), backward)), names, pa.array(node), pa.array(depth.astype(np.int32)), pa.array(letter), pa.array(last)]
+        return [pa.array(np.full(len(owner), backward)), names, pa.array(node), pa.array(depth.astype(np.int32)), pa.array(letter), pa.array(second), pa.array(last)]
 
     def run(batches):
         for batch in batches:
@@ -108,28 +110,29 @@ def prefixes(words: DataFrame) -> DataFrame:
                 found = part["word"].to_pylist()
                 if found:
                     for backward in (False, True):
-                        yield pa.RecordBatch.from_arrays(rows(found, backward), ["backward", "word", "node", "depth", "letter", "last"])
+                        yield pa.RecordBatch.from_arrays(rows(found, backward), ["backward", "word", "node", "depth", "letter", "second", "last"])
 
     return words.select("word").mapInArrow(run, PREFIXES)
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (backward, node, child, letters, word, next) and the states that words start with.
+    """Edges (backward, node, child, letters, word, next, pairs) and the states that words start with.
 
     ``text`` is the word, turned round if ``backward``; ``ends`` names the word that ends
-    at the state's node; ``next`` has the bits of the letters that follow the child.
+    at the state's node; ``next`` and ``pairs`` have the bits of what follows the child.
     """
     rows = stored(prefixes(words), "prefixes")
     facts = rows.groupBy("backward", "node").agg(
         (F.min("letter") < F.max("letter")).alias("forks"),
-        F.max(F.when(F.col("last"), F.col("word"))).alias("ends"),
-        F.bit_or(F.when(~F.col("last"), letter_bit(F.col("letter"))).otherwise(F.lit(0).cast("bigint"))).alias("next"),
+        *[F.bit_or(F.when(F.col("last"), 0).otherwise(bit)).alias(n) for n, bit in letter_bits(F.col("letter"), F.col("second")).items()],
     )
-    forks = stored(facts.where("forks").drop("forks"), "forks")
-    kept = rows.join(forks.select("backward", "node", F.lit(True).alias("fork"), "ends", "next"), ["backward", "node"], "left")
+    # at most one word ends at a node, but for equal hashes
+    ends = rows.where("last").select("backward", "node", F.col("word").alias("ends"))
+    forks = stored(facts.where("forks").drop("forks").join(ends, ["backward", "node"], "left"), "forks")
+    kept = rows.join(forks.select("backward", "node", F.lit(True).alias("fork"), "ends", "next", "pairs"), ["backward", "node"], "left")
     kept = kept.where(F.col("fork") | F.col("last"))
     # the nodes on the way of one word, at most one a letter
-    ways = kept.groupBy("backward", "word").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "fork", "ends", "next"))).alias("way"))
+    ways = kept.groupBy("backward", "word").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "fork", "ends", "next", "pairs"))).alias("way"))
     ways = stored(ways.where(F.col("way")[0]["fork"]).withColumn("text", F.when(F.col("backward"), F.reverse("word")).otherwise(F.col("word"))), "ways")
     steps = ways.where(F.size("way") > 1).select("*", F.explode(F.sequence(F.lit(1), F.size("way") - 1)).alias("i"))
     begin, end = F.col("way")[F.col("i") - 1], F.col("way")[F.col("i")]
@@ -139,9 +142,9 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
         end["node"].alias("child"),
         F.substring("text", begin["depth"] + 1, end["depth"] - begin["depth"]).alias("letters"),
         F.coalesce(end["ends"], F.when(F.col("i") == F.size("way") - 1, F.col("word"))).alias("word"),
-        F.coalesce(end["next"], F.lit(0)).alias("next"),
+        *[F.coalesce(end[c], F.lit(0)).alias(c) for c in ("next", "pairs")],
     )
-    edges = steps.groupBy("backward", "node", "child", "letters").agg(F.max("word").alias("word"), F.bit_or("next").alias("next"))
+    edges = steps.where("letters != ''").distinct()
     first = F.col("way")[0]
     starts = ways.select(
         "backward", "text", first["depth"].alias("position"), first["node"].alias("node"), F.lit(0).alias("edits"), first["ends"].alias("ends")
@@ -149,9 +152,13 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(edges, "edges"), starts
 
 
-def letter_bit(code: Column) -> Column:
-    """One of 63 bits for a code point; letters whose bit a node lacks do not follow it."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(code, F.lit(63)).cast("int"))
+def letter_bits(letter: Column, second: Column) -> dict[str, Column]:
+    """One of 63 bits for the letter and one for it and the letter after it.
+
+    A node has the bits of all that follows it; letters whose bit it lacks do not.
+    """
+    bit = lambda code: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(code, F.lit(63)).cast("int"))
+    return {"next": bit(letter), "pairs": bit(letter * 31 + second)}
 
 
 def advance(states: DataFrame, edges: DataFrame) -> DataFrame:
@@ -166,7 +173,7 @@ def advance(states: DataFrame, edges: DataFrame) -> DataFrame:
     edges = edges.withColumn("head", head)
     # the same letters: one edge of a node at most, but for equal hashes
     same = states.drop("ends").withColumn("head", ahead).join(edges, ["backward", "node", "head"]).where(F.substring("text", at, size) == F.col("letters"))
-    same = same.select("backward", "text", (F.col("position") + size).alias("position"), F.col("child").alias("node"), "edits", F.col("word").alias("ends"), "next")
+    same = same.select("backward", "text", (F.col("position") + size).alias("position"), F.col("child").alias("node"), "edits", F.col("word").alias("ends"), "next", "pairs")
     # an edit: any edge of the node
     met = states.where("edits = 0").drop("ends").join(edges, ["backward", "node"])
     later, one_letter, differs = F.substring("letters", F.lit(2), size), size == 1, ahead != F.col("head")
@@ -175,13 +182,17 @@ def advance(states: DataFrame, edges: DataFrame) -> DataFrame:
     replaced = F.when(differs, F.substring("text", at + 1, size - 1) == later).when(one_letter, False).otherwise((F.length(as_long) == size) & near(as_long))
     left_out = F.when(differs, F.substring("text", at + 1, size) == F.col("letters")).when(one_letter, False).otherwise((F.length(longer) == size + 1) & near(longer))
     moves = F.array_compact(F.array(F.when(replaced & (F.col("position") + size <= F.length("text")), size), F.when(left_out, size + 1)))
-    met = met.select("backward", "text", "position", "child", "word", "next", F.explode(moves).alias("far"))
-    met = met.select("backward", "text", (F.col("position") + F.col("far")).alias("position"), F.col("child").alias("node"), F.lit(1).alias("edits"), F.col("word").alias("ends"), "next")
+    met = met.select("backward", "text", "position", "child", "word", "next", "pairs", F.explode(moves).alias("far"))
+    met = met.select("backward", "text", (F.col("position") + F.col("far")).alias("position"), F.col("child").alias("node"), F.lit(1).alias("edits"), F.col("word").alias("ends"), "next", "pairs")
     gone = same.unionAll(met)
     rest = F.length("text") - F.col("position")
-    follows = F.col("next").bitwiseAND(letter_bit(F.ascii(F.substring("text", F.col("position") + 1, F.lit(1))))) != 0
+    letter = lambda n: F.ascii(F.substring("text", F.col("position") + n, F.lit(1)))
+    follows = F.lit(True)
+    for c, bit in letter_bits(letter(1), letter(2)).items():
+        follows = follows & (F.col(c).bitwiseAND(bit) != 0)
     alive = F.when(rest == 0, F.col("ends").isNotNull() & (F.col("edits") == 1)).otherwise((F.col("edits") == 0) | follows)
-    return gone.where(alive).drop("next")
+    gone = gone.where(alive).drop("next", "pairs")
+    return gone.withColumn("ends", F.when(F.col("edits") + F.length("text") - F.col("position") == 1, F.col("ends")))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -203,8 +214,8 @@ def neighbours(words: DataFrame) -> DataFrame:
         if states.isEmpty():
             break
     found = found.where("word != near").where(one_edit(F.col("word"), F.col("near")))
-    both = found.unionAll(found.select(F.col("near").alias("word"), F.col("word").alias("near")))
-    return both.distinct()
+    both = F.explode(F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"))))
+    return found.select(both.alias("p")).select("p.word", "p.near").distinct()
 
 
 def variants(words: DataFrame, much_more: int = MUCH_MORE) -> DataFrame:
