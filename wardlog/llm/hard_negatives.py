@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,7 +204,7 @@ def choose(asks: DataFrame, zones: DataFrame, k: int, same_label: bool, page: in
             block, part = np.array(zone["block"].to_pylist(), object), zone["part"].to_numpy()
             for start in range(0, ask.num_rows, 256):
                 some = ask.slice(start, 256).combine_chunks()
-                owner = np.repeat(np.arange(some.num_rows), pa.compute.list_value_length(some["tags"]).to_numpy())
+                owner = np.repeat(np.arange(some.num_rows), pc.list_value_length(some["tags"]).to_numpy())
                 tags, floor, ceiling = (some[c].combine_chunks().flatten().to_numpy() for c in ("tags", "floors", "ceilings"))
                 least, most = intervals(flat(some["v"].combine_chunks(), width), low, high)
                 allowed = (np.array(some["label"].to_pylist(), object)[:, None] == label) == same_label

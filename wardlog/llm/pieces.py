@@ -25,6 +25,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -390,8 +391,8 @@ def decoded(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             if not batch.num_rows:
                 continue
             column = batch[kept.index(ids_col)]
-            counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-            flat = pa.compute.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            flat = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             ends, start, first = np.cumsum(counts.astype(np.int64)), 0, 0
             while start < batch.num_rows:  # some millions of ids at a time
                 stop = max(start + 1, int(np.searchsorted(ends, first + SLICE, "right")))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def shingle_set(found: list[bytes], size: int) -> np.ndarray:
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20, column: str = "text"):
     """Record batches cut so that the texts of each hold about ``limit`` bytes or are one row."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0)
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
