@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardlog.ml.slots import fit_slots, vocabularies
+from wardlog.ml.likeness import search
+from wardlog.ml.slots import fit_slots, sparse, vocabularies
 from wardlog.ml.textvec import term_weights, vocabulary
 from wardlog.operators import quantiles
 from wardlog.operators.joins import members_of_windows
-from wardlog.operators.ordering import cap_per_class, gap_statistics, gaps
+from wardlog.operators.ordering import cap_per_class, first_rows, gap_statistics, gaps, nth_keys
 from wardlog.operators.profiles import Texts, profile
 from wardlog.plans import feedback
 from wardlog.plans.detectors import attack_profile, by_hour
@@ -114,15 +115,32 @@ def test_gaps_of_a_busy_key(rows):
 
 
 def test_cap_per_class(rows):
-    values = [("hot" if i % 3 else "cold", i * 7919 % 5000) for i in range(5000)]
+    values = [("hot" if i % 3 else "cold", i * 7919 % 5000) for i in range(5000)] + [("few", 1), (None, 3), (None, 2)]
     df = rows(values, "label string, id int")
-    got = sorted(tuple(r) for r in cap_per_class(df, "label", ["id"], 100).collect())
+    got = sorted((str(r.label), r.id) for r in cap_per_class(df, "label", ["id"], 100).collect())
     want = []
-    for label in ("hot", "cold"):
-        want += [(label, i) for i in sorted(i for c, i in values if c == label)[:100]]
+    for label in ("hot", "cold", "few", None):
+        want += [(str(label), i) for i in sorted(i for c, i in values if c == label)[:100]]
     assert got == sorted(want)
 
 
+def test_cap_cuts_rows_of_equal_keys(rows):
+    df = rows([("a", 1, i) for i in range(30)] + [("a", 2, i) for i in range(500)] + [("b", 7, 0)], "label string, id int, x int")
+    got = Counter((r.label, r.id) for r in cap_per_class(df, "label", ["id"], 40).collect())
+    assert got == {("a", 1): 30, ("a", 2): 10, ("b", 7): 1}
+
+
+def test_no_task_ranks_a_class(spark):
+    """A million rows in one class, capped at 100,000: the n-th key is found by counting ranges."""
+    df = spark.range(1_000_000).select(F.lit("one").alias("label"), F.xxhash64("id").alias("key"))
+    out = cap_per_class(df.repartition(16), "label", ["key"], 100_000)
+    bound = df.selectExpr("sort_array(collect_list(key))[99999] AS b").first().b
+    assert out.agg(F.count("*"), F.max("key")).first()[:] == (100_000, bound)
+    assert first_rows(df, ["key"], 20_000).count() == 20_000
+    plan = nth_keys(df, "label", ["key"], 100_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "row_number" not in plan  # over one row a range
+
+
 def test_windows_against_brute_force(rows):
     random.seed(2)
     start = dt.datetime(2024, 1, 1)
@@ -147,19 +165,54 @@ def test_windows_against_brute_force(rows):
     assert got == want and want
 
 
-@pytest.mark.parametrize("per_pass", [4, 2048])
-def test_unlike_feedback_against_brute_force(rows, monkeypatch, per_pass):
-    monkeypatch.setattr(feedback, "PASSES_PER_CHECKPOINT", 3)
+def test_unlike_feedback_against_brute_force(rows):
     rng = np.random.default_rng(4)
     s, f = rng.normal(size=(120, 6)), rng.normal(size=(30, 6))
-    f[7] = 0
-    samples = rows([(i, v.tolist()) for i, v in enumerate(s)], "id int, v array<double>")
-    verdicts = rows([(v.tolist(),) for v in np.vstack([f, f[:9]])], "v array<double>")
-    out = feedback.unlike_feedback(samples, verdicts, "v", 0.8, per_pass)
+    f[7], s[5] = 0, 0
+    values = [(i, v.tolist()) for i, v in enumerate(s)] + [(120, None), (121, s[0].tolist())]
+    samples = rows(values, "id int, v array<double>")
+    verdicts = rows([(v.tolist(),) for v in np.vstack([f, f[:9]])] + [(None,)], "v array<double>")
     live = f[np.linalg.norm(f, axis=1) > 0]
-    cos = (s @ live.T) / np.outer(np.linalg.norm(s, axis=1), np.linalg.norm(live, axis=1))
+    cos = (s @ live.T) / np.maximum(np.outer(np.linalg.norm(s, axis=1), np.linalg.norm(live, axis=1)), 1e-300)
     want = [i for i in range(len(s)) if cos[i].max() < 0.8]
+    want += [120] + [121] * (0 in want)
+    out = feedback.unlike_feedback(samples, verdicts, "v", 0.8)
     assert sorted(r.id for r in out.collect()) == want and 0 < len(want) < len(s)
+    assert feedback.unlike_feedback(samples, verdicts.where("false"), "v").count() == len(values)
+
+
+def clustered_vectors(rows, n, seed):
+    """Sparse vectors around 40 centres in 30 dimensions, many like one of the others."""
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(1).normal(size=(40, 30)) * (np.random.default_rng(2).random((40, 30)) < 0.3)
+    x = centres[rng.integers(40, size=n)] + 0.12 * rng.normal(size=(n, 30)) * (rng.random((n, 30)) < 0.3)
+    return x, rows([(v.tolist(),) for v in x], "values array<double>").withColumns(sparse(F.col("values")))
+
+
+@pytest.mark.parametrize("pivots, block", [(32, 2048), (5, 50), (1, 7)])
+def test_like_vectors_are_found_with_few_comparisons(rows, pivots, block):
+    x, samples = clustered_vectors(rows, 900, 3)
+    y, verdicts = clustered_vectors(rows, 700, 4)
+    y, verdicts = y[:350], verdicts.limit(350)
+    u, v = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
+    cos = (u @ v.T).max(1)
+    keys, found = search(samples, verdicts, 0.95, pivots, block)
+    hits = {tuple(r.places) + tuple(r.weights) for r in keys.join(found.where("hit"), "id", "left_semi").collect()}
+    want = {tuple(np.flatnonzero(r).tolist()) + tuple(r[r != 0].tolist()) for r, c in zip(x, cos) if c >= 0.95}
+    assert hits == want and 100 < len(want) < 900
+    compared = found.agg(F.sum("compared")).first()[0]
+    if pivots == 32:
+        assert compared < 0.08 * len(x) * len(y)
+
+
+def test_profiles_unlike_feedback_texts(rows):
+    """Text slots of keys against those of verdicts, by cosine of their TF-IDF vectors."""
+    values = [("a", "red green"), ("a", "blue"), ("b", "red green blue"), ("c", "stone"), ("d", "red"), ("e", None)]
+    texts = {"t": Texts(F.col("t"))}
+    samples = profile(rows(values, "k string, t string"), ["k"], texts).stored()
+    verdicts = profile(rows([("v", "blue red"), ("v", "green")], "k string, t string"), ["k"], texts).stored()
+    out = feedback.unlike_profiles(samples, verdicts, ["t"], 0.99)
+    assert sorted(r.k for r in out.collect()) == ["c", "d", "e"]
 
 
 def test_limits_pick_first_keys(data):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from wardlog.session import checkpointed, configure, shared_dir
 from wardlog.sources import sinks
 from wardlog.sources.tables import read_window, require_version, run_config, stored_columns
-from wardlog.streaming import jobs
 
 
 def plan(df):
@@ -64,14 +63,6 @@ def test_stored_columns(data):
     assert stored_columns(data.region, ["r_name"]) == ["r_regionkey"]
 
 
-def test_compacted_dictionary(data, spark, tmp_path):
-    stream = jobs.read_files(spark, data.path("events"))
-    out = jobs.run_token_counts(stream, str(tmp_path / "d"), ["event_type"])
-    jobs.compact_dictionary(spark, str(tmp_path / "d"), str(tmp_path / "c"))
-    compact = spark.read.parquet(str(tmp_path / "c"))
-    assert sorted(map(str, compact.collect())) == sorted(map(str, out.collect()))
-
-
 def test_session_settings(spark):
     configure(spark)
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"

@@ -222,7 +222,7 @@ def m07(d):
            CAST(s.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) >= 0.35)""",
 )
 def m08(d):
-    return unlike_feedback(d.samples, d.verdicts, "embedding", 0.35, per_pass=64).select("vec_id")
+    return unlike_feedback(d.samples, d.verdicts, "embedding", 0.35).select("vec_id")
 
 
 SCALED = ["bytes_forward", "bytes_backward", "packets_forward", "fixed"]

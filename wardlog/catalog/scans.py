@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlog.catalog.registry import query
+from wardlog.catalog.scoring import RESULT_ROWS_SQL, m24
 from wardlog.functions.times import day_number
+from wardlog.ml.scoring import as_text_copy
 from wardlog.operators.ordering import cap_per_class
 from wardlog.operators.predicates import has_text
 from wardlog.session import scratch
 from wardlog.sources import sinks
+from wardlog.sources.runs import RunTables
 from wardlog.sources.tables import (
     from_sources,
     labelled,
@@ -260,3 +263,53 @@ def s08_read(d):
     sinks.write_by_day(rows, path, order="ts")
     day = d.spark.read.parquet(path).where(F.col("logdate") == 20240115)
     return day.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+RUN_RESULT_SQL = RESULT_ROWS_SQL
+
+
+@query("s05_result_table", f"SELECT *, CAST(strftime(logtime, '%Y%m%d') AS INT) AS logdate FROM ({RUN_RESULT_SQL})")
+def s05_results(d):
+    """The 25 result columns, stored by two runs of which one is repeated, and read back."""
+    tables = RunTables(d.spark, scratch(d.spark, "results"))
+    rows = m24(d)
+    early = F.col("logtime") < F.lit("2024-01-15").cast("timestamp_ntz")
+    tables.commit("early", {"result": rows.where(early)})
+    tables.commit("late", {"result": rows.where(~early)})
+    tables.commit("early", {"result": rows})
+    return tables.read("result")
+
+
+@query(
+    "s05_result_text_copy",
+    f"""SELECT * EXCLUDE (probs), probs IS NOT NULL AS has_probs, round(CAST(probs AS DOUBLE), 9) AS number
+        FROM ({RUN_RESULT_SQL})""",
+)
+def s05_text(d):
+    """The text copy; its probabilities read as numbers again."""
+    tables = RunTables(d.spark, scratch(d.spark, "results"))
+    rows = m24(d)
+    tables.commit("run-1", {"result": rows, "result_text": as_text_copy(rows)})
+    back = tables.read("result_text").drop("logdate")
+    number = F.round(F.col("probs").cast("double"), 9).alias("number")
+    return back.select("*", F.col("probs").isNotNull().alias("has_probs"), number).drop("probs")
+
+
+@query(
+    "s14_history_table",
+    f"""WITH m AS (SELECT attack_name, max(epochs) AS epochs FROM ({METRICS_SQL}) GROUP BY 1), s AS ({SCORES_SQL})
+        SELECT CAST(334 AS BIGINT) AS model_id, m.attack_name, m.epochs, x.loss, TIMESTAMP '2024-02-01 00:00:00' AS logtime,
+               coalesce(s.train_cnt, 0) AS train_cnt, coalesce(s.test_cnt, 0) AS test_cnt, coalesce(s.accuracy, 0) AS accuracy,
+               coalesce(s.recall, 0) AS recall, coalesce(s.precision, 0) AS precision, coalesce(s.f1_score, 0) AS f1_score,
+               20240201 AS logdate, (SELECT count(*) FROM ev) AS metrics
+        FROM m JOIN ({METRICS_SQL}) x ON x.epochs = m.epochs LEFT JOIN s ON s.attack_name = m.attack_name""",
+)
+def s14_table(d):
+    """Metrics and history of a training run, stored together and read back."""
+    tables = RunTables(d.spark, scratch(d.spark, "history"))
+    metrics = d.sql(METRICS_SQL.strip()).withColumn("logtime", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    history = sinks.training_history(metrics, d.sql(SCORES_SQL.strip()))
+    for _ in range(2):
+        tables.commit("train-334", {"metrics": metrics, "history": history})
+    n = tables.read("metrics").agg(F.count(F.lit(1))).scalar()
+    return tables.read("history").withColumn("metrics", n)

@@ -94,16 +94,18 @@ def m23_consistent(d):
     return mark_anomalies(named, THRESHOLD, True).select("event_id", "att_name", "result")
 
 
-@query(
-    "m24_result_rows",
+RESULT_ROWS_SQL = (
     f"""SELECT DISTINCT CAST(334 AS BIGINT) AS model_id, date_trunc('hour', ts) AS logtime,
           ts AS "end", '-' AS rule, src_ip, '192.168.1.1' AS dst_ip, '-' AS src_ip_country_code,
           '-' AS dst_ip_country_code, 0 AS ast_ip, 0 AS related_ip, '-' AS direction_inout,
           0 AS direction_inout_bin, '-' AS related_country, att_name, result,
           CAST(probs AS DOUBLE) AS probs, normal AS anomaly_score, '2024_02_01_00_00' AS feedback,
           0 AS packet, 0 AS if_label, 0 AS if_score, 0 AS lof_label, 0 AS lof_score,
-          0 AS ai_label, 0 AS ai_score FROM {MARKED}""",
+          0 AS ai_label, 0 AS ai_score FROM {MARKED}"""
 )
+
+
+@query("m24_result_rows", RESULT_ROWS_SQL)
 def m24(d):
     rows = d.class_scores.withColumns(
         {

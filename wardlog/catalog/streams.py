@@ -7,13 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from wardlog.catalog.models import KEYS, MODEL_ID, NAMES, VERSION, bundle, labelled_results
-from wardlog.catalog.registry import method_sql, query, status_sql
+from wardlog.catalog.registry import HAS_TEXT, method_sql, query, status_sql
 from wardlog.functions.times import run_window
 from wardlog.ml.scoring import result_rows
 from wardlog.operators.predicates import in_range
 from wardlog.operators.profiles import status_ratios
-from wardlog.plans.extraction import http_profile
+from wardlog.plans.extraction import http_counts, http_profile_of, merged_http_counts
+from wardlog.plans.jobs import predict, train
 from wardlog.session import scratch
+from wardlog.sources.runs import RunTables
 from wardlog.streaming import jobs
 
 
@@ -57,11 +59,11 @@ def t02(d):
 def t03(d):
     models = bundle(d)
 
-    def score(batch):
-        rows = http_profile(batch, KEYS).renamed(NAMES)
+    def score(counts):
+        rows = http_profile_of(counts).renamed(NAMES)
         return result_rows(labelled_results(d, models.score(rows)), MODEL_ID, VERSION)
 
-    return jobs.run_scoring(http_stream(d), scratch(d.spark, "scores"), KEYS, score)
+    return jobs.run_scoring(http_stream(d), scratch(d.spark, "scores"), KEYS, http_counts, merged_http_counts, score)
 
 
 @query(
@@ -77,3 +79,28 @@ def t04(d):
     return out.select("event_type", "column", "token", "cnt")
 
 
+# The registered model with the longest training window of the highest number.
+JOB_MODEL = "(SELECT max(c_custkey) FROM customer WHERE c_custkey % 48 >= 40 AND c_nationkey >= 5)"
+
+
+@query(
+    "t01_train_and_predict",
+    f"""WITH m AS (SELECT c_custkey AS id, c_nationkey AS days FROM customer WHERE c_custkey = {JOB_MODEL}),
+        w AS (SELECT max(ts) AS now, max(ts) + INTERVAL 9 HOUR - INTERVAL 30 SECOND AS e FROM events)
+        SELECT CAST((SELECT id FROM m) AS BIGINT) AS model_id, logtime, src_ip, dst_ip, max(end_time) AS "end",
+               strftime((SELECT now FROM w), '%Y_%m_%d_%H_%M') AS feedback, '-' AS rule
+        FROM http_log
+        WHERE logtime BETWEEN (SELECT e FROM w) - to_days(CAST((SELECT days FROM m) AS INT)) AND (SELECT e FROM w)
+          AND {HAS_TEXT}
+        GROUP BY logtime, src_ip, dst_ip ORDER BY logtime, src_ip, dst_ip LIMIT (SELECT id FROM m)""",
+)
+def t01_jobs(d):
+    """Rows stored by a prediction job, run twice, after a training job of the same registry row."""
+    wanted = d.customer.where("c_custkey % 48 >= 40 AND c_nationkey >= 5").agg(F.max("c_custkey"))
+    model_id, now = wanted.first()[0], d.events.agg(F.max("ts")).first()[0]
+    root = scratch(d.spark, "jobs")
+    train(d.spark, d.registry, model_id, now, d.http_log, d.ip_ast, root)
+    for _ in range(2):
+        predict(d.spark, d.registry, model_id, now, d.http_log, root)
+    rows = RunTables(d.spark, f"{root}/tables").read("result")
+    return rows.select("model_id", "logtime", "src_ip", "dst_ip", "end", "feedback", "rule")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute as pc
 from pyspark.ml.classification import DecisionTreeClassificationModel, LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,7 +122,7 @@ def _covariance_times(rows: DataFrame, basis: np.ndarray, mean: np.ndarray, widt
     def part(batches):
         out, ahead = np.zeros_like(basis), np.zeros(width)
         for batch in batches:
-            size = pa.compute.list_value_length(batch["places"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = pc.list_value_length(batch["places"]).to_numpy(zero_copy_only=False).astype(np.int64)
             place, w = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("places", "weights"))
             owner = np.repeat(np.arange(batch.num_rows), size)
             for j in range(width):

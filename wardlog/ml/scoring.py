@@ -109,8 +109,10 @@ def evidence_rows(scored: DataFrame, features, model_id: int, version: str) -> D
     found = F.map_from_arrays("places", "weights")
     for n in STATUS_COLUMNS:
         out[n] = F.coalesce(F.element_at(found, F.lit(features.numbers.index(n))), F.lit(0.0))
-    texts = ["http_host", "http_agent", "http_query"]
-    pairs = [c for t in texts if t in out for c in (t, f"{t}_value")]
+    for column in ("http_agent", "http_query"):  # columns without a vocabulary have no features
+        out.setdefault(column, F.array().cast("array<string>"))
+        out.setdefault(f"{column}_value", F.array().cast("array<double>"))
+    pairs = [c for t in ("http_host", "http_agent", "http_query") for c in (t, f"{t}_value")]
     return scored.where(F.col("att_name") != "NORMAL").withColumns(out).select(
         "model_id", "logtime", "end", "src_ip", "dst_ip", *STATUS_COLUMNS, *pairs,
         "model_ver", "att_name",

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 256
+from wardlog.session import stored
 
 
 def _seconds(rows: DataFrame, key: str, ts: str, extra: Sequence[Column] = ()) -> DataFrame:
@@ -86,29 +86,56 @@ def gap_statistics(rows: DataFrame, key: str, ts: str) -> DataFrame:
     )
 
 
+# Up to so many rows are found by keeping the first ones of each task.
+FEW = 10_000
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """The first n rows in key order."""
-    return df.orderBy(*keys).limit(n)
+    if n <= FEW:
+        return df.orderBy(*keys).limit(n)
+    one = df.withColumn("_class", F.lit(0))
+    return cap_per_class(one, "_class", keys, n).drop("_class")
+
+
+def nth_keys(df: DataFrame, label: str, keys: Sequence[str], n: int) -> DataFrame:
+    """(label, bound): the n-th key of each class in key order; classes with fewer rows are left out.
+
+    Keys alone are sorted into ranges. The rows of a class are counted per range, which
+    tells the range that holds the n-th one and its place there; no task ranks a class.
+    """
+    order = [label, *keys]
+    sorted_ = df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    # the upper bits are the range, the lower ones the place in it
+    placed = stored(sorted_.withColumn("_at", F.monotonically_increasing_id()), "sorted-keys")
+    ranges = placed.groupBy(label, F.shiftright("_at", 33).alias("_range")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first")
+    )
+    ahead = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
+    holding = ranges.where((F.col("_ahead") < n) & (F.col("_ahead") + F.col("_rows") >= n))
+    wanted = holding.select((F.col("_first") + n - 1 - F.col("_ahead")).alias("_at"))
+    return placed.join(wanted, "_at").select(label, F.struct(*keys).alias("bound"))
 
 
 def cap_per_class(df: DataFrame, label: str, keys: Sequence[str], n: int | None) -> DataFrame:
     """At most n rows per class, the first in key order; all where n is None.
 
-    Ranked within salted slices first, so a class of any size reaches its final
-    ranking as at most ``SALTS * n`` rows.
+    Rows below the class's n-th key are kept by one comparison. Of rows that have that
+    very key as many are kept as are missing.
     """
     if n is None:
         return df
-    ranked = df.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
-    slice_ = Window.partitionBy(label, "_salt").orderBy(*keys)
-    whole = Window.partitionBy(label).orderBy(*keys)
-    return (
-        ranked.withColumn("_rank", F.row_number().over(slice_))
-        .where(F.col("_rank") <= n)
-        .withColumn("_rank", F.row_number().over(whole))
-        .where(F.col("_rank") <= n)
-        .drop("_rank", "_salt")
-    )
+    bounds = stored(nth_keys(df, label, keys, n).withColumnRenamed(label, "_label"), "bounds")
+    key = F.struct(*keys)
+    rows = df.join(bounds, F.col(label).eqNullSafe(F.col("_label")), "left")
+    below = rows.where(F.col("bound").isNull() | (key < F.col("bound"))).select(*df.columns)
+    counts = rows.where(F.col("bound").isNotNull()).groupBy(F.col("_label").alias("_cut_class"))
+    missing = counts.agg((n - F.count_if(key < F.col("bound"))).alias("_missing"))
+    last = rows.where(key == F.col("bound")).join(missing, F.col("_label").eqNullSafe(F.col("_cut_class")))
+    among = Window.partitionBy("_label").orderBy(F.xxhash64(*df.columns))
+    last = last.withColumn("_rank", F.row_number().over(among)).where((F.col("_rank") <= n) & (F.col("_rank") <= F.col("_missing")))
+    return below.unionByName(last.select(*df.columns))
 
 
 def hash_slot(keys: Sequence[str], slots: int = 100) -> Column:

@@ -10,7 +10,7 @@ depend on their order: keys with equal texts are found by it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -276,18 +276,32 @@ def profile(
     aggregates of a key's rows. ``keep`` is a condition on measures. Measures come in the
     order whole, folds, texts.
     """
-    whole, folds = whole or {}, folds or {}
     counts = counted(rows, keys, {**(values or {}), **{n: t.column for n, t in texts.items()}}, whole)
+    out = from_counts(counts, keys, {n: t.distinct for n, t in texts.items()}, folds or {}, list(whole or {}))
+    return out if keep is None else out.with_measures(lambda m: m.where(keep))
+
+
+def from_counts(
+    counts: DataFrame, keys: Sequence[str], texts: Mapping[str, bool], folds: Mapping[str, Column], whole: Sequence[str] = ()
+) -> Profiles:
+    """Profiles read off counted values; ``texts`` tells which text columns count each text once."""
     aggregates = {n: F.max(n) for n in whole} | dict(folds)
-    for n, t in texts.items():
-        aggregates |= digest(n, t.distinct)
+    for n, distinct in texts.items():
+        aggregates |= digest(n, distinct)
     measures = counts.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    once = [n for n, t in texts.items() if t.distinct]
+    once = [n for n, distinct in texts.items() if distinct]
     copies = F.when(F.col(COLUMN).isin(*once), F.lit(1)).otherwise(F.col(TIMES)) if once else F.col(TIMES)
     found = counts.where(F.col(COLUMN).isin(*texts) & F.col(VALUE).isNotNull())
     found = found.select(*keys, COLUMN, F.col(VALUE).alias("text"), copies.cast("bigint").alias(TIMES))
-    out = Profiles(tuple(keys), measures, found, tuple(texts))
-    return out if keep is None else out.with_measures(lambda m: m.where(keep))
+    return Profiles(tuple(keys), measures, found, tuple(texts))
+
+
+def added_counts(counts: DataFrame, whole: Mapping[str, Callable[[str], Column]] | None = None) -> DataFrame:
+    """Counted values of several batches added up; ``whole`` tells how its aggregates are merged."""
+    whole = whole or {}
+    keys = [c for c in counts.columns if c not in (TIMES, *whole)]
+    added = counts.groupBy(*keys).agg(F.sum(TIMES).alias(TIMES), *[merge(n).alias(n) for n, merge in whole.items()])
+    return added.select(*counts.columns)
 
 
 def cleaned_texts(columns: Mapping[str, str], clean, distinct: bool) -> dict[str, Texts]:

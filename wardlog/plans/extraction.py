@@ -12,43 +12,53 @@ from wardlog.functions.text import payload_words
 from wardlog.operators.joins import drop_listed
 from wardlog.operators.ordering import cap_per_class, first_rows
 from wardlog.operators.predicates import has_text, in_range, is_ipv4
-from wardlog.operators.profiles import Profiles, cleaned_texts, kinds, profile, status_shares, united
+from wardlog.operators.profiles import Profiles, added_counts, counted, from_counts, kinds, status_shares, united
 from wardlog.sources.tables import labelled
 
 KEYS = ["logtime", "src_ip", "dst_ip"]
 TEXTS = {"agent_": "http_agent", "query_": "http_query"}
 
 
+def http_counts(rows: DataFrame, keys=KEYS) -> DataFrame:
+    """Ports, status codes and cleaned agent and query texts, counted per key; counts of batches add up."""
+    values = {c: F.col(c) for c in ("dst_port", "http_retcode")}
+    values |= {n: payload_words(F.col(c)) for n, c in TEXTS.items()}
+    return counted(rows, keys, values, {"end": F.max("end_time")})
+
+
+def merged_http_counts(counts: DataFrame) -> DataFrame:
+    return added_counts(counts, {"end": F.max})
+
+
+def http_profile_of(counts: DataFrame, keys=KEYS, missing: str = "") -> Profiles:
+    folds = {"dst_port_cnt": kinds("dst_port"), **status_shares(missing=missing)}
+    return from_counts(counts, keys, {n: True for n in TEXTS}, folds, ["end"])
+
+
 def http_profile(rows: DataFrame, keys=KEYS, missing: str = "") -> Profiles:
     """Ports, status shares and the different cleaned agent and query texts per key."""
-    return profile(
-        rows,
-        keys,
-        cleaned_texts(TEXTS, payload_words, distinct=True),
-        {"dst_port_cnt": kinds("dst_port"), **status_shares(missing=missing)},
-        {"dst_port": F.col("dst_port"), "http_retcode": F.col("http_retcode")},
-        {"end": F.max("end_time")},
-    )
+    return http_profile_of(http_counts(rows, keys), keys, missing)
 
 
 def window_rows(log: DataFrame, start: str, end: str) -> DataFrame:
     return log.where(in_range("logtime", start, end) & has_text())
 
 
-def prediction_rows(log: DataFrame, start: str, end: str, missing: str = "") -> Profiles:
-    return http_profile(window_rows(log, start, end), KEYS, missing)
+def first_keys(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The rows of the first keys only; picked before anything is profiled."""
+    if limit is None:
+        return rows
+    return rows.join(first_rows(rows.select(*KEYS).distinct(), KEYS, limit), KEYS, "left_semi")
 
 
-def normal_rows(log: DataFrame, start: str, end: str, limit: int | None = None) -> Profiles:
-    """Profiles of a time range; with a limit, of its first keys only.
+def prediction_rows(log: DataFrame, start: str, end: str, missing: str = "", limit: int | None = None) -> Profiles:
+    """Profiles of a time range; with a limit, of its first keys only."""
+    return http_profile(first_keys(window_rows(log, start, end), limit), KEYS, missing)
 
-    The wanted keys are picked before anything is profiled.
-    """
-    rows = window_rows(log, start, end)
-    if limit is not None:
-        wanted = first_rows(rows.select(*KEYS).distinct(), KEYS, limit)
-        rows = rows.join(wanted, KEYS, "left_semi")
-    return http_profile(rows, KEYS).with_key("label", F.lit("normal"))
+
+def normal_rows(log: DataFrame, start: str, end: str, limit: int | None = None) -> Profiles:
+    """Profiles of a time range, labelled normal; with a limit, of its first keys only."""
+    return http_profile(first_keys(window_rows(log, start, end), limit), KEYS).with_key("label", F.lit("normal"))
 
 
 def attack_rows(

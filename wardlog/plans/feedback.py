@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlog.functions.times import start_of
-from wardlog.functions.vectors import dot, unit_length
+from wardlog.ml.likeness import unlike
+from wardlog.ml.slots import fit_slots, sparse
 from wardlog.operators.joins import any_match, members_of_windows
 from wardlog.operators.predicates import reviewed
 from wardlog.operators.profiles import Profiles
 from wardlog.plans.detectors import traffic_numbers, traffic_profile
 from wardlog.plans.dns import CLOCK, clock_ratios, dns_profile
-from wardlog.session import checkpointed
 
 WINDOW = ["src_ip", "window_start", "window_end"]
-# Feedback vectors compared in one pass over the samples.
-VECTORS_PER_PASS = 2048
-PASSES_PER_CHECKPOINT = 16
 
 
 def _verdicts(feedback: DataFrame) -> DataFrame:
@@ -93,38 +92,18 @@ def model_feedback(model_id: int, feedback, http_log, dns_log, domains, ranges)
     return None
 
 
-def unlike_feedback(
-    samples: DataFrame,
-    verdicts: DataFrame,
-    vector: str,
-    threshold: float = 0.8,
-    per_pass: int = VECTORS_PER_PASS,
-) -> DataFrame:
-    """Samples whose cosine to every feedback vector is below the threshold.
+def unlike_feedback(samples: DataFrame, verdicts: DataFrame, vector: str, threshold: float = 0.8) -> DataFrame:
+    """Samples whose cosine to every feedback vector is below the threshold; a vector without a length stays."""
+    columns = sparse(F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>")))
+    out = unlike(samples.withColumns(columns), verdicts.where(F.col(vector).isNotNull()).withColumns(columns), threshold)
+    return out.drop(*columns)
+
 
-    The different feedback vectors are cut into slices of about ``per_pass``. Each
-    pass hands one slice, an array of that bounded size from a scalar subquery, to
-    the samples left so far; nothing is joined and no pairs are made. Long runs of
-    passes are cut by checkpoints.
+def unlike_profiles(samples: Profiles, verdicts: Profiles, texts: Sequence[str], threshold: float = 0.8, caps: Mapping[str, int] | None = None) -> DataFrame:
+    """Measures of the samples whose texts are unlike those of every feedback row.
+
+    The texts become TF-IDF slots fitted on the samples, so a key of any size is one
+    sparse vector; vocabularies hold ``caps`` terms (250 a column by default).
     """
-    unit = unit_length(F.col(vector).cast("array<double>"))
-    vectors = verdicts.select(unit.alias("v")).where(F.col("v").isNotNull()).distinct()
-    slices = -(-vectors.count() // per_pass)
-    if not slices:
-        return samples
-    by_slice = (
-        vectors.withColumn("_slice", F.pmod(F.xxhash64("v"), F.lit(slices)).cast("int"))
-        .groupBy("_slice")
-        .agg(F.collect_list("v").alias("_vs"))
-    )
-    x = F.col(vector).cast("array<double>")
-    length = F.sqrt(dot(x, x))
-    left = samples
-    for i in range(slices):
-        one = by_slice.where(F.col("_slice") == i).select("_vs").scalar()
-        nearest = F.array_max(F.transform("_vs", lambda v: dot(x, v)))
-        like = (length > 0) & (nearest >= threshold * length)
-        left = left.withColumn("_vs", one).where(~F.coalesce(like, F.lit(False))).drop("_vs")
-        if (i + 1) % PASSES_PER_CHECKPOINT == 0:
-            left = checkpointed(left)
-    return left
+    slots = fit_slots(samples, [], caps or {c: 250 for c in texts})
+    return unlike(slots.transform(samples), slots.transform(verdicts), threshold)

@@ -1,20 +1,21 @@
 """The recurring jobs as Structured Streaming queries.
 
-All run with ``availableNow``: each start takes what has arrived since the last
-one and stops. Batches are written under their batch id, so a repeated batch
-replaces itself, and results need no state in this process.
+All run with ``availableNow``: each start takes what has arrived since the last one and
+stops. Batches are folded to values that can be merged and kept as a merged base plus
+the batches since (see ``state``), so a start reads neither the stream's earlier rows
+nor more than some batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlog.ml.rarity import token_counts
 from wardlog.operators.profiles import method_marks, status_marks
+from wardlog.streaming.state import EVERY, MergedState, newest_by
 
 
 def only(path: str) -> str:
@@ -35,26 +36,17 @@ def read_files(spark: SparkSession, path: str, per_batch: int | None = None) ->
     return reader.parquet(only(path))
 
 
-def _per_batch(path: str, make: Callable[[DataFrame], DataFrame]):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        make(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return write
-
-
-def run_batches(
-    stream: DataFrame, path: str, mode: str = "append",
-    make: Callable[[DataFrame], DataFrame] = lambda b: b,
-) -> None:
-    """Writes each batch of the stream to ``path`` and waits until all is written."""
+def run_batches(stream: DataFrame, state: MergedState, make: Callable[[DataFrame], DataFrame] = lambda b: b) -> None:
+    """Adds each batch of the stream to the state, waits until all is written, and merges if it is time."""
     job = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(_per_batch(f"{path}/data", make))
-        .option("checkpointLocation", f"{path}/checkpoint")
+        stream.writeStream.outputMode("append")
+        .foreachBatch(lambda batch, batch_id: state.write(make(batch), batch_id))
+        .option("checkpointLocation", f"{state.path}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     job.awaitTermination()
+    state.compact()
 
 
 HOUR_KEYS = ["lgtime", "src_ip", "dst_ip"]
@@ -70,63 +62,74 @@ def hourly_parts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(start, "src_ip", "dst_ip").agg(
         F.max("end_time").alias("end_time"),
         F.count(F.lit(1)).alias("cnt"),
-        F.collect_set("dst_port").alias("ports"),
+        F.sort_array(F.collect_set("dst_port")).alias("ports"),
         F.sum("bytes_forward").alias("bytes"),
         *[F.count_if(mark).alias(name) for name, mark in marks.items()],
     )
 
 
-def run_hourly_profile(stream: DataFrame, path: str) -> DataFrame:
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """Parts of the same key in one: as many as a base and the batches since, so their port sets are few."""
+    sums = [c for c in parts.columns if c not in (*HOUR_KEYS, "end_time", "ports")]
+    return parts.groupBy(*HOUR_KEYS).agg(
+        F.max("end_time").alias("end_time"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ports")))).alias("ports"),
+        *[F.sum(c).alias(c) for c in sums],
+    ).select(*parts.columns)
+
+
+def profile_state(spark: SparkSession, path: str, every: int = EVERY) -> MergedState:
+    return MergedState(spark, path, merged_parts, every)
+
+
+def run_hourly_profile(stream: DataFrame, path: str, every: int = EVERY) -> DataFrame:
     """Adds the stream's batches to the stored parts and returns the profile over all of them.
 
     Parts are merged when read, so a row may come as late as it likes.
     """
-    run_batches(stream, path, make=hourly_parts)
-    return current_profile(stream.sparkSession, path)
+    state = profile_state(stream.sparkSession, path, every)
+    run_batches(stream, state, hourly_parts)
+    return shown_profile(state.current())
 
 
-def current_profile(spark: SparkSession, path: str) -> DataFrame:
-    parts = spark.read.parquet(f"{path}/data")
-    marks = [*method_marks(), *status_marks()]
-    return parts.groupBy(*HOUR_KEYS).agg(
-        F.max("end_time").alias("end_time"),
-        F.sum("cnt").alias("cnt"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("ports")))).cast("bigint").alias("ports"),
-        F.sum("bytes").alias("bytes"),
-        *[(F.sum(n) / F.sum("cnt")).alias(n) for n in marks],
+def shown_profile(parts: DataFrame) -> DataFrame:
+    marks = {**method_marks(), **status_marks()}
+    return parts.select(
+        *HOUR_KEYS, "end_time", "cnt", F.size("ports").cast("bigint").alias("ports"), "bytes",
+        *[(F.col(n) / F.col("cnt")).alias(n) for n in marks],
     )
 
 
 def run_scoring(
-    stream: DataFrame, path: str, keys: Sequence[str], score: Callable[[DataFrame], DataFrame]
+    stream: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    count: Callable[[DataFrame], DataFrame],
+    merge: Callable[[DataFrame], DataFrame],
+    score: Callable[[DataFrame], DataFrame],
+    every: int = EVERY,
 ) -> DataFrame:
-    """Stores the stream's rows and scores each key they touch on all its rows so far.
+    """Scores each key the stream's new rows touch on all its rows so far, and returns the scores of all keys.
 
-    ``score`` takes log rows and gives one row per key. A key scored before gets a new
-    row, which replaces the earlier one in what is returned. Rows are filed by batch
-    and scores by the last batch they cover, so a start that is repeated after a loss
-    writes the same files again.
+    ``count`` folds log rows to counts with the columns ``keys``, ``merge`` adds such counts
+    up, and ``score`` turns merged counts into one row a key; log rows are not kept. A
+    start reads the base and the batches since, and writes scores filed by the last batch
+    they cover, so a start that is repeated after a loss writes the same rows again.
     """
-    spark = stream.sparkSession
-    run_batches(stream, path)
-    rows = spark.read.parquet(f"{path}/data")
-    newest = rows.agg(F.max("batch_id")).first()[0]
-    done = _scored(spark, path)
-    before = -1 if done is None else done.where(F.col("upto") < newest).agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
-    fresh = rows.where(F.col("batch_id") > before).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    touched = rows.join(fresh, same, "left_semi").drop("batch_id")
-    score(touched).write.mode("overwrite").parquet(f"{path}/scores/upto={newest}")
-    scored = _scored(spark, path)
-    last = scored.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("upto").alias("_upto"))
-    return scored.join(last, [*same, F.col("upto") == F.col("_upto")], "left_semi").drop("upto")
-
-
-def _scored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{path}/scores")
-    except AnalysisException:  # nothing scored so far
-        return None
+    spark, keys = stream.sparkSession, list(keys)
+    counts = MergedState(spark, f"{path}/counts", merge, every)
+    scores = MergedState(spark, f"{path}/scores", newest_by(keys, "upto"), every)
+    run_batches(stream, counts, count)
+    newest, done = counts.last(), scores.last()
+    fresh = counts.rows(after=done)
+    if fresh is not None and newest > done:
+        named = fresh.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        touched = merge(counts.rows().join(named, same, "left_semi"))
+        scores.write(score(touched).withColumn("upto", F.lit(newest)), newest)
+        scores.compact()
+    current = scores.current()
+    return None if current is None else current.drop("upto")
 
 
 def run_token_counts(
@@ -135,18 +138,18 @@ def run_token_counts(
     texts: Sequence[str] = (),
     numbers: Sequence[str] = (),
     groups: Sequence[str] = (),
+    every: int = EVERY,
 ) -> DataFrame:
     """Adds each batch's token counts to the stored dictionary and returns it."""
-    run_batches(stream, path, make=lambda b: token_counts(b, texts, numbers, groups))
-    return dictionary(stream.sparkSession, path)
+    state = dictionary(stream.sparkSession, path, every)
+    run_batches(stream, state, lambda b: token_counts(b, texts, numbers, groups))
+    return state.current()
 
 
-def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(f"{path}/data").drop("batch_id")
-    keys = [c for c in rows.columns if c != "cnt"]
-    return rows.groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
+def added_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*[c for c in rows.columns if c != "cnt"]).agg(F.sum("cnt").alias("cnt")).select(*rows.columns)
 
 
-def compact_dictionary(spark: SparkSession, path: str, target: str) -> None:
-    """Writes the merged counts as one table."""
-    dictionary(spark, path).write.mode("overwrite").parquet(target)
+def dictionary(spark: SparkSession, path: str, every: int = EVERY) -> MergedState:
+    """The stored token counts."""
+    return MergedState(spark, path, added_counts, every)
