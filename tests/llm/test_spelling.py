@@ -93,7 +93,7 @@ def test_deleted_letters(spark):
     rows = [(i, f"Wording wordING × wörding{i % 3} Éclairs éclairs ab\u00d7cdefgh longestwordever") for i in range(400)] + [(None, "wording nullable nullable")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute_counts(rows)
-    assert {r.word: r.n for r in spelling.word_counts(docs).collect()} == want and len(want) > 20
+    assert {r.word: r.n for r in spelling.word_counts(docs).collect()} == want and len(want) > 12 and all(n < 800 for n in want.values())
 
 
 def test_odd_rows(odd_docs, no_docs):

@@ -36,7 +36,7 @@ START, END = np.uint64(0), np.uint64(1)
 SLICE = 5 << 20
 # A partition holds the pairs of about so many bytes of text and is worked on in SUB pieces.
 PART_BYTES, LEAST_PARTS, SUB = 48 << 20, 8, 16
-# Contexts and pairs never seen that a task holds before it packs them for other partitions.
+# Pairs never seen that a task holds before it packs them for other partitions.
 WAITING = 500_000
 
 
@@ -325,16 +325,12 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
         known = (unpack(right["words"][0].as_py(), np.uint64, True), unpack(right["counts"][0].as_py(), np.int64)) if right.num_rows else none
         score, base, whole = np.zeros(len(docs)), np.zeros(len(docs)), np.zeros((K + 2, len(docs)), np.int32)
         seen = np.zeros(K + 1, np.int64)
-        rows, contexts, missed = [], [], []
-
-        def flush():
-            """Packs what the pieces so far have for other partitions."""
-            before, at = np.unique(np.concatenate([x[0] for x in contexts]), return_inverse=True)
-            mass = np.bincount(at, np.concatenate([x[1] for x in contexts]), len(before))
-            many = np.stack([np.bincount(at, np.concatenate([x[2][r] for x in contexts]), len(before)) for r in range(K + 1)]).astype(np.int32)
-            contexts.clear()
-            for q, o in by_part(before, parts):
-                rows.append(("context", q, pack(before[o], True), pack(mass[o]), pack(many[:, o].reshape(-1)), b"", b""))
+        rows, missed = [], []
+        # contexts so far, sorted: their ids, masses and numbers of pairs by count
+        contexts = none[0], np.empty(0), np.empty((K + 1, 0), np.int32)
+
+        def hand_on():
+            """Packs the pairs never seen so far for the partitions of their contexts."""
             v, doc, n = (np.concatenate(x) for x in zip(*missed, strict=True))
             missed.clear()
             for q, o in by_part(v, parts):
@@ -352,14 +348,21 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
             before, at = np.unique(v, return_inverse=True)
             per = lambda x, at=at, m=len(before): np.bincount(at, x, m)
             many = np.stack([*(per(c == r) for r in range(1, K + 1)), per(c > K)]).astype(np.int32)
-            contexts.append((before, per(share(n, facts)), many))
+            ids, where = np.unique(np.concatenate([contexts[0], before]), return_inverse=True)
+            add = lambda old, new, ids=ids, where=where: np.bincount(where, np.concatenate([old, new]), len(ids))
+            mass = add(contexts[1], per(share(n, facts)))
+            contexts = ids, mass, np.stack([add(x, y) for x, y in zip(contexts[2], many, strict=True)]).astype(np.int32)
+            del ids, where, mass, many, add
             if keep_pairs:
                 o = np.lexsort((at, w))
                 heads = np.flatnonzero(np.concatenate([[True], w[o][1:] != w[o][:-1]])) if len(o) else np.empty(0, np.int64)
                 runs = np.diff(heads, append=len(o)).astype(np.int32)
                 rows.append(("pair", p, pack(w[o][heads], True), pack(runs), pack(before, True), pack(at[o].astype(np.int32)), pack(c[o].astype(np.int32))))
-            if j == SUB - 1 or sum(len(x[0]) for x in contexts) + sum(len(x[0]) for x in missed) > WAITING:
-                flush()
+            if j == SUB - 1 or sum(len(x[0]) for x in missed) > WAITING:
+                hand_on()
+        before, mass, many = contexts
+        for q, o in by_part(before, parts):
+            rows.append(("context", q, pack(before[o], True), pack(mass[o]), pack(many[:, o].reshape(-1)), b"", b""))
         rows += doc_rows(docs, [score, base], whole, parts)
         rows.append(("seen", p, pack(seen), b"", b"", b"", b""))
         return pa.Table.from_batches([batch_of(rows, OUT_NAMES, OUT_KINDS)])

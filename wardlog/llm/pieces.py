@@ -402,4 +402,6 @@ def decoded(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                 first, start = ends[stop - 1], stop
 
     schema = tokens.select(*(F.col(f"`{c}`") for c in kept), F.lit("").alias("decoded")).schema
-    return tokens.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    # by number, as mapInArrow cannot look up names with dots
+    numbered = tokens.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
+    return numbered.mapInArrow(run, schema)
