@@ -20,6 +20,7 @@ pair count of 1 to ``K``; these numbers are sent along, so one pass is enough.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -135,6 +136,14 @@ def in_order(columns: list[np.ndarray], pieces: int, words: int, docs: int) -> t
     return code.astype(np.int32), out[2], out[1], out[0]
 
 
+def give_back() -> None:
+    """Returns memory that arrays no longer use to the system, where the C library can: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batch_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -153,7 +162,9 @@ def count_words(texts: DataFrame, parts: int) -> DataFrame:
             if ids:
                 found, n = np.unique(np.concatenate(ids), return_counts=True)
                 rows = [(p, pack(found[o], True), pack(n[o].astype(np.int64))) for p, o in by_part(found, parts)]
+                del ids, found, n
                 yield batch_of(rows, ["p", "words", "counts"], kinds)
+        give_back()
 
     def merge(part):
         import pandas as pd
@@ -263,7 +274,12 @@ def postings(texts: DataFrame, facts: dict, parts: int) -> DataFrame:
                     for whole, one in zip(lists, found, strict=True):
                         whole.append(one)
                 rows.append((p, *lists, pack(known[ahead], True), pack(keys[here]), pack(train[here].astype(np.uint8))))
-            yield batch_of(rows, names, [pa.int32(), *[pa.list_(pa.binary())] * 4, *[pa.binary()] * 3])
+            del known, w, v, doc, ahead, before, here, local
+            batch = batch_of(rows, names, [pa.int32(), *[pa.list_(pa.binary())] * 4, *[pa.binary()] * 3])
+            del rows, lists, found
+            yield batch
+            del batch
+        give_back()
 
     return texts.select("text", "train", "key").mapInArrow(run, POSTINGS)
 
@@ -365,7 +381,11 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
             rows.append(("context", q, pack(before[o], True), pack(mass[o]), pack(many[:, o].reshape(-1)), b"", b""))
         rows += doc_rows(docs, [score, base], whole, parts)
         rows.append(("seen", p, pack(seen), b"", b"", b"", b""))
-        return pa.Table.from_batches([batch_of(rows, OUT_NAMES, OUT_KINDS)])
+        del lists, names, docs, train, known, score, base, whole, contexts, before, mass, many
+        out = pa.Table.from_batches([batch_of(rows, OUT_NAMES, OUT_KINDS)])
+        rows.clear()
+        give_back()
+        return out
 
     return found.groupBy("p").cogroup(table.groupBy("p")).applyInArrow(merge, OUT)
 
