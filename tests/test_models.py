@@ -11,7 +11,7 @@ from wardlog.ml.models import ModelBundle, fit_anomaly, fit_bundle, reconstructi
 from wardlog.ml.scaling import fit_scaler
 from wardlog.ml.scoring import STATUS_COLUMNS, explanation_rows, median_with_zeros
 from wardlog.ml.slots import sparse
-from wardlog.ml.tree import importance_table, node_table
+from wardlog.ml.tree import fit_tree, importance_table, node_table, route
 from wardlog.operators.ordering import with_split
 from wardlog.operators.profiles import united
 from wardlog.plans.extraction import attack_rows, normal_rows
@@ -46,7 +46,7 @@ def test_models_beat_the_majority(data):
 
 def test_node_table_is_a_tree(data, bundle, spark):
     nodes = node_table(bundle.tree, bundle.features.names, bundle.labels, spark).collect()
-    assert len(nodes) == bundle.tree.numNodes
+    assert len(nodes) == len(bundle.tree.numbered()) > 3
     by_id = {str(n.node_num): n for n in nodes}
     assert [n.node_num for n in nodes if n.node_from == "-"] == [0]
     for n in nodes:
@@ -168,6 +168,52 @@ def test_explanations_are_sorted_and_centred(data, bundle):
         assert any(got.keys() == w.keys() and all(got[k] == pytest.approx(w[k], abs=1e-12) for k in w) for w in wanted)
 
 
+def gini_tree(x, y, depth):
+    """Best splits by brute force: (feature, threshold, left, right) or the class counts."""
+    counts = [int((y == c).sum()) for c in range(3)]
+    whole = len(y) - sum(c * c for c in counts) / len(y)
+    best = None
+    for f in range(x.shape[1]) if depth else ():
+        values = np.unique(x[:, f])
+        for low, high in zip(values, values[1:]):
+            total = 0
+            for side in (x[:, f] <= low, x[:, f] > low):
+                total += side.sum() - sum(((y == c) & side).sum() ** 2 for c in range(3)) / side.sum()
+            key = (round(total, 9), f, low, high)
+            if key[0] < round(whole, 9) and (best is None or key < best):
+                best = key
+    if best is None:
+        return counts
+    _, f, low, high = best
+    left = x[:, f] <= low
+    return f, (low + high) / 2, gini_tree(x[left], y[left], depth - 1), gini_tree(x[~left], y[~left], depth - 1)
+
+
+def as_tuple(node):
+    return node.counts if node.left is None else (node.feature, node.threshold, as_tuple(node.left), as_tuple(node.right))
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_splits_are_exact(rows, depth):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(250, 6)), 1) * (rng.random((250, 6)) < 0.5)
+    x[:, 4], x[:, 5] = 3, rng.normal(size=250)
+    y = (x[:, 0] + x[:, 1] > 0.3).astype(int) + (rng.random(250) < 0.2)
+    df = rows([("abc"[c], v.tolist()) for c, v in zip(y, x)], "label string, values array<double>")
+    df = df.withColumns(sparse(F.col("values"))).repartition(6)
+    tree = fit_tree(df, ["a", "b", "c"], depth)
+    assert as_tuple(tree) == gini_tree(x, y, depth) and tree.depth <= depth
+    routed = route(df, tree, ["a", "b", "c"]).groupBy("route").count().collect()
+    leaves = [n for _, _, _, n in tree.numbered() if n.left is None]
+    assert sum(n.rows for n in leaves) == sum(r["count"] for r in routed) == 250
+
+
+def test_tree_of_one_class(rows):
+    df = rows([("a", [1.0, float(i)]) for i in range(5)], "label string, values array<double>").withColumns(sparse(F.col("values")))
+    assert as_tuple(fit_tree(df, ["a"], 3)) == [5]
+    assert as_tuple(fit_tree(df.where("false"), ["a"], 3)) == [0]
+
+
 def test_median_counts_the_zeros(rows):
     lists = [[], [1.0], [-1.0, -2.0, -3.0], [4.0, 1.0, 2.0], [-1.0, 5.0], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]]
     for size in (6, 7):

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from wardlog.catalog.models import KEYS, MODEL_ID, NAMES, VERSION, bundle, labelled_results
+from wardlog.catalog.models import KEYS, MODEL_ID, NAMES, VERSION, agreement, bundle, labelled_results
 from wardlog.catalog.registry import HAS_TEXT, method_sql, query, status_sql
 from wardlog.functions.times import run_window
 from wardlog.ml.scoring import result_rows
@@ -66,6 +66,19 @@ def t03(d):
     return jobs.run_scoring(http_stream(d), scratch(d.spark, "scores"), KEYS, http_counts, merged_http_counts, score)
 
 
+@query("t03_streamed_equals_batch", "SELECT count(*) AS keys, CAST(0 AS BIGINT) AS mismatches FROM (SELECT DISTINCT logtime, src_ip, dst_ip FROM http_log)")
+def t03_batch(d):
+    """Streamed scores against those of the whole log, key by key."""
+    models = bundle(d)
+
+    def score(counts):
+        rows = http_profile_of(counts).renamed(NAMES)
+        return result_rows(labelled_results(d, models.score(rows)), MODEL_ID, VERSION)
+
+    streamed = jobs.run_scoring(http_stream(d), scratch(d.spark, "scores"), KEYS, http_counts, merged_http_counts, score)
+    return agreement(streamed, score(http_counts(d.http_log)).select(*streamed.columns), KEYS)
+
+
 @query(
     "t04_streamed_dictionary",
     """SELECT event_type, 'value' AS "column", CAST(value AS VARCHAR) AS token, count(*) AS cnt

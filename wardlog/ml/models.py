@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import compute as pc
-from pyspark.ml.classification import DecisionTreeClassificationModel, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from wardlog.constants import DISPLAY_NAMES
 from wardlog.functions.vectors import total
 from wardlog.ml.scaling import Scaler, box_threshold, fit_scaler
 from wardlog.ml.slots import Slots, as_vectors, fit_slots, product
-from wardlog.ml.tree import class_names, fit_tree, route
+from wardlog.ml.tree import Node, class_names, fit_tree, load_tree, route, save_tree
 from wardlog.operators.ordering import hash_slot
 from wardlog.operators.profiles import Profiles
 from wardlog.session import scratch
@@ -41,12 +41,13 @@ class Linear:
     accuracy: float
 
 
-def fit_specialist(df: DataFrame, attack: str, max_iter: int = 20) -> Linear:
+def fit_specialist(df: DataFrame, attack: str, max_iter: int = 20, penalty: float = 1e-4, tolerance: float = 1e-6) -> Linear:
+    """A logistic classifier of one attack against normal rows, from the vectors ``features``."""
     rows = df.where(F.col("label").isin(attack, "normal"))
     rows = rows.withColumn("target", (F.col("label") == attack).cast("double"))
     model = LogisticRegression(
-        featuresCol="features", labelCol="target", maxIter=max_iter, regParam=1e-4,
-        standardization=False,
+        featuresCol="features", labelCol="target", maxIter=max_iter, regParam=penalty,
+        standardization=False, tol=tolerance,
     ).fit(rows)
     return Linear(
         [float(x) for x in model.coefficients.toArray()],
@@ -166,7 +167,7 @@ class ModelBundle:
     labels: list[str]
     features: Slots
     scaler: Scaler
-    tree: DecisionTreeClassificationModel
+    tree: Node
     specialists: dict[str, Linear]
     anomaly: Anomaly | None
     threshold: float
@@ -192,7 +193,7 @@ class ModelBundle:
         path = f"{root}/model_ver={self.version}"
         self.features.save(spark, f"{path}/features")
         self.scaler.save(spark, f"{path}/scaler")
-        self.tree.write().overwrite().save(f"{path}/tree")
+        save_tree(spark, self.tree, f"{path}/tree")
         meta = {
             "labels": self.labels,
             "threshold": self.threshold,
@@ -213,7 +214,7 @@ class ModelBundle:
             meta["labels"],
             Slots.load(spark, f"{path}/features"),
             Scaler.load(spark, f"{path}/scaler"),
-            DecisionTreeClassificationModel.load(f"{path}/tree"),
+            load_tree(spark, f"{path}/tree"),
             {n: Linear(**m) for n, m in meta["specialists"].items()},
             None if meta["anomaly"] is None else Anomaly(**meta["anomaly"]),
             meta["threshold"],
