@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from wardlog.catalog.registry import query
 from wardlog.constants import CREDENTIAL_TERMS, INJECTION_TERMS, SCANNER_TERMS, XSS_TAG
 from wardlog.operators import predicates as P
-from wardlog.operators.joins import keep_listed, members_of_windows
+from wardlog.operators.joins import keep_listed
+from wardlog.operators.windows import by_window
 
 DAY = "2024-01-10"
 EXCLUDED = [
@@ -145,10 +146,10 @@ def p16(d):
                      AND l.end_time <= f.end_time GROUP BY 1, 2""",
 )
 def p17(d):
-    rows = members_of_windows(d.dns_log, d.feedback)
-    return rows.groupBy("src_ip", F.col("window_start").alias("start_time")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    count = lambda rows, keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    add = lambda parts, keys: parts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    rows = by_window(d.dns_log, d.feedback, count, add)
+    return rows.select("src_ip", F.col("window_start").alias("start_time"), "n")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlog.catalog.filters import ATTEMPT
 from wardlog.catalog.registry import clock_sql, query, ratio
+from wardlog.functions.times import day_number
 from wardlog.functions.vectors import class_c
 from wardlog.operators.joins import (
     any_match,
@@ -13,14 +14,17 @@ from wardlog.operators.joins import (
     flag_listed,
     in_either,
     keep_listed,
-    members_of_windows,
+    members_of_stored_days,
     share_of_total,
     with_one_row,
 )
 from wardlog.operators.predicates import attempt_or_vulnerability, reviewed
+from wardlog.operators.windows import by_window
 from wardlog.plans.detectors import alerted
 from wardlog.plans.dns import clock_ratios
 from wardlog.plans.logins import enriched, outcome_counts
+from wardlog.session import scratch
+from wardlog.sources.sinks import write_by_day
 
 OUTCOME_SQL = ", ".join(
     f"count(*) FILTER (WHERE service_code = '{c}' AND result = {r}) AS {c}_{r}"
@@ -173,18 +177,62 @@ def j07(d):
 )
 def j08(d):
     verdicts = d.feedback.where(reviewed(30))
-    rows = members_of_windows(d.http_log, verdicts)
-    keys = ["src_ip", "window_start", "window_end"]
-    sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cnt"), F.max("end_time").alias("last"),
-        F.avg((F.col("http_method") == "GET").cast("double")).alias("get_share"),
-    )
     named = verdicts.withColumnsRenamed({"start_time": "window_start", "end_time": "window_end"})
-    return named.join(sums, keys).select(
-        "feedback_id", "feedback", "cnt", F.col("last").alias("end_time"), "get_share"
+    sums = by_window(d.http_log, verdicts, _requests, _added_requests)
+    share = (F.col("gets") / F.col("cnt")).alias("get_share")
+    return named.join(sums, ["src_ip", "window_start", "window_end"]).select(
+        "feedback_id", "feedback", "cnt", F.col("last").alias("end_time"), share
+    )
+
+
+def _requests(rows, keys):
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("cnt"), F.max("end_time").alias("last"),
+        F.count_if(F.col("http_method") == "GET").alias("gets"),
     )
 
 
+def _added_requests(parts, keys):
+    return parts.groupBy(*keys).agg(F.sum("cnt").alias("cnt"), F.max("last").alias("last"), F.sum("gets").alias("gets"))
+
+
+@query(
+    "j08_long_windows",
+    f"""SELECT w.src_ip, w.start_time, w.end_time, count(*) AS cnt, max(l.end_time) AS last,
+               count(*) FILTER (WHERE http_method = 'GET') AS gets
+        FROM (SELECT DISTINCT src_ip, start_time - INTERVAL 100 HOUR AS start_time, end_time + to_minutes(CAST(result AS INT) * 700) AS end_time
+              FROM feedback) w
+        JOIN http_log l ON l.src_ip = w.src_ip AND l.logtime >= w.start_time AND l.end_time <= w.end_time GROUP BY 1, 2, 3""",
+)
+def j08_long(d):
+    """Windows of many days that overlap each other."""
+    start = F.col("start_time") - F.expr("interval 100 hours")
+    end = F.col("end_time") + F.expr("make_dt_interval(0, 0, cast(result as int) * 700)")
+    windows = d.feedback.withColumns({"start_time": start, "end_time": end})
+    out = by_window(d.http_log, windows, _requests, _added_requests)
+    return out.withColumnsRenamed({"window_start": "start_time", "window_end": "end_time"})
+
+
+@query(
+    "j08_stored_days",
+    """SELECT f.feedback_id, count(*) AS cnt, max(l.end_time) AS end_time
+       FROM feedback f JOIN http_log l ON l.src_ip = f.src_ip AND l.logtime >= f.start_time AND l.end_time <= f.end_time
+       WHERE f.feedback <> -1 AND f.result = 5 AND f.start_time = (SELECT max(start_time) FROM feedback WHERE feedback <> -1 AND result = 5)
+       GROUP BY 1""",
+)
+def j08_days(d):
+    """Members of the latest window in a log stored by day: only its days are read."""
+    path = scratch(d.spark, "days")
+    rows = d.http_log.select("event_id", "src_ip", "logtime", "end_time", day_number(F.col("logtime")).alias("logdate"))
+    write_by_day(rows, path)
+    reviewed_ = d.feedback.where("feedback <> -1 AND result = 5")
+    last = reviewed_.where(F.col("start_time") == reviewed_.agg(F.max("start_time")).scalar())
+    members = members_of_stored_days(d.spark.read.parquet(path), last)
+    counts = members.groupBy("src_ip", "window_start", "window_end").agg(F.count(F.lit(1)).alias("cnt"), F.max("end_time").alias("last"))
+    named = last.withColumnsRenamed({"start_time": "window_start", "end_time": "window_end"})
+    return named.join(counts, ["src_ip", "window_start", "window_end"]).select("feedback_id", "cnt", F.col("last").alias("end_time"))
+
+
 @query(
     "j09_share_of_all",
     """SELECT dns_query, count(*) AS n,

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.functions.times import start_of
+from wardlog.functions.times import day_number, start_of
 
 
 def _keys(listed: DataFrame, list_key: str, key: str) -> DataFrame:
@@ -93,6 +93,18 @@ def members_of_windows(
     )
 
 
+def members_of_stored_days(log: DataFrame, windows: DataFrame, day: str = "logdate", key: str = "src_ip", **columns) -> DataFrame:
+    """Members of windows in a log stored in folders by ``day`` (yyyyMMdd of the row's start).
+
+    The windows' days are joined to the folder column, so that Spark prunes the folders by
+    the days it finds while the query runs.
+    """
+    one = F.expr("interval 1 day")
+    days = F.explode(F.sequence(start_of("day", F.col("start_time")), start_of("day", F.col("end_time")), one))
+    asked = windows.where("start_time <= end_time").select(days.alias("_start")).select(day_number(F.col("_start")).alias(day)).distinct()
+    return members_of_windows(log.join(asked, day, "left_semi"), windows, key, **columns)
+
+
 def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Adds the columns of a one-row frame to every row; NULLs where it has no row.
 

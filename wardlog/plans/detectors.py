@@ -14,8 +14,9 @@ from wardlog.operators.joins import drop_listed, keep_listed
 from wardlog.operators.profiles import (
     Profiles,
     Texts,
-    cleaned_texts,
+    counted,
     entropy,
+    from_counts,
     kinds,
     mean_bytes,
     method_ratios,
@@ -85,25 +86,36 @@ def traffic_numbers(
     return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
 
 
+URL_TEXTS = ("http_host", "http_path", "http_query")
+
+
+def traffic_counts(rows: DataFrame, keys: Sequence[str], bytes_too: bool = True, texts: Sequence[str] = URL_TEXTS) -> DataFrame:
+    """Methods, status codes and cleaned texts, counted per key, with ends, bytes and packets."""
+    values = {c: F.col(c) for c in ("http_method", "http_retcode")}
+    values |= {c: text.url_chars(F.col(c)) for c in texts}
+    whole = {"end_time": F.max("end_time"), "cnt": F.count(F.lit(1)), **(traffic_moments() if bytes_too else {})}
+    return counted(rows, keys, values, whole)
+
+
+def traffic_profile_of(
+    counts: DataFrame, keys: Sequence[str], bytes_too: bool = True, missing: str = "", texts: Sequence[str] = URL_TEXTS
+) -> Profiles:
+    folds = {**method_shares(), **status_shares(missing=missing)}
+    whole = ["end_time", "cnt", *(traffic_moments() if bytes_too else {})]
+    return from_counts(counts, keys, {c: False for c in texts}, folds, whole)
+
+
 def traffic_profile(
     rows: DataFrame,
     keys: Sequence[str] = HOUR_KEYS,
     bytes_too: bool = True,
     missing: str = "",
-    texts: Sequence[str] = ("http_host", "http_path", "http_query"),
+    texts: Sequence[str] = URL_TEXTS,
     keep: Column | None = None,
 ) -> Profiles:
     """Traffic profile with every cleaned host, path and query text."""
-    whole = {"end_time": F.max("end_time"), "cnt": F.count(F.lit(1)), **(traffic_moments() if bytes_too else {})}
-    return profile(
-        rows,
-        keys,
-        cleaned_texts({c: c for c in texts}, text.url_chars, distinct=False),
-        {**method_shares(), **status_shares(missing=missing)},
-        {c: F.col(c) for c in ("http_method", "http_retcode")},
-        whole,
-        keep,
-    )
+    out = traffic_profile_of(traffic_counts(rows, keys, bytes_too, texts), keys, bytes_too, missing, texts)
+    return out if keep is None else out.with_measures(lambda m: m.where(keep))
 
 
 def signature_rules() -> dict[int, Column]:
@@ -201,7 +213,7 @@ def alert_detector(
     codes: Sequence[int] = (1, 2, 3, 4, 5, 6),
     least: int = 10,
     offsets: Mapping[int, int] = ALERT_OFFSETS,
-    texts: Sequence[str] = ("http_host", "http_path", "http_query"),
+    texts: Sequence[str] = URL_TEXTS,
 ) -> Profiles:
     """Hourly traffic profiles of alerted addresses, one row per code that names the address.
 

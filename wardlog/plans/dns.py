@@ -14,9 +14,9 @@ from wardlog.operators.joins import flag_listed, with_one_row
 from wardlog.operators.profiles import (
     VALUE,
     Profiles,
-    cleaned_texts,
+    counted,
+    from_counts,
     hour_ratios,
-    profile,
     share_of,
     times,
     value_spread,
@@ -61,14 +61,24 @@ def dns_folds(clock: bool = True) -> dict[str, Column]:
     return out
 
 
-def dns_profile(
-    log: DataFrame, domains: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("lgtime", "src_ip"), clock: bool = True
-) -> Profiles:
+DNS_TEXTS = ("dns_query", "dns_answer")
+
+
+def dns_counts(log: DataFrame, domains: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Clock, intel flags and cleaned query and answer texts, counted per key."""
+    rows = with_intel(log, domains, ranges)
+    values = {CLOCK_AND_INTEL: clock_and_intel(), **{c: url_chars(F.col(c)) for c in DNS_TEXTS}}
+    return counted(rows, keys, values, {"end_time": F.max("end_time")})
+
+
+def dns_profile_of(counts: DataFrame, keys: Sequence[str], clock: bool = True) -> Profiles:
+    return from_counts(counts, keys, {c: False for c in DNS_TEXTS}, dns_folds(clock), ["end_time"])
+
+
+def dns_profile(log: DataFrame, domains: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("lgtime", "src_ip")) -> Profiles:
     """Per (hour, address): counts, clock shares, intel hit rates, query and answer texts."""
-    rows = with_intel(log, domains, ranges).withColumn("lgtime", start_of("hour", F.col("logtime")))
-    texts = cleaned_texts({c: c for c in ("dns_query", "dns_answer")}, url_chars, distinct=False)
-    values = {CLOCK_AND_INTEL: clock_and_intel()}
-    return profile(rows, list(keys), texts, dns_folds(clock), values, {"end_time": F.max("end_time")})
+    rows = log.withColumn("lgtime", start_of("hour", F.col("logtime")))
+    return dns_profile_of(dns_counts(rows, domains, ranges, list(keys)), list(keys))
 
 
 def rareness(log: DataFrame, wanted: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

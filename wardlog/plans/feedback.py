@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from wardlog.functions.times import start_of
 from wardlog.ml.likeness import unlike
 from wardlog.ml.slots import fit_slots, sparse
-from wardlog.operators.joins import any_match, members_of_windows
+from wardlog.operators.joins import any_match
 from wardlog.operators.predicates import reviewed
 from wardlog.operators.profiles import Profiles
-from wardlog.plans.detectors import traffic_numbers, traffic_profile
-from wardlog.plans.dns import CLOCK, clock_ratios, dns_profile
+from wardlog.operators.windows import by_window_hour
+from wardlog.plans.detectors import traffic_counts, traffic_numbers, traffic_profile_of
+from wardlog.plans.dns import CLOCK, clock_ratios, dns_counts, dns_profile_of
 
 WINDOW = ["src_ip", "window_start", "window_end"]
 
@@ -38,20 +39,20 @@ def _labelled(profiles: Profiles, feedback: DataFrame) -> Profiles:
     return Profiles(("feedback_id", "lgtime", "src_ip"), _label(profiles.measures, feedback), texts, profiles.columns)
 
 
-def _window_rows(log: DataFrame, verdicts: DataFrame) -> DataFrame:
-    return members_of_windows(log, verdicts).withColumn("lgtime", start_of("hour", F.col("logtime")))
-
-
 def http_feedback(log, feedback, model_id: int) -> Profiles:
-    """Hourly traffic profile of each reviewed window, with its verdict."""
+    """Hourly traffic profile of each reviewed window, with its verdict.
+
+    An hour that lies in several windows is counted once for all of them.
+    """
     verdicts = feedback.where(reviewed(model_id))
-    return _labelled(traffic_profile(_window_rows(log, verdicts), [*WINDOW, "lgtime"]), verdicts)
+    counts = by_window_hour(log, verdicts, traffic_counts)
+    return _labelled(traffic_profile_of(counts, [*WINDOW, "lgtime"]), verdicts)
 
 
 def light_feedback(log, feedback, model_id: int) -> DataFrame:
     """The same without bytes and texts."""
     verdicts = feedback.where(reviewed(model_id))
-    return _label(traffic_numbers(_window_rows(log, verdicts), [*WINDOW, "lgtime"], bytes_too=False), verdicts)
+    return _label(by_window_hour(log, verdicts, lambda rows, keys: traffic_numbers(rows, keys, bytes_too=False)), verdicts)
 
 
 def dns_feedback(log, feedback, domains, ranges, model_id: int) -> Profiles:
@@ -61,8 +62,8 @@ def dns_feedback(log, feedback, domains, ranges, model_id: int) -> Profiles:
     is the window's end.
     """
     verdicts = feedback.where(reviewed(model_id))
-    rows = members_of_windows(log, verdicts)
-    out = dns_profile(rows, domains, ranges, [*WINDOW, "lgtime"], clock=False)
+    counts = by_window_hour(log, verdicts, lambda rows, keys: dns_counts(rows, domains, ranges, keys))
+    out = dns_profile_of(counts, [*WINDOW, "lgtime"], clock=False)
     asked = verdicts.select("src_ip", F.col("start_time").alias("lgtime")).distinct()
     hours = (
         log.withColumn("lgtime", start_of("hour", F.col("logtime")))
