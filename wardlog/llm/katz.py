@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +145,31 @@ def give_back() -> None:
         trim(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Rows go to Python tasks a few at a time: here one row may hold a megabyte, and Spark keeps a whole batch twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def gathered(batches, limit: int):
+    """Small batches put together to about ``limit`` bytes."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def batch_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -236,7 +262,7 @@ def postings(texts: DataFrame, facts: dict, parts: int) -> DataFrame:
     names = ["p", "words", "runs", "before", "doc", "names", "docs", "train"]
 
     def run(batches):
-        for part in text_slices(batches, SLICE):
+        for part in text_slices(gathered(batches, SLICE), SLICE):
             ids = [token_ids(t) for t in part["text"].to_pylist()]
             keys = part["key"].to_numpy().view(np.uint64)
             train = part["train"].to_numpy(zero_copy_only=False)
@@ -298,9 +324,9 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
 
     total = facts["tokens"] + 0.1 * (facts["size"] + 1)
 
-    def piece(lists, names, ahead, docs, train, j, known):
+    def piece(lists, at, names, ahead, docs, train, j, known):
         """Sums by document of one piece, and its pairs."""
-        get = lambda c, i, *kind: unpack(lists[c][i * SUB + j].as_py(), *kind)
+        get = lambda c, i, *kind: unpack(lists[c][at[i][0]][at[i][1] * SUB + j].as_py(), *kind)
         each_row = range(len(names))
         w = np.concatenate([np.repeat(get("words", i, np.uint64, True), get("runs", i, np.int32)) for i in each_row])
         v = np.concatenate([names[i][get("before", i, np.int32)] for i in each_row])
@@ -332,7 +358,8 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
             return pa.Table.from_batches([batch_of([], OUT_NAMES, OUT_KINDS)])
         p = left["p"][0].as_py()
         # the lists stay in Arrow's memory; each piece is unpacked when its turn comes
-        lists = {c: left[c].combine_chunks().flatten() for c in ("words", "runs", "before", "doc")}
+        lists = {c: [chunk.flatten() for chunk in left[c].chunks] for c in ("words", "runs", "before", "doc")}
+        at = [(k, i) for k, chunk in enumerate(left["p"].chunks) for i in range(len(chunk))]
         names = [unpack(b.as_py(), np.uint64, True) for b in left["names"]]
         docs = [unpack(b.as_py(), np.uint64) for b in left["docs"]]
         ahead = np.cumsum([0, *map(len, docs)])[:-1]
@@ -355,14 +382,14 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
                 rows.append(("unseen", q, pack(v[o], True), pack(local.astype(np.int32)), pack(docs[here]), pack(np.log10(share(n[o], facts))), b""))
 
         for j in range(SUB):
-            one, two, three, (w, v, c, n), miss = piece(lists, names, ahead, docs, train, j, known)
+            one, two, three, (w, v, c, n), miss = piece(lists, at, names, ahead, docs, train, j, known)
             score += one
             base += two
             whole += three
             missed.append(miss)
             seen += [int((c == r).sum()) for r in range(1, K + 2)]
-            before, at = np.unique(v, return_inverse=True)
-            per = lambda x, at=at, m=len(before): np.bincount(at, x, m)
+            before, of = np.unique(v, return_inverse=True)
+            per = lambda x, of=of, m=len(before): np.bincount(of, x, m)
             many = np.stack([*(per(c == r) for r in range(1, K + 1)), per(c > K)]).astype(np.int32)
             ids, where = np.unique(np.concatenate([contexts[0], before]), return_inverse=True)
             add = lambda old, new, ids=ids, where=where: np.bincount(where, np.concatenate([old, new]), len(ids))
@@ -370,10 +397,10 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
             contexts = ids, mass, np.stack([add(x, y) for x, y in zip(contexts[2], many, strict=True)]).astype(np.int32)
             del ids, where, mass, many, add
             if keep_pairs:
-                o = np.lexsort((at, w))
+                o = np.lexsort((of, w))
                 heads = np.flatnonzero(np.concatenate([[True], w[o][1:] != w[o][:-1]])) if len(o) else np.empty(0, np.int64)
                 runs = np.diff(heads, append=len(o)).astype(np.int32)
-                rows.append(("pair", p, pack(w[o][heads], True), pack(runs), pack(before, True), pack(at[o].astype(np.int32)), pack(c[o].astype(np.int32))))
+                rows.append(("pair", p, pack(w[o][heads], True), pack(runs), pack(before, True), pack(of[o].astype(np.int32)), pack(c[o].astype(np.int32))))
             if j == SUB - 1 or sum(len(x[0]) for x in missed) > WAITING:
                 hand_on()
         before, mass, many = contexts
@@ -473,7 +500,8 @@ class KatzModel:
         facts["texts"] = self.rows.where("not held_out").count()
         self.facts, self.parts = facts, parts
         path = scratch(spark, "pairs")
-        count_pairs(postings(texts, facts, parts), self.words, facts, parts).write.partitionBy("kind").parquet(path)
+        with small_batches(spark, 16):
+            count_pairs(postings(texts, facts, parts), self.words, facts, parts).write.partitionBy("kind").parquet(path)
         drop_shuffles(spark)
         read = lambda: spark.read.schema(OUT).parquet(path)
         seen = {r: 0 for r in range(1, K + 2)}
