@@ -29,6 +29,7 @@ from wardlog.plans.detectors import (
     traffic_profile,
 )
 from wardlog.plans.dns import (
+    CLOCK,
     dns_profile,
     group_profile,
     hit_rates,
@@ -413,19 +414,21 @@ def _round_group(df):
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+GROUP_DIGITS = {
+    "cnt": 6, **{c: 9 for c in CLOCK}, "dns_query_ent": 6, "rareness": 9, "global_osint": 6, "global_range": 6,
+}
+
+
 @query(
     "a31_mean_of_batches",
-    f"SELECT round(avg(cnt), 6) AS cnt, round(avg(rareness), 9) AS rareness, "
-    f"round(avg(dns_query_ent), 6) AS dns_query_ent, round(avg(hour_0), 9) AS hour_0, "
-    f"round(avg(global_osint), 6) AS global_osint FROM ("
+    "SELECT " + ", ".join(f"round(avg({c}), {n}) AS {c}" for c, n in GROUP_DIGITS.items()) + " FROM ("
     + GROUP_SQL.format(key="right(src_ip, 1)", name="batch", where="true") + ")",
 )
 def a31(d):
     log = d.dns_log.withColumn("batch", F.right("src_ip", F.lit(1)))
     per_batch = group_profile(d.dns_log, log, d.osint, d.range_intel, ["batch"])
     out = mean_group_profile(per_batch, ["batch"])
-    digits = {"cnt": 6, "rareness": 9, "dns_query_ent": 6, "hour_0": 9, "global_osint": 6}
-    return out.select(*[F.round(c, n).alias(c) for c, n in digits.items()])
+    return out.select(*[F.round(c, n).alias(c) for c, n in GROUP_DIGITS.items()])
 
 
 @query("a32_label_counts", "SELECT hash AS label, count(*) AS n FROM http_log GROUP BY 1")

@@ -10,6 +10,7 @@ from wardlog.constants import SQL_KEYWORDS, STOP_WORDS, VOCABULARY_CAPS
 from wardlog.functions.text import n_grams, words
 from wardlog.functions.vectors import pad
 from wardlog.ml.corpus import keyword_subsets, payload_texts
+from wardlog.ml.likeness import unlike
 from wardlog.ml.models import binary_set, fit_anomaly, projection
 from wardlog.ml.rarity import (
     grouped_text_rarity,
@@ -215,6 +216,50 @@ def m07(d):
     )
 
 
+SLOT_SIZE = 40
+
+
+@query(
+    "m07_padded_text_slots",
+    f"""WITH w AS (SELECT * FROM {weights_sql(SLOT_ROWS, 'logtime, src_ip', 'queries', 32)})
+        SELECT r.logtime, r.src_ip, {SLOT_SIZE} AS size, CAST(count(w.weight) AS BIGINT) AS used,
+               round(coalesce(sum(w.weight), 0), 6) AS total, round(coalesce(max(w.weight), 0), 6) AS highest
+        FROM {SLOT_ROWS} r LEFT JOIN w ON w.logtime = r.logtime AND w.src_ip = r.src_ip GROUP BY 1, 2""",
+)
+def m07_texts(d):
+    """A text column's weights in a slot of fixed size, zeros behind them."""
+    sets = {"queries": Texts(F.col("http_query"))}
+    rows = profile(d.http_log, ["logtime", "src_ip"], sets).stored()
+    slots = fit_slots(rows, [], {"queries": 32})
+    out = slots.transform(rows).select("logtime", "src_ip", slots.padded("queries", SLOT_SIZE).alias("slot"))
+    total = F.aggregate("slot", F.lit(0.0), lambda a, x: a + x)
+    return out.select(
+        "logtime", "src_ip", F.size("slot").alias("size"), F.size(F.filter("slot", lambda x: x != 0)).cast("bigint").alias("used"),
+        F.round(total, 6).alias("total"), F.round(F.array_max("slot"), 6).alias("highest"),
+    )
+
+
+# Alternate sources, so that feedback and samples are profiles of different keys.
+FEEDBACK_TEXTS = weights_sql(SLOT_ROWS, "logtime, src_ip", "queries", 32)
+
+
+@query(
+    "m08_unlike_feedback_texts",
+    f"""WITH w AS (SELECT * FROM {FEEDBACK_TEXTS}),
+        k AS (SELECT DISTINCT logtime, src_ip, hour(logtime) % 6 = 0 AS verdict FROM {SLOT_ROWS}),
+        like_one AS (SELECT DISTINCT s.logtime, s.src_ip FROM w s JOIN w v ON v.feature = s.feature
+                     WHERE hour(s.logtime) % 6 <> 0 AND hour(v.logtime) % 6 = 0
+                     GROUP BY s.logtime, s.src_ip, v.logtime, v.src_ip HAVING round(sum(s.weight * v.weight), 6) >= 0.8)
+        SELECT logtime, src_ip FROM k WHERE NOT verdict AND (logtime, src_ip) NOT IN (SELECT (logtime, src_ip) FROM like_one)""",
+)
+def m08_texts(d):
+    """Keys whose queries are unlike those of all keys of every sixth hour, by cosine of their text slots."""
+    rows = profile(d.http_log, ["logtime", "src_ip"], {"queries": Texts(F.col("http_query"))}).stored()
+    slots = fit_slots(rows, [], {"queries": 32}).transform(rows)
+    sixth = F.hour("logtime") % 6 == 0
+    return unlike(slots.where(~sixth), slots.where(sixth), 0.8 - 5e-7).select("logtime", "src_ip")
+
+
 @query(
     "m08_unlike_feedback",
     """SELECT s.vec_id FROM samples s WHERE NOT EXISTS (

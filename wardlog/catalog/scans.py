@@ -86,11 +86,12 @@ def s03(d):
          SELECT *, CASE hash WHEN 'BEACONING' THEN 'file_download'
                    WHEN 'SQL_INJECTION' THEN 'injection' WHEN 'CREDENTIAL' THEN 'credential'
                    WHEN 'XSS' THEN 'xss' END AS label FROM http_log)
-       WHERE label IS NOT NULL AND NOT (http_host = '' AND http_agent = '' AND http_query = '')""",
+       WHERE label IS NOT NULL AND NOT (http_host = '' AND http_agent = '' AND http_query = '')
+       QUALIFY row_number() OVER (PARTITION BY label ORDER BY logtime, src_ip, dst_ip, event_id) <= 40""",
 )
 def s04(d):
     rows = labelled(d.http_log.where(has_text()), "hash", LABELS)
-    rows = cap_per_class(rows, "label", ["logtime", "src_ip", "dst_ip", "event_id"], None)
+    rows = cap_per_class(rows, "label", ["logtime", "src_ip", "dst_ip", "event_id"], 40)
     return rows.select("event_id", "logtime", "src_ip", "dst_ip", "label")
 
 

@@ -112,6 +112,18 @@ class Slots:
         out = out.withColumns({"places": F.col("_entries.place"), "weights": F.col("_entries.w")})
         return out.drop("_entries", "_terms", *lengths)
 
+    def padded(self, column: str, size: int) -> Column:
+        """A text column's slot as ``size`` numbers: its weights in place order, zeros where it has fewer terms."""
+        start = len(self.numbers)
+        for c, terms in self.terms.items():
+            if c == column:
+                found = F.map_from_arrays("places", "weights")
+                places = F.sequence(F.lit(start), F.lit(start + min(size, len(terms)) - 1))
+                have = F.transform(places, lambda p: F.coalesce(F.element_at(found, p), F.lit(0.0)))
+                return F.concat(have, F.array_repeat(F.lit(0.0), max(size - len(terms), 0)))
+            start += len(terms)
+        return F.array_repeat(F.lit(0.0), size)
+
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(json.dumps(vars(self)),)]
         spark.createDataFrame(rows, "slots string").write.mode("overwrite").parquet(path)

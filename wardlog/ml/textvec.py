@@ -31,24 +31,17 @@ def vocabulary(
 ) -> DataFrame:
     """The most frequent terms over the different texts, as (term, cnt, docs).
 
-    Terms are counted per text before the shuffle by term; ties go by term. The
-    outer explode keeps the optimiser from testing each text for words first,
-    which would split it twice.
+    A text's terms are sorted in its row, so that the first of equal ones is known and
+    counts for the document; only sums by term are shuffled, no (text, term) pairs. Ties
+    go by term. The outer explode keeps the optimiser from testing each text for words
+    first, which would split it twice.
     """
     text = F.col(text) if isinstance(text, str) else text
-    tokens = n_grams(words(F.col("text")), low, high)
-    texts = df.select(text.alias("text")).distinct().select(
-        tokens.alias("terms"), F.xxhash64("text").alias("d1"), F.md5("text").alias("d2")
-    )
-    per_text = (
-        texts.select("d1", "d2", F.explode_outer("terms").alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("d1", "d2", "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    counts = per_text.groupBy("term").agg(
-        F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("docs")
-    )
+    found = F.array_sort(n_grams(words(F.col("text")), low, high))
+    texts = df.select(text.alias("text")).distinct().select(found.alias("terms"))
+    first = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (~t.eqNullSafe(F.get("terms", i - 1))).alias("first")))
+    each = texts.select(F.explode_outer(first).alias("t")).where(F.col("t").isNotNull())
+    counts = each.groupBy(F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("cnt"), F.count_if("t.first").alias("docs"))
     return counts.orderBy(F.desc("cnt"), "term").limit(max_features)
 
 
@@ -59,7 +52,8 @@ def term_weights(
 
     Document counts of ``vocab`` are taken as they are; ``key`` is one text row.
     """
-    texts = df.select(text).distinct().agg(F.count(F.lit(1))).scalar()
+    # two hashes stand for a text, so that texts need not be moved to be counted
+    texts = df.select(F.struct(F.xxhash64(text), F.md5(text), F.col(text).isNull()).alias("t")).distinct().agg(F.count(F.lit(1))).scalar()
     tokens = n_grams(words(F.col(text)), low, high)
     # Words outside the vocabulary are dropped before anything is counted or shuffled.
     tf = (
