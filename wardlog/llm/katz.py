@@ -37,7 +37,7 @@ K, DELTA, HOT = 5, 0.01, 1000
 START, END = np.uint64(0), np.uint64(1)
 SLICE = 5 << 20
 # A partition holds the pairs of about so many bytes of text and is worked on in SUB pieces.
-PART_BYTES, LEAST_PARTS, SUB = 48 << 20, 8, 16
+PART_BYTES, LEAST_PARTS, SUB = 48 << 20, 8, 32
 # Pairs never seen that a task holds before it packs them for other partitions.
 WAITING = 500_000
 
@@ -146,15 +146,26 @@ def give_back() -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Rows go to Python tasks a few at a time: here one row may hold a megabyte, and Spark keeps a whole batch twice."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def settings(spark: SparkSession, **values):
+    """Session settings (dots as two underscores) for the jobs run inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def few_large_rows(spark: SparkSession, parts: int):
+    """For rows of up to a megabyte, dealt by partition number.
+
+    They go to Python tasks a few at a time, as Spark keeps a whole batch twice, and so
+    many shuffle partitions are made that hardly two partition numbers share one.
+    """
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=16, spark__sql__adaptive__coalescePartitions__initialPartitionNum=8 * parts)
 
 
 def gathered(batches, limit: int):
@@ -193,15 +204,13 @@ def count_words(texts: DataFrame, parts: int) -> DataFrame:
         give_back()
 
     def merge(part):
-        import pandas as pd
-
-        found, at = np.unique(np.concatenate([unpack(b, np.uint64, True) for b in part["words"]]), return_inverse=True)
+        found, at = np.unique(np.concatenate([unpack(b.as_py(), np.uint64, True) for b in part["words"]]), return_inverse=True)
         n = np.zeros(len(found), np.int64)
-        np.add.at(n, at, np.concatenate([unpack(b, np.int64) for b in part["counts"]]))
-        return pd.DataFrame({"p": [part["p"].iloc[0]], "words": [pack(found, True)], "counts": [pack(n)]})
+        np.add.at(n, at, np.concatenate([unpack(b.as_py(), np.int64) for b in part["counts"]]))
+        return pa.Table.from_batches([batch_of([(part["p"][0].as_py(), pack(found, True), pack(n))], ["p", "words", "counts"], kinds)])
 
     schema = "p int, words binary, counts binary"
-    return texts.select("text", "train").mapInArrow(run, schema).groupBy("p").applyInPandas(merge, schema)
+    return texts.select("text", "train").mapInArrow(run, schema).groupBy("p").applyInArrow(merge, schema)
 
 
 def word_facts(table: DataFrame) -> dict:
@@ -421,36 +430,34 @@ def weigh_contexts(found: DataFrame, table: DataFrame, facts: dict, d: np.ndarra
     """Rows of kind weight (a = contexts, b = alpha) and of kind doc for the pairs never seen."""
 
     def merge(left, right):
-        import pandas as pd
-
-        if not len(left):
-            return pd.DataFrame({c: [] for c in OUT_NAMES})
-        p = int(left["p"].iloc[0])
         rows = []
-        contexts = left[left["kind"] == "context"]
-        ids, alpha, n = np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64)
-        if len(contexts):
-            parts_of = [(unpack(r.a, np.uint64, True), unpack(r.b, np.float64), unpack(r.c, np.int32).reshape(K + 1, -1)) for r in contexts.itertuples()]
-            ids, at = np.unique(np.concatenate([x[0] for x in parts_of]), return_inverse=True)
-            mass = np.bincount(at, np.concatenate([x[1] for x in parts_of]), len(ids))
-            many = np.stack([np.bincount(at, np.concatenate([x[2][r] for x in parts_of]), len(ids)) for r in range(K + 1)])
-            known = (unpack(right["words"].iloc[0], np.uint64, True), unpack(right["counts"].iloc[0], np.int64)) if len(right) else (ids[:0], n)
-            n = place(ids, *known)
-            n[ids == START] = place(np.array([END]), facts["hot"], facts["hot_n"])[0] or facts["texts"]
-            left_over = sum(r * (1 - d[r]) * many[r - 1] for r in range(1, K + 1)) + DELTA * many[K]
-            alpha = left_over / n / np.maximum(1 - mass, 1e-300)
-            rows.append(("weight", p, pack(ids, True), pack(alpha), b"", b"", b""))
-        for r in left[left["kind"] == "unseen"].itertuples():
-            v, local, docs, logs = unpack(r.a, np.uint64, True), unpack(r.b, np.int32), unpack(r.c, np.uint64), unpack(r.d, np.float64)
-            at = np.minimum(np.searchsorted(ids, v), max(len(ids) - 1, 0))
-            hit = (ids[at] == v) if len(ids) else np.zeros(len(v), bool)
-            total = logs.copy()  # after an unknown word: the share of the word
-            # the context's count was taken off with the seen pairs' in count_pairs: put it back
-            total[hit] += np.log10(alpha[at[hit]]) + np.log10(n[at[hit]])
-            rows += doc_rows(docs, [np.bincount(local, total, len(docs)), np.zeros(len(docs))], np.zeros((K + 2, len(docs)), np.int32), parts)
-        return pd.DataFrame(rows, columns=OUT_NAMES)
-
-    return found.groupBy("p").cogroup(table.groupBy("p")).applyInPandas(merge, OUT)
+        if left.num_rows:
+            p, kind = left["p"][0].as_py(), np.array(left["kind"].to_pylist())
+            get = lambda c, i, *how: unpack(left[c][i].as_py(), *how)
+            contexts = np.flatnonzero(kind == "context").tolist()
+            ids, alpha, n = np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64)
+            if contexts:
+                ids, at = np.unique(np.concatenate([get("a", i, np.uint64, True) for i in contexts]), return_inverse=True)
+                mass = np.bincount(at, np.concatenate([get("b", i, np.float64) for i in contexts]), len(ids))
+                many = np.concatenate([get("c", i, np.int32).reshape(K + 1, -1) for i in contexts], axis=1)
+                many = np.stack([np.bincount(at, x, len(ids)) for x in many])
+                known = (unpack(right["words"][0].as_py(), np.uint64, True), unpack(right["counts"][0].as_py(), np.int64)) if right.num_rows else (ids[:0], n)
+                n = place(ids, *known)
+                n[ids == START] = place(np.array([END]), facts["hot"], facts["hot_n"])[0] or facts["texts"]
+                left_over = sum(r * (1 - d[r]) * many[r - 1] for r in range(1, K + 1)) + DELTA * many[K]
+                alpha = left_over / n / np.maximum(1 - mass, 1e-300)
+                rows.append(("weight", p, pack(ids, True), pack(alpha), b"", b"", b""))
+            for i in np.flatnonzero(kind == "unseen").tolist():
+                v, local, docs, logs = get("a", i, np.uint64, True), get("b", i, np.int32), get("c", i, np.uint64), get("d", i, np.float64)
+                at = np.minimum(np.searchsorted(ids, v), max(len(ids) - 1, 0))
+                hit = (ids[at] == v) if len(ids) else np.zeros(len(v), bool)
+                total = logs.copy()  # after an unknown word: the share of the word
+                # the context's count was taken off with the seen pairs' in count_pairs: put it back
+                total[hit] += np.log10(alpha[at[hit]]) + np.log10(n[at[hit]])
+                rows += doc_rows(docs, [np.bincount(local, total, len(docs)), np.zeros(len(docs))], np.zeros((K + 2, len(docs)), np.int32), parts)
+        return pa.Table.from_batches([batch_of(rows, OUT_NAMES, OUT_KINDS)])
+
+    return found.groupBy("p").cogroup(table.groupBy("p")).applyInArrow(merge, OUT)
 
 
 def document_sums(found: DataFrame, d: np.ndarray, texts: int) -> DataFrame:
@@ -458,18 +465,17 @@ def document_sums(found: DataFrame, d: np.ndarray, texts: int) -> DataFrame:
     names = ["key", "score", "base_score", "n_tokens", "n_known"]
 
     def merge(part):
-        import pandas as pd
-
-        every = [unpack(b, np.uint64, True) for b in part["a"]]
+        every = [unpack(b.as_py(), np.uint64, True) for b in part["a"]]
         keys, at = np.unique(np.concatenate(every), return_inverse=True)
         sums = lambda x: np.bincount(at, np.concatenate(x), len(keys))
-        whole = [unpack(b, np.int32).reshape(K + 2, -1) for b in part["d"]]
+        whole = [unpack(b.as_py(), np.int32).reshape(K + 2, -1) for b in part["d"]]
         counts = np.stack([sums([w[j] for w in whole]) for j in range(K + 2)])
-        score = sums([unpack(b, np.float64) for b in part["b"]]) + np.log10(d[1:]) @ counts[2:]
-        base = sums([unpack(b, np.float64) for b in part["c"]])
-        return pd.DataFrame(dict(zip(names, (keys.view(np.int64), score, base, counts[0].astype(np.int64), counts[1].astype(np.int64)), strict=True)))
+        score = sums([unpack(b.as_py(), np.float64) for b in part["b"]]) + np.log10(d[1:]) @ counts[2:]
+        base = sums([unpack(b.as_py(), np.float64) for b in part["c"]])
+        columns = (keys.view(np.int64), score, base, counts[0].astype(np.int64), counts[1].astype(np.int64))
+        return pa.table(dict(zip(names, map(pa.array, columns), strict=True)))
 
-    return found.groupBy("p").applyInPandas(merge, "key bigint, score double, base_score double, n_tokens bigint, n_known bigint")
+    return found.groupBy("p").applyInArrow(merge, "key bigint, score double, base_score double, n_tokens bigint, n_known bigint")
 
 
 def drop_shuffles(spark: SparkSession) -> None:
@@ -500,7 +506,7 @@ class KatzModel:
         facts["texts"] = self.rows.where("not held_out").count()
         self.facts, self.parts = facts, parts
         path = scratch(spark, "pairs")
-        with small_batches(spark, 16):
+        with few_large_rows(spark, parts):
             count_pairs(postings(texts, facts, parts), self.words, facts, parts).write.partitionBy("kind").parquet(path)
         drop_shuffles(spark)
         read = lambda: spark.read.schema(OUT).parquet(path)
