@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlog.catalog.registry import query
-from wardlog.constants import CREDENTIAL_TERMS, INJECTION_TERMS, SCANNER_TERMS, XSS_TAG
+from wardlog.constants import CREDENTIAL_TERMS, INJECTION_TERMS, SCANNER_TERMS, SIGNATURES, XSS_TAG
 from wardlog.operators import predicates as P
 from wardlog.operators.joins import keep_listed
 from wardlog.operators.windows import by_window
@@ -16,19 +16,10 @@ EXCLUDED = [
     ("http_query", "%page_2%"),
     ("http_host", "m.%"),
 ]
-# The rules in order, as the checking SQL sees them.
-RULES_SQL = [
-    ("http_path", "%cgi-%"), ("http_path", "%.php"), ("http_path", "%..%2f%"),
-    ("http_path", "%..%255c%"), ("http_path", "%..%252f%"), ("http_path", "%php%admin%"),
-    ("http_query", "%..%/%..%/%"), ("http_query", "%etc%passwd%"), ("http_query", "%etc%shadow%"),
-    ("http_query", "%etc%hosts%"), ("http_query", "%etc%shells%"), ("http_query", "%wp-includes%"),
-    ("http_query", "%wp-admin%"), ("http_query", "%wp-content%"), ("http_query", "%ftp://%"),
-    ("http_query", "%.hta%"),
-]
 
 
 def signature_case() -> str:
-    cases = " ".join(f"WHEN lower({c}) LIKE '{p}' THEN '{p}'" for c, p in RULES_SQL)
+    cases = " ".join(f"WHEN lower({c}) LIKE '{p}' THEN '{p}'" for c, p in SIGNATURES)
     return f"CASE {cases} END"
 
 

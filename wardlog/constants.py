@@ -26,26 +26,24 @@ STOP_WORDS = [
     "id", "contents", "writer", "page",
 ]
 
-# LIKE patterns on the lower-cased path and query.
-PATH_SIGNATURES = [
-    "%cgi-%",
-    "%.php",
-    "%..%2f%",
-    "%..%255c%",
-    "%..%252f%",
-    "%php%admin%",
-]
-QUERY_SIGNATURES = [
-    "%..%/%..%/%",
-    "%etc%passwd%",
-    "%etc%shadow%",
-    "%etc%hosts%",
-    "%etc%shells%",
-    "%wp-includes%",
-    "%wp-admin%",
-    "%wp-content%",
-    "%ftp://%",
-    "%.hta%",
+# Fixed values: (column, LIKE pattern on its lower-cased text), in order; the first match counts.
+SIGNATURES = [
+    ("http_path", "%cgi-%"),
+    ("http_path", "%.php"),
+    ("http_path", "%..%2f%"),
+    ("http_path", "%..%255c%"),
+    ("http_path", "%..%252f%"),
+    ("http_path", "%php%admin%"),
+    ("http_query", "%..%/%..%/%"),
+    ("http_query", "%etc%passwd%"),
+    ("http_query", "%etc%shadow%"),
+    ("http_query", "%etc%hosts%"),
+    ("http_query", "%etc%shells%"),
+    ("http_query", "%wp-includes%"),
+    ("http_query", "%wp-admin%"),
+    ("http_query", "%wp-content%"),
+    ("http_query", "%ftp://%"),
+    ("http_query", "%.hta%"),
 ]
 
 # Alternatives of the injection pattern (lower-cased query).

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from wardlog.constants import (
     CREDENTIAL_TERMS,
     INJECTION_TERMS,
-    PATH_SIGNATURES,
-    QUERY_SIGNATURES,
     SCANNER_TERMS,
+    SIGNATURES,
     XSS_TAG,
 )
 from wardlog.functions.text import any_of
@@ -50,10 +49,8 @@ def is_ipv4(c: str | Column = "src_ip") -> Column:
 
 def matched_signature(path: str = "http_path", query: str = "http_query") -> Column:
     """The first signature the path or query matches, NULL where none does."""
-    checks = [(path, p) for p in PATH_SIGNATURES] + [(query, p) for p in QUERY_SIGNATURES]
-    return F.coalesce(
-        *[F.when(F.lower(F.col(c)).like(p), F.lit(p)) for c, p in checks]
-    )
+    columns = {"http_path": path, "http_query": query}
+    return F.coalesce(*[F.when(F.lower(F.col(columns[c])).like(p), F.lit(p)) for c, p in SIGNATURES])
 
 
 def file_probe() -> Column:
