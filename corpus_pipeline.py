@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardlog.llm import boosting, minhash, mixing, packing, pii
+from wardlog.llm.words import own
 from wardlog.session import configure, stored
 
 # Target shares of tokens; documents of the clean domain are all kept, so the mix is
@@ -24,12 +25,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
-    return boosting.keep_good(docs, _labels(spark, sf_dir)).select(*docs.columns)
+    return boosting.keep_good(docs, _labels(spark, sf_dir)).select(*own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with 80 percent of their five-word shingles in common."""
-    return minhash.deduplicate(docs).select(*docs.columns)
+    return minhash.deduplicate(docs).select(*own(docs))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that the tokens of each domain have the shares of ``MIX``."""
     domains = mixing.quality_domains(_labels(spark, sf_dir))
-    return mixing.resampled(docs, domains, MIX, anchor="clean", upper=1.0).select(*docs.columns)
+    return mixing.resampled(docs, domains, MIX, anchor="clean", upper=1.0).select(*own(docs))
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.llm.words import as_bytes, held_out, text_slices
+from wardlog.llm.words import as_bytes, held_out, spare, text_slices
 from wardlog.session import stored
 
 MAX_ROWS, TREES, DEPTH, BINS, RATE, SHRINK, LEAST = 20_000, 80, 4, 64, 0.15, 1.0, 10
@@ -191,5 +191,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """
     id_col = options.get("id_col", "doc_id")
     bad = quality_scores(docs, labels, **options).where("predicted = 0")
-    bad = bad.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = spare(docs, "gone")
+    bad = bad.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(id_col) == F.col(name), "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, LongType
 
 from wardlog.llm.components import components
-from wardlog.llm.words import as_bytes, mix, shingle_set, text_slices, words
+from wardlog.llm.words import as_bytes, mix, shingle_set, spare, text_slices, words
 from wardlog.session import stored
 
 REGISTERS, BANDS, ROWS = 256, 60, 10
@@ -327,7 +327,8 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     found = near_duplicates(docs, **options)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    rows = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = spare(docs, "gone")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    rows = docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
     named = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
     return named.unionByName(rows.where(F.col(id_col).isNull()))

@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlog.llm.words import own, spare
 from wardlog.session import stored
 
 MAX_ROWS, TERMS, LEAST_DOCS, LIFT = 8_000, 96, 3, 4.0
@@ -63,7 +64,8 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: in
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(max_rows)
     rows = rows.select(F.col("doc_id").alias("_id"), "domain")
     # max_rows rows of an id and a short text
-    texts = docs.join(F.broadcast(rows), F.col(id_col) == F.col("_id")).select("domain", terms(F.col(text_col)).alias("terms"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(rows), F.col("_doc") == F.col("_id"))
+    texts = texts.select("domain", terms(F.col("_text")).alias("terms"))
     texts = stored(texts, "lessons")
     size = {r["domain"]: r["count"] for r in texts.groupBy("domain").count().collect()}
     total = sum(size.values())
@@ -262,8 +264,9 @@ def resampled(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float]
     id_col = options.get("id_col", "doc_id")
     drawn = mixed(docs, labelled, weights, **options)
     # rows that share an id are drawn alike, by their largest count
-    other = drawn.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies <> 1 and _id is not null")
-    rows = docs.join(other, F.col(id_col) == F.col("_id"), "left")
-    times = F.coalesce("_copies", F.lit(1))
-    rows = rows.where(times > 0).withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
-    return rows.select(*docs.columns)
+    other = drawn.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies <> 1 and doc_id is not null")
+    one, many, time = (spare(docs, name) for name in ("one", "many", "time"))
+    rows = docs.join(other.select(F.col("doc_id").alias(one), F.col("copies").alias(many)), F.col(id_col) == F.col(one), "left")
+    times = F.coalesce(many, F.lit(1))
+    rows = rows.where(times > 0).withColumn(time, F.explode(F.sequence(F.lit(1), times)))
+    return rows.select(*own(docs))

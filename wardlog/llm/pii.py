@@ -20,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlog.llm.words import spare
 from wardlog.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -281,8 +282,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     text = F.col(text_col)
     weights = fit(stored(docs.select(candidates(text).alias("_found")).where("size(_found) > 0"), "candidates"))
-    found = docs.withColumn("_spans", chosen(candidates(text), weights))
-    by_start = F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    spans, new = spare(docs, "spans"), spare(docs, "new_text")
+    found = docs.withColumn(spans, chosen(candidates(text), weights))
+    by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state, s):
@@ -293,14 +295,14 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     changed = F.aggregate(
         by_start, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
     )
-    found = found.withColumn("_text", F.when(F.size("_spans") > 0, changed))
+    found = found.withColumn(new, F.when(F.size(spans) > 0, changed))
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(F.coalesce("_text", c).alias(c))
+            out.append(F.coalesce(new, c).alias(c))
         elif c == size_col:
             kind = docs.schema[c].dataType
-            out.append(F.coalesce(F.length("_text").cast(kind), F.col(c)).alias(c))
+            out.append(F.coalesce(F.length(new).cast(kind), F.col(c)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col(f"`{c}`"))
     return found.select(*out)

@@ -74,8 +74,9 @@ def shuffled_shards(df: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame
     a task that runs again deals the same rows the same way. Columns named shard or
     slot are replaced.
     """
-    df = df.drop("shard", "slot")
-    tagged = stored(df.withColumn("_row", F.monotonically_increasing_id()), "tagged")
+    # the row in one column, so that its names cannot clash with those needed here
+    rows = df.drop("shard", "slot").select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_row"))
+    tagged = stored(rows, "tagged")
     part = F.shiftright("_row", 33)
     counts = {r[0]: r[1] for r in tagged.groupBy(part.alias("p")).count().collect()}  # a row a partition
     parts = sorted(counts)
@@ -87,9 +88,9 @@ def shuffled_shards(df: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame
     local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(2 * seed + 1), "_row"), "_row")
     dealt = tagged.withColumn("_part", part).withColumn("_at", F.row_number().over(local) - 1)
     dealt = dealt.join(cuts, "_part").withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))))
-    dealt = dealt.select(*df.columns, "_row", "shard")
+    dealt = dealt.select("row", "_row", "shard")
     ranked = gapless_ranks(dealt, "shard", F.xxhash64(F.lit(2 * seed + 2), "_row"), "slot")
-    return ranked.drop("_row")
+    return ranked.select("row.*", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

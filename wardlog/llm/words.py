@@ -75,5 +75,18 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
