@@ -37,7 +37,7 @@ K, DELTA, HOT = 5, 0.01, 1000
 START, END = np.uint64(0), np.uint64(1)
 SLICE = 5 << 20
 # A partition holds the pairs of about so many bytes of text and is worked on in SUB pieces.
-PART_BYTES, LEAST_PARTS, SUB = 48 << 20, 8, 32
+PART_BYTES, LEAST_PARTS, SUB = 48 << 20, 8, 16
 # Pairs never seen that a task holds before it packs them for other partitions.
 WAITING = 500_000
 
@@ -304,7 +304,7 @@ def postings(texts: DataFrame, facts: dict, parts: int) -> DataFrame:
                     starts = np.flatnonzero(np.diff(w[a:b], prepend=-1))
                     found = (
                         pack(known[w[a + starts]], True), pack(np.diff(starts, append=b - a).astype(np.int32)),
-                        pack(before[a - low : b - low]), pack(local[a - low : b - low]),
+                        pack(before[a - low : b - low], True), pack(local[a - low : b - low]),
                     )
                     for whole, one in zip(lists, found, strict=True):
                         whole.append(one)
@@ -338,7 +338,7 @@ def count_pairs(found: DataFrame, table: DataFrame, facts: dict, parts: int, kee
         get = lambda c, i, *kind: unpack(lists[c][at[i][0]][at[i][1] * SUB + j].as_py(), *kind)
         each_row = range(len(names))
         w = np.concatenate([np.repeat(get("words", i, np.uint64, True), get("runs", i, np.int32)) for i in each_row])
-        v = np.concatenate([names[i][get("before", i, np.int32)] for i in each_row])
+        v = np.concatenate([names[i][get("before", i, np.int32, True)] for i in each_row])
         doc = np.concatenate([get("doc", i, np.int32) + np.int32(ahead[i]) for i in each_row])
         key = mix(w * GOLDEN + v)
         order = np.argsort(key).astype(np.int32)
