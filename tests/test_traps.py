@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardlog.functions import text, times, vectors
 from wardlog.ml.rarity import text_rarity, token_counts, value_rarity
 from wardlog.ml.scaling import box_threshold, fit_scaler, mad_threshold, min_max
+from wardlog.ml.slots import sparse
 from wardlog.ml.textvec import fit_text, term_weights, vocabulary
 from wardlog.operators import predicates as P
 from wardlog.operators.joins import any_match, drop_listed, in_either, keep_listed
@@ -160,11 +161,9 @@ def test_vocabulary_counts_different_texts(rows):
 def test_constant_column_scales_to_zero(rows):
     df = rows([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     assert [tuple(r) for r in min_max(df, ["a", "b"]).orderBy("a").collect()] == [(0, 0), (1, 0)]
-    from pyspark.ml.feature import VectorAssembler
-
-    vec = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
-    out = fit_scaler(vec).transform(vec).select("values").collect()
-    assert sorted(r[0] for r in out) == [[0.0, 0.0], [1.0, 0.0]]
+    vec = df.select(F.array("a", "b").alias("values")).withColumns(sparse(F.col("values")))
+    out = fit_scaler(vec, 2).transform(vec).select("places", "weights").collect()
+    assert sorted((tuple(r.places), tuple(r.weights)) for r in out) == [((), ()), ((0,), (1.0,))]
 
 
 def test_box_and_mad_threshold(rows):
