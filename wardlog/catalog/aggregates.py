@@ -16,6 +16,7 @@ from wardlog.catalog.registry import (
     texts_sql,
     traffic_sql,
     url_chars_sql,
+    whole_sql,
 )
 from wardlog.functions.text import agent_keywords, path_keywords, payload_words, query_keywords
 from wardlog.operators import profiles as pf
@@ -41,7 +42,7 @@ from wardlog.plans.logins import RATIOS, login_profile, outcome_counts, service_
 
 WIDE_TIMES = ("2024-01-01 00:00:00", "2024-02-01 00:00:00")
 PROFILE_SQL = f"""max(end_time) AS "end", count(DISTINCT dst_port) AS dst_port_cnt, {status_sql()},
-    {digest_sql(clean_sql('http_agent'), 'agent_')}, {digest_sql(clean_sql('http_query'), 'query_')}"""
+    {whole_sql({'agent_': clean_sql('http_agent'), 'query_': clean_sql('http_query')})}"""
 
 # The same normalisers as the engine's, in the checking engine's dialect.
 PATH_WORDS = "regexp_replace(lower(http_path), '[/.,/-?!@#$%^&/_]', ' ', 'g')"
@@ -79,7 +80,7 @@ def attack_out(profiles):
           AND {HAS_TEXT} GROUP BY 1, 2, 3""",
 )
 def a01(d):
-    return prediction_rows(d.http_log, *WIDE_TIMES).measures
+    return prediction_rows(d.http_log, *WIDE_TIMES).rows
 
 
 @query(

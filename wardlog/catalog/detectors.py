@@ -63,12 +63,12 @@ NORMAL_ROWS = f"""
 
 @query("d01_attack_training_rows", ATTACK_ROWS)
 def d01(d):
-    return attack_rows(d.http_log, d.ip_ast).measures
+    return attack_rows(d.http_log, d.ip_ast).rows
 
 
 @query("d02_normal_training_rows", NORMAL_ROWS)
 def d02(d):
-    return normal_rows(d.http_log, "2024-01-02 00:00:00", "2024-01-25 00:00:00").measures
+    return normal_rows(d.http_log, "2024-01-02 00:00:00", "2024-01-25 00:00:00").rows
 
 
 @query(
@@ -78,7 +78,7 @@ def d02(d):
           AND {HAS_TEXT} GROUP BY 1, 2, 3""",
 )
 def d03(d):
-    return prediction_rows(d.http_log, *WIDE_TIMES).measures
+    return prediction_rows(d.http_log, *WIDE_TIMES).rows
 
 
 @query(
@@ -95,7 +95,7 @@ def d03_texts(d):
 
 @query("d01_d02_training_set", f"{NORMAL_ROWS} UNION ALL {ATTACK_ROWS}")
 def training_set(d):
-    out = training_rows(d.http_log, d.ip_ast, "2024-01-02 00:00:00", "2024-01-25 00:00:00").measures
+    out = training_rows(d.http_log, d.ip_ast, "2024-01-02 00:00:00", "2024-01-25 00:00:00").rows
     first = ("label", "logtime", "src_ip", "dst_ip")
     return out.select(*first, *[c for c in out.columns if c not in first])
 

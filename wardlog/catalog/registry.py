@@ -84,6 +84,17 @@ def digest_sql(c: str, name: str, distinct: bool = True) -> str:
     return f"count({once}{c}) AS {name}_texts, concat_ws(':', {', '.join(sums)}) AS {name}_digest"
 
 
+def joined_sql(c: str, distinct: bool = True) -> str:
+    """All texts of a column, sorted, blanks between."""
+    return f"array_to_string(list_sort(list({'DISTINCT ' if distinct else ''}{c})), ' ')"
+
+
+def whole_sql(columns: dict[str, str], distinct: bool = True) -> str:
+    """Numbers and digests of some text columns, then all their texts."""
+    digests = [digest_sql(c, name, distinct) for name, c in columns.items()]
+    return ", ".join([*digests, *[f"{joined_sql(c, distinct)} AS {name}" for name, c in columns.items()]])
+
+
 def texts_sql(rows: str, keys: str, columns: dict[str, str], distinct: bool = True) -> str:
     """The long table (keys, column, text, n) of some text columns."""
     n = "CAST(1 AS BIGINT)" if distinct else "count(*)"

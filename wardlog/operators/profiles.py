@@ -3,9 +3,10 @@
 A profile with texts is read off one counted table: how often each key has each value
 of each column. Rows are read once and shuffled once, partially counted; a hot key is
 spread over its values. Measures fold the counts to one row per key, whatever the key's
-size. Texts stay a long table (key, column, text, n); nothing ever holds all texts of a
-key. A measures row has the number of its texts and a digest of them, which does not
-depend on their order: keys with equal texts are found by it.
+size. Texts are there twice: as a long table (key, column, text, n), which models read, and
+in ``rows``, the measures with all texts of a key put together in one cell a column. Cells
+nobody selects are not built. A measures row has the number of its texts and a digest of
+them, which does not depend on their order: keys with equal texts are found by it.
 """
 
 from __future__ import annotations
@@ -215,28 +216,45 @@ def digest(name: str, distinct: bool) -> dict[str, Column]:
     }
 
 
+def joined(name: str, distinct: bool) -> Column:
+    """All texts of a key in a column, sorted, blanks between; every copy unless different ones count once.
+
+    What is gathered are different texts with their counts; copies are made in the cell.
+    """
+    here = (F.col(COLUMN) == name) & F.col(VALUE).isNotNull()
+    copies = F.lit(1) if distinct else F.col(TIMES).cast("int")
+    found = F.sort_array(F.collect_list(F.when(here, F.struct(F.col(VALUE).alias("v"), copies.alias("n")))))
+    copied = F.transform(found, lambda e: F.concat(F.repeat(F.concat(e["v"], F.lit(" ")), e["n"] - 1), e["v"]))
+    return F.array_join(copied, " ")
+
+
 @dataclass(frozen=True)
 class Profiles:
-    """Measures, one row per key, and the texts behind them as a long table.
+    """Profile rows, one per key, and the texts behind them as a long table.
 
-    ``texts`` has the keys, ``column``, ``text`` and ``n``: 1 where different texts count
-    once, else how often the key has the text.
+    ``rows`` are the measures and a cell with all texts of the key for each of ``columns``;
+    ``measures`` are the rows without the cells. ``texts`` has the keys, ``column``, ``text``
+    and ``n``: 1 where different texts count once, else how often the key has the text.
     """
 
     keys: tuple[str, ...]
-    measures: DataFrame
+    rows: DataFrame
     texts: DataFrame
     columns: tuple[str, ...]
 
+    @property
+    def measures(self) -> DataFrame:
+        return self.rows.drop(*self.columns)
+
     def stored(self, name: str = "profiles") -> Profiles:
-        """Both tables written once, for callers that read both or read one several times."""
+        """Measures and texts written once, for callers that read both or read one several times; cells are left out."""
         return Profiles(self.keys, stored(self.measures, f"{name}-measures"), stored(self.texts, f"{name}-texts"), self.columns)
 
     def with_measures(self, change) -> Profiles:
-        """The profiles whose measures ``change`` keeps and adds to; texts of other keys go when they are read."""
-        measures = change(self.measures)
-        texts = self.texts.join(measures.select(*self.keys).distinct(), list(self.keys), "left_semi")
-        return Profiles(self.keys, measures, texts, self.columns)
+        """The profiles whose rows ``change`` keeps and adds to; texts of other keys go when they are read."""
+        rows = change(self.rows)
+        texts = self.texts.join(rows.select(*self.keys).distinct(), list(self.keys), "left_semi")
+        return Profiles(self.keys, rows, texts, self.columns)
 
     def renamed(self, names: Mapping[str, str]) -> Profiles:
         """Keys and text columns under other names."""
@@ -247,17 +265,17 @@ class Profiles:
                 column = F.when(F.col(COLUMN) == a, b).otherwise(column)
         texts = self.texts.withColumn(COLUMN, column).withColumnsRenamed({a: b for a, b in names.items() if a in self.keys})
         new = lambda found: tuple(names.get(c, c) for c in found)
-        return Profiles(new(self.keys), self.measures.withColumnsRenamed({**names, **digests}), texts, new(self.columns))
+        return Profiles(new(self.keys), self.rows.withColumnsRenamed({**names, **digests}), texts, new(self.columns))
 
     def with_key(self, name: str, value: Column) -> Profiles:
         """A further key with the same value for all rows."""
-        return Profiles((name, *self.keys), self.measures.withColumn(name, value), self.texts.withColumn(name, value), self.columns)
+        return Profiles((name, *self.keys), self.rows.withColumn(name, value), self.texts.withColumn(name, value), self.columns)
 
 
 def united(profiles: Sequence[Profiles]) -> Profiles:
     """Profiles of the same keys and columns in one."""
     first = profiles[0]
-    tables = [union_all([getattr(p, name) for p in profiles]) for name in ("measures", "texts")]
+    tables = [union_all([getattr(p, name) for p in profiles]) for name in ("rows", "texts")]
     return Profiles(first.keys, *tables, first.columns)
 
 
@@ -273,8 +291,8 @@ def profile(
     """Profiles of the keys of ``rows``.
 
     ``values`` are counted like the texts, for ``folds`` to measure; ``whole`` are plain
-    aggregates of a key's rows. ``keep`` is a condition on measures. Measures come in the
-    order whole, folds, texts.
+    aggregates of a key's rows. ``keep`` is a condition on measures. Rows have the order
+    whole, folds, numbers and digests of texts, texts.
     """
     counts = counted(rows, keys, {**(values or {}), **{n: t.column for n, t in texts.items()}}, whole)
     out = from_counts(counts, keys, {n: t.distinct for n, t in texts.items()}, folds or {}, list(whole or {}))
@@ -288,12 +306,13 @@ def from_counts(
     aggregates = {n: F.max(n) for n in whole} | dict(folds)
     for n, distinct in texts.items():
         aggregates |= digest(n, distinct)
-    measures = counts.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    aggregates |= {n: joined(n, distinct) for n, distinct in texts.items()}
+    rows = counts.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
     once = [n for n, distinct in texts.items() if distinct]
     copies = F.when(F.col(COLUMN).isin(*once), F.lit(1)).otherwise(F.col(TIMES)) if once else F.col(TIMES)
     found = counts.where(F.col(COLUMN).isin(*texts) & F.col(VALUE).isNotNull())
     found = found.select(*keys, COLUMN, F.col(VALUE).alias("text"), copies.cast("bigint").alias(TIMES))
-    return Profiles(tuple(keys), measures, found, tuple(texts))
+    return Profiles(tuple(keys), rows, found, tuple(texts))
 
 
 def added_counts(counts: DataFrame, whole: Mapping[str, Callable[[str], Column]] | None = None) -> DataFrame:

@@ -228,7 +228,7 @@ def alert_detector(
         named = stored(alerted(block, waf, by_alert), "alerted")
         loud = traffic_profile(keep_listed(rows, named, "src_ip"), texts=texts)
         coded = named.select("src_ip", F.explode("codes").alias("code"))
-        tables = [table.join(coded, "src_ip") for table in (loud.measures, loud.texts)]
+        tables = [table.join(coded, "src_ip") for table in (loud.rows, loud.texts)]
         found.append(Profiles(("code", *HOUR_KEYS), *tables, loud.columns))
     if 3 in codes:
         often = F.col("cnt") >= least + SPOOF_OFFSET

@@ -33,10 +33,10 @@ def _label(profiles: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def _labelled(profiles: Profiles, feedback: DataFrame) -> Profiles:
-    """Measures with the verdict, texts by verdict."""
+    """Rows with the verdict, texts by verdict."""
     texts = profiles.texts.join(_verdicts(feedback), WINDOW)
     texts = texts.select("feedback_id", "lgtime", "src_ip", "column", "text", "n")
-    return Profiles(("feedback_id", "lgtime", "src_ip"), _label(profiles.measures, feedback), texts, profiles.columns)
+    return Profiles(("feedback_id", "lgtime", "src_ip"), _label(profiles.rows, feedback), texts, profiles.columns)
 
 
 def http_feedback(log, feedback, model_id: int) -> Profiles:
