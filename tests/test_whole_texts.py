@@ -9,10 +9,18 @@ from wardlog.operators.profiles import Texts, profile
 DATA = "/root/testdata/sf0.001"
 CELLS = {
     "a01_http_profile": ("agent_", "query_"),
+    "a02_hourly_attack_profile": ("path_keywords", "query_keywords", "agent_keywords"),
     "d01_attack_training_rows": ("agent_", "query_"),
     "d02_normal_training_rows": ("agent_", "query_"),
     "d03_prediction_rows": ("agent_", "query_"),
     "d01_d02_training_set": ("agent_", "query_"),
+    **{
+        n: ("path_keywords", "query_keywords", "agent_keywords")
+        for n in (
+            "d04_beaconing", "d05_injection", "d06_spoofing", "d07_scanning", "d08_credential", "d09_xss",
+            "d04_d09_all_signatures",
+        )
+    },
 }
 
 

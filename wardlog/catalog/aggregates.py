@@ -9,6 +9,7 @@ from wardlog.catalog.registry import (
     clean_sql,
     clock_sql,
     digest_sql,
+    joined_sql,
     method_sql,
     query,
     ratio,
@@ -58,7 +59,8 @@ ATTACK_SQL = f"""max(end_time) AS end_time, CAST(length(CAST(count(*) AS VARCHAR
     count(*) AS requests, {method_sql()}, {PORTS}, {SPREAD},
     count(DISTINCT port) AS uniq_dst_port,
     {", ".join(f"round(avg(strlen({c})), 6) AS {c}_uni" for c in ("path", "query", "agent"))},
-    {", ".join(digest_sql(c, c) for c in WORD_COLUMNS)}"""
+    {", ".join(digest_sql(c, c) for c in WORD_COLUMNS)},
+    {", ".join(f"{joined_sql(c)} AS {c}_keywords" for c in WORD_COLUMNS)}"""
 
 
 def rounded(df, digits=6):
@@ -68,9 +70,10 @@ def rounded(df, digits=6):
 
 
 def attack_out(profiles):
-    df = profiles.measures
+    df = profiles.rows
     spread = [c for c in df.columns if c.endswith(("_ent", "_uni"))]
-    return df.withColumns({c: F.round(c, 6) for c in spread}).withColumnRenamed("lgtime", "hour")
+    names = {"lgtime": "hour", **{c: f"{c}_keywords" for c in WORD_COLUMNS}}
+    return df.withColumns({c: F.round(c, 6) for c in spread}).withColumnsRenamed(names)
 
 
 @query(
