@@ -10,6 +10,8 @@ DATA = "/root/testdata/sf0.001"
 CELLS = {
     "a01_http_profile": ("agent_", "query_"),
     "a02_hourly_attack_profile": ("path_keywords", "query_keywords", "agent_keywords"),
+    "a12_cleaned_texts": ("agent_", "query_"),
+    "a13_all_texts": ("http_host", "http_path", "http_query"),
     "d01_attack_training_rows": ("agent_", "query_"),
     "d02_normal_training_rows": ("agent_", "query_"),
     "d03_prediction_rows": ("agent_", "query_"),

@@ -171,18 +171,39 @@ URL_COLUMNS = ("http_host", "http_path", "http_query")
 
 @query(
     "a12_cleaned_texts",
-    texts_sql("http_log", "logtime, src_ip", {"agent_": clean_sql("http_agent"), "query_": clean_sql("http_query")}),
+    f"""SELECT logtime, src_ip, {whole_sql({"agent_": clean_sql("http_agent"), "query_": clean_sql("http_query")})}
+        FROM http_log GROUP BY 1, 2""",
 )
 def a12(d):
+    texts = pf.cleaned_texts(TEXTS, payload_words, distinct=True)
+    return pf.profile(d.http_log, ["logtime", "src_ip"], texts).rows
+
+
+@query(
+    "a12_cleaned_text_rows",
+    texts_sql("http_log", "logtime, src_ip", {"agent_": clean_sql("http_agent"), "query_": clean_sql("http_query")}),
+)
+def a12_rows(d):
     texts = pf.cleaned_texts(TEXTS, payload_words, distinct=True)
     return pf.profile(d.http_log, ["logtime", "src_ip"], texts).texts
 
 
 @query(
     "a13_all_texts",
-    texts_sql("http_log", "logtime, src_ip", {c: url_chars_sql(c) for c in URL_COLUMNS}, distinct=False),
+    f"""SELECT logtime, src_ip, count(*) AS cnt, {whole_sql({c: url_chars_sql(c) for c in URL_COLUMNS}, False)}
+        FROM http_log GROUP BY 1, 2""",
 )
 def a13(d):
+    out = traffic_profile(d.http_log, ["logtime", "src_ip"])
+    wanted = [f"{c}{end}" for c in URL_COLUMNS for end in ("", "_texts", "_digest")]
+    return out.rows.select("logtime", "src_ip", "cnt", *wanted)
+
+
+@query(
+    "a13_all_text_rows",
+    texts_sql("http_log", "logtime, src_ip", {c: url_chars_sql(c) for c in URL_COLUMNS}, distinct=False),
+)
+def a13_rows(d):
     return traffic_profile(d.http_log, ["logtime", "src_ip"]).texts
 
 
