@@ -12,6 +12,7 @@ CELLS = {
     "a02_hourly_attack_profile": ("path_keywords", "query_keywords", "agent_keywords"),
     "a12_cleaned_texts": ("agent_", "query_"),
     "a13_all_texts": ("http_host", "http_path", "http_query"),
+    "a29_dns_profile": ("dns_query", "dns_answer"),
     "d01_attack_training_rows": ("agent_", "query_"),
     "d02_normal_training_rows": ("agent_", "query_"),
     "d03_prediction_rows": ("agent_", "query_"),
@@ -23,6 +24,7 @@ CELLS = {
             "d04_d09_all_signatures",
         )
     },
+    "d13_dns_feedback": ("dns_query", "dns_answer"),
 }
 
 

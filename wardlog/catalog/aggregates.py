@@ -388,11 +388,10 @@ def a28_day(d):
     f"""SELECT date_trunc('hour', logtime) AS hour, src_ip,
         max(end_time) AS end_time, count(*) AS cnt, round(avg(o), 6) AS global_osint,
         round(avg(g), 6) AS global_range, {clock_sql()},
-        {digest_sql(url_chars_sql('dns_query'), 'dns_query', False)},
-        {digest_sql(url_chars_sql('dns_answer'), 'dns_answer', False)} FROM {INTEL} GROUP BY 1, 2""",
+        {whole_sql({c: url_chars_sql(c) for c in ('dns_query', 'dns_answer')}, False)} FROM {INTEL} GROUP BY 1, 2""",
 )
 def a29(d):
-    out = dns_profile(d.dns_log, d.osint, d.range_intel).measures
+    out = dns_profile(d.dns_log, d.osint, d.range_intel).rows
     return out.withColumnRenamed("lgtime", "hour").withColumns(
         {c: F.round(c, 6) for c in ("global_osint", "global_range")}
     )

@@ -36,6 +36,7 @@ from wardlog.catalog.registry import (
     texts_sql,
     traffic_sql,
     url_chars_sql,
+    whole_sql,
 )
 from wardlog.plans.detectors import (
     ALERT_OFFSETS,
@@ -258,7 +259,7 @@ CLOCK_DEFAULTS = ", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in CLOCK)
           SELECT f.feedback_id, date_trunc('hour', l.logtime) AS hour, l.src_ip,
                  max(l.end_time) AS end_time, count(*) AS cnt,
                  round(avg(o), 6) AS global_osint, round(avg(g), 6) AS global_range,
-                 {", ".join(digest_sql(url_chars_sql(c), c, False) for c in ("dns_query", "dns_answer"))}, f.feedback
+                 {whole_sql({c: url_chars_sql(c) for c in ("dns_query", "dns_answer")}, False)}, f.feedback
           FROM hour_feedback f JOIN {INTEL} l ON l.src_ip = f.src_ip AND l.logtime >= f.start_time
                AND l.end_time <= f.end_time
           WHERE f.model_id = 40 AND f.feedback <> -1
@@ -269,7 +270,7 @@ CLOCK_DEFAULTS = ", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in CLOCK)
         ON c.src_ip = p.src_ip AND c.hour = p.hour AND c.end_time = p.end_time""",
 )
 def d13_dns(d):
-    out = dns_feedback(d.dns_log, d.hour_feedback, d.osint, d.range_intel, 40).measures
+    out = dns_feedback(d.dns_log, d.hour_feedback, d.osint, d.range_intel, 40).rows
     flags = {c: F.round(c, 6) for c in ("global_osint", "global_range")}
     return out.withColumns(flags).withColumnRenamed("lgtime", "hour")
 
