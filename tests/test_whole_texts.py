@@ -13,6 +13,7 @@ CELLS = {
     "a12_cleaned_texts": ("agent_", "query_"),
     "a13_all_texts": ("http_host", "http_path", "http_query"),
     "a29_dns_profile": ("dns_query", "dns_answer"),
+    "a33_hijack_candidates": ("http_query",),
     "d01_attack_training_rows": ("agent_", "query_"),
     "d02_normal_training_rows": ("agent_", "query_"),
     "d03_prediction_rows": ("agent_", "query_"),
@@ -24,6 +25,10 @@ CELLS = {
             "d04_d09_all_signatures",
         )
     },
+    "d10_alert_detectors": ("http_host", "http_path", "http_query"),
+    "d10_alert_detectors_low": ("http_host", "http_path", "http_query"),
+    "d11_session_hijack": ("http_path", "http_query", "http_cookie"),
+    "d13_http_feedback": ("http_host", "http_path", "http_query"),
     "d13_dns_feedback": ("dns_query", "dns_answer"),
 }
 

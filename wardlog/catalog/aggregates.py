@@ -464,14 +464,14 @@ def a32(d):
     "a33_hijack_candidates",
     f"""SELECT hour, src_ip, max(end_time) AS end_time, count(*) AS cnt,
         {method_sql()}, {traffic_sql()}, {status_sql()},
-        {digest_sql(url_chars_sql('http_query'), 'http_query', False)}
+        {whole_sql({'http_query': url_chars_sql('http_query')}, False)}
         FROM (SELECT *, date_trunc('hour', logtime) AS hour FROM http_log
               WHERE contains(http_cookie, 'SESSION'))
         GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT http_path) = 1""",
 )
 def a33(d):
     out = hijack_candidates(d.http_log, hits=1, texts=["http_query"])
-    return round_moments(out.measures).withColumnRenamed("lgtime", "hour")
+    return round_moments(out.rows).withColumnRenamed("lgtime", "hour")
 
 
 @query(

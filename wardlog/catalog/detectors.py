@@ -29,7 +29,6 @@ from wardlog.catalog.registry import (
     NOT_ASSET,
     clean_sql,
     clock_sql,
-    digest_sql,
     method_sql,
     query,
     status_sql,
@@ -159,7 +158,7 @@ ALERT_NAMES = {
 }
 
 
-URL_DIGESTS = ", ".join(digest_sql(url_chars_sql(c), c, False) for c in URL_COLUMNS)
+WHOLE_URLS = whole_sql({c: url_chars_sql(c) for c in URL_COLUMNS}, False)
 
 
 def alert_sql(least: int, offsets: dict) -> str:
@@ -177,7 +176,7 @@ def alert_sql(least: int, offsets: dict) -> str:
             condition = f"src_ip IN ({' UNION '.join(sources)})"
         parts.append(f"""SELECT {code} AS code, date_trunc('hour', logtime) AS hour, src_ip, dst_ip,
             max(end_time) AS end_time, count(*) AS cnt, {method_sql()},
-            {traffic_sql()}, {status_sql()}, {URL_DIGESTS}
+            {traffic_sql()}, {status_sql()}, {WHOLE_URLS}
             FROM http_log WHERE logtime BETWEEN TIMESTAMP '{DAY}'
               AND TIMESTAMP '{DAY}' + INTERVAL 31 DAY AND {condition} AND {NOT_ASSET}
             GROUP BY 1, 2, 3, 4 {having}""")
@@ -185,7 +184,7 @@ def alert_sql(least: int, offsets: dict) -> str:
 
 
 def alert_out(profiles):
-    return round_moments(profiles.measures).withColumnRenamed("lgtime", "hour")
+    return round_moments(profiles.rows).withColumnRenamed("lgtime", "hour")
 
 
 @query("d10_alert_detectors", alert_sql(10, ALERT_OFFSETS))
@@ -209,7 +208,7 @@ def d10_low(d):
     "d11_session_hijack",
     f"""SELECT hour, src_ip, max(end_time) AS end_time, count(*) AS cnt,
         {method_sql()}, {traffic_sql()}, {status_sql()},
-        {", ".join(digest_sql(url_chars_sql(c), c, False) for c in ("http_path", "http_query", "http_cookie"))}
+        {whole_sql({c: url_chars_sql(c) for c in ("http_path", "http_query", "http_cookie")}, False)}
         FROM (SELECT *, date_trunc('hour', logtime) AS hour FROM http_log
               WHERE contains(http_cookie, 'SESSION') AND logtime >= TIMESTAMP '2024-01-03'
                 AND {NOT_ASSET})
@@ -233,7 +232,7 @@ FEEDBACK_ROWS = """feedback f JOIN http_log l ON l.src_ip = f.src_ip AND l.logti
     "d13_http_feedback",
     f"""SELECT f.feedback_id, date_trunc('hour', l.logtime) AS hour, l.src_ip,
         max(l.end_time) AS end_time, count(*) AS cnt, {method_sql()},
-        {traffic_sql()}, {status_sql()}, {URL_DIGESTS}, f.feedback
+        {traffic_sql()}, {status_sql()}, {WHOLE_URLS}, f.feedback
         FROM {FEEDBACK_ROWS} GROUP BY f.feedback_id, hour, l.src_ip, f.feedback""",
 )
 def d13(d):
