@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from __spark_entry__ import oracle_sql, queries
 from wardlog.operators.profiles import Texts, profile
 
 DATA = "/root/testdata/sf0.001"
@@ -57,3 +57,9 @@ def test_cells_nobody_reads_are_not_built(rows):
     out = profile(rows([(1, "a")], "k int, t string"), ["k"], {"ts": Texts(F.col("t"))})
     plan = out.measures._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_labelled_scan_is_not_capped(spark, data):
+    assert "QUALIFY" not in oracle_sql()["s04_labelled_scan"].upper()
+    counts = queries()["s04_labelled_scan"](spark, DATA).groupBy("label").count().collect()
+    assert max(r["count"] for r in counts) > 40
