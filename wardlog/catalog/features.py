@@ -198,7 +198,7 @@ PROFILE_TEXTS = f"""(SELECT logtime, src_ip, dst_ip,
 def m05_profile(d):
     """Sparse features of the prediction profiles under the vocabulary caps."""
     caps = {"agent_": VOCABULARY_CAPS["http_agent"], "query_": VOCABULARY_CAPS["http_query"]}
-    rows = prediction_rows(d.http_log, "2000-01-01 00:00:00", "2100-01-01 00:00:00").stored()
+    rows = prediction_rows(d.http_log, "2000-01-01 00:00:00", "2100-01-01 00:00:00", once=True).stored()
     return sparse_weights(rows, fit_slots(rows, ["dst_port_cnt"], caps))
 
 

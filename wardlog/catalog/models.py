@@ -42,7 +42,7 @@ _fitted: dict[tuple, ModelBundle] = {}
 
 
 def extracted(d) -> Profiles:
-    rows = training_rows(d.http_log, d.ip_ast, START, END).renamed(NAMES)
+    rows = training_rows(d.http_log, d.ip_ast, START, END, once=True).renamed(NAMES)
     return rows.with_measures(lambda m: with_split(m, ["label", *KEYS]))
 
 
@@ -59,7 +59,7 @@ def bundle(d) -> ModelBundle:
 
 
 def window_rows(d) -> Profiles:
-    return prediction_rows(d.http_log, START, END).renamed(NAMES)
+    return prediction_rows(d.http_log, START, END, once=True).renamed(NAMES)
 
 
 def labelled_results(d, scored: DataFrame) -> DataFrame:

@@ -132,12 +132,14 @@ def value_spread(rows: DataFrame, keys: Sequence[str], columns: Mapping[str, Col
 
 
 def counted(
-    rows: DataFrame, keys: Sequence[str], columns: Mapping[str, Column], whole: Mapping[str, Column] | None = None
+    rows: DataFrame, keys: Sequence[str], columns: Mapping[str, Column], whole: Mapping[str, Column] | None = None,
+    clean: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """(keys, column, value, n): how often each key has each value of each column, null included.
 
     ``whole`` names further aggregates of a key's rows. They are found in the one row a key
-    with a null column and null elsewhere.
+    with a null column and null elsewhere. ``clean`` are functions of a column's values.
+    They are applied to counted values, once for all rows of a key with the same value.
     """
     pairs = [F.struct(F.lit(n).alias("c"), c.cast("string").alias("v")) for n, c in columns.items()]
     if whole:
@@ -146,6 +148,13 @@ def counted(
     out = rows.groupBy(*keys, F.col("_p.c").alias(COLUMN), F.col("_p.v").alias(VALUE)).agg(
         F.count(F.lit(1)).alias(TIMES), *[c.alias(n) for n, c in (whole or {}).items()]
     )
+    if clean:
+        value = F.col(VALUE)
+        for name, change in clean.items():
+            value = F.when(F.col(COLUMN) == name, change(F.col(VALUE))).otherwise(value)
+        # the row with the further aggregates is alone in its group
+        folds = [F.max(n).alias(n) for n in whole or {}]
+        out = out.withColumn(VALUE, value).groupBy(*keys, COLUMN, VALUE).agg(F.sum(TIMES).alias(TIMES), *folds)
     return out.withColumns({n: F.when(F.col(COLUMN).isNull(), F.col(n)) for n in whole or {}})
 
 

@@ -67,8 +67,8 @@ DNS_TEXTS = ("dns_query", "dns_answer")
 def dns_counts(log: DataFrame, domains: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Clock, intel flags and cleaned query and answer texts, counted per key."""
     rows = with_intel(log, domains, ranges)
-    values = {CLOCK_AND_INTEL: clock_and_intel(), **{c: url_chars(F.col(c)) for c in DNS_TEXTS}}
-    return counted(rows, keys, values, {"end_time": F.max("end_time")})
+    values = {CLOCK_AND_INTEL: clock_and_intel(), **{c: F.col(c) for c in DNS_TEXTS}}
+    return counted(rows, keys, values, {"end_time": F.max("end_time")}, {c: url_chars for c in DNS_TEXTS})
 
 
 def dns_profile_of(counts: DataFrame, keys: Sequence[str], clock: bool = True) -> Profiles:

@@ -13,6 +13,7 @@ from wardlog.operators.joins import drop_listed
 from wardlog.operators.ordering import cap_per_class, first_rows
 from wardlog.operators.predicates import has_text, in_range, is_ipv4
 from wardlog.operators.profiles import Profiles, added_counts, counted, from_counts, kinds, status_shares, united
+from wardlog.session import stored
 from wardlog.sources.tables import labelled
 
 KEYS = ["logtime", "src_ip", "dst_ip"]
@@ -21,9 +22,8 @@ TEXTS = {"agent_": "http_agent", "query_": "http_query"}
 
 def http_counts(rows: DataFrame, keys=KEYS) -> DataFrame:
     """Ports, status codes and cleaned agent and query texts, counted per key; counts of batches add up."""
-    values = {c: F.col(c) for c in ("dst_port", "http_retcode")}
-    values |= {n: payload_words(F.col(c)) for n, c in TEXTS.items()}
-    return counted(rows, keys, values, {"end": F.max("end_time")})
+    values = {c: F.col(c) for c in ("dst_port", "http_retcode")} | {n: F.col(c) for n, c in TEXTS.items()}
+    return counted(rows, keys, values, {"end": F.max("end_time")}, {n: payload_words for n in TEXTS})
 
 
 def merged_http_counts(counts: DataFrame) -> DataFrame:
@@ -35,9 +35,14 @@ def http_profile_of(counts: DataFrame, keys=KEYS, missing: str = "") -> Profiles
     return from_counts(counts, keys, {n: True for n in TEXTS}, folds, ["end"])
 
 
-def http_profile(rows: DataFrame, keys=KEYS, missing: str = "") -> Profiles:
-    """Ports, status shares and the different cleaned agent and query texts per key."""
-    return http_profile_of(http_counts(rows, keys), keys, missing)
+def http_profile(rows: DataFrame, keys=KEYS, missing: str = "", once: bool = False) -> Profiles:
+    """Ports, status shares and the different cleaned agent and query texts per key.
+
+    With ``once`` the counted values are written, so that the log is read once for callers
+    that read measures and texts.
+    """
+    counts = http_counts(rows, keys)
+    return http_profile_of(stored(counts, "counts") if once else counts, keys, missing)
 
 
 def window_rows(log: DataFrame, start: str, end: str) -> DataFrame:
@@ -51,18 +56,21 @@ def first_keys(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows.join(first_rows(rows.select(*KEYS).distinct(), KEYS, limit), KEYS, "left_semi")
 
 
-def prediction_rows(log: DataFrame, start: str, end: str, missing: str = "", limit: int | None = None) -> Profiles:
+def prediction_rows(
+    log: DataFrame, start: str, end: str, missing: str = "", limit: int | None = None, once: bool = False
+) -> Profiles:
     """Profiles of a time range; with a limit, of its first keys only."""
-    return http_profile(first_keys(window_rows(log, start, end), limit), KEYS, missing)
+    return http_profile(first_keys(window_rows(log, start, end), limit), KEYS, missing, once)
 
 
-def normal_rows(log: DataFrame, start: str, end: str, limit: int | None = None) -> Profiles:
+def normal_rows(log: DataFrame, start: str, end: str, limit: int | None = None, once: bool = False) -> Profiles:
     """Profiles of a time range, labelled normal; with a limit, of its first keys only."""
-    return http_profile(first_keys(window_rows(log, start, end), limit), KEYS).with_key("label", F.lit("normal"))
+    rows = first_keys(window_rows(log, start, end), limit)
+    return http_profile(rows, KEYS, once=once).with_key("label", F.lit("normal"))
 
 
 def attack_rows(
-    log: DataFrame, assets: DataFrame, limit: int | None = None, labels: Mapping[str, str] = TRAIN_LABELS
+    log: DataFrame, assets: DataFrame, limit: int | None = None, labels: Mapping[str, str] = TRAIN_LABELS, once: bool = False
 ) -> Profiles:
     """Profiles of the labelled attack classes, from one scan, capped per class."""
     rows = labelled(log.where(has_text() & is_ipv4()), "hash", labels)
@@ -71,8 +79,8 @@ def attack_rows(
     if limit is not None:
         wanted = cap_per_class(rows.select(*keys).distinct(), "label", KEYS, limit)
         rows = rows.join(wanted, keys, "left_semi")
-    return http_profile(rows, keys)
+    return http_profile(rows, keys, once=once)
 
 
-def training_rows(log, assets, start: str, end: str, limit: int | None = None) -> Profiles:
-    return united([normal_rows(log, start, end, limit), attack_rows(log, assets, limit)])
+def training_rows(log, assets, start: str, end: str, limit: int | None = None, once: bool = False) -> Profiles:
+    return united([normal_rows(log, start, end, limit, once), attack_rows(log, assets, limit, once=once)])
