@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlog.operators.ordering import union_all
+from wardlog.session import stored
 
 # Fixed value: the characters that separate words.
 BLANKS = (
@@ -111,8 +113,23 @@ def grouped_value_share(
 def grouped_text_rarity(
     df: DataFrame, key: str, text: str, group: str, counts: DataFrame
 ) -> DataFrame:
-    """Text rarity within the group's dictionary, or the common one."""
-    tokens = _text_tokens(df, key, text, [group])
-    pairs = tokens.where("token is not null").select(group, "token").distinct()
-    met = tokens.join(_resolved(pairs, counts, text, group), [group, "token"], "left")
-    return _fold(met, key, F.max("total"))
+    """Text rarity within the group's dictionary, or the common one.
+
+    Rows are parted by whether their group has a dictionary, so a text is split once and
+    its words meet one dictionary only. That is written once, as it is read several
+    times, and so is the list of its groups, whose size Spark then knows.
+    """
+    own = stored(counts.where(F.col("column") == text).select(group, "token", "cnt"), "dictionary")
+    known = stored(own.groupBy(group).agg(F.sum("cnt").cast("double").alias("total")), "groups")
+    common = own.groupBy("token").agg(F.sum("cnt").alias("cnt"))
+    everyone = own.agg(F.sum("cnt").cast("double")).scalar()
+    # a row without a group finds no word
+    columns = [key, "token", "cnt", "total"]
+    met = [
+        _text_tokens(df.join(known, group), key, text, [group, "total"]).join(own, ["token", group], "left"),
+        _text_tokens(df.where(F.col(group).isNotNull()).join(known, group, "left_anti"), key, text, ())
+        .join(common, "token", "left").withColumn("total", everyone),
+        _text_tokens(df.where(F.col(group).isNull()), key, text, ())
+        .withColumns({"cnt": F.lit(None).cast("bigint"), "total": F.lit(None).cast("double")}),
+    ]
+    return _fold(union_all([m.select(*columns) for m in met]), key, F.max("total"))
