@@ -52,7 +52,7 @@ class Scaler:
                 F.transform(where, lambda p: entry(p, F.coalesce(F.element_at(found, p), F.lit(0.0)))),
                 F.transform(kept, lambda e: entry(e["places"], e["weights"])),
             )
-        df = df.withColumn("_entries", F.array_sort(F.filter(entries, lambda e: e["w"] != 0)))
+        df = df.withColumn("_entries", F.sort_array(F.filter(entries, lambda e: e["w"] != 0)))
         return df.withColumns({"places": F.col("_entries.place"), "weights": F.col("_entries.w")}).drop("_entries")
 
     def save(self, spark: SparkSession, path: str) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlog.functions.text import n_grams, words
+from wardlog.functions.text import counted_terms
 from wardlog.functions.vectors import constant_array, total
 from wardlog.operators.profiles import COLUMN, Profiles
 from wardlog.session import scratch
@@ -27,8 +27,8 @@ from wardlog.session import scratch
 
 def terms_of(texts: DataFrame, low: int, high: int) -> DataFrame:
     """One row for each term of each text, with how often the text counts."""
-    rows = texts.withColumn("term", F.explode_outer(n_grams(words(F.col("text")), low, high)))
-    return rows.where(F.col("term").isNotNull()).drop("text")
+    found, kept = counted_terms(F.col("text"), "term", low, high)
+    return texts.withColumn("term", F.explode_outer(found)).where(F.col("term").isNotNull() & kept).drop("text")
 
 
 def documents(profiles: Profiles) -> DataFrame:
@@ -88,15 +88,15 @@ class Slots:
         counts = rows.groupBy(*keys, COLUMN, "place", "idf").agg(F.sum("n").alias("tf"))
         entry = F.struct("place", COLUMN, (F.col("tf") * F.col("idf")).alias("w"))
         # a key has at most one entry a term of the vocabularies
-        found = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_terms"))
+        found = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_terms"))
         found = found.withColumnsRenamed({k: f"_{k}" for k in keys})
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
         out = profiles.measures.join(found, same, "left").drop(*[f"_{k}" for k in keys])
         terms = F.coalesce("_terms", F.array().cast(found.schema["_terms"].dataType))
         lengths = {}
         for c in self.terms:
-            squares = F.transform(terms, lambda e: F.when(e[COLUMN] == c, e["w"] * e["w"]).otherwise(0.0))  # noqa: B023
-            lengths[f"_length_{c}"] = F.sqrt(total(squares))
+            square = F.aggregate(terms, F.lit(0.0), lambda a, e: F.when(e[COLUMN] == c, a + e["w"] * e["w"]).otherwise(a))  # noqa: B023
+            lengths[f"_length_{c}"] = F.sqrt(square)
 
         def weight(e: Column) -> Column:
             by = F.lit(1.0)

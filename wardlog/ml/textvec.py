@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlog.constants import STOP_WORDS
-from wardlog.functions.text import WORD, n_grams, words
+from wardlog.functions.text import WORD, counted_terms, n_grams, words
 
 
 def vocabulary(
@@ -37,11 +37,14 @@ def vocabulary(
     first, which would split it twice.
     """
     text = F.col(text) if isinstance(text, str) else text
-    found = F.array_sort(n_grams(words(F.col("text")), low, high))
-    texts = df.select(text.alias("text")).distinct().select(found.alias("terms"))
-    first = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (~t.eqNullSafe(F.get("terms", i - 1))).alias("first")))
-    each = texts.select(F.explode_outer(first).alias("t")).where(F.col("t").isNotNull())
-    counts = each.groupBy(F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("cnt"), F.count_if("t.first").alias("docs"))
+    found, kept = counted_terms(F.col("text"), "t.term", low, high)
+    texts = df.select(text.alias("text")).distinct().select(F.sort_array(found).alias("terms"))
+    # one entry more than terms, which has the last term before it and none of its own
+    before = F.concat(F.array(F.lit(None).cast("string")), "terms")
+    pairs = F.arrays_zip(F.col("terms").alias("term"), before.alias("before"))
+    each = texts.select(F.explode_outer(pairs).alias("t")).where(F.col("t.term").isNotNull() & kept)
+    first = ~F.col("t.term").eqNullSafe(F.col("t.before"))
+    counts = each.groupBy(F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("cnt"), F.count_if(first).alias("docs"))
     return counts.orderBy(F.desc("cnt"), "term").limit(max_features)
 
 
