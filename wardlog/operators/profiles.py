@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlog.constants import (
@@ -27,6 +27,7 @@ from wardlog.constants import (
 from wardlog.functions.text import has_literal
 from wardlog.functions.times import monday_first
 from wardlog.operators.ordering import union_all
+from wardlog.operators.windows import PLACE, PLACES
 from wardlog.session import stored
 
 # What a measure of value counts is told by: the column counted, one of its values, how often.
@@ -210,19 +211,28 @@ class Texts:
     distinct: bool = True
 
 
-def digest(name: str, distinct: bool) -> dict[str, Column]:
-    """How many texts a key has in a column and two sums of hashes of them, which stand for the whole."""
+def digest_sums(name: str, distinct: bool) -> dict[str, Column]:
+    """How many texts a key has in a column and two sums of hashes of them."""
     here = (F.col(COLUMN) == name) & F.col(VALUE).isNotNull()
     copies = F.lit(1) if distinct else F.col(TIMES)
 
     def part(start: int) -> Column:
         number = F.conv(F.substring(F.md5(VALUE), start, 15), 16, 10).cast("decimal(19,0)")
-        return F.coalesce(F.sum(F.when(here, number * copies.cast("decimal(18,0)"))), F.lit(0)).cast("string")
+        return F.coalesce(F.sum(F.when(here, number * copies.cast("decimal(18,0)"))), F.lit(0))
 
-    return {
-        f"{name}_texts": F.coalesce(F.sum(F.when(here, copies)), F.lit(0)).cast("bigint"),
-        f"{name}_digest": F.concat_ws(":", part(1), part(16)),
-    }
+    n = F.coalesce(F.sum(F.when(here, copies)), F.lit(0)).cast("bigint")
+    return {f"{name}_texts": n, f"{name}_digest_1": part(1), f"{name}_digest_16": part(16)}
+
+
+def digest_of(name: str, sums: Mapping[str, Column]) -> dict[str, Column]:
+    """Number and digest of the texts, which stand for the whole."""
+    parts = [sums[f"{name}_digest_{start}"].cast("string") for start in (1, 16)]
+    return {f"{name}_texts": sums[f"{name}_texts"], f"{name}_digest": F.concat_ws(":", *parts)}
+
+
+def digest(name: str, distinct: bool) -> dict[str, Column]:
+    """How many texts a key has in a column and two sums of hashes of them, which stand for the whole."""
+    return digest_of(name, digest_sums(name, distinct))
 
 
 def joined(name: str, distinct: bool) -> Column:
@@ -233,8 +243,13 @@ def joined(name: str, distinct: bool) -> Column:
     here = (F.col(COLUMN) == name) & F.col(VALUE).isNotNull()
     copies = F.lit(1) if distinct else F.col(TIMES).cast("int")
     found = F.sort_array(F.collect_list(F.when(here, F.struct(F.col(VALUE).alias("v"), copies.alias("n")))))
-    copied = F.transform(found, lambda e: F.concat(F.repeat(F.concat(e["v"], F.lit(" ")), e["n"] - 1), e["v"]))
-    return F.array_join(copied, " ")
+    return cell(found)
+
+
+def cell(found: Column) -> Column:
+    """Texts ``v`` of a sorted list, each ``n`` times, blanks between."""
+    copied = F.transform(found, lambda e: F.concat(F.repeat(F.concat(e["v"], F.lit(" ")), e["n"].cast("int") - 1), e["v"]))
+    return F.concat_ws(" ", copied)
 
 
 @dataclass(frozen=True)
@@ -324,6 +339,57 @@ def from_counts(
     return Profiles(tuple(keys), rows, found, tuple(texts))
 
 
+# Windows that share a list of texts.
+BLOCK = 32
+
+
+def running_sums(counts: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], whole: Sequence[str] = ()) -> DataFrame:
+    """``sums`` of each key's counts up to each place, and ``whole`` of the place itself."""
+    aggregates = {n: F.max(n) for n in whole} | dict(sums)
+    out = counts.groupBy(*keys, PLACE).agg(*[c.alias(n) for n, c in aggregates.items()])
+    before = Window.partitionBy(*keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return out.withColumns({n: F.sum(n).over(before) for n in sums})
+
+
+def block_of(place: str) -> Column:
+    return F.expr(f"{place} div {BLOCK}")
+
+
+def text_blocks(counts: DataFrame, keys: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """Sorted lists of the texts of each key's places, ``BLOCK`` places a list and a list a column.
+
+    ``counts`` are by key and place. A list's entry is a text, how often the places from
+    ``a`` to ``b`` have it or places before them. There is an entry where a text's count
+    changes, and each list begins with the counts it finds.
+    """
+    found = counts.where(F.col(COLUMN).isin(*texts) & F.col(VALUE).isNotNull())
+    same = Window.partitionBy(*keys, COLUMN, VALUE).orderBy(PLACE)
+    n = F.sum(TIMES).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.coalesce(F.lead(PLACE).over(same), F.col(PLACES)) - 1
+    spans = found.select(*keys, COLUMN, VALUE, F.col(PLACE).alias("a"), last.alias("b"), n.alias(TIMES))
+    spans = spans.withColumn("block", F.explode(F.sequence(block_of("a"), block_of("b"))))
+    entry = F.struct(F.col(VALUE).alias("v"), "a", "b", F.col(TIMES).alias("n"))
+    lists = [F.sort_array(F.collect_list(F.when(F.col(COLUMN) == c, entry))).alias(c) for c in texts]
+    return spans.groupBy(*keys, "block").agg(*lists)
+
+
+def with_texts(windows: DataFrame, blocks: DataFrame, keys: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """Windows with the list of the texts (v, n) at their place for each column; one without texts has none."""
+    out = windows.join(blocks, [*keys, "block"], "left")
+    here = lambda e: (e["a"] <= F.col(PLACE)) & (e["b"] >= F.col(PLACE))
+    return out.withColumns({c: F.filter(c, here) for c in texts})
+
+
+def listed(texts: Sequence[str]) -> Column:
+    """The texts of all columns in one list of (column, text, n)."""
+
+    def named(name: str) -> Column:
+        entry = lambda e: F.struct(F.lit(name).alias(COLUMN), e["v"].alias("text"), e["n"].alias(TIMES))
+        return F.transform(name, entry)
+
+    return F.flatten(F.array_compact(F.array(*[named(c) for c in texts])))
+
+
 def added_counts(counts: DataFrame, whole: Mapping[str, Callable[[str], Column]] | None = None) -> DataFrame:
     """Counted values of several batches added up; ``whole`` tells how its aggregates are merged."""
     whole = whole or {}

@@ -5,19 +5,25 @@ are folded once per (key, hour), and hours once per (key, day). A window takes t
 that lie in it whole, of the other days the hours that do, and compares single rows only
 in the hours its ends cut. A grain lies in a window if it begins no earlier and no row of
 it ends later; a row that outlasts its hour makes that hour an edge.
+
+Of windows that begin with an hour, each one's rows in that hour are also in those that
+end later. There rows and windows get a place in the order of their ends, and no row is
+compared with a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlog.functions.times import start_of
 from wardlog.session import stored
 
 WINDOW = ("window_start", "window_end")
+# How many windows of its (key, hour) end before a row or stand before a window, and how many there are.
+PLACE, PLACES = "place", "places"
 # rows and keys to a row, or several, a key
 Fold = Callable[[DataFrame, Sequence[str]], DataFrame]
 
@@ -107,3 +113,31 @@ def by_window(
     for other in found[1:]:
         parts = parts.unionByName(other.select(*columns))
     return merge(parts, [key, *WINDOW])
+
+
+def first_hours(
+    log: DataFrame, windows: DataFrame, key: str = "src_ip", log_start: str = "logtime", log_end: str = "end_time"
+) -> tuple[DataFrame, DataFrame]:
+    """Log rows of the hours that windows begin with, and those windows, with their ``lgtime`` and places.
+
+    A window has the rows of its first hour whose place is not above its own. Rows no window
+    holds are there too, with the number of places as theirs. Windows that do not begin with
+    an hour are left out. The log is read once; a task sorts the rows of a key's hour.
+    """
+    start, own = F.col("start_time"), [c for c in windows.columns if c not in (key, "start_time", "end_time")]
+    asked = windows.where(F.col(key).isNotNull() & (start == start_of("hour", start)) & (start <= F.col("end_time")))
+    asked = stored(asked.select(key, start.alias("lgtime"), F.col("end_time").alias("window_end"), *own), "windows")
+    first, last = asked.agg(F.min("lgtime")).scalar(), asked.agg(F.max("lgtime")).scalar()
+    rows = log.where((F.col(log_start) >= first) & (F.col(log_start) < last + F.expr("interval 1 hour")))
+    rows = rows.withColumn("lgtime", start_of("hour", F.col(log_start)))
+    rows = rows.join(asked.select(key, "lgtime").distinct(), [key, "lgtime"], "left_semi")
+    both = rows.withColumns({"_end": F.col(log_end), "_window": F.lit(0)}).unionByName(
+        asked.withColumns({"_end": F.col("window_end"), "_window": F.lit(1)}), allowMissingColumns=True
+    )
+    hour = Window.partitionBy(key, "lgtime")
+    # rows stand before the windows that end with them
+    before = hour.orderBy("_end", "_window", *own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = {PLACE: F.sum("_window").over(before) - F.col("_window"), PLACES: F.sum("_window").over(hour)}
+    both = stored(both.withColumns(places).drop("_end"), "places")
+    found = both.where("_window = 0").select(*rows.columns, PLACE, PLACES)
+    return found, both.where("_window = 1").select(*asked.columns, PLACE)

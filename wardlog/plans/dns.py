@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +15,11 @@ from wardlog.operators.profiles import (
     VALUE,
     Profiles,
     counted,
+    digest_of,
+    digest_sums,
     from_counts,
     hour_ratios,
+    running_sums,
     share_of,
     times,
     value_spread,
@@ -47,14 +50,26 @@ def clock_and_intel() -> Column:
     return F.concat_ws("-", hour, monday_first(F.col("logtime")).cast("string"), *[F.col(c).cast("string") for c in ("global_osint", "global_range")])
 
 
-def dns_folds(clock: bool = True) -> dict[str, Column]:
-    """Counts, intel hit rates and clock shares, measured on the counted values."""
-    place = lambda start, size: F.substring(VALUE, start, size)
-    out = {
+def place(start: int, size: int) -> Column:
+    return F.substring(VALUE, start, size)
+
+
+def dns_sums() -> dict[str, Column]:
+    """Events and intel hits, added up from the counted values."""
+    return {
         "cnt": times(CLOCK_AND_INTEL),
-        "global_osint": share_of(CLOCK_AND_INTEL, place(6, 1) == "1"),
-        "global_range": share_of(CLOCK_AND_INTEL, place(8, 1) == "1"),
+        "global_osint": times(CLOCK_AND_INTEL, place(6, 1) == "1"),
+        "global_range": times(CLOCK_AND_INTEL, place(8, 1) == "1"),
     }
+
+
+def hit_shares(sums: Mapping[str, Column]) -> dict[str, Column]:
+    return {"cnt": sums["cnt"], **{c: sums[c] / sums["cnt"] for c in ("global_osint", "global_range")}}
+
+
+def dns_folds(clock: bool = True) -> dict[str, Column]:
+    """Counts, intel hit rates and clock shares, measured on the counted values."""
+    out = hit_shares(dns_sums())
     if clock:
         out |= {f"hour_{h}": share_of(CLOCK_AND_INTEL, place(1, 2) == f"{h:02d}") for h in range(24)}
         out |= {f"day_{d}": share_of(CLOCK_AND_INTEL, place(4, 1) == str(d)) for d in range(1, 8)}
@@ -75,6 +90,19 @@ def dns_profile_of(counts: DataFrame, keys: Sequence[str], clock: bool = True) -
     return from_counts(counts, keys, {c: False for c in DNS_TEXTS}, dns_folds(clock), ["end_time"])
 
 
+def running_dns(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Measures of each key's events up to each place, without clock shares."""
+    sums = dns_sums()
+    for c in DNS_TEXTS:
+        sums |= digest_sums(c, False)
+    out = running_sums(counts, keys, sums, ["end_time"])
+    found = {n: F.col(n) for n in sums}
+    measures = hit_shares(found)
+    for c in DNS_TEXTS:
+        measures |= digest_of(c, found)
+    return out.select(*keys, "end_time", *[c.alias(n) for n, c in measures.items()])
+
+
 def dns_profile(log: DataFrame, domains: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("lgtime", "src_ip")) -> Profiles:
     """Per (hour, address): counts, clock shares, intel hit rates, query and answer texts."""
     rows = log.withColumn("lgtime", start_of("hour", F.col("logtime")))

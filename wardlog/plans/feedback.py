@@ -7,17 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlog.functions.times import start_of
 from wardlog.ml.likeness import unlike
 from wardlog.ml.slots import fit_slots, sparse
 from wardlog.operators.joins import any_match
 from wardlog.operators.predicates import reviewed
-from wardlog.operators.profiles import Profiles
-from wardlog.operators.windows import by_window_hour
+from wardlog.operators.profiles import Profiles, block_of, cell, listed, text_blocks, with_texts
+from wardlog.operators.windows import PLACE, PLACES, by_window_hour, first_hours
 from wardlog.plans.detectors import traffic_counts, traffic_numbers, traffic_profile_of
-from wardlog.plans.dns import CLOCK, clock_ratios, dns_counts, dns_profile_of
+from wardlog.plans.dns import CLOCK, DNS_TEXTS, clock_ratios, dns_counts, running_dns
+from wardlog.session import stored
 
 WINDOW = ["src_ip", "window_start", "window_end"]
+HOUR = ["src_ip", "lgtime"]
 
 
 def _verdicts(feedback: DataFrame) -> DataFrame:
@@ -59,23 +60,29 @@ def dns_feedback(log, feedback, domains, ranges, model_id: int) -> Profiles:
     """DNS profile of each reviewed (address, hour, last event), with its verdict.
 
     Clock shares are of the whole hour and stay 0 unless the hour's last event
-    is the window's end.
+    is the window's end. Of the windows of an hour each one's events are also in
+    those that end later: they are counted between ends and added up. Nothing is
+    shuffled once texts are in a cell.
     """
-    verdicts = feedback.where(reviewed(model_id))
-    counts = by_window_hour(log, verdicts, lambda rows, keys: dns_counts(rows, domains, ranges, keys))
-    out = dns_profile_of(counts, [*WINDOW, "lgtime"], clock=False)
-    asked = verdicts.select("src_ip", F.col("start_time").alias("lgtime")).distinct()
-    hours = (
-        log.withColumn("lgtime", start_of("hour", F.col("logtime")))
-        .join(asked, ["src_ip", "lgtime"], "left_semi")
-        .groupBy("src_ip", "lgtime")
-        .agg(F.max("end_time").alias("end_time"), *[c.alias(n) for n, c in clock_ratios().items()])
-    )
-    whole = (F.col("lgtime") == F.col("window_start")) & (F.col("end_time") == F.col("window_end"))
-    out = out.with_measures(
-        lambda m: any_match(m.where(whole), hours, ["src_ip", "lgtime", "end_time"], {n: 0.0 for n in CLOCK})
-    )
-    return _labelled(out, verdicts)
+    verdicts = feedback.where(reviewed(model_id)).select("feedback_id", "src_ip", "start_time", "end_time", "feedback")
+    rows, windows = first_hours(log.select("src_ip", "logtime", "end_time", *DNS_TEXTS), verdicts)
+    held = rows.where(F.col("end_time").isNotNull() & (F.col(PLACE) < F.col(PLACES)))
+    counts = stored(dns_counts(held, domains, ranges, [*HOUR, PLACES, PLACE]), "counts")
+    hours = rows.groupBy(*HOUR).agg(F.max("end_time").alias("end_time"), *[c.alias(n) for n, c in clock_ratios().items()])
+    windows = windows.withColumn("block", block_of(PLACE)).withColumnRenamed("window_end", "end_time")
+    verdict = F.struct("feedback_id", "feedback")
+    windows = windows.groupBy(*HOUR, "end_time", "block").agg(F.min(PLACE).alias(PLACE), F.sort_array(F.collect_list(verdict)).alias("_verdicts"))
+    # the measures up to a place end with its last event
+    measures = running_dns(counts, HOUR)
+    out = any_match(windows.join(measures, [*HOUR, "end_time"]), hours, [*HOUR, "end_time"], {n: 0.0 for n in CLOCK})
+    out = with_texts(out, text_blocks(counts, HOUR, DNS_TEXTS), HOUR, DNS_TEXTS)
+    keys = ("feedback_id", "lgtime", "src_ip")
+    columns = [c for c in measures.columns if c not in HOUR]
+    found = out.withColumns({c: cell(F.col(c)) for c in DNS_TEXTS}).withColumn("_verdict", F.explode("_verdicts"))
+    found = found.select("_verdict.feedback_id", "lgtime", "src_ip", *columns, *DNS_TEXTS, *CLOCK, "_verdict.feedback")
+    texts = out.select(*HOUR, F.explode("_verdicts").alias("_verdict"), listed(DNS_TEXTS).alias("_texts"))
+    texts = texts.select("_verdict.feedback_id", "lgtime", "src_ip", F.inline("_texts"))
+    return Profiles(keys, found, texts, DNS_TEXTS)
 
 
 # Which profile the models of the feedback table are trained on.
