@@ -17,6 +17,7 @@ QUERY_MARKS = "/.0123456789,=:?!@#$%^&_"
 AGENT_MARKS = "/. ,0123456789:;<=>?!@#$%^&_()"
 
 LETTERS = ascii_letters + " "
+URL_CHARS = ascii_letters + ".:,=&?$/"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -25,13 +26,18 @@ def blank_out(c: Column, marks: str) -> Column:
     return F.translate(c, marks, " " * len(marks))
 
 
-def letters_only(c: Column) -> Column:
-    """The text without any character that is no letter a to z, A to Z or blank.
+def only(c: Column, kept: str) -> Column:
+    """The text without any other character than those kept.
 
-    What is left when letters and blanks are taken out is what is to be taken out; a
-    search for the characters by pattern takes several times as long.
+    What is left when those are taken out is what is to be taken out; a search for the
+    characters by pattern takes several times as long.
     """
-    return F.call_function("translate", c, F.translate(c, LETTERS, ""), F.lit(""))
+    return F.call_function("translate", c, F.translate(c, kept, ""), F.lit(""))
+
+
+def letters_only(c: Column) -> Column:
+    """The text without any character that is no letter a to z, A to Z or blank."""
+    return only(c, LETTERS)
 
 
 def payload_words(c: Column) -> Column:
@@ -40,7 +46,7 @@ def payload_words(c: Column) -> Column:
 
 
 def url_chars(c: Column) -> Column:
-    return F.regexp_replace(c, "[^a-zA-Z.:,=&?$/]", "")
+    return only(c, URL_CHARS)
 
 
 def host_keywords(c: Column) -> Column:

@@ -362,7 +362,7 @@ def text_blocks(counts: DataFrame, keys: Sequence[str], texts: Sequence[str]) ->
     ``a`` to ``b`` have it or places before them. There is an entry where a text's count
     changes, and each list begins with the counts it finds.
     """
-    found = counts.where(F.col(COLUMN).isin(*texts) & F.col(VALUE).isNotNull())
+    found = counts.where(F.col(COLUMN).isin(*texts) & F.col(VALUE).isNotNull() & (F.col(PLACE) < F.col(PLACES)))
     same = Window.partitionBy(*keys, COLUMN, VALUE).orderBy(PLACE)
     n = F.sum(TIMES).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = F.coalesce(F.lead(PLACE).over(same), F.col(PLACES)) - 1

@@ -120,24 +120,24 @@ def first_hours(
 ) -> tuple[DataFrame, DataFrame]:
     """Log rows of the hours that windows begin with, and those windows, with their ``lgtime`` and places.
 
-    A window has the rows of its first hour whose place is not above its own. Rows no window
-    holds are there too, with the number of places as theirs. Windows that do not begin with
-    an hour are left out. The log is read once; a task sorts the rows of a key's hour.
+    A window has the rows of its first hour whose place is not above its own. Rows of the
+    hour that end after all its windows are there too, with the number of places as theirs.
+    Rows without an end and windows that do not begin with an hour are left out. The log is
+    read once if the rows are; a task sorts the rows of a key's hour.
     """
     start, own = F.col("start_time"), [c for c in windows.columns if c not in (key, "start_time", "end_time")]
     asked = windows.where(F.col(key).isNotNull() & (start == start_of("hour", start)) & (start <= F.col("end_time")))
     asked = stored(asked.select(key, start.alias("lgtime"), F.col("end_time").alias("window_end"), *own), "windows")
-    first, last = asked.agg(F.min("lgtime")).scalar(), asked.agg(F.max("lgtime")).scalar()
-    rows = log.where((F.col(log_start) >= first) & (F.col(log_start) < last + F.expr("interval 1 hour")))
-    rows = rows.withColumn("lgtime", start_of("hour", F.col(log_start)))
-    rows = rows.join(asked.select(key, "lgtime").distinct(), [key, "lgtime"], "left_semi")
+    hours = stored(asked.groupBy(key, "lgtime").agg(F.count(F.lit(1)).alias(PLACES)), "hours")
+    first, last = hours.agg(F.min("lgtime")).scalar(), hours.agg(F.max("lgtime")).scalar()
+    rows = log.where((F.col(log_start) >= first) & (F.col(log_start) < last + F.expr("interval 1 hour")) & F.col(log_end).isNotNull())
+    rows = rows.withColumn("lgtime", start_of("hour", F.col(log_start))).join(hours, [key, "lgtime"])
     both = rows.withColumns({"_end": F.col(log_end), "_window": F.lit(0)}).unionByName(
-        asked.withColumns({"_end": F.col("window_end"), "_window": F.lit(1)}), allowMissingColumns=True
+        asked.select(key, "lgtime", F.col("window_end").alias("_end"), F.lit(1).alias("_window")), allowMissingColumns=True
     )
-    hour = Window.partitionBy(key, "lgtime")
     # rows stand before the windows that end with them
-    before = hour.orderBy("_end", "_window", *own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    places = {PLACE: F.sum("_window").over(before) - F.col("_window"), PLACES: F.sum("_window").over(hour)}
-    both = stored(both.withColumns(places).drop("_end"), "places")
-    found = both.where("_window = 0").select(*rows.columns, PLACE, PLACES)
-    return found, both.where("_window = 1").select(*asked.columns, PLACE)
+    hour = Window.partitionBy("lgtime", key)
+    before = hour.orderBy("_end", "_window").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn(PLACE, F.sum("_window").over(before)).where("_window = 0").drop("_end", "_window")
+    place = F.row_number().over(hour.orderBy("window_end", *own)) - 1
+    return found, asked.withColumn(PLACE, place.cast("bigint"))

@@ -79,11 +79,15 @@ def dns_folds(clock: bool = True) -> dict[str, Column]:
 DNS_TEXTS = ("dns_query", "dns_answer")
 
 
-def dns_counts(log: DataFrame, domains: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Clock, intel flags and cleaned query and answer texts, counted per key."""
+def dns_counts(log: DataFrame, domains: DataFrame, ranges: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
+    """Clock, intel flags and cleaned query and answer texts, counted per key.
+
+    Where keys have ``few`` rows of the same text, texts are cleaned first and counted once.
+    """
     rows = with_intel(log, domains, ranges)
-    values = {CLOCK_AND_INTEL: clock_and_intel(), **{c: F.col(c) for c in DNS_TEXTS}}
-    return counted(rows, keys, values, {"end_time": F.max("end_time")}, {c: url_chars for c in DNS_TEXTS})
+    values = {CLOCK_AND_INTEL: clock_and_intel(), **{c: url_chars(F.col(c)) if few else F.col(c) for c in DNS_TEXTS}}
+    clean = None if few else {c: url_chars for c in DNS_TEXTS}
+    return counted(rows, keys, values, {"end_time": F.max("end_time")}, clean)
 
 
 def dns_profile_of(counts: DataFrame, keys: Sequence[str], clock: bool = True) -> Profiles:

@@ -14,7 +14,7 @@ from wardlog.operators.predicates import reviewed
 from wardlog.operators.profiles import Profiles, block_of, cell, listed, text_blocks, with_texts
 from wardlog.operators.windows import PLACE, PLACES, by_window_hour, first_hours
 from wardlog.plans.detectors import traffic_counts, traffic_numbers, traffic_profile_of
-from wardlog.plans.dns import CLOCK, DNS_TEXTS, clock_ratios, dns_counts, running_dns
+from wardlog.plans.dns import CLOCK, DNS_TEXTS, dns_counts, dns_profile_of, running_dns
 from wardlog.session import stored
 
 WINDOW = ["src_ip", "window_start", "window_end"]
@@ -66,9 +66,10 @@ def dns_feedback(log, feedback, domains, ranges, model_id: int) -> Profiles:
     """
     verdicts = feedback.where(reviewed(model_id)).select("feedback_id", "src_ip", "start_time", "end_time", "feedback")
     rows, windows = first_hours(log.select("src_ip", "logtime", "end_time", *DNS_TEXTS), verdicts)
-    held = rows.where(F.col("end_time").isNotNull() & (F.col(PLACE) < F.col(PLACES)))
-    counts = stored(dns_counts(held, domains, ranges, [*HOUR, PLACES, PLACE]), "counts")
-    hours = rows.groupBy(*HOUR).agg(F.max("end_time").alias("end_time"), *[c.alias(n) for n, c in clock_ratios().items()])
+    # texts after all windows are nobody's; the hour's clock has their events
+    rows = rows.withColumns({c: F.when(F.col(PLACE) < F.col(PLACES), F.col(c)) for c in DNS_TEXTS})
+    counts = stored(dns_counts(rows, domains, ranges, [*HOUR, PLACES, PLACE], few=True), "counts")
+    hours = dns_profile_of(counts, HOUR).measures.select(*HOUR, "end_time", *CLOCK)
     windows = windows.withColumn("block", block_of(PLACE)).withColumnRenamed("window_end", "end_time")
     verdict = F.struct("feedback_id", "feedback")
     windows = windows.groupBy(*HOUR, "end_time", "block").agg(F.min(PLACE).alias(PLACE), F.sort_array(F.collect_list(verdict)).alias("_verdicts"))
