@@ -211,28 +211,47 @@ class Texts:
     distinct: bool = True
 
 
-def digest_sums(name: str, distinct: bool) -> dict[str, Column]:
-    """How many texts a key has in a column and two sums of hashes of them."""
+def digest(name: str, distinct: bool) -> dict[str, Column]:
+    """How many texts a key has in a column and two sums of hashes of them, which stand for the whole."""
     here = (F.col(COLUMN) == name) & F.col(VALUE).isNotNull()
     copies = F.lit(1) if distinct else F.col(TIMES)
 
     def part(start: int) -> Column:
         number = F.conv(F.substring(F.md5(VALUE), start, 15), 16, 10).cast("decimal(19,0)")
-        return F.coalesce(F.sum(F.when(here, number * copies.cast("decimal(18,0)"))), F.lit(0))
+        return F.coalesce(F.sum(F.when(here, number * copies.cast("decimal(18,0)"))), F.lit(0)).cast("string")
 
-    n = F.coalesce(F.sum(F.when(here, copies)), F.lit(0)).cast("bigint")
-    return {f"{name}_texts": n, f"{name}_digest_1": part(1), f"{name}_digest_16": part(16)}
+    return {
+        f"{name}_texts": F.coalesce(F.sum(F.when(here, copies)), F.lit(0)).cast("bigint"),
+        f"{name}_digest": F.concat_ws(":", part(1), part(16)),
+    }
 
 
-def digest_of(name: str, sums: Mapping[str, Column]) -> dict[str, Column]:
-    """Number and digest of the texts, which stand for the whole."""
-    parts = [sums[f"{name}_digest_{start}"].cast("string") for start in (1, 16)]
-    return {f"{name}_texts": sums[f"{name}_texts"], f"{name}_digest": F.concat_ws(":", *parts)}
+# Where the hashes of a text's digest begin in it, and the 20 bits of them that are added up by themselves.
+HASHES, PARTS = (1, 16), (0, 20, 40)
 
 
-def digest(name: str, distinct: bool) -> dict[str, Column]:
-    """How many texts a key has in a column and two sums of hashes of them, which stand for the whole."""
-    return digest_of(name, digest_sums(name, distinct))
+def with_hashes(counts: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """Adds the two hashes of each text, found once for all sums of them."""
+    out = counts.withColumn("_md5", F.when(F.col(COLUMN).isin(*texts), F.md5(VALUE)))
+    return out.withColumns({f"_hash_{h}": F.conv(F.substring("_md5", h, 15), 16, 10).cast("bigint") for h in HASHES})
+
+
+def digest_sums(name: str) -> dict[str, Column]:
+    """What the digest of all texts is put together from, as whole numbers that can be added up."""
+
+    def part(start: int, bits: int) -> Column:
+        number = F.shiftright(f"_hash_{start}", bits).bitwiseAND(F.lit(2**20 - 1))
+        return F.coalesce(F.sum(F.when(F.col(COLUMN) == name, number * F.col(TIMES))), F.lit(0))
+
+    sums = {f"{name}_texts": times(name, F.col(VALUE).isNotNull())}
+    return sums | {f"{name}_{h}_{bits}": part(h, bits) for h in HASHES for bits in PARTS}
+
+
+def digest_of(name: str) -> dict[str, Column]:
+    """Number and digest of the texts from added sums."""
+    part = lambda h, bits: F.col(f"{name}_{h}_{bits}").cast("decimal(20,0)") * F.lit(2**bits).cast("decimal(14,0)")
+    parts = [sum((part(h, bits) for bits in PARTS[1:]), part(h, 0)).cast("string") for h in HASHES]
+    return {f"{name}_texts": F.col(f"{name}_texts"), f"{name}_digest": F.concat_ws(":", *parts)}
 
 
 def joined(name: str, distinct: bool) -> Column:
@@ -340,7 +359,7 @@ def from_counts(
 
 
 # Windows that share a list of texts.
-BLOCK = 32
+BLOCK = 16
 
 
 def running_sums(counts: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], whole: Sequence[str] = ()) -> DataFrame:
@@ -387,7 +406,7 @@ def listed(texts: Sequence[str]) -> Column:
         entry = lambda e: F.struct(F.lit(name).alias(COLUMN), e["v"].alias("text"), e["n"].alias(TIMES))
         return F.transform(name, entry)
 
-    return F.flatten(F.array_compact(F.array(*[named(c) for c in texts])))
+    return F.flatten(F.array_compact(F.array(*[named(c) for c in texts]))).cast(f"array<struct<{COLUMN}:string,text:string,{TIMES}:bigint>>")
 
 
 def added_counts(counts: DataFrame, whole: Mapping[str, Callable[[str], Column]] | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ from wardlog.operators.profiles import (
     times,
     value_spread,
     weekday_ratios,
+    with_hashes,
 )
 
 CLOCK = [f"hour_{h}" for h in range(24)] + [f"day_{d}" for d in range(1, 8)]
@@ -97,13 +98,11 @@ def dns_profile_of(counts: DataFrame, keys: Sequence[str], clock: bool = True) -
 def running_dns(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Measures of each key's events up to each place, without clock shares."""
     sums = dns_sums()
+    measures = hit_shares({n: F.col(n) for n in sums})
     for c in DNS_TEXTS:
-        sums |= digest_sums(c, False)
-    out = running_sums(counts, keys, sums, ["end_time"])
-    found = {n: F.col(n) for n in sums}
-    measures = hit_shares(found)
-    for c in DNS_TEXTS:
-        measures |= digest_of(c, found)
+        sums |= digest_sums(c)
+        measures |= digest_of(c)
+    out = running_sums(with_hashes(counts, DNS_TEXTS), keys, sums, ["end_time"])
     return out.select(*keys, "end_time", *[c.alias(n) for n, c in measures.items()])
 
 

@@ -68,6 +68,8 @@ def dns_feedback(log, feedback, domains, ranges, model_id: int) -> Profiles:
     rows, windows = first_hours(log.select("src_ip", "logtime", "end_time", *DNS_TEXTS), verdicts)
     # texts after all windows are nobody's; the hour's clock has their events
     rows = rows.withColumns({c: F.when(F.col(PLACE) < F.col(PLACES), F.col(c)) for c in DNS_TEXTS})
+    # written lists have a known size: small ones are broadcast, and rows stay where they were sorted
+    domains, ranges = stored(domains.select("target").distinct(), "domains"), stored(ranges.select("range_start").distinct(), "ranges")
     counts = stored(dns_counts(rows, domains, ranges, [*HOUR, PLACES, PLACE], few=True), "counts")
     hours = dns_profile_of(counts, HOUR).measures.select(*HOUR, "end_time", *CLOCK)
     windows = windows.withColumn("block", block_of(PLACE)).withColumnRenamed("window_end", "end_time")
